@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lithoframe.llm import minhash, quality_rules
+from lithoframe.llm import minhash, quality_rules, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,8 +21,13 @@ def op2_isolation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.isolation_verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("n_lines", "n_upper", "n_stops", "n_distinct", "threshold")
 
 
+def op3_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.toxicity_scores(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minmax_dedup, op2_isolation_rules)}
+    return {f.__name__: f for f in (op1_minmax_dedup, op2_isolation_rules, op3_subword_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
