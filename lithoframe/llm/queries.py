@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lithoframe.llm import minhash, quality_rules, toxicity, warc
+from lithoframe.llm import html_extract, minhash, quality_rules, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op4_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(_table(spark, sf_dir, "pages"))
 
 
+def op5_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(_table(spark, sf_dir, "pages"))
+
+
 WARC_SQL = """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 g AS (SELECT payload_digest, max(page_id) AS first FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest HAVING count(*) > 1)
@@ -41,7 +45,7 @@ FROM p LEFT JOIN g USING (payload_digest)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minmax_dedup, op2_isolation_rules, op3_subword_toxicity, op4_warc_archive)}
+    return {f.__name__: f for f in (op1_minmax_dedup, op2_isolation_rules, op3_subword_toxicity, op4_warc_archive, op5_style_tree)}
 
 
 def oracle_sql() -> dict[str, str]:
