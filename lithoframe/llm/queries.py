@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lithoframe.llm import fingerprints, html_extract, minhash, mixing, pii, quality_rules, toxicity, warc
+from lithoframe.llm import fingerprints, html_extract, minhash, mixing, pii, quality_bayes, quality_rules, sentencepiece_fst, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,18 @@ def op5_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(_table(spark, sf_dir, "pages"))
 
 
+def piece_model() -> bytes:
+    """The public 32k piece model of this machine; any BPE model file will do."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        return f.read()
+
+
+def op6_piece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_fst.coded(_table(spark, sf_dir, "documents"), piece_model())
+
+
 def op7_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_and_next(_table(spark, sf_dir, "documents"))
 
@@ -42,6 +54,10 @@ def op8_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_site_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_bayes.site_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_context_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(_table(spark, sf_dir, "documents"))
 
@@ -57,7 +73,8 @@ FROM p LEFT JOIN g USING (payload_digest)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minmax_dedup, op2_isolation_rules, op3_subword_toxicity, op4_warc_archive, op5_style_tree, op7_scaled_sketch, op8_entropy_mix, op10_context_pii)}
+    found = (op1_minmax_dedup, op2_isolation_rules, op3_subword_toxicity, op4_warc_archive, op5_style_tree, op6_piece_transducer, op7_scaled_sketch, op8_entropy_mix, op9_site_bayes, op10_context_pii)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
