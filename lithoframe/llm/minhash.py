@@ -6,8 +6,10 @@ a band are candidates; at a similarity of 0.75 a pair shares no band with probab
 Candidates are confirmed on their full shingle sets.
 
 Work is bounded without a cap: equal sets become one class first; in each bucket the members meet the bucket's
-smallest class only; what is left over are the buckets whose members are still in different components, and there
-each pair across components is compared, so that no link is lost.
+smallest class only. What is left over are the buckets whose members are still in different components. There each
+pair across components is a candidate unless its sets are proven apart: a set marks its shingles in 1024 cells, a cell that x has and
+y lacks holds a shingle that x has and y lacks, and so the marks bound the intersection from above. Pairs that merely share a
+passage, or a group of loose copies of one text, so make no rows, and no link is lost.
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ from pyspark.sql import functions as F
 from lithoframe.llm.common import ascii_words, list_array, mix64, odd_constants, shingle_set, stage
 from lithoframe.llm.graph import connected_components
 
-BANDS, ROWS, WIDTH = 44, 4, 5
+BANDS, ROWS, WIDTH, CELLS = 44, 4, 5, 1024
+_WORDS = [f"w{k}" for k in range(CELLS // 64)]
 _MUL, _ADD = odd_constants(BANDS * ROWS // 2, 11), odd_constants(BANDS * ROWS // 2, 13)
 _IN_BAND, _BAND = odd_constants(ROWS, 17), odd_constants(BANDS, 19)
 _SUMS = odd_constants(2, 23)
@@ -46,6 +49,19 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return mix64((rows * _IN_BAND[None, :]).sum(1, dtype=np.uint64) + _BAND).view(np.int64)
 
 
+def cell_marks(shingles: np.ndarray) -> np.ndarray:
+    """The cells that a set's shingles fall in, as CELLS bits in 64-bit words."""
+    bits = np.zeros(CELLS, np.uint8)
+    bits[(shingles >> np.uint64(40)) % np.uint64(CELLS)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
+def _marks(batches):
+    for batch in batches:
+        marks = np.array([cell_marks(shingle_set(ascii_words(t), WIDTH)) for t in batch.column("text").to_pylist()], np.int64).reshape(-1, CELLS // 64)
+        yield pa.RecordBatch.from_arrays([batch.column("rep"), *(pa.array(np.ascontiguousarray(marks[:, k])) for k in range(CELLS // 64))], ["rep", *_WORDS])
+
+
 def _signatures(batches):
     for batch in batches:
         n, h1, h2, bands = [], [], [], []
@@ -112,9 +128,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = buckets.join(part, buckets.rep == part.id, "left").select("band", "rep", "n", F.coalesce("component", "rep").alias("c"))
     mixed = named.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("band")
     rest = stage(named.join(mixed, "band"), "rest")
-    x, y = (rest.select("band", *(F.col(k).alias(k + s) for k in ("rep", "n", "c"))) for s in ("1", "2"))
-    across = x.join(y, "band").filter("rep1 < rep2 and c1 <> c2 and 4 * least(n1, n2) >= 3 * greatest(n1, n2)")
-    second = _links(across.select(F.col("rep2").alias("a"), F.col("rep1").alias("b")).distinct(), texts)
+    marks = texts.join(rest.select("rep").distinct(), "rep").mapInArrow(_marks, "rep long, " + ", ".join(f"{w} long" for w in _WORDS))
+    rest = stage(rest.join(stage(marks, "marks"), "rep"), "marked")
+    x, y = (rest.select("band", *(F.col(k).alias(f"{k}_{s}") for k in ("rep", "n", "c", *_WORDS))) for s in ("x", "y"))
+    alone = [" + ".join(f"bit_count({w}_{s} & ~{w}_{t})" for w in _WORDS) for s, t in ("xy", "yx")]
+    most = f"least(n_x - ({alone[0]}), n_y - ({alone[1]}))"
+    across = x.join(y, "band").filter(f"rep_x < rep_y and c_x <> c_y and 4 * least(n_x, n_y) >= 3 * greatest(n_x, n_y) and 175 * {most} >= 75 * (n_x + n_y)")
+    second = _links(across.select(F.col("rep_y").alias("a"), F.col("rep_x").alias("b")).distinct(), texts)
     component = connected_components(first.unionByName(second))
 
     reps = full.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
