@@ -10,15 +10,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a maximal run of characters other than space and the ASCII controls 09 to 0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def read(sf_dir: str, name: str) -> DataFrame:
-    return SparkSession.active().read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see (spark.checkpoint.dir); a local one only where Spark itself is local."""
     conf = spark.sparkContext.getConf()
@@ -50,6 +47,11 @@ def small_side(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
+def with_field(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
+    """The schema of df with one more field."""
+    return T.StructType([*df.schema.fields, T.StructField(name, kind)])
+
+
 def ascii_words(text: str | None) -> list[bytes]:
     """The words of a text in UTF-8, A-Z lower-cased. bytes.split() and bytes.lower() know ASCII alone, as WORD does."""
     return text.encode("utf-8", "replace").lower().split() if text else []

@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lithoframe.llm.common import ascii_words, shingle_set
+from lithoframe.llm.common import ascii_words, shingle_set, with_field
 
 FRACTION = 0.25
 
@@ -59,7 +60,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([encode(sketch(t)) for t in batch.column("text").to_pylist()], pa.string())], [*batch.schema.names, "fingerprint"])
 
     docs = docs.drop("fingerprint")
-    return docs.mapInArrow(run, docs.schema.simpleString()[7:-1].replace(",", ", ") + ", fingerprint string")
+    return docs.mapInArrow(run, with_field(docs, "fingerprint", T.StringType()))
 
 
 def in_order(docs: DataFrame) -> DataFrame:

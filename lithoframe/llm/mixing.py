@@ -49,7 +49,7 @@ def source_duals(sized: DataFrame, targets: DataFrame, most: int = MOST, steps:
     tilt must be positive. Sums run over distinct (source, size, tilt), counted first. A source whose target is at its limit, or without size, gets its dual at once. A
     step stays inside the bracket that earlier gradients prove, and halves it where Newton would leave it.
     """
-    rows = stage(sized.groupBy("source", (F.col("size") * F.col("n")).alias("mass") if "n" in sized.columns else F.col("size").alias("mass"), "tilt").agg(F.count("*").alias("times")), "masses")
+    rows = stage(sized.groupBy("source", F.col("size").alias("mass"), "tilt").agg(F.count("*").alias("times")), "masses")
     full = F.col("target") >= most * F.col("source_size")
     at = stage(targets.withColumns({"dual": F.when(full, 50.0).otherwise(F.lit(0.0)), "lo": F.lit(-50.0), "hi": F.lit(50.0), "done": full | (F.col("source_size") == 0)}), "duals")
     for _ in range(steps):

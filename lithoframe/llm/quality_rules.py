@@ -14,8 +14,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lithoframe.llm.common import odd_constants, stage
+from lithoframe.llm.common import odd_constants, stage, with_field
 
 _SYMBOLS, _STOPS, _UPPER = b"#*$%&|<>", b"!?", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _PLACES = odd_constants(3, 29)
@@ -157,12 +158,12 @@ def isolation_verdicts(docs: DataFrame, labels: DataFrame, trees: int = 128, row
         for frame in frames:
             yield frame.assign(score=forest.score(ratios(frame)))
 
-    judged = labelled.mapInPandas(scored, labelled.schema.simpleString()[7:-1] + ", score double")
+    judged = labelled.mapInPandas(scored, with_field(labelled, "score", T.DoubleType()))
     bins = judged.groupBy(F.floor(F.col("score") * 2000).alias("bin"), "quality").count().toPandas()
     table = np.zeros((2, 2001))
     np.add.at(table, (bins["quality"].to_numpy(int), bins["bin"].to_numpy(int).clip(0, 2000)), bins["count"].to_numpy())
     threshold = best_threshold(np.arange(2001) / 2000, table[1], table[0], keep)
-    out = counts.mapInPandas(scored, counts.schema.simpleString()[7:-1] + ", score double")
+    out = counts.mapInPandas(scored, with_field(counts, "score", T.DoubleType()))
     return out.withColumn("threshold", F.lit(threshold)).withColumn("kept", ~F.col("base_failed") & (F.col("score") <= threshold))
 
 

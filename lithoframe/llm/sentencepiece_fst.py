@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lithoframe.llm.common import list_array
+from lithoframe.llm.common import list_array, with_field
 
 SPACE = "▁"
 #: Kinds of pieces in the model file.
@@ -214,7 +215,7 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", out: str = "ids")
             ids = [np.array(m.encode(t), np.int32) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, list_array(ids, pa.int32())], [*batch.schema.names, out])
 
-    return docs.mapInArrow(run, docs.schema.add(out, "array<int>"))
+    return docs.mapInArrow(run, with_field(docs, out, T.ArrayType(T.IntegerType())))
 
 
 def decode(docs: DataFrame, model: bytes, ids: str = "ids", out: str = "text") -> DataFrame:
@@ -227,7 +228,7 @@ def decode(docs: DataFrame, model: bytes, ids: str = "ids", out: str = "text") -
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([m.decode(x or []) for x in batch.column(at).to_pylist()], pa.string())], [*batch.schema.names, out])
 
-    return docs.mapInArrow(run, docs.schema.add(out, "string"))
+    return docs.mapInArrow(run, with_field(docs, out, T.StringType()))
 
 
 def coded(docs: DataFrame, model: bytes) -> DataFrame:
