@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithoframe.functions.color import chroma, dist2, is_skin_tone, luminance, rounded
 from lithoframe.operators.components import touching_frame
 from lithoframe.operators.grid import by_image, interior, with_sides, with_square
 from lithoframe.operators.match import RGB, rgb
+from lithoframe.staging import stage
 
 C = F.col
 
@@ -102,9 +103,8 @@ def remove_background(pixels: DataFrame, tolerance: float = 42) -> DataFrame:
     """
     judged = is_backdrop_pixel(by_image(pixels), backdrop_color(edge_samples(pixels)), tolerance)
     flooded = touching_frame(judged.withColumn("_free", F.coalesce("is_backdrop", F.lit(False))), "_free", "_flood")
-    hit = flooded.groupBy("image_id").agg(F.max("_flood").alias("_hit"))
-    rows = flooded.join(hit, "image_id").withColumns({"_a": C("a"), "a": F.when(C("_flood"), 0).otherwise(C("a")), "light_backdrop": F.coalesce(C("light_backdrop") & C("_hit"), F.lit(False))})
-    rows = clear_halos(by_image(rows)).withColumn("cleared", (C("a") == 0) & (C("_a") != 0))
+    rows = flooded.withColumn("_hit", F.max("_flood").over(Window.partitionBy("image_id"))).withColumns({"_a": C("a"), "a": F.when(C("_flood"), 0).otherwise(C("a")), "light_backdrop": F.coalesce(C("light_backdrop") & C("_hit"), F.lit(False))})
+    rows = stage(clear_halos(by_image(stage(rows, "flooded"))), "haloes").withColumn("cleared", (C("a") == 0) & (C("_a") != 0))
     return despeckle(by_image(rows), C("_hit")).drop("_a", "_free", "_flood", "_hit", "is_backdrop", "light_backdrop", "_bgl")
 
 

@@ -11,6 +11,7 @@ from lithoframe.operators.components import mark_exterior, touching_frame, with_
 from lithoframe.operators.grid import by_image
 from lithoframe.operators.match import snap_cells_to_palette
 from lithoframe.operators.morph import close_mask
+from lithoframe.staging import stage
 
 C = F.col
 
@@ -31,7 +32,7 @@ def flood_dominant_cells(pixels: DataFrame, palette: DataFrame | None = None) ->
     """pixels with ink -> (pixels with label, dominant colours of the cells). A cell is a component of what is neither ink nor exterior; all of it, clear pixels too, takes its main colour."""
     rows = by_image(mark_exterior(by_image(pixels)))
     rows = with_regions(rows.withColumn("_in", F.when(~C("ink") & ~C("exterior"), 1)), "_in", "cell").drop("_in", "cell_area")
-    snapped = snap_cells_to_palette(rows, palette)
+    snapped = stage(snap_cells_to_palette(rows, palette), "cells")
     best = dominant_cell_color(snapped.select("image_id", "cell", "label", "a"))
     out = snapped.drop("label").join(best.select("image_id", "cell", "label"), ["image_id", "cell"], "left")
     return out, best
@@ -67,6 +68,7 @@ def fill_enclosed(pixels: DataFrame) -> DataFrame:
     rows = close_mask(rows, 4.0).withColumn("_free", ~C("ink")).withColumn("ink", C("_ink")).drop("_ink")
     rows = touching_frame(rows, "_free", "_out")
     rows = with_regions(by_image(rows.withColumn("_pocket", F.when(C("label").isNull() & ~C("ink") & ~C("_out"), 1))), "_pocket", "_hole")
+    rows = stage(rows, "pockets")
     with_holes = rows.filter("_hole is not null").select("image_id").distinct()
     work = rows.join(with_holes, "image_id", "left_semi").select("image_id", "w", "h", "x", "y", "ink", "label", "_hole")
 

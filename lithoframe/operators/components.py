@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithoframe.operators.grid import KEY, by_image, interior, region_borders
 from lithoframe.operators.runs import with_run_start
+from lithoframe.staging import stage
 
 C = F.col
 
@@ -53,11 +54,11 @@ def connected_components(runs: DataFrame, key: str = "label") -> DataFrame:
 
 def with_regions(df: DataFrame, key: str = "label", name: str = "region") -> DataFrame:
     """df, a dense grid, with the component of each pixel whose key is not null, and its `{name}_area`."""
-    df = with_run_start(df, key, "_x0")
+    df = stage(with_run_start(df, key, "_x0"), "runs")
     runs = df.filter(C(key).isNotNull()).groupBy("image_id", "y", "_x0").agg(F.count("*").cast("int").alias("len"), F.first(key).alias(key))
     found = connected_components(runs.withColumnRenamed("_x0", "x0"), key)
-    area = found.groupBy("image_id", "region").agg(F.sum("len").alias(f"{name}_area"))
-    found = found.join(area, ["image_id", "region"]).select("image_id", "y", C("x0").alias("_x0"), C("region").alias(name), f"{name}_area")
+    area = F.sum("len").over(Window.partitionBy("image_id", "region"))
+    found = found.select("image_id", "y", C("x0").alias("_x0"), C("region").alias(name), area.alias(f"{name}_area"))
     out = df.join(found, ["image_id", "y", "_x0"], "left").drop("_x0")
     hit = C(key).isNotNull()
     return out.withColumns({c: F.when(hit, C(c)) for c in (name, f"{name}_area")})
@@ -72,7 +73,7 @@ def drop_speck_islands(labels: DataFrame, min_area: int | str) -> DataFrame:
     """Regions smaller than min_area (a number or a column) take the label that most of their sides touch, the lowest among equals, or become transparent. All decide on the state before."""
     least = F.lit(min_area) if isinstance(min_area, int) else C(min_area)
     labels = labels.withColumn("_least", least)
-    found = by_image(with_regions(labels))
+    found = by_image(stage(with_regions(labels), "regions"))
     small = found.filter(C("region_area") < C("_least")).select("image_id", "region").distinct()
     votes = region_borders(found.select("image_id", "x", "y", "region", "label")).join(small, ["image_id", "region"], "left_semi")
     votes = votes.groupBy("image_id", "region", "other_label").agg(F.sum("sides").alias("n"))
@@ -92,8 +93,8 @@ def touching_frame(df: DataFrame, free: str, name: str) -> DataFrame:
     """df with a boolean: whether the pixel is free and reaches the image's frame through free pixels."""
     found = with_regions(df.withColumn("_key", F.when(C(free), 1)), "_key", "_part")
     edge = (C("x") == 0) | (C("y") == 0) | (C("x") == C("w") - 1) | (C("y") == C("h") - 1)
-    open_ = found.filter(C("_part").isNotNull() & edge).select("image_id", "_part").distinct().withColumn("_open", F.lit(True))
-    return found.join(open_, ["image_id", "_part"], "left").withColumn(name, F.coalesce("_open", F.lit(False))).drop("_key", "_part", "_part_area", "_open")
+    reaches = F.max(edge).over(Window.partitionBy("image_id", "_part"))
+    return found.withColumn(name, C("_part").isNotNull() & reaches).drop("_key", "_part", "_part_area")
 
 
 def mark_exterior(pixels: DataFrame) -> DataFrame:

@@ -109,9 +109,8 @@ def region_borders(regions: DataFrame) -> DataFrame:
     rows = regions.withColumns({"_o": F.when(C("region").isNotNull(), own)})
     rows = rows.withColumns({"_r": F.lead("_o").over(row()), "_d": F.lead("_o").over(column())})
     touch = F.filter(F.array("_r", "_d"), lambda o: o["region"] != C("region"))
-    pairs = rows.select("image_id", C("_o").alias("p"), F.explode(touch).alias("q")).groupBy("image_id", "p", "q").agg(F.count("*").alias("n"))
-    both = pairs.unionByName(pairs.select("image_id", C("q").alias("p"), C("p").alias("q"), "n"))
-    both = both.groupBy("image_id", "p", "q").agg(F.sum("n").alias("sides"))
+    pairs = rows.select("image_id", C("_o"), F.explode(touch).alias("t")).select("image_id", F.explode(F.array(F.struct(C("_o").alias("p"), C("t").alias("q")), F.struct(C("t").alias("p"), C("_o").alias("q")))).alias("s"))
+    both = pairs.groupBy("image_id", "s.p", "s.q").agg(F.count("*").alias("sides"))
     return both.select("image_id", "p.region", "p.label", C("q.region").alias("other"), C("q.label").alias("other_label"), "sides")
 
 

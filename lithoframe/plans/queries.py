@@ -16,6 +16,7 @@ from lithoframe.operators.grid import by_image
 from lithoframe.plans import jobs
 from lithoframe.plans import sql as Q
 from lithoframe.sources import chart, fixtures, rasters
+from lithoframe.staging import stage
 
 C = F.col
 _RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,7 +163,7 @@ k AS (SELECT *, [lag(o) OVER (PARTITION BY image_id, x ORDER BY y), lag(o) OVER
  (r-br)*(r-br)+(g-bg)*(g-bg)+(b-bb)*(b-bb) AS far FROM n),
 f AS (SELECT *, CASE WHEN br IS NULL THEN NULL WHEN a < 16 THEN true WHEN sk OR ({_BG_C} < 25 AND c > greatest(35, {_BG_C} + 22)) THEN false
  WHEN {_BG_LUM} > 200 AND {_BG_C} < 30 THEN ((l >= 232 AND c <= 18) OR (l >= {_BG_LUM} - 14 AND c <= 20 AND far <= 3214.89::DOUBLE) OR far <= 1764) AND NOT (r > g + 10 AND r > b + 15 AND c > 14)
- ELSE far <= 1764 AND ({_BG_LUM} >= 40 OR (l <= 42 AND len(list_filter(ns, s -> s IS NOT NULL AND s.a >= 16 AND (s.l - l > 48 OR s.s))) = 0)) END AS label FROM k)
+ ELSE far <= 1764 AND ({_BG_LUM} >= 40 OR (l <= 42 AND len(list_filter(ns, lambda s: s IS NOT NULL AND s.a >= 16 AND (s.l - l > 48 OR s.s))) = 0)) END AS label FROM k)
 SELECT image_id, count(label) AS n, sum(label::INT)::BIGINT AS total, sum(label::INT * (x * 31 + y * 17))::BIGINT AS placed FROM f GROUP BY image_id""")
 def backdrop_pixels(s, d):
     px = by_image(_pixels(s, d))
@@ -172,7 +173,7 @@ def backdrop_pixels(s, d):
 
 @query(_NEAREST + " SELECT c.ord, c.code, coalesce(sum(n), 0)::BIGINT AS pixels FROM (SELECT * FROM chart WHERE contains(lower(code), '18') OR contains(lower('PMS ' || code), '18') OR contains(printf('#%02x%02x%02x', r, g, b), '18') ORDER BY ord LIMIT 160) c LEFT JOIN best ON best.m.c = c.code GROUP BY 1, 2")
 def chart_search_usage(s, d):
-    used = match.nearest_pms(_colors(s, d)).select(C("pms.code").alias("code"), "n")
+    used = stage(chart_fill_counts(s, d).withColumnRenamed("pixels", "n"), "used")
     hits = match.search_pms(chart.pms_chart(s), " 18 ")
     return hits.join(used, "code", "left").groupBy("ord", "code").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pixels"))
 
@@ -465,7 +466,7 @@ def resolved_palette(s, d):
 
 @query()
 def automatic_merges(s, d):
-    return palette.auto_merge_close_colors(palette.extract_palette(by_image(_pixels(s, d)), 16), match.label_usage(match.quantize(by_image(_pixels(s, d)), palette.extract_palette(by_image(_pixels(s, d)), 16)), palette.extract_palette(by_image(_pixels(s, d)), 16)), 12)
+    return palette.auto_merge_close_colors(fixtures.palette(s, d), _usage(s, d), 45)
 
 
 @query()

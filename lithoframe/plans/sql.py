@@ -85,4 +85,4 @@ def dilated(source: str, radius: float) -> str:
 
 
 def eroded(source: str, radius: float, inside: str) -> str:
-    return f"(SELECT m.image_id, m.w, m.h, m.x, m.y, min(n.ink::INT) = 1 AND ({inside}) AS ink FROM {source} m, {disc(radius)}, {source} n WHERE n.image_id = m.image_id AND n.x = m.x + dx AND n.y = m.y + dy GROUP BY ALL)"
+    return f"(SELECT m.image_id, m.w, m.h, m.x, m.y, min(n.ink::INT) = 1 AND bool_and({inside}) AS ink FROM {source} m, {disc(radius)}, {source} n WHERE n.image_id = m.image_id AND n.x = m.x + dx AND n.y = m.y + dy GROUP BY ALL)"
