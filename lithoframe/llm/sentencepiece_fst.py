@@ -57,7 +57,7 @@ def fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
 class Machine:
     """A compiled model. Words (runs between spaces and line ends, which no piece crosses) are composed and solved one by one, and kept."""
 
-    def __init__(self, model: bytes, most_words: int = 400_000, most_pairs: int = 600_000):
+    def __init__(self, model: bytes, most_words: int = 150_000, most_pairs: int = 250_000):
         self.pieces: list[str] = []
         self.score: dict[str, float] = {}
         self.id: dict[str, int] = {}
@@ -218,6 +218,25 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", out: str = "ids")
     return docs.mapInArrow(run, with_field(docs, out, T.ArrayType(T.IntegerType())))
 
 
+def encode_checked(docs: DataFrame, model: bytes) -> DataFrame:
+    """docs with ids, and with round_trip: whether decoding them gives the text back. The text column goes; the others pass through. One pass in one Python worker a task."""
+    docs = docs.drop("ids", "round_trip")
+    kept = [c for c in docs.columns if c != "text"]
+    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())])
+
+    def run(batches):
+        m = machine(model)
+        for whole in batches:
+            for at in range(0, len(whole), 1000):  # ids of a thousand texts at a time
+                batch = whole.slice(at, 1000)
+                texts = batch.column(len(kept)).to_pylist()
+                ids = [np.array(m.encode(t), np.int32) for t in texts]
+                same = [m.decode(i.tolist()) == (t or "") for i, t in zip(ids, texts, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], list_array(ids, pa.int32()), pa.array(same, pa.bool_())], [*kept, "ids", "round_trip"])
+
+    return docs.select(*kept, "text").mapInArrow(run, schema)
+
+
 def decode(docs: DataFrame, model: bytes, ids: str = "ids", out: str = "text") -> DataFrame:
     """docs with a column `out` of the text that the ids in `ids` stand for; empty for null. Other columns pass through; one of that name is replaced."""
     docs = docs.drop(out)
