@@ -1,15 +1,18 @@
 """Main text of web pages by a site style tree.
 
-The DOMs of a host are merged: a style node is the path of tags and classes from the root. Each text block under a node is a feature; the
-entropy of its spread over the host's pages tells presentation (the same everywhere) from content
-(different everywhere). Nodes of low importance are removed from each page, next to those whose tag or class names
-them as furniture.
+The DOMs of a host are merged: a style node is the path of tags and classes from the root, and text that stands in an element is
+a leaf below it. The entropy of an element's child sequences over the host's pages is its presentation importance, the entropy of
+a leaf's blocks its content importance; both are combined from the leaves up. Branches in which nothing is important are removed from each page.
+
+Additions to the method: blocks that a tag or class names as furniture, and all outside the article of a page that has one, are in the
+tree but are left out of the text whatever their importance.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from dataclasses import dataclass
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -53,30 +56,59 @@ def _furniture(tag: str, attributes: str) -> tuple[bool, str]:
     return noisy, f"{tag}.{'.'.join(_DIGITS.sub('0', x) for x in names[:2])}" if names else tag
 
 
-def blocks(html: str | None) -> list[tuple[str, str, bool]]:
-    """(style path, text, inside article or main) of each text block outside named furniture, in page order.
+def _digest(s: str) -> int:
+    return int.from_bytes(blake2b(s.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
+@dataclass
+class Node:
+    """A style node of one page: key (a hash of its whole path), the parent's place in the page's list, depth, and its elements' children, each element after a bar."""
+
+    key: int
+    up: int
+    depth: int
+    style: list[str]
+
+
+def page_tree(html: str | None) -> tuple[list[Node], list[tuple[int, str, str, bool]]]:
+    """The style nodes of a page, the root first, and (node, text, text outside named furniture, inside article or main) of each text block, in page order.
 
     Browsers' rules for tags that are left open hold as far as blocks depend on them: a block tag ends a paragraph, list
     items and cells end each other, an end tag closes what is open inside its element, and a stray one is ignored.
     """
-    out: list[tuple[str, str, bool]] = []
-    stack: list[tuple[str, str, bool, bool, bool]] = []  # tag, path, furniture, main, unread
+    out: list[tuple[int, str, str, bool]] = []
+    nodes, places = [Node(0, -1, 0, [])], {}
+    stack: list[tuple[str, int, bool, bool, bool]] = []  # tag, node, furniture, main, unread
     text: list[str] = []
+    named: list[str] = []
     at, html, where = 0, html or "", None
 
+    def plain(pieces: list[str]) -> str:
+        return _SPACE.sub(" ", entities.unescape("".join(pieces))).strip()
+
     def flush() -> None:
         nonlocal where
-        if text and where is not None and (t := _SPACE.sub(" ", entities.unescape("".join(text))).strip()):
-            out.append((where[1], t, where[3]))
+        if text and where is not None and (t := plain(text)):
+            out.append((where[1], t, plain(named), where[3]))
+            nodes[where[1]].style.append("#")
         text.clear()
+        named.clear()
         where = None
 
     def add(piece: str) -> None:
         nonlocal where
-        top = next((s for s in reversed(stack) if s[0] not in INLINE), ("", "", False, False, False))
-        if piece and not (stack and (stack[-1][2] or stack[-1][4])):
-            where = where or top
+        if piece and not (stack and stack[-1][4]):
+            where = where or next((s for s in reversed(stack) if s[0] not in INLINE), ("", 0, False, False, False))
             text.append(piece)
+            if not (stack and stack[-1][2]):
+                named.append(piece)
+
+    def node(up: int, label: str) -> int:
+        if (up, label) not in places:
+            places[up, label] = len(nodes)
+            nodes.append(Node(_digest(f"{nodes[up].key}/{label}"), up, nodes[up].depth + 1, []))
+        nodes[places[up, label]].style.append("|")
+        return places[up, label]
 
     while at < len(html):
         m = _TOKEN.search(html, at)
@@ -104,76 +136,147 @@ def blocks(html: str | None) -> list[tuple[str, str, bool]]:
             ends, stops = CLOSES.get(tag, ((), ()))
         while ends and (k := next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in ends or stack[i][0] in stops), -1)) >= 0 and stack[k][0] in ends:
             del stack[k:]
+        up = stack[-1] if stack else ("", 0, False, False, False)
+        unread = up[4] or tag in NO_TEXT
         if tag in VOID or m[3].endswith("/") and tag in {"svg", "path", "use"}:
+            if not unread and tag not in INLINE:
+                nodes[up[1]].style.append(tag)
             continue
         noisy, label = _furniture(tag, m[3])
-        up = stack[-1] if stack else ("", "", False, False, False)
-        stack.append((tag, f"{up[1]}/{label}"[-400:] if tag not in INLINE else up[1], up[2] or noisy, up[3] or (tag in MAIN and not noisy), up[4] or tag in NO_TEXT))
+        at_node = up[1]
+        if tag not in INLINE and not unread:
+            nodes[up[1]].style.append(label)
+            at_node = node(up[1], label)
+        stack.append((tag, at_node, up[2] or noisy, up[3] or (tag in MAIN and not noisy), unread))
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(html, at)
             at = end.start() if end else len(html)
     flush()
-    return out
+    return nodes, out
 
 
-def article_blocks(html: str | None) -> list[tuple[str, str]]:
-    """(style path, text) of the blocks inside article or main, or of all blocks of a page that has neither."""
-    found = blocks(html)
-    main = any(a for *_, a in found)
-    return [(p, t) for p, t, a in found if a or not main]
+def _article(found: list[tuple[int, str, str, bool]]) -> list[tuple[int, str]]:
+    """(node, text) of the blocks inside article or main, or of all blocks of a page that has neither, without named furniture."""
+    kept = [(k, t, a) for k, _, t, a in found if t]
+    main = any(a for *_, a in kept)
+    return [(k, t) for k, t, a in kept if a or not main]
 
 
-def _page_blocks(batches):
-    kind = pa.list_(pa.struct([("path", pa.string()), ("text", pa.string())]))
-    for batch in batches:
-        rows = [[{"path": p, "text": t} for p, t in article_blocks(h)] for h in batch.column("html").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(rows, kind)], ["page_id", "url", "host", "blocks"])
+def article_blocks(html: str | None) -> list[tuple[int, str]]:
+    """(key of the style node, text) of the blocks that the name rules leave."""
+    nodes, found = page_tree(html)
+    return [(nodes[k].key, t) for k, t in _article(found)]
+
+
+def _leaf(key: int) -> int:
+    return _digest(f"{key}#")
+
+
+_FEATURE = "struct<node: long, parent: long, depth: int, kind: int, value: long>"
 
 
 def _features(batches):
-    """Per page: its host, the page's own key (of all its blocks) and the distinct (path, block) pairs."""
-    digest = lambda s: int.from_bytes(blake2b(s.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
-    kind = pa.list_(pa.struct([("path", pa.string()), ("block", pa.int64())]))
+    """Per page: its host, the page's own key (of its article blocks) and its features, from all blocks: for each style node with text below
+    it (kind 0) the hash of its children, and for each leaf (kind 1) those of its blocks."""
+    kind = pa.list_(pa.struct([("node", pa.int64()), ("parent", pa.int64()), ("depth", pa.int32()), ("kind", pa.int32()), ("value", pa.int64())]))
     for batch in batches:
         keys, rows = [], []
         for h in batch.column("html").to_pylist():
-            found = article_blocks(h)
-            keys.append(digest("\n".join(t for _, t in found)))
-            rows.append([{"path": p, "block": b} for p, b in sorted({(p, digest(t)) for p, t in found})])
+            nodes, found = page_tree(h)
+            keys.append(_digest("\n".join(t for _, t in _article(found))))
+            leaves, live = {}, set()
+            for k, t, *_ in found:
+                leaves.setdefault(k, set()).add(_digest(t))
+                while k >= 0 and k not in live:
+                    live.add(k)
+                    k = nodes[k].up
+            row = [(n.key, nodes[n.up].key if n.up >= 0 else None, n.depth, 0, _digest("/".join(n.style))) for k in live for n in [nodes[k]]]
+            for k, values in leaves.items():
+                at = (_leaf(nodes[k].key), nodes[k].key, nodes[k].depth + 1)
+                row += [(*at, 0, _digest(str(sorted(values)))), *((*at, 1, v) for v in values)]
+            rows.append([dict(zip(("node", "parent", "depth", "kind", "value"), r)) for r in row])
         yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(keys, pa.int64()), pa.array(rows, kind)], ["host", "page", "features"])
 
 
+def style_nodes(pages: DataFrame) -> DataFrame:
+    """pages(host, html) -> host, node, parent, depth, m (distinct pages that have it), n_styles, importance of its own.
+
+    Pages of a host whose article blocks are equal count once. A node of one page has importance 1. An element's is the entropy of its child sequences over its m pages,
+    to the base m: 0 if they are always the same. A leaf's is 1 minus the mean of log k / log m over its distinct blocks, k pages having the block.
+    """
+    found = pages.select("host", "html").mapInArrow(_features, f"host string, page long, features array<{_FEATURE}>")
+    flat = found.select("host", "page", F.explode("features").alias("f")).select("host", "page", "f.*")
+    flat = flat.groupBy("host", "page", "node", "parent", "depth", "kind", F.when(F.col("kind") == 1, F.col("value")).alias("block")).agg(F.min("value").alias("value"))
+    spread = flat.groupBy("host", "node", "parent", "depth", "kind", "value").agg(F.count("*").alias("k"))
+    of = lambda kind, x: F.sum(F.when(F.col("kind") == kind, x).otherwise(0))
+    k = F.col("k")
+    node = spread.groupBy("host", "node", "parent", "depth").agg(of(0, k).alias("m"), of(0, F.lit(1)).alias("n_styles"), of(0, k * F.log(k)).alias("spread"), of(1, F.lit(1)).alias("n_blocks"), of(1, F.log(k)).alias("logs"))
+    log_m = F.log("m")
+    own = F.when(F.col("m") == 1, 1.0).when(F.col("n_blocks") > 0, 1 - F.col("logs") / F.col("n_blocks") / log_m).otherwise(1 - F.col("spread") / (F.col("m") * log_m))
+    return node.select("host", "node", "parent", "depth", "m", "n_styles", (F.col("n_blocks") > 0).alias("leaf"), own.alias("own"))
+
+
+def importances(nodes: DataFrame, fade: float = 0.9) -> DataFrame:
+    """style_nodes(), staged -> host, node, parent, m, importance (of the whole branch) and top, the largest importance in it.
+
+    A leaf's importance is its own. An element with l distinct child sequences weighs its own by 1 - fade ** l, and the mean of its
+    children's, by their pages, by the rest. What one page alone has is important as a whole, so levels are joined from the deepest that two pages share.
+    """
+    shared = nodes.filter("m > 1")
+    deepest = shared.agg(F.max("depth")).first()[0]
+    single = nodes.filter("m = 1").select("host", "node", "parent", "m", "depth", F.lit(1.0).alias("importance"), F.lit(1.0).alias("top"))
+    done = []
+    for depth in range(deepest if deepest is not None else -1, -1, -1):
+        below = single.filter(F.col("depth") == depth + 1).drop("depth")
+        below = below.unionByName(done[-1]) if done else below
+        sums = below.groupBy("host", F.col("parent").alias("node")).agg((F.sum(F.col("m") * F.col("importance")) / F.sum("m")).alias("mean"), F.max("top").alias("most"))
+        level = shared.filter(F.col("depth") == depth).join(sums, ["host", "node"], "left")
+        rest = F.pow(F.lit(fade), F.col("n_styles"))
+        level = level.withColumn("importance", F.when(F.col("leaf") | F.col("mean").isNull(), F.col("own")).otherwise((1 - rest) * F.col("own") + rest * F.col("mean")))
+        done.append(stage(level.select("host", "node", "parent", "m", "importance", F.greatest("importance", F.coalesce("most", "importance")).alias("top")), "level"))
+    out = single.drop("depth")
+    for level in done:
+        out = out.unionByName(level)
+    return out
+
+
 def template_nodes(pages: DataFrame, least_pages: int = 8, importance: float = 0.3) -> DataFrame:
-    """pages(host, html) -> host, path of the style nodes whose importance is below the threshold.
+    """pages(host, html) -> host, node: the tops of the branches in which every node's importance is below the threshold.
 
-    With m distinct pages on a host (equal copies count once), a block that k of them have at a node has the entropy log k / log m; a node's
-    importance is 1 minus the mean over its distinct blocks. Hosts under `least_pages` distinct pages have none: there,
+    Hosts under `least_pages` distinct pages have none: there,
     what is common can't be told from what is alike by chance. A node must occur on half of the host's pages.
     """
-    found = pages.select("host", "html").mapInArrow(_features, "host string, page long, features array<struct<path: string, block: long>>")
-    rows = stage(found.filter("size(features) > 0"), "features")
-    size = rows.groupBy("host").agg(F.approx_count_distinct("page", 0.02).alias("m")).filter(F.col("m") >= least_pages)
-    flat = rows.select("host", "page", F.explode("features").alias("f")).select("host", "page", "f.path", "f.block").distinct()
-    spread = flat.groupBy("host", "path", "block").agg(F.count("*").alias("k"))
-    node = spread.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("k").alias("uses"), F.sum(F.log("k")).alias("logs"))
-    node = node.join(size, "host").withColumn("importance", 1 - F.col("logs") / F.col("n") / F.log("m"))
-    return node.filter((F.col("importance") < importance) & (2 * F.col("uses") >= F.col("m"))).select("host", "path")
+    nodes = stage(style_nodes(pages), "nodes")
+    size = nodes.filter("depth = 0").select("host", F.col("m").alias("pages")).filter(F.col("pages") >= least_pages)
+    found = importances(nodes).filter(F.col("top") < importance).join(size, "host").filter("2 * m >= pages").select("host", "node", "parent")
+    found = stage(found, "low")
+    return found.join(found.select("host", F.col("node").alias("parent")), ["host", "parent"], "left_anti").select("host", "node")
+
+
+def _texts(batches):
+    for batch in batches:
+        out = []
+        for html, gone in zip(batch.column("html").to_pylist(), batch.column("gone").to_pylist()):
+            nodes, found = page_tree(html)
+            gone, off = set(gone or ()), []
+            for n in nodes:  # parents come before their children
+                off.append(n.key in gone or (n.up >= 0 and off[n.up]))
+            out.append(" ".join(t for k, t in _article(found) if not (off[k] or gone and _leaf(nodes[k].key) in gone)))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.string())], ["page_id", "url", "text"])
 
 
 def main_text(pages: DataFrame, most_broadcast: int = 50_000, **options) -> DataFrame:
     """pages(page_id, url, html) -> page_id, url, text, n_chars.
 
-    Text inside article or main is the article; pages without one give what is left of the body. Named furniture (menus, headers,
-    footers, sidebars, notices, adverts, forms, comments) and the host's template nodes are left out. Character references are
+    The host's template branches are left out (see template_nodes(); the tree holds all blocks). So is, by name rules, named furniture (menus, headers,
+    footers, sidebars, notices, adverts, forms, comments); of a page with text inside article or main, that is the article; other pages give what is left of the body. Character references are
     decoded, white space in a block becomes one space, blocks are joined by a space. A null or empty html gives an
     empty text. A null url is a host of its own. Repeated rows give repeated rows; an empty table gives none; other columns are ignored.
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.col("html").cast("string").alias("html"))
-    gone = stage(template_nodes(pages, **options), "templates").groupBy("host").agg(F.collect_set("path").alias("gone"))
+    gone = stage(template_nodes(pages, **options), "templates").groupBy("host").agg(F.collect_set("node").alias("gone"))
     # Hosts with templates go to all executors only if they are few; else the pages meet them by host.
-    read = pages.mapInArrow(_page_blocks, "page_id long, url string, host string, blocks array<struct<path: string, text: string>>")
-    out = read.join(small_side(gone, most_broadcast), "host", "left")
-    good = F.filter("blocks", lambda b: F.col("gone").isNull() | ~F.array_contains("gone", b["path"]))
-    out = out.select("page_id", "url", F.array_join(F.transform(good, lambda b: b["text"]), " ").alias("text"))
+    read = pages.join(small_side(gone, most_broadcast), "host", "left").select("page_id", "url", "html", "gone")
+    out = read.mapInArrow(_texts, "page_id long, url string, text string")
     return out.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -116,6 +116,35 @@ def test_what_all_pages_of_a_site_share_is_left_out(spark):
     assert all(got[k].text == prose(k, 12) for k in range(20)) and (got[99].text, got[99].n_chars) == ("", 0)
 
 
+def test_style_tree_holds_all_blocks_and_drops_whole_branches(spark):
+    page = lambda k: f"<body><nav><ul><li>Home<li>News</ul></nav><article><div class='box'>Note<p>Same <span>on</span> all</p></div><p>{prose(k, 12)}</p>{'<p>%s</p>' % prose(k + 50, 9) * (k % 4)}</article><footer>c</footer>"
+    rows = [(k, f"http://h/{k}", page(k)) for k in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    hosts = pages.withColumn("host", F.lit("h"))
+    nodes, found = html_extract.page_tree(page(1))
+    keys = {t: nodes[k] for k, t, *_ in found}
+    assert {"Home", "Note", "Same on all", "c"} <= set(keys)
+    tree = {r.node: r for r in html_extract.importances(html_extract.style_nodes(hosts)).collect()}
+    own = {r.node: r for r in html_extract.style_nodes(hosts).collect()}
+    article = nodes[keys["Note"].up]
+    # presentation: 5 pages each have the article with 1, 2, 3 and 4 paragraphs
+    assert own[article.key].n_styles == 4 and own[article.key].own == pytest.approx(np.log(4) / np.log(20))
+    assert own[keys["Note"].key].own == 0 and tree[keys["Home"].key].top == 0 and tree[keys["c"].key].top == 0
+    text = own[html_extract._leaf(keys[prose(1, 12)].key)].own
+    paragraph, box = 0.1 * own[keys[prose(1, 12)].key].own + 0.9 * text, tree[keys["Note"].key].importance
+    if own[keys[prose(1, 12)].key].n_styles == 4:
+        paragraph = (1 - 0.9**4) * own[keys[prose(1, 12)].key].own + 0.9**4 * text
+    assert box == 0 and tree[article.key].importance == pytest.approx((1 - 0.9**4) * np.log(4) / np.log(20) + 0.9**4 * paragraph / 2)
+    gone = {r.node for r in html_extract.template_nodes(hosts).collect()}
+    assert keys["Note"].key in gone and keys["Same on all"].key not in gone and nodes[keys["Home"].up].up >= 0
+    assert nodes[nodes[keys["Home"].up].up].key in gone and keys["c"].key in gone
+    got = {r.page_id: r.text for r in html_extract.main_text(pages).collect()}
+    assert all(got[k] == " ".join([prose(k, 12)] + [prose(k + 50, 9)] * (k % 4)) for k in range(20))
+    deep = "<div>" * 600
+    a, b = (html_extract.page_tree(f"<{x}>{deep}t")[0][-1].key for x in ("section", "main"))
+    assert a != b
+
+
 def test_pieces_equal_the_library(spark):
     spm = pytest.importorskip("sentencepiece")
     public = pytest.importorskip("public_tokenizers")
