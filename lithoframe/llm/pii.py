@@ -1,7 +1,7 @@
 """Personal data: base patterns, and identifiers discovered from the contexts that they occur in.
 
-Spans of the base patterns are seeds. What stands before and after an identifier-like word, with the shape of the
-word, is a lexical pattern. Patterns and instances form a graph: a pattern is as good as the instances that it
+Spans of the base patterns are seeds. What stands before and after a word, with the shape of the
+word, is a lexical pattern; so is, if three seeds stand there, what stands before or after a word of any shape. Patterns and instances form a graph: a pattern is as good as the instances that it
 extracts, an instance as good as the patterns that extract it, seeds being certain. After a few rounds, good patterns give
 away identifiers that no base pattern knows. DataFrame functions only.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lithoframe.llm.common import stage
+from lithoframe.llm.common import small_side, stage
 
 KINDS = ["email", "ip", "card", "phone", "context"]
 _LOCAL, _LABEL, _SPACE = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]", r"\x20\x09-\x0D"
@@ -24,7 +24,9 @@ PATTERNS = [
     r"\+[0-9][\x20().0-9-]+[0-9]",
 ]
 _NEEDS = ["@", ".", None, "+"]
-_TOKEN = rf"(?<![^{_SPACE}])[^0-9{_SPACE}]*+[0-9][^{_SPACE}]*+"
+#: Words with a number or an at sign: those of base spans, and all that can have the shape of one.
+_TOKEN = rf"(?<![^{_SPACE}])[^\p{{N}}@{_SPACE}]*+[\p{{N}}@][^{_SPACE}]*+"
+_MARKED, _TRIM = r"[\p{N}@]", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
 _OPEN, _SHUT = "\x01", "\x02"
 SPAN = "struct<start: int, kind: int, stop: int>"
 
@@ -82,13 +84,12 @@ def unmarked(text: Column) -> Column:
 
 
 def candidates(text: Column, base: Column) -> Column:
-    """Words with a digit: their core, its span and shape, the words around them within 64 characters, and whether a base span meets them."""
+    """Words with a number or an at sign: their core, its span and shape, the words around them within 64 characters, and whether a base span meets them."""
     pieces = _pieces(text, _TOKEN)
-    trim = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
 
     def row(at, k):
         token, rest, before = F.substring_index(pieces[k + 1], _SHUT, 1), F.substring_index(pieces[k + 1], _SHUT, -1), F.substring_index(pieces[k], _SHUT, -1)
-        core = F.regexp_replace(token, trim, "")
+        core = F.regexp_replace(token, _TRIM, "")
         start = at + F.char_length(F.regexp_extract(token, r"^[^\p{L}\p{N}]+", 0))
         left = F.lower(F.regexp_extract(F.right(before, F.lit(64)), rf"([^{_SPACE}]++)[{_SPACE}]*+$", 1))
         right = F.lower(F.regexp_extract(F.left(rest, F.lit(64)), rf"^[{_SPACE}]*+([^{_SPACE}]++)", 1))
@@ -97,43 +98,93 @@ def candidates(text: Column, base: Column) -> Column:
         return F.struct(start.alias("start"), (start + F.char_length(core)).alias("stop"), core.alias("core"), left.alias("left"), right.alias("right"), shape.alias("shape"), seed.alias("seed"))
 
     none = F.array().cast("array<struct<start: int, stop: int, core: string, left: string, right: string, shape: string, seed: boolean>>")
-    return F.when(text.rlike("[0-9]"), F.transform(_starts(pieces), row)).otherwise(none)
+    return F.when(text.rlike(_MARKED), F.transform(_starts(pieces), row)).otherwise(none)
 
 
-def scored_occurrences(found: DataFrame, rounds: int = 3, prior: float = 1.0) -> DataFrame:
-    """(rid, start, stop, core, left, right, shape, seed) occurrences -> with `score`, the confidence of their instance, and `seeds`, the largest number of distinct seeds behind one of its patterns.
+def _words(rows: DataFrame) -> DataFrame:
+    """(rid, t) rows -> rid, k, word (with the white space after it), and the words before and after it (their 64 nearest characters, lower-cased) as side and near; the words of a text from k = 0 on make up the text."""
+    pieces = F.split("t", rf"(?<=[{_SPACE}])(?=[^{_SPACE}])", -1)
+    bare = F.transform(pieces, lambda p: F.rtrim(F.lower(p), F.lit(" \t\n\x0b\x0c\r")))
+    edge, n = F.array(F.lit("")), F.size(pieces)
+    left = F.concat(edge, F.transform(F.slice(bare, 1, n - 1), lambda w: F.right(w, F.lit(64))))
+    right = F.concat(F.transform(F.slice(bare, 2, n), lambda w: F.left(w, F.lit(64))), edge)
+    flat = rows.select("rid", F.posexplode(F.arrays_zip(pieces.alias("word"), left.alias("left"), right.alias("right"))).alias("k", "w")).select("rid", "k", "w.*")
+    return flat.select("rid", "k", "word", F.explode(_sides()).alias("s")).select("rid", "k", "word", "s.side", F.col("s.word").alias("near")).filter("near <> ''")
 
-    A pattern is a neighbouring word with a shape. Its confidence is the sum of its instances' scores over their number plus `prior`;
-    an instance that is no seed scores the best confidence among its patterns. Pattern and instance tables are aggregates of
-    the occurrences; each round is two joins on them.
+
+def _sides() -> Column:
+    return F.array(F.struct(F.lit("l").alias("side"), F.col("left").alias("word")), F.struct(F.lit("r").alias("side"), F.col("right").alias("word")))
+
+
+def _core() -> Column:
+    return F.regexp_replace(F.rtrim("word", F.lit(" \t\n\x0b\x0c\r")), _TRIM, "")
+
+
+def scored_graph(edges: DataFrame, rounds: int = 3, prior: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """(pattern, core, seed) edges, staged -> (core, score, seeds), (pattern, conf, seeds).
+
+    A pattern's confidence is the sum of its instances' scores over their number plus `prior`;
+    an instance that is no seed scores the best confidence among its patterns; seeds is the number of distinct seeds behind that pattern. Each round is two joins.
     """
-    sides = F.array(F.struct(F.lit("l").alias("side"), F.col("left").alias("word")), F.struct(F.lit("r").alias("side"), F.col("right").alias("word")))
-    flat = found.filter("core <> ''").select("core", "shape", "seed", F.explode(sides).alias("s")).filter("s.word <> ''")
-    edges = stage(flat.groupBy(F.concat_ws("\x01", "s.side", "s.word", "shape").alias("pattern"), "core").agg(F.max("seed").alias("seed")), "graph")
     score = edges.groupBy("core").agg(F.max(F.col("seed").cast("double")).alias("score"))
     for k in range(rounds):
         if k:
             score = stage(score, "scores")
-        conf = edges.drop("seed").join(score, "core").groupBy("pattern").agg((F.sum("score") / (F.count("*") + prior)).alias("conf"), F.sum((F.col("score") == 1).cast("int")).alias("seeds"))
+        conf = edges.drop("seed").join(score.select("core", "score"), "core").groupBy("pattern").agg((F.sum("score") / (F.count("*") + prior)).alias("conf"), F.sum((F.col("score") == 1).cast("int")).alias("seeds"))
         best = edges.join(conf, "pattern").groupBy("core").agg(F.max(F.col("seed").cast("double")).alias("s"), F.max(F.struct("conf", "seeds")).alias("b"))
         score = best.select("core", F.when(F.col("s") == 1, 1.0).otherwise(F.least(F.col("b.conf"), F.lit(0.999))).alias("score"), F.col("b.seeds").alias("seeds"))
-    return found.join(score, "core")
+    return score, conf
 
 
 def find_spans(docs: DataFrame, confidence: float = 0.75, least_seeds: int = 3) -> DataFrame:
-    """documents -> doc_id, base and extra: arrays of (start, kind, stop) in code points, sorted.
+    """documents -> doc_id, base and extra: see row_spans(). Repeated rows
+    give repeated rows with equal spans; null doc_ids are kept. An empty table gives none; other columns are ignored."""
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), unmarked(F.col("text")).alias("t"))
+    return row_spans(rows, confidence, least_seeds).select("doc_id", "base", "extra")
+
 
-    extra holds words that no base span meets, whose instance scores at least `confidence` by a pattern with `least_seeds` distinct seeds. Null texts are empty. Repeated rows
-    give repeated rows with equal spans; null doc_ids are kept. Very long texts are searched in linear time. An empty table gives none; other columns are ignored.
+def row_spans(rows: DataFrame, confidence: float = 0.75, least_seeds: int = 3) -> DataFrame:
+    """(rid, ..., t) rows -> rid, ..., base and extra: arrays of (start, kind, stop) in code points, sorted. rid is unique, t has no mark.
+
+    extra holds words that no base span meets. A word with a number or an at sign is in it if its instance scores at least `confidence` by a pattern with `least_seeds`
+    distinct seeds. Any other word is in it where the word before or after is such a pattern for all shapes, if half of the word's occurrences stand so:
+    else it is a word of the language. Patterns for all shapes are the neighbours of at least `least_seeds` distinct seeds. Empty texts have no span; spans do not join words.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), unmarked(F.col("text")).alias("t"))
+    rest = [c for c in rows.columns if c not in ("rid", "t")]
     rows = rows.withColumn("base", base_spans(F.col("t")))
-    rows = stage(rows.select("rid", "doc_id", "base", candidates(F.col("t"), F.col("base")).alias("found")), "spans")
+    rows = stage(rows.select("rid", *rest, "t", "base", candidates(F.col("t"), F.col("base")).alias("found")), "spans")
     found = rows.select("rid", F.explode("found").alias("f")).select("rid", "f.*")
-    good = scored_occurrences(found).filter((F.col("score") >= confidence) & (F.col("seeds") >= least_seeds) & ~F.col("seed"))
-    extra = good.groupBy("rid").agg(F.array_sort(F.collect_set(F.struct("start", F.lit(len(KINDS) - 1).alias("kind"), "stop"))).alias("extra"))
-    out = rows.select("rid", "doc_id", "base").join(extra, "rid", "left")
-    return out.select("doc_id", "base", F.coalesce("extra", F.array().cast(f"array<{SPAN}>")).alias("extra"))
+    flat = found.filter("core <> ''").select("core", "shape", "seed", F.explode(_sides()).alias("s")).filter("s.word <> ''")
+    shaped = flat.groupBy(F.concat_ws("\x01", "s.side", "s.word", "shape").alias("pattern"), "core").agg(F.max("seed").alias("seed"))
+    near = flat.filter("seed").groupBy("s.side", F.col("s.word").alias("near")).agg(F.count_distinct("core").alias("n")).filter(F.col("n") >= least_seeds)
+    near = stage(near.drop("n"), "neighbours")
+    words = _words(rows)
+    free = words.join(small_side(near), ["side", "near"]).select(F.concat_ws("\x01", "side", "near").alias("pattern"), _core().alias("core")).filter("core <> ''").distinct()
+    seeds = found.filter("seed").select("core", F.lit(True).alias("seed")).distinct()
+    free = free.join(seeds, "core", "left").select("pattern", "core", F.coalesce("seed", F.lit(False)).alias("seed"))
+    edges = stage(shaped.unionByName(free), "graph")
+    score, conf = scored_graph(edges)
+
+    kind = F.lit(len(KINDS) - 1).alias("kind")
+    enough = F.col("seeds") >= least_seeds
+    marked = found.join(score, "core").filter((F.col("score") >= confidence) & enough & ~F.col("seed")).select("rid", F.struct("start", kind, "stop").alias("span"))
+    good = stage(conf.filter((F.col("conf") >= confidence) & enough & (F.size(F.split("pattern", "\x01")) == 2)).select("pattern"), "good")
+    plain = stage(edges.join(small_side(good), "pattern").filter(~F.col("core").rlike(_MARKED)).select("core").distinct(), "plain")
+    if plain.limit(1).count():
+        at = words.withColumn("core", _core()).filter(~F.col("word").rlike(_MARKED)).join(small_side(plain), "core")
+        at = at.withColumn("pattern", F.concat_ws("\x01", "side", "near")).join(small_side(good.withColumn("good", F.lit(1))), "pattern", "left")
+        at = stage(at.groupBy("rid", "k", "core", "word").agg(F.coalesce(F.max("good"), F.lit(0)).alias("good")), "occurrences")
+        usual = at.groupBy("core").agg(F.avg("good").alias("share")).filter("share >= 0.5").select("core")
+        hits = at.filter("good = 1").join(usual, "core").groupBy("rid").agg(F.collect_list(F.struct("k", "core", "word")).alias("hits"))
+        pieces = F.transform(F.split("t", rf"(?<=[{_SPACE}])(?=[^{_SPACE}])", -1), F.char_length)
+        hits = hits.join(rows.select("rid", "t", "base"), "rid").select("rid", "base", pieces.alias("sizes"), F.explode("hits").alias("h")).select("rid", "base", "sizes", "h.*")
+        start = F.aggregate(F.slice("sizes", 1, F.col("k")), F.lit(0), lambda a, x: a + x) + F.char_length(F.regexp_extract("word", r"^[^\p{L}\p{N}]+", 0))
+        hits = hits.select("rid", "base", start.alias("start"), (start + F.char_length("core")).alias("stop"))
+        hits = hits.filter(~F.exists("base", lambda b: (b["start"] < F.col("stop")) & (b["stop"] > F.col("start"))))
+        marked = marked.unionByName(hits.select("rid", F.struct("start", kind, "stop").alias("span")))
+    extra = marked.groupBy("rid").agg(F.array_sort(F.collect_set("span")).alias("extra"))
+    out = rows.select("rid", *rest, "base").join(extra, "rid", "left")
+    return out.withColumn("extra", F.coalesce("extra", F.array().cast(f"array<{SPAN}>")))
 
 
 def _said(spans: Column) -> Column:

@@ -231,3 +231,14 @@ def test_contexts_give_identifiers_away(spark):
     assert seeds == 10 and all(rows[50 + k].n_card + rows[50 + k].n_context == 1 for k in range(100))
     out = {r.doc_id: r.text for r in pii.redact(table(spark, texts)).collect()}
     assert "[EMAIL]" in out[3] and "@" not in out[3] and pii.redact(table(spark, texts)).columns == table(spark, texts).columns
+
+
+def test_identifiers_without_digits_are_discovered_as_in_production(spark):
+    name = lambda k: "".join("abcdefghij"[int(c)] for c in str(k))
+    texts = [(k, f"{prose(k, 5)} contact jane.{name(k)}@example.com today {prose(k + 50, 5)}") for k in range(12)]
+    texts += [(20, "please  contact josé@example.org\tnow"), (21, "please contact (jdoe), who is here"), (22, "é contact the x"), (23, "the end of the day the"), (24, f"{prose(1, 9)} jdoe-x")]
+    rows = {r.doc_id: r for r in pii.find_spans(table(spark, texts)).collect()}
+    assert all(len(rows[k].base) == 1 and not rows[k].extra for k in range(12))
+    said = {k: [t[s.start : s.stop] for s in rows[k].extra] for k, t in texts}
+    assert (said[20], said[21], said[22], said[23], said[24]) == (["josé@example.org"], ["jdoe"], [], [], [])
+    assert pii.redact(table(spark, texts)).filter("doc_id = 21").first().text == "please contact ([CONTEXT]), who is here"
