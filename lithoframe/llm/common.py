@@ -39,6 +39,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def keyed_rows(docs: DataFrame, name: str) -> DataFrame:
+    """docs, staged once with a unique `_row`, by which verdicts find back to their row whatever its doc_id is."""
+    return stage(docs.withColumn("_row", F.monotonically_increasing_id()), name)
+
+
 def small_side(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
     """df, marked for broadcast only if a count proves that it has few rows; else Spark shuffles the join.
 

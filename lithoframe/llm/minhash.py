@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithoframe.llm.common import ascii_words, list_array, mix64, odd_constants, shingle_set, stage
+from lithoframe.llm.common import ascii_words, keyed_rows, list_array, mix64, odd_constants, shingle_set, stage
 from lithoframe.llm.graph import connected_components
 
 BANDS, ROWS, WIDTH, CELLS = 44, 4, 5, 1024
@@ -145,9 +145,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """documents -> the same columns, one document of each group of near duplicates (the one with the smallest doc_id).
+    """documents -> the same columns, one row of each group of near duplicates (the one with the smallest doc_id, null being the largest).
 
-    Documents without text and rows without a doc_id stay.
+    Each row is compared by its own text: null and repeated doc_ids count like others. Rows without text stay.
     """
-    gone = near_duplicates(docs.filter("doc_id is not null")).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    rows = keyed_rows(docs, "rows")
+    part = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    part = stage(rows.select("_row", F.col("doc_id").cast("long").alias("id")).join(part, "_row"), "parts")
+    first = part.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("odd"), "id", "_row"))["_row"].alias("_row"))
+    return rows.join(first.select("_row"), "_row", "left_semi").select(docs.columns)

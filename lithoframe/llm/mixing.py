@@ -113,7 +113,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """documents -> the same columns, each row as many times as the mix takes it; rows without a doc_id are left out."""
-    plan = mix(docs.filter("doc_id is not null"), **options).groupBy("doc_id").agg(F.max("copies").alias("_copies")).filter("_copies > 0")
-    out = docs.join(plan, "doc_id").select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy"))
+    """documents -> the same columns, each row as many times as the mix takes it. Rows go by a hash of their doc_id, source, text and number among equal rows, so null and repeated doc_ids count like others."""
+    same = F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
+    rows = docs.withColumn("_row", same)
+    rows = stage(rows.withColumn("_row", F.xxhash64("_row", F.row_number().over(Window.partitionBy("_row").orderBy("_row")))), "rows")
+    plan = mix(rows.withColumn("doc_id", F.col("_row")), **options).groupBy("doc_id").agg(F.max("copies").alias("_copies")).filter("_copies > 0").withColumnRenamed("doc_id", "_row")
+    out = rows.join(plan, "_row").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy"))
     return out.drop("_copy")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lithoframe.llm.common import small_side, stage
+from lithoframe.llm.common import keyed_rows, small_side, stage
 
 KINDS = ["email", "ip", "card", "phone", "context"]
 _LOCAL, _LABEL, _SPACE = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]", r"\x20\x09-\x0D"
@@ -208,10 +208,11 @@ def personal_data(docs: DataFrame, **options) -> DataFrame:
 def redact(docs: DataFrame, **options) -> DataFrame:
     """documents -> the same columns, each span in text replaced by its kind in brackets, n_chars counted anew where there is one.
 
-    Overlapping spans give one mark after another without the text that they share. Rows of one doc_id are taken to have one text.
+    Overlapping spans give one mark after another without the text that they share. Each row is cut at the spans of its own text, whatever its doc_id is.
     """
-    spans = find_spans(docs.filter("doc_id is not null"), **options).select("doc_id", F.array_sort(F.concat("base", "extra")).alias("_spans"))
-    spans = spans.filter("size(_spans) > 0").groupBy("doc_id").agg(F.min("_spans").alias("_spans"))
+    rows = keyed_rows(docs, "rows")
+    spans = row_spans(rows.select(F.col("_row").alias("rid"), unmarked(F.col("text")).alias("t")), **options)
+    spans = spans.select(F.col("rid").alias("_row"), F.array_sort(F.concat("base", "extra")).alias("_spans")).filter("size(_spans) > 0")
     kinds = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     text = F.col("text")
 
@@ -220,7 +221,7 @@ def redact(docs: DataFrame, **options) -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.concat(acc["parts"], F.array(gap, F.element_at(kinds, s["kind"] + 1))).alias("parts"))
 
     done = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts")), step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.char_length(text))))
-    out = docs.join(spans, "doc_id", "left").withColumn("text", F.when(F.col("_spans").isNull(), text).otherwise(done)).drop("_spans")
+    out = rows.join(spans, "_row", "left").withColumn("text", F.when(F.col("_spans").isNull(), text).otherwise(done)).drop("_spans")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lithoframe.llm.common import odd_constants, stage, with_field
+from lithoframe.llm.common import keyed_rows, odd_constants, stage, with_field
 
 _SYMBOLS, _STOPS, _UPPER = b"#*$%&|<>", b"!?", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _PLACES = odd_constants(3, 29)
@@ -54,12 +54,13 @@ def _count_batches(batches):
     for batch in batches:
         rows = [text_counts(t) for t in batch.column("text").to_pylist()]
         columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(len(COUNTS))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *COUNTS])
+        keys = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), *columns], [*keys, *COUNTS])
 
 
-def rule_counts(docs: DataFrame) -> DataFrame:
-    """documents -> doc_id and COUNTS."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_count_batches, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
+def rule_counts(docs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """documents -> doc_id, the long columns `keys` and COUNTS."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keys, "text").mapInArrow(_count_batches, "doc_id long, " + "".join(f"{c} long, " for c in keys) + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def ratios(counts: pd.DataFrame) -> np.ndarray:
@@ -137,8 +138,8 @@ def best_threshold(steps: np.ndarray, good: np.ndarray, bad: np.ndarray, keep: f
     return float(steps[max(0, int(np.argmax(passed >= keep)) - 1)] + (steps[1] - steps[0]))
 
 
-def isolation_verdicts(docs: DataFrame, labels: DataFrame, trees: int = 128, rows: int = 256, keep: float = 0.998, sample: int = 30_000) -> DataFrame:
-    """documents, labels(doc_id, quality 0/1) -> doc_id, COUNTS, base_failed, score, threshold, kept.
+def isolation_verdicts(docs: DataFrame, labels: DataFrame, trees: int = 128, rows: int = 256, keep: float = 0.998, sample: int = 30_000, keys: tuple[str, ...] = ()) -> DataFrame:
+    """documents, labels(doc_id, quality 0/1) -> doc_id, the long columns `keys`, COUNTS, base_failed, score, threshold, kept.
 
     base_failed: under 50 words, or more than half of them in repeated 3-word windows. The forest is grown on at most
     `sample` labelled rows that pass the base rules (those with the smallest hash of doc_id) and scores all
@@ -146,7 +147,7 @@ def isolation_verdicts(docs: DataFrame, labels: DataFrame, trees: int = 128, row
     rows of both kinds, the base rules alone decide. Null and empty texts fail the base rules. Repeated rows get
     equal verdicts; a null doc_id carries no label. An empty table gives none; other columns are ignored.
     """
-    counts = stage(rule_counts(docs), "counts").withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
+    counts = stage(rule_counts(docs, keys), "counts").withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     labelled = stage(counts.filter("not base_failed").join(known, "doc_id"), "labelled")
     seen = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).toPandas()
@@ -168,8 +169,7 @@ def isolation_verdicts(docs: DataFrame, labels: DataFrame, trees: int = 128, row
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """documents -> the same columns without the documents that isolation_verdicts() rejects. Rows without a doc_id are rejected or kept by null doc_id alike."""
-    verdicts = isolation_verdicts(docs, labels, **options).groupBy("doc_id").agg(F.min("kept").alias("_kept"))
-    gone = verdicts.filter("not _kept").select("doc_id")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
-
+    """documents -> the same columns without the rows that isolation_verdicts() rejects, each row by its own text, whatever its doc_id is."""
+    rows = keyed_rows(docs, "rows")
+    gone = isolation_verdicts(rows, labels, **options, keys=("_row",)).filter("not kept").select("_row")
+    return rows.join(gone, "_row", "left_anti").select(docs.columns)

@@ -242,3 +242,17 @@ def test_identifiers_without_digits_are_discovered_as_in_production(spark):
     said = {k: [t[s.start : s.stop] for s in rows[k].extra] for k, t in texts}
     assert (said[20], said[21], said[22], said[23], said[24]) == (["josé@example.org"], ["jdoe"], [], [], [])
     assert pii.redact(table(spark, texts)).filter("doc_id = 21").first().text == "please contact ([CONTEXT]), who is here"
+
+
+def test_null_and_repeated_ids_are_treated_as_rows_of_their_own(spark):
+    clean = [(None, prose(k, 100)) for k in range(6)] + [(7, prose(70, 90)), (7, prose(71, 95))]
+    junk = [(None, "too short"), (7, "short")]
+    got = quality_rules.drop_low_quality(table(spark, clean + junk), spark.createDataFrame([], "doc_id long, quality int")).collect()
+    assert sorted(r.text for r in got) == sorted(t for _, t in clean)
+    got = minhash.deduplicate(table(spark, [*clean, (None, clean[0][1]), (3, clean[1][1]), (None, None), (None, "")])).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted([(3 if k == 1 else i or 0, t) for k, (i, t) in enumerate(clean)] + [(0, ""), (0, "")])
+    got = pii.redact(table(spark, [(None, "a me@b.org c"), (7, "x you@b.org"), (7, "10.0.0.1 or else")])).collect()
+    assert sorted(r.text for r in got) == sorted(["a [EMAIL] c", "x [EMAIL]", "[IP] or else"])
+    got = mixing.mixed_documents(table(spark, clean + [clean[0]]), weights=(1,)).collect()
+    words = 2 * 100 + 5 * 100 + 90 + 95
+    assert abs(sum(len(r.text.split()) for r in got) - 1.5 * words) <= 60 and {r.text for r in got} <= {t for _, t in clean} and any(r.doc_id is None for r in got)
