@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,15 +34,49 @@ _own = ""
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again: this cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+    return Scratch(df.sparkSession).stage(df, name)
 
 
-def keyed_rows(docs: DataFrame, name: str) -> DataFrame:
-    """docs, staged once with a unique `_row`, by which verdicts find back to their row whatever its doc_id is."""
-    return stage(docs.withColumn("_row", F.monotonically_increasing_id()), name)
+class Scratch:
+    """The staged tables of one job. Those that no later step and no result reads can be dropped, so that disk is freed while the job runs."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.at = spark, f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}", {}
+
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.root}/{len(self.at)}-{name}"
+        df.write.parquet(path)
+        out = self.spark.read.parquet(path)
+        self.at[id(out)] = (path, out)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete staged tables. What was computed from them must be staged itself by now."""
+        context = self.spark.sparkContext
+        for df in tables:
+            path, _ = self.at[id(df)]
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def placed_rows(docs: DataFrame) -> DataFrame:
+    """docs with two long columns that name a row whatever it holds: `_file` (a hash of its file's path) and `_at` (its place in the file).
+
+    They come from the files that docs is read from, so they stay the same when docs is read again; anything else than plain files is staged once.
+    """
+    try:
+        found = docs.select("*", F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+        found.schema  # noqa: B018  (resolves the names)
+        return found
+    except AnalysisException:
+        docs = stage(docs, "rows")
+        return docs.select("*", F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+
+
+def bounded_sample(df: DataFrame, most: int) -> DataFrame:
+    """About `most` rows of df (staged) at most, without repeats: those whose hash over all columns is below the share that a count gives. No row is sorted or sent to get there."""
+    share = min(1.0, most / max(1, df.count()))
+    return df.filter(F.pmod(F.xxhash64(*df.columns), F.lit(1 << 30)) < int(share * (1 << 30))).distinct()
 
 
 def small_side(df: DataFrame, most_rows: int = 100_000) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithoframe.llm.common import stage
+from lithoframe.llm.common import Scratch
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -15,16 +15,18 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     twice as far in every round; a round is staged, so that the plan stays short. Ids without a link don't
     appear. Self links and repeated links do no harm; null ends are dropped. An empty table gives no rows.
     """
+    scratch = Scratch(edges.sparkSession)
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = stage(both.dropna().distinct(), "edges")
-    label = stage(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("c")), "labels")
+    both = scratch.stage(both.dropna().distinct(), "edges")
+    label = scratch.stage(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("c")), "labels")
     for _ in range(rounds):
         near = both.join(label, both.b == label.id).groupBy(F.col("a").alias("id")).agg(F.min("c").alias("m"))
-        step = label.join(near, "id", "left").select("id", F.least("c", "m").alias("n"), "c")
+        step = label.select("id", "c").join(near, "id", "left").select("id", F.least("c", "m").alias("n"), "c")
         up = label.select(F.col("id").alias("n"), F.col("c").alias("u"))
-        nxt = stage(step.join(up, "n", "left").select("id", F.least("n", "u").alias("c"), (F.least("n", "u") < F.col("c")).alias("moved")), "labels")
-        moved = nxt.filter("moved").limit(1).count()
-        label = nxt.select("id", "c")
-        if not moved:
+        nxt = scratch.stage(step.join(up, "n", "left").select("id", F.least("n", "u").alias("c"), (F.least("n", "u") < F.col("c")).alias("moved")), "labels")
+        scratch.drop(label)
+        label = nxt
+        if not label.filter("moved").limit(1).count():
+            scratch.drop(both)
             return label.select("id", F.col("c").alias("component"))
     raise RuntimeError(f"components have not settled after {rounds} rounds")
