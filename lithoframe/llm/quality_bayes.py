@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lithoframe.llm.common import small_side, stage
+from lithoframe.llm.common import bounded_sample, small_side, stage
 from lithoframe.llm.quality_rules import COUNTS, best_threshold, ratios, text_counts
 from lithoframe.llm.toxicity import held_out
 
@@ -65,8 +65,8 @@ def shrinkage(groups: DataFrame, most: float = 1e4) -> float:
 def site_quality(docs: DataFrame, labels: DataFrame, site: str = "source", path: str = "lang", sample: int = 20_000, keep: float = 0.998) -> DataFrame:
     """documents, labels(doc_id, quality 0/1) -> doc_id, held_out, evidence, site_rate, path_rate, score, kept.
 
-    `site` and `path` name the columns of the two levels; a path belongs to its site. The logistic model is fitted on at most `sample`
-    labelled rows that are not held out (smallest hash of doc_id); rates count all documents, a known label in place of the model's probability. score is the
+    `site` and `path` name the columns of the two levels; a path belongs to its site. The logistic model is fitted on about `sample` distinct
+    labelled rows at most that are not held out (picked by a hash); rates count all documents, a known label in place of the model's probability. score is the
     posterior probability of good quality; kept: it is at least the value that a share of `keep` of the labelled good rows
     reaches. Without labels of both kinds scores are 0.5 and all rows are kept. Null and empty texts have statistics of 0; null sites and paths are groups of their own. Repeated
     rows count repeatedly; an empty table gives none; other columns are ignored.
@@ -75,7 +75,7 @@ def site_quality(docs: DataFrame, labels: DataFrame, site: str = "source", path:
     places = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(site).cast("string"), F.lit("\x01null")).alias("site"), F.coalesce(F.col(path).cast("string"), F.lit("\x01null")).alias("path"), "text")
     counts = places.mapInArrow(_with_counts, "doc_id long, site string, path string, " + ", ".join(f"{c} long" for c in COUNTS))
     counts = stage(counts.join(known, "doc_id", "left"), "counts")
-    seen = counts.filter("quality is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).toPandas()
+    seen = bounded_sample(stage(counts.filter("quality is not null"), "labelled"), sample).toPandas().sort_values(["doc_id", "site", "path", *COUNTS], ignore_index=True)
     if seen["quality"].nunique() < 2:
         return counts.select("doc_id", held_out("doc_id").alias("held_out"), *(F.lit(v).alias(k) for k, v in (("evidence", 0.0), ("site_rate", 0.5), ("path_rate", 0.5), ("score", 0.5))), F.lit(True).alias("kept"))
     model = Logistic(text_features(seen), seen["quality"].to_numpy(float))
