@@ -1,9 +1,13 @@
 """Personal data: base patterns, and identifiers discovered from the contexts that they occur in.
 
 Spans of the base patterns are seeds. What stands before and after a word, with the shape of the
-word, is a lexical pattern; so is, if three seeds stand there, what stands before or after a word of any shape. Patterns and instances form a graph: a pattern is as good as the instances that it
+word, is a lexical pattern; so is what stands before or after a word of any shape, if three different seeds stand there and enough of its occurrences
+in the corpus are beside seeds. Patterns and instances form a graph: a pattern is as good as the instances that it
 extracts, an instance as good as the patterns that extract it, seeds being certain. After a few rounds, good patterns give
-away identifiers that no base pattern knows. DataFrame functions only.
+away identifiers that no base pattern knows.
+
+Words of the whole corpus are only ever counted, or looked up in small tables: a pattern for any shape is tested on counts first, so that the
+graph holds a few edges a seed and never the neighbourhood of common words. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lithoframe.llm.common import keyed_rows, small_side, stage
+from lithoframe.llm.common import Scratch, small_side
 
 KINDS = ["email", "ip", "card", "phone", "context"]
 _LOCAL, _LABEL, _SPACE = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]", r"\x20\x09-\x0D"
@@ -27,6 +31,7 @@ _NEEDS = ["@", ".", None, "+"]
 #: Words with a number or an at sign: those of base spans, and all that can have the shape of one.
 _TOKEN = rf"(?<![^{_SPACE}])[^\p{{N}}@{_SPACE}]*+[\p{{N}}@][^{_SPACE}]*+"
 _MARKED, _TRIM = r"[\p{N}@]", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
+_GAP = rf"[{_SPACE}]+"
 _OPEN, _SHUT = "\x01", "\x02"
 SPAN = "struct<start: int, kind: int, stop: int>"
 
@@ -101,90 +106,101 @@ def candidates(text: Column, base: Column) -> Column:
     return F.when(text.rlike(_MARKED), F.transform(_starts(pieces), row)).otherwise(none)
 
 
-def _words(rows: DataFrame) -> DataFrame:
-    """(rid, t) rows -> rid, k, word (with the white space after it), and the words before and after it (their 64 nearest characters, lower-cased) as side and near; the words of a text from k = 0 on make up the text."""
-    pieces = F.split("t", rf"(?<=[{_SPACE}])(?=[^{_SPACE}])", -1)
-    bare = F.transform(pieces, lambda p: F.rtrim(F.lower(p), F.lit(" \t\n\x0b\x0c\r")))
-    edge, n = F.array(F.lit("")), F.size(pieces)
-    left = F.concat(edge, F.transform(F.slice(bare, 1, n - 1), lambda w: F.right(w, F.lit(64))))
-    right = F.concat(F.transform(F.slice(bare, 2, n), lambda w: F.left(w, F.lit(64))), edge)
-    flat = rows.select("rid", F.posexplode(F.arrays_zip(pieces.alias("word"), left.alias("left"), right.alias("right"))).alias("k", "w")).select("rid", "k", "w.*")
-    return flat.select("rid", "k", "word", F.explode(_sides()).alias("s")).select("rid", "k", "word", "s.side", F.col("s.word").alias("near")).filter("near <> ''")
-
-
 def _sides() -> Column:
     return F.array(F.struct(F.lit("l").alias("side"), F.col("left").alias("word")), F.struct(F.lit("r").alias("side"), F.col("right").alias("word")))
 
 
-def _core() -> Column:
-    return F.regexp_replace(F.rtrim("word", F.lit(" \t\n\x0b\x0c\r")), _TRIM, "")
+def _core(word: str = "word") -> Column:
+    return F.regexp_replace(word, _TRIM, "")
+
+
+def _beside(rows: DataFrame, near: DataFrame) -> DataFrame:
+    """(rid, t) rows, near(side, near) small -> rid, k, word, side, near: the k-th word of a text (what lies between white space) that stands after (l) or before (r) one of near."""
+    words = F.split("t", _GAP, -1)
+    n, edge = F.size("w"), F.array(F.lit(""))
+    around = F.arrays_zip(F.col("w").alias("near"), F.concat(edge, F.slice("w", 1, n - 1)).alias("before"), F.concat(F.slice("w", 2, n), edge).alias("after"))
+    flat = rows.select("rid", words.alias("w")).select("rid", F.posexplode(around).alias("k", "x"))
+    found = flat.withColumn("near", F.lower("x.near")).join(near, "near")
+    after = F.col("side") == "l"
+    return found.select("rid", F.when(after, F.col("k") + 1).otherwise(F.col("k") - 1).alias("k"), F.when(after, F.col("x.after")).otherwise(F.col("x.before")).alias("word"), "side", "near").filter("word <> ''")
 
 
 def scored_graph(edges: DataFrame, rounds: int = 3, prior: float = 1.0) -> tuple[DataFrame, DataFrame]:
-    """(pattern, core, seed) edges, staged -> (core, score, seeds), (pattern, conf, seeds).
+    """(pattern, core, seed) edges, staged -> (core, score, seeds, seed), (pattern, conf, seeds).
 
     A pattern's confidence is the sum of its instances' scores over their number plus `prior`;
     an instance that is no seed scores the best confidence among its patterns; seeds is the number of distinct seeds behind that pattern. Each round is two joins.
     """
+    scratch = Scratch(edges.sparkSession)
     score = edges.groupBy("core").agg(F.max(F.col("seed").cast("double")).alias("score"))
-    for k in range(rounds):
-        if k:
-            score = stage(score, "scores")
+    for _ in range(rounds):
+        score = scratch.stage(score, "scores")
         conf = edges.drop("seed").join(score.select("core", "score"), "core").groupBy("pattern").agg((F.sum("score") / (F.count("*") + prior)).alias("conf"), F.sum((F.col("score") == 1).cast("int")).alias("seeds"))
-        best = edges.join(conf, "pattern").groupBy("core").agg(F.max(F.col("seed").cast("double")).alias("s"), F.max(F.struct("conf", "seeds")).alias("b"))
-        score = best.select("core", F.when(F.col("s") == 1, 1.0).otherwise(F.least(F.col("b.conf"), F.lit(0.999))).alias("score"), F.col("b.seeds").alias("seeds"))
+        conf = scratch.stage(conf, "confidences")
+        best = edges.join(conf, "pattern").groupBy("core").agg(F.max("seed").alias("seed"), F.max(F.struct("conf", "seeds")).alias("b"))
+        score = best.select("core", F.when(F.col("seed"), 1.0).otherwise(F.least(F.col("b.conf"), F.lit(0.999))).alias("score"), F.col("b.seeds").alias("seeds"), "seed")
     return score, conf
 
 
-def find_spans(docs: DataFrame, confidence: float = 0.75, least_seeds: int = 3) -> DataFrame:
+def find_spans(docs: DataFrame, **options) -> DataFrame:
     """documents -> doc_id, base and extra: see row_spans(). Repeated rows
     give repeated rows with equal spans; null doc_ids are kept. An empty table gives none; other columns are ignored."""
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), unmarked(F.col("text")).alias("t"))
-    return row_spans(rows, confidence, least_seeds).select("doc_id", "base", "extra")
+    return row_spans(docs.select("doc_id", "text"), **options).select(F.col("_doc.doc_id").cast("long").alias("doc_id"), "base", "extra")
 
 
-def row_spans(rows: DataFrame, confidence: float = 0.75, least_seeds: int = 3) -> DataFrame:
-    """(rid, ..., t) rows -> rid, ..., base and extra: arrays of (start, kind, stop) in code points, sorted. rid is unique, t has no mark.
+def row_spans(docs: DataFrame, confidence: float = 0.75, least_seeds: int = 3, selective: float = 0.25) -> DataFrame:
+    """documents -> _doc (a struct of the row), base and extra: arrays of (start, kind, stop) in code points, sorted.
 
     extra holds words that no base span meets. A word with a number or an at sign is in it if its instance scores at least `confidence` by a pattern with `least_seeds`
     distinct seeds. Any other word is in it where the word before or after is such a pattern for all shapes, if half of the word's occurrences stand so:
-    else it is a word of the language. Patterns for all shapes are the neighbours of at least `least_seeds` distinct seeds. Empty texts have no span; spans do not join words.
+    else it is a word of the language. A neighbour of `least_seeds` distinct seeds is a pattern for all shapes if a share of `selective` of its occurrences
+    in the corpus are beside seeds; this is counted before any edge is drawn. Each row counts by itself, whatever its doc_id. Empty texts have no span; spans do not join words.
     """
-    rest = [c for c in rows.columns if c not in ("rid", "t")]
-    rows = rows.withColumn("base", base_spans(F.col("t")))
-    rows = stage(rows.select("rid", *rest, "t", "base", candidates(F.col("t"), F.col("base")).alias("found")), "spans")
-    found = rows.select("rid", F.explode("found").alias("f")).select("rid", "f.*")
-    flat = found.filter("core <> ''").select("core", "shape", "seed", F.explode(_sides()).alias("s")).filter("s.word <> ''")
-    shaped = flat.groupBy(F.concat_ws("\x01", "s.side", "s.word", "shape").alias("pattern"), "core").agg(F.max("seed").alias("seed"))
-    near = flat.filter("seed").groupBy("s.side", F.col("s.word").alias("near")).agg(F.count_distinct("core").alias("n")).filter(F.col("n") >= least_seeds)
-    near = stage(near.drop("n"), "neighbours")
-    words = _words(rows)
-    free = words.join(small_side(near), ["side", "near"]).select(F.concat_ws("\x01", "side", "near").alias("pattern"), _core().alias("core")).filter("core <> ''").distinct()
+    scratch = Scratch(docs.sparkSession)
+    t = unmarked(F.col("_doc.text"))
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.monotonically_increasing_id().alias("rid")).withColumn("base", base_spans(t))
+    rows = scratch.stage(rows.withColumn("found", candidates(t, F.col("base"))), "spans")
+    texts = rows.select("rid", "base", t.alias("t"))
+    found = rows.select("rid", F.explode("found").alias("f")).select("rid", "f.*").filter("core <> ''")
+    flat = found.select("core", "shape", "seed", F.explode(_sides()).alias("s")).filter("s.word <> ''").select("core", "shape", "seed", "s.side", F.col("s.word").alias("near"))
+    shaped = flat.groupBy(F.concat_ws("\x01", "side", "near", "shape").alias("pattern"), "core").agg(F.max("seed").alias("seed"))
+
+    # Neighbours of seeds: how many distinct seeds, how many occurrences, and how many occurrences of the neighbour in all.
+    near = flat.filter("seed").groupBy("side", "near", "core").agg(F.count("*").alias("times")).groupBy("side", "near").agg(F.count("*").alias("n"), F.sum("times").alias("beside")).filter(F.col("n") >= least_seeds)
+    near = scratch.stage(near, "neighbours")
+    # The neighbours are words; each word of the corpus is one row of which only the word is kept, and counted before the shuffle.
+    words = texts.select(F.explode(F.split(F.lower("t"), _GAP, -1)).alias("near"))
+    times = words.join(small_side(near.select("near").distinct()), "near").groupBy("near").agg(F.count("*").alias("all"))
+    near = scratch.stage(near.join(times, "near").filter(F.col("beside") >= selective * F.col("all")).select("side", "near"), "selective")
+    beside = scratch.stage(_beside(texts, small_side(near)).withColumn("core", _core()).filter("core <> ''").withColumn("pattern", F.concat_ws("\x01", "side", "near")), "beside")
+
     seeds = found.filter("seed").select("core", F.lit(True).alias("seed")).distinct()
-    free = free.join(seeds, "core", "left").select("pattern", "core", F.coalesce("seed", F.lit(False)).alias("seed"))
-    edges = stage(shaped.unionByName(free), "graph")
+    free = beside.select("pattern", "core").distinct().join(seeds, "core", "left").select("pattern", "core", F.coalesce("seed", F.lit(False)).alias("seed"))
+    edges = scratch.stage(shaped.unionByName(free), "graph")
     score, conf = scored_graph(edges)
 
     kind = F.lit(len(KINDS) - 1).alias("kind")
     enough = F.col("seeds") >= least_seeds
-    marked = found.join(score, "core").filter((F.col("score") >= confidence) & enough & ~F.col("seed")).select("rid", F.struct("start", kind, "stop").alias("span"))
-    good = stage(conf.filter((F.col("conf") >= confidence) & enough & (F.size(F.split("pattern", "\x01")) == 2)).select("pattern"), "good")
-    plain = stage(edges.join(small_side(good), "pattern").filter(~F.col("core").rlike(_MARKED)).select("core").distinct(), "plain")
-    if plain.limit(1).count():
-        at = words.withColumn("core", _core()).filter(~F.col("word").rlike(_MARKED)).join(small_side(plain), "core")
-        at = at.withColumn("pattern", F.concat_ws("\x01", "side", "near")).join(small_side(good.withColumn("good", F.lit(1))), "pattern", "left")
-        at = stage(at.groupBy("rid", "k", "core", "word").agg(F.coalesce(F.max("good"), F.lit(0)).alias("good")), "occurrences")
-        usual = at.groupBy("core").agg(F.avg("good").alias("share")).filter("share >= 0.5").select("core")
-        hits = at.filter("good = 1").join(usual, "core").groupBy("rid").agg(F.collect_list(F.struct("k", "core", "word")).alias("hits"))
+    sure = scratch.stage(score.filter((F.col("score") >= confidence) & enough & ~F.col("seed")).select("core"), "sure")
+    spans = found.filter("not seed").join(small_side(sure), "core").select("rid", F.struct("start", kind, "stop").alias("span"))
+    good = scratch.stage(conf.filter((F.col("conf") >= confidence) & enough & (F.size(F.split("pattern", "\x01")) == 2)).select("pattern"), "good")
+    hits = scratch.stage(beside.filter(~F.col("core").rlike(_MARKED)).join(small_side(good), "pattern").select("rid", "k", "core", "word").distinct(), "hits")
+    cores = scratch.stage(hits.groupBy("core").agg(F.count("*").alias("hits")), "plain")
+    if cores.limit(1).count():
+        words = texts.select(F.explode(F.split("t", _GAP, -1)).alias("word")).filter("word <> ''").select(_core().alias("core"))
+        times = words.join(small_side(cores.select("core")), "core").groupBy("core").agg(F.count("*").alias("all"))
+        usual = scratch.stage(cores.join(times, "core").filter("2 * hits >= all").select("core"), "usual")
+        hits = scratch.stage(hits.join(small_side(usual), "core").groupBy("rid").agg(F.collect_list(F.struct("k", "core", "word")).alias("hits")), "plain_hits")
         pieces = F.transform(F.split("t", rf"(?<=[{_SPACE}])(?=[^{_SPACE}])", -1), F.char_length)
-        hits = hits.join(rows.select("rid", "t", "base"), "rid").select("rid", "base", pieces.alias("sizes"), F.explode("hits").alias("h")).select("rid", "base", "sizes", "h.*")
+        at = texts.join(small_side(hits), "rid").select("rid", "base", pieces.alias("sizes"), F.explode("hits").alias("h")).select("rid", "base", "sizes", "h.*")
         start = F.aggregate(F.slice("sizes", 1, F.col("k")), F.lit(0), lambda a, x: a + x) + F.char_length(F.regexp_extract("word", r"^[^\p{L}\p{N}]+", 0))
-        hits = hits.select("rid", "base", start.alias("start"), (start + F.char_length("core")).alias("stop"))
-        hits = hits.filter(~F.exists("base", lambda b: (b["start"] < F.col("stop")) & (b["stop"] > F.col("start"))))
-        marked = marked.unionByName(hits.select("rid", F.struct("start", kind, "stop").alias("span")))
-    extra = marked.groupBy("rid").agg(F.array_sort(F.collect_set("span")).alias("extra"))
-    out = rows.select("rid", *rest, "base").join(extra, "rid", "left")
-    return out.withColumn("extra", F.coalesce("extra", F.array().cast(f"array<{SPAN}>")))
+        at = at.select("rid", "base", start.alias("start"), (start + F.char_length("core")).alias("stop"))
+        at = at.filter(~F.exists("base", lambda b: (b["start"] < F.col("stop")) & (b["stop"] > F.col("start"))))
+        spans = spans.unionByName(at.select("rid", F.struct("start", kind, "stop").alias("span")))
+    extra = scratch.stage(spans.groupBy("rid").agg(F.array_sort(F.collect_set("span")).alias("extra")), "extra")
+    scratch.drop(beside, edges)
+    out = rows.select("rid", "_doc", "base").join(small_side(extra), "rid", "left")
+    return out.select("_doc", "base", F.coalesce("extra", F.array().cast(f"array<{SPAN}>")).alias("extra"))
 
 
 def _said(spans: Column) -> Column:
@@ -208,20 +224,18 @@ def personal_data(docs: DataFrame, **options) -> DataFrame:
 def redact(docs: DataFrame, **options) -> DataFrame:
     """documents -> the same columns, each span in text replaced by its kind in brackets, n_chars counted anew where there is one.
 
-    Overlapping spans give one mark after another without the text that they share. Each row is cut at the spans of its own text, whatever its doc_id is.
+    Overlapping spans give one mark after another without the text that they share. Each row is cut at the spans of its own text, whatever its doc_id is; texts stay beside their spans and are not shuffled for it.
     """
-    rows = keyed_rows(docs, "rows")
-    spans = row_spans(rows.select(F.col("_row").alias("rid"), unmarked(F.col("text")).alias("t")), **options)
-    spans = spans.select(F.col("rid").alias("_row"), F.array_sort(F.concat("base", "extra")).alias("_spans")).filter("size(_spans) > 0")
     kinds = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    text = F.col("text")
+    text, spans = F.col("_doc.text"), F.array_sort(F.concat("base", "extra"))
 
     def step(acc, s):
         gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
         return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.concat(acc["parts"], F.array(gap, F.element_at(kinds, s["kind"] + 1))).alias("parts"))
 
-    done = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts")), step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.char_length(text))))
-    out = rows.join(spans, "_row", "left").withColumn("text", F.when(F.col("_spans").isNull(), text).otherwise(done)).drop("_spans")
+    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts")), step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.char_length(text))))
+    out = row_spans(docs, **options).withColumn("_text", F.when(F.size("base") + F.size("extra") > 0, done).otherwise(text))
+    new = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+        new["n_chars"] = F.char_length("_text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*(new.get(c, F.col("_doc")[c]).alias(c) for c in docs.columns))
