@@ -45,45 +45,61 @@ def with_sides(df: DataFrame, value: str, name: str = "_s") -> DataFrame:
     return df.withColumn(name, F.array(F.lag(value).over(column()), F.lag(value).over(row()), F.lead(value).over(row()), F.lead(value).over(column())))
 
 
-def most_frequent(values: Column) -> Column:
-    """A struct n, v: the most frequent value that is not null, the earliest in the array among equals; n is 0 if there is none."""
-    count = lambda v: F.size(F.filter(values, lambda u: u == v))
-    ranked = F.transform(values, lambda v, k: F.struct(F.when(v.isNull(), F.lit(0)).otherwise(count(v)).alias("n"), (-k).alias("k"), v.alias("v")))
-    return F.array_max(ranked)
+def most_frequent(values: list[Column]) -> tuple[Column, Column]:
+    """(value, times) of the most frequent of some non-negative numbers, the first among equals; times is 0 if all are null. Pairs are compared in generated code."""
+    shown = [F.coalesce(v, F.lit(-1 - k)) for k, v in enumerate(values)]  # nulls equal nothing
+    n = len(shown)
+    same = {(j, k): (shown[j] == shown[k]).cast("int") for k in range(n) for j in range(k)}
+    times = [F.lit(1) + sum((same[min(j, k), max(j, k)] for j in range(n) if j != k), F.lit(0)) for k in range(n)]
+    best = F.greatest(*(F.when(v >= 0, t * n + (n - 1 - k)).otherwise(k - n) for k, (v, t) in enumerate(zip(shown, times, strict=True))))
+    return F.element_at(F.array(*values), n - F.pmod(best, F.lit(n)).cast("int")), F.greatest(F.floor(best / n).cast("int"), F.lit(0))
+
+
+def with_label_square(labels: DataFrame) -> DataFrame:
+    """labels with the 3x3 labels in row-major order as columns _n0 to _n8; null outside the image. A row of three is packed into one number on its way to the rows beside it, so labels must be under 254."""
+    code = F.coalesce(C("label") + 1, F.lit(0))
+    out = labels.withColumn("_c", code)
+    out = out.withColumn("_row", F.coalesce(F.lag("_c").over(row()), F.lit(0)) * 65536 + C("_c") * 256 + F.coalesce(F.lead("_c").over(row()), F.lit(0)))
+    out = out.withColumns({"_up": F.coalesce(F.lag("_row").over(column()), F.lit(0)), "_down": F.coalesce(F.lead("_row").over(column()), F.lit(0))})
+    part = lambda c, k: F.nullif(F.shiftright(c, 16 - 8 * k).bitwiseAND(255), F.lit(0)) - 1
+    return out.withColumns({f"_n{3 * j + k}": part(C(c), k) for j, c in enumerate(("_up", "_row", "_down")) for k in range(3)}).drop("_c", "_row", "_up", "_down")
+
+
+_NINE = [f"_n{k}" for k in range(9)]
 
 
 def denoise_labels(labels: DataFrame, passes: int = 1) -> DataFrame:
     """Interior opaque pixels take the most frequent label of their 3x3 square, the first in row-major order among equals."""
     for _ in range(passes):
-        labels = with_square(labels, "label")
-        mixed = F.size(F.array_distinct("_n")) > 1
-        new = F.when(C("label").isNotNull() & interior() & mixed, most_frequent(C("_n"))["v"]).otherwise(C("label"))
-        labels = labels.withColumn("label", new).drop("_n")
+        labels = with_label_square(labels)
+        value, _times = most_frequent([C(k) for k in _NINE])
+        mixed = ~(C("_n0").eqNullSafe(C("_n4")) & C("_n1").eqNullSafe(C("_n4")) & C("_n2").eqNullSafe(C("_n4")) & C("_n3").eqNullSafe(C("_n4")) & C("_n5").eqNullSafe(C("_n4")) & C("_n6").eqNullSafe(C("_n4")) & C("_n7").eqNullSafe(C("_n4")) & C("_n8").eqNullSafe(C("_n4")))
+        labels = labels.withColumn("label", F.when(C("label").isNotNull() & interior() & mixed, value).otherwise(C("label"))).drop(*_NINE)
     return labels
 
 
 def smooth_label_boundaries(labels: DataFrame, passes: int = 2) -> DataFrame:
     """Interior opaque pixels beside a different value take a label that holds five of their nine places."""
     for _ in range(passes):
-        labels = with_square(labels, "label")
-        edge = F.exists(F.array(*(C("_n")[k] for k in (1, 3, 5, 7))), lambda v: ~v.eqNullSafe(C("label")))
-        best = most_frequent(C("_n"))
-        new = F.when(C("label").isNotNull() & interior() & edge & (best["n"] >= 5), best["v"]).otherwise(C("label"))
-        labels = labels.withColumn("label", new).drop("_n")
+        labels = with_label_square(labels)
+        edge = ~(C("_n1").eqNullSafe(C("label")) & C("_n3").eqNullSafe(C("label")) & C("_n5").eqNullSafe(C("label")) & C("_n7").eqNullSafe(C("label")))
+        value, times = most_frequent([C(k) for k in _NINE])
+        labels = labels.withColumn("label", F.when(C("label").isNotNull() & interior() & edge & (times >= 5), value).otherwise(C("label"))).drop(*_NINE)
     return labels
 
 
 def overlap_adjacent_fills(labels: DataFrame) -> DataFrame:
     """An opaque pixel takes another label that two or more of its sides hold; up, left, right, down decide between equals."""
-    labels = with_sides(labels, "label")
-    best = most_frequent(F.transform("_s", lambda v: F.when(v != C("label"), v)))
-    return labels.withColumn("label", F.when(C("label").isNotNull() & (best["n"] >= 2), best["v"]).otherwise(C("label"))).drop("_s")
+    sides = {"_up": F.lag("label").over(column()), "_left": F.lag("label").over(row()), "_right": F.lead("label").over(row()), "_down": F.lead("label").over(column())}
+    labels = labels.withColumns(sides)
+    value, times = most_frequent([F.when(C(k) != C("label"), C(k)) for k in sides])
+    return labels.withColumn("label", F.when(C("label").isNotNull() & (times >= 2), value).otherwise(C("label"))).drop(*sides)
 
 
 def remove_isolated_ink(mask: DataFrame, max_on: int = 2) -> DataFrame:
     """Interior ink with at most max_on ink pixels in its square, itself included, goes."""
     mask = with_square(mask, C("ink").cast("int"), "_i")
-    on = F.aggregate("_i", F.lit(0), lambda a, v: a + F.coalesce(v, F.lit(0)))
+    on = sum((F.coalesce(C("_i")[k], F.lit(0)) for k in range(9)), F.lit(0))
     return mask.withColumn("ink", C("ink") & ~(interior() & (on <= max_on))).drop("_i")
 
 

@@ -6,7 +6,7 @@ projection without a shuffle of pixels. Distinct colours are matched once where
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithoframe.functions.color import chroma, color_distance, delta_e76, dist2, is_leftover_backdrop, is_neutral, is_skin_tone, rgb_to_hex, rgb_to_lab, rounded
@@ -40,16 +40,23 @@ def nearest_pms(colors: DataFrame, out: str = "pms") -> DataFrame:
 
 
 def quantize(pixels: DataFrame, palette: DataFrame) -> DataFrame:
-    """pixels with label: the nearest slot; null where alpha is under 128 or backdrop is left over. Greys are held off from colourful and skin pixels."""
-    vivid, skin = (chroma(*rgb()) > 40) | is_skin_tone(*rgb()), is_skin_tone(*rgb())
+    """pixels with label: the nearest slot; null where alpha is under 128 or backdrop is left over. Greys are held off from colourful and skin pixels.
 
-    def cost(s: Column) -> Column:
-        d = color_distance(rgb(), rgb(s)) + F.when(is_neutral(*rgb(s)) & vivid, 28.0).otherwise(0.0)
-        return d + F.when(skin & ~is_skin_tone(*rgb(s)) & (chroma(*rgb(s)) < 35), 35.0).otherwise(0.0)
-
-    out = pixels.join(palette_array(palette), "image_id", "left")
-    seen = (C("a") >= 128) & ~is_leftover_backdrop(*rgb())
-    return out.withColumn("label", F.when(seen, nearest_slot(C("_palette"), cost))).drop("_palette")
+    Each colour of an image is matched once, where it comes first in a window over equal colours, which shares the exchange by image_id. What depends
+    on a slot alone is computed in the palette.
+    """
+    grey = F.when(is_neutral(*rgb()), 28.0).otherwise(0.0).alias("grey")
+    cool = F.when(~is_skin_tone(*rgb()) & (chroma(*rgb()) < 35), 35.0).otherwise(0.0).alias("cool")
+    slots = palette.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("idx", *RGB, grey, cool))).alias("_palette"))
+    cost = lambda s: color_distance(rgb(), rgb(s)) + C("_vivid") * s["grey"] + C("_skin") * s["cool"]
+    same = Window.partitionBy("image_id", *RGB)
+    out = pixels.withColumn("_nth", F.row_number().over(same.orderBy(F.lit(0)))).join(slots, "image_id", "left")
+    first = C("_nth") == 1
+    skin = is_skin_tone(*rgb())
+    out = out.withColumns({"_seen": F.when(first, ~is_leftover_backdrop(*rgb())), "_skin": F.when(first, skin).cast("int"), "_vivid": F.when(first, (chroma(*rgb()) > 40) | skin).cast("int")})
+    out = out.withColumn("_own", F.when(first & C("_seen"), nearest_slot(C("_palette"), cost)))
+    out = out.withColumn("label", F.when(C("a") >= 128, F.max("_own").over(same)))
+    return out.drop("_palette", "_nth", "_seen", "_skin", "_vivid", "_own")
 
 
 def refine_palette(pixels: DataFrame, palette: DataFrame) -> DataFrame:
@@ -84,8 +91,6 @@ def combine_merges(auto: DataFrame, user: DataFrame, palette: DataFrame) -> Data
     sizes = palette.groupBy("image_id").agg(F.count("*").alias("_n"))
     both = auto.select("image_id", F.lit(0).alias("_who"), "seq", "a", "b").unionByName(user.select("image_id", F.lit(1).alias("_who"), "seq", "a", "b"))
     good = both.join(sizes, "image_id").filter("a <> b and a >= 0 and b >= 0 and a < _n and b < _n")
-    from pyspark.sql import Window
-
     return good.withColumn("seq", F.row_number().over(Window.partitionBy("image_id").orderBy("_who", "seq"))).select("image_id", "seq", "a", "b")
 
 
@@ -115,10 +120,10 @@ def remap_disabled(labels: DataFrame, palette: DataFrame, usage: DataFrame, disa
 
 
 def suggest_merges(palette: DataFrame) -> DataFrame:
-    """image_id, a, b, distance: all pairs of an image's slots, nearest first. A palette has 32 slots at most."""
+    """image_id, a, b, distance: all pairs of an image's slots, in no order. A palette has 32 slots at most."""
     a, b = (palette.select("image_id", C("idx").alias(n), F.struct(*RGB).alias(f"_{n}")) for n in ("a", "b"))
     pairs = a.join(b, "image_id").filter("a < b")
-    return pairs.select("image_id", "a", "b", color_distance(rgb(C("_a")), rgb(C("_b"))).alias("distance")).orderBy("image_id", "distance", "a", "b")
+    return pairs.select("image_id", "a", "b", color_distance(rgb(C("_a")), rgb(C("_b"))).alias("distance"))
 
 
 def snap_cells_to_palette(pixels: DataFrame, palette: DataFrame | None = None) -> DataFrame:
@@ -126,8 +131,6 @@ def snap_cells_to_palette(pixels: DataFrame, palette: DataFrame | None = None) -
     if palette is not None:
         out = pixels.join(palette_array(palette), "image_id", "left")
         return out.withColumn("label", nearest_slot(C("_palette"), lambda s: dist2(rgb(), rgb(s)))).drop("_palette")
-    from pyspark.sql import Window
-
     bins = pixels.withColumn("_bin", F.struct(*(F.floor(C(k) / 12).cast("int").alias(k) for k in RGB)))
     out = bins.withColumn("label", F.dense_rank().over(Window.partitionBy("image_id").orderBy("_bin")) - 1)
     return out.withColumns({f"bin_{k}": F.least(F.lit(255), C("_bin")[k] * 12 + 6) for k in RGB}).drop("_bin")

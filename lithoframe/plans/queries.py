@@ -55,6 +55,11 @@ def _pixels(s: SparkSession, d: str) -> DataFrame:
     return fixtures.pixels(s, d)
 
 
+def _raster(s: SparkSession, d: str) -> DataFrame:
+    """The pixels as a written table, for jobs that read them more than once or use each channel many times."""
+    return stage(_pixels(s, d), "pixels")
+
+
 def _labels(s: SparkSession, d: str) -> DataFrame:
     return match.quantize(by_image(_pixels(s, d)), fixtures.palette(s, d))
 
@@ -287,7 +292,7 @@ def ink_plate(s, d):
 @query(f"""WITH {Q.PIXELS}, t AS (SELECT image_id, any_value(w) AS w, any_value(h) AS h, coalesce(avg(x) FILTER (a >= 128 AND x % 2 = 0 AND y % 2 = 0), any_value(w) / 2) AS cx, coalesce(avg(y) FILTER (a >= 128 AND x % 2 = 0 AND y % 2 = 0), any_value(h) / 2) AS cy FROM px GROUP BY image_id)
 SELECT image_id, round(cx, 6) AS cx, round(cy, 6) AS cy, round(sqrt(pow(greatest(cx, w - cx), 2) + pow(greatest(cy, h - cy), 2)), 6) AS max_dist FROM t""")
 def subject_middle(s, d):
-    return palette.opaque_centroid(_pixels(s, d)).select("image_id", *(F.round(c, 6).alias(c) for c in ("cx", "cy", "max_dist")))
+    return palette.opaque_centroid(_raster(s, d)).select("image_id", *(F.round(c, 6).alias(c) for c in ("cx", "cy", "max_dist")))
 
 
 @query(f"""WITH {Q.PIXELS}, t AS (SELECT image_id, any_value(w) AS w, any_value(h) AS h, avg(x) FILTER (a >= 128 AND x % 2 = 0 AND y % 2 = 0) AS cx, avg(y) FILTER (a >= 128 AND x % 2 = 0 AND y % 2 = 0) AS cy FROM px GROUP BY image_id),
@@ -296,7 +301,7 @@ p AS (SELECT px.image_id, r, g, b, ((r * 24 // 256) * 24 + g * 24 // 256) * 24 +
 s AS (SELECT image_id, bin, count(*) AS n, floor(avg(r) + 0.5)::INT AS r, floor(avg(g) + 0.5)::INT AS g, floor(avg(b) + 0.5)::INT AS b, sum(wt) AS wt FROM p GROUP BY ALL)
 SELECT image_id, bin::INT AS bin, n, r, g, b, round(wt / sum(wt) OVER (PARTITION BY image_id), 6) AS score, {Q.chroma()} AS chroma, round({Q.skin_score()}, 9) AS skin FROM s""")
 def histogram_bins(s, d):
-    return palette.color_histogram(_pixels(s, d)).withColumns({"score": F.round("score", 6), "skin": F.round("skin", 9)})
+    return palette.color_histogram(_raster(s, d)).withColumns({"score": F.round("score", 6), "skin": F.round("skin", 9)})
 
 
 @query(f"""WITH {Q.PIXELS}, t AS (SELECT *, {Q.lum()} AS l, {Q.lum()}::FLOAT::DOUBLE AS f FROM px WHERE a >= 128),
@@ -434,7 +439,7 @@ def exterior_pixels(s, d):
 
 @query()
 def background_removed(s, d):
-    return background.cleared_count(background.remove_background(_pixels(s, d), 50)).select("image_id", "cleared", "bg.r", "bg.g", "bg.b")
+    return background.cleared_count(background.remove_background(_raster(s, d), 50)).select("image_id", "cleared", "bg.r", "bg.g", "bg.b")
 
 
 @query()
@@ -451,7 +456,7 @@ def pockets_filled(s, d):
 
 @query()
 def extracted_palette(s, d):
-    return palette.extract_palette(by_image(_pixels(s, d)), 12)
+    return palette.extract_palette(by_image(_raster(s, d)), 12)
 
 
 @query()
@@ -502,7 +507,7 @@ def _nothing(s, d):
 
 @query()
 def vector_summary(s, d):
-    plates, shown, labels, _ = jobs.vectorize_colors(_pixels(s, d), **_nothing(s, d))
+    plates, shown, labels, _ = jobs.vectorize_colors(_raster(s, d), **_nothing(s, d))
     area = components.label_regions(labels).groupBy("image_id").agg(F.count("*").alias("regions"))
     out = shown.groupBy("image_id").agg(F.count("*").alias("colors"), F.count_if("enabled").alias("on"), F.countDistinct("pms_code").alias("pms_fills"))
     return out.join(area, "image_id").join(plates.select("image_id", F.length("svg").alias("svg_chars")), "image_id")
@@ -510,7 +515,7 @@ def vector_summary(s, d):
 
 @query()
 def outline_job(s, d):
-    return ink_digest(jobs.extract_outline(_pixels(s, d)))
+    return ink_digest(jobs.extract_outline(_raster(s, d)))
 
 
 @query()
@@ -527,7 +532,7 @@ def remerge_job(s, d):
 
 @query()
 def pin_plate_job(s, d):
-    return jobs.pin_plate(_pixels(s, d)).select("image_id", F.length("svg").alias("svg_chars"), F.sha2("svg", 256).alias("digest"))
+    return jobs.pin_plate(_raster(s, d)).select("image_id", F.length("svg").alias("svg_chars"), F.sha2("svg", 256).alias("digest"))
 
 
 # ---- text
