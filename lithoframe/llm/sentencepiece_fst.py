@@ -1,10 +1,16 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-The model file is compiled into three transducers: the normaliser (dummy prefix, spaces to U+2581), the piece lexicon,
-and byte fallback. Composed with a text they give a lattice whose states are (position, last piece). For a BPE model the
-weight of a piece after a piece is 0 if merging leaves just these two pieces of their joint text, else infinite (the
-tropical zero). A sequence of pieces is what merging gives if and only if all its neighbours are, so the shortest path is the one
-of finite weight, and each position has a single best last piece.
+The model file is compiled into three transducers. The normaliser maps a text by the longest rules of the model's character map, squeezes and
+escapes spaces and puts one in front. The lexicon is a trie of all pieces as sorted arcs (state, character) -> state, whose final states give out a piece
+at its weight. Byte fallback has an arc for each character that the lexicon lacks. Composed with a text they give a lattice, of which the path
+that is shortest in the tropical semiring (weights add up along a path, the least sum wins) is taken.
+
+Weights of a unigram model are the pieces' negative log probabilities. For a BPE model the lattice's states are (position, last piece) and
+the weight of a piece after a piece is 0 if merging leaves just these two of their joint text, else infinite; a sequence is what merging
+gives if and only if all its neighbours are, so exactly one path is finite.
+
+No piece crosses from a word to a space after it in usual models, so lattices are solved by words, and all new words of some hundred texts at once: arcs of all their
+positions come from one walk through the sorted arcs, and a step of the shortest path is taken at the same offset of all words.
 """
 
 from __future__ import annotations
@@ -13,8 +19,9 @@ import hashlib
 import heapq
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -54,15 +61,53 @@ def fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += size
 
 
+class CharMap:
+    """The longest rule of a model's character map at a place of a text. The map is a double array over UTF-8 bytes, and the strings that its leaves point to."""
+
+    def __init__(self, blob: bytes):
+        size = struct.unpack_from("<I", blob)[0]
+        self.units, self.strings = struct.unpack_from(f"<{size // 4}I", blob, 4), blob[4 + size :]
+
+    def _rule(self, raw: bytes, at: int) -> tuple[int, int]:
+        """(bytes matched, place of the replacement), (0, 0) without a rule."""
+        offset = lambda u: (u >> 10) << ((u & (1 << 9)) >> 6)
+        node, found = offset(self.units[0]), (0, 0)
+        for k in range(at, len(raw)):
+            node ^= raw[k]
+            unit = self.units[node]
+            if unit & 0x800000FF != raw[k]:
+                break
+            node ^= offset(unit)
+            if unit >> 8 & 1:
+                found = (k + 1 - at, self.units[node] & 0x7FFFFFFF)
+        return found
+
+    def __call__(self, text: str) -> str:
+        raw, out, at = text.encode("utf-8", "replace"), bytearray(), 0
+        while at < len(raw):
+            n, place = self._rule(raw, at)
+            if n:
+                out += self.strings[place : self.strings.index(b"\0", place)]
+                at += n
+            else:
+                n = 1 + (raw[at] >= 0xC0) + (raw[at] >= 0xE0) + (raw[at] >= 0xF0)
+                out += raw[at : at + n]
+                at += n
+        return out.decode("utf-8", "replace")
+
+
 class Machine:
-    """A compiled model. Words (runs between spaces and line ends, which no piece crosses) are composed and solved one by one, and kept."""
+    """A compiled model. Solved words are kept, `most_words` of them and as many pairs of pieces as `most_pairs`."""
 
-    def __init__(self, model: bytes, most_words: int = 150_000, most_pairs: int = 250_000):
+    #: Words up to this length are solved together, longer ones each by itself.
+    TOGETHER = 48
+
+    def __init__(self, model: bytes, most_words: int = 150_000, most_pairs: int = 400_000):
         self.pieces: list[str] = []
         self.score: dict[str, float] = {}
         self.id: dict[str, int] = {}
         self.bytes, self.unknown = [-1] * 256, 0
-        kinds, self.prefix, self.squeeze, kind = [], True, True, 1
+        kinds, self.prefix, self.squeeze, kind, self.map, user, fallback = [], True, True, 1, None, [], 0
         for number, value in fields(model):
             if number == 1:
                 got = dict(fields(value))
@@ -71,37 +116,72 @@ class Machine:
                     self.bytes[int(piece[3:5], 16)] = len(kinds)
                 elif what == UNKNOWN:
                     self.unknown = len(kinds)
-                elif what == NORMAL:
+                elif what in (NORMAL, USER):
                     self.score[piece], self.id[piece] = score, len(kinds)
-                elif what == USER:
-                    raise ValueError("user-defined pieces are not supported")
+                    if what == USER:
+                        user.append(piece)
                 self.pieces.append(piece)
                 kinds.append(what)
             elif number == 2:
-                kind = dict(fields(value)).get(3, 1)
+                trainer = dict(fields(value))
+                kind, fallback = trainer.get(3, 1), trainer.get(35, 0)
+                if trainer.get(24):
+                    raise ValueError("models that put spaces after words are not supported")
             elif number == 3:
                 spec = dict(fields(value))
-                if spec.get(2):
-                    raise ValueError("only models without a character map are supported")
+                self.map = CharMap(spec[2]) if spec.get(2) else None
                 self.prefix, self.squeeze = bool(spec.get(3, 1)), bool(spec.get(4, 1))
                 if not spec.get(5, 1):
                     raise ValueError("only models that escape spaces are supported")
-        if kind != 2:
-            raise ValueError("only BPE models are supported")
-        self.starts = {p[:k] for p in self.score for k in range(1, len(p) + 1)}
-        runs = {p for p in self.score if len(p) > 1 and not p.strip(SPACE)}
-        others = [p for p in self.score if p not in runs]
-        if any(SPACE in p[1:] for p in others) or any("\n" in p for p in others if len(p) > 1):
-            raise ValueError("a piece crosses a space or a line end")
-        if runs and max(self.score[p] for p in runs) >= min((self.score[p] for p in others if len(p) > 1), default=0):
-            raise ValueError("runs of spaces don't merge last")
+        if kind not in (1, 2):
+            raise ValueError("only unigram and BPE models are supported")
+        if kind == 2 and UNUSED in kinds:
+            raise ValueError("BPE models with unused pieces are not supported")
+        self.unigram, self.fallback = kind == 1, bool(fallback)
+        self.user = re.compile("|".join(re.escape(p) for p in sorted(user, key=len, reverse=True))) if user else None
         self.said = [b"" if k in (CONTROL, UNUSED) else bytes([int(p[3:5], 16)]) if k == BYTE else " ⁇ ".encode() if k == UNKNOWN else p.replace(SPACE, " ").encode() for p, k in zip(self.pieces, kinds, strict=True)]
+        usual = [p for p in self.score if p not in set(user)] if kind == 2 else list(self.score)
+        self._compile(usual, set(user))
         self.words: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.most_words, self.most_pairs = most_words, most_pairs
-        self.parts = re.compile(rf"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
+        if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in usual):
+            self.parts = re.compile("(?s:.+)")
+        elif any("\n" in p and len(p) > 1 for p in usual):
+            self.parts = re.compile(rf"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        else:
+            self.parts = re.compile(rf"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
+
+    def _compile(self, pieces: list[str], user: set[str]) -> None:
+        """The lexicon's arcs, once for a look-up of one arc and once sorted for many; final states; weights."""
+        self.arcs: dict[int, int] = {}
+        final = [-1]
+        for p in pieces:
+            state = 0
+            for c in map(ord, p):
+                key = state << 21 | c
+                if key not in self.arcs:
+                    self.arcs[key] = len(final)
+                    final.append(-1)
+                state = self.arcs[key]
+            final[state] = self.id[p]
+        keys = np.fromiter(self.arcs, np.int64, len(self.arcs))
+        order = np.argsort(keys)
+        self.arc_keys, self.arc_ends = keys[order], np.fromiter(self.arcs.values(), np.int64, len(keys))[order]
+        self.final, self.finals = np.array(final, np.int64), final
+        scores = [s for p, s in self.score.items() if p not in user] or [0.0]
+        # Fixed values of the format: what an unknown character costs, and what a user-defined piece gains.
+        self.unknown_weight = -(min(scores) - 10.0)
+        weight = {p: -s for p, s in self.score.items()} | {p: -(len(p.encode()) * max(scores) - 0.1) for p in user}
+        self.weights = [0.0] * len(self.pieces)
+        for p, w in weight.items():
+            self.weights[self.id[p]] = w
+        self.weight = np.array(self.weights)
 
     def normalise(self, text: str) -> str:
+        """The first transducer. User-defined pieces pass as they are."""
+        if self.map:
+            text = "".join(x if k % 2 else self.map(x) for k, x in enumerate(re.split(f"({self.user.pattern})", text))) if self.user else self.map(text)
         if self.squeeze:
             text = re.sub(" +", " ", text.strip(" "))
         return ((" " if self.prefix else "") + text).replace(" ", SPACE) if text else ""
@@ -130,74 +210,183 @@ class Machine:
             offer(i)
         return [s for s in symbols if s]
 
-    def follows(self, last: str, piece: str) -> bool:
-        """Whether the weight of `piece` after `last` is finite."""
-        key = (last, piece)
-        if (known := self.pairs.get(key)) is None:
+    def _name(self, symbol: int) -> str:
+        """A piece, or the character that is none: symbols from len(pieces) on are characters."""
+        return self.pieces[symbol] if symbol < len(self.pieces) else chr(symbol - len(self.pieces))
+
+    def follows(self, pair: int) -> bool:
+        """Whether the weight of a piece after a piece is finite in a BPE model."""
+        if (known := self.pairs.get(pair)) is None:
+            last, piece = self._name(pair >> 32), self._name(pair & 0xFFFFFFFF)
             if len(self.pairs) >= self.most_pairs:
                 self.pairs.clear()
-            known = self.pairs[key] = self.merged(last + piece) == [last, piece]
+            known = self.pairs[pair] = self.merged(last + piece) == [last, piece]
         return known
 
-    def emit(self, piece: str) -> list[int]:
-        """The ids of a piece, or of the bytes of a character that is none."""
-        if (known := self.id.get(piece)) is not None:
-            return [known]
-        ids = [self.bytes[b] for b in piece.encode("utf-8", "replace")]
-        return ids if min(ids) >= 0 else [self.unknown]
-
-    def shortest_path(self, word: str) -> list[str]:
-        """The pieces on the finite path through the lattice of a word."""
-        last: list[str] = [""] * (len(word) + 1)
-        starts, score, pairs, follows = self.starts, self.score, self.pairs, self.follows
-        for i in range(len(word)):
-            at, left = i + 1, last[i]
-            while at <= len(word):
-                piece = word[i:at]
-                if at > i + 1 and piece not in starts:
-                    break
-                if not last[at] and (at == i + 1 or piece in score):
-                    if not i or ((known := pairs.get((left, piece))) or known is None and follows(left, piece)):
-                        last[at] = piece
+    def emit(self, path: list[int]) -> tuple[int, ...]:
+        """Ids of the symbols on a path: byte fallback turns characters that are no piece into bytes; without it a run of them is one unknown."""
+        n, out = len(self.pieces), []
+        for symbol in path:
+            if symbol < n:
+                out.append(symbol)
+            elif self.fallback and min(ids := [self.bytes[b] for b in chr(symbol - n).encode("utf-8", "replace")]) >= 0:
+                out += ids
+            elif not out or out[-1] != self.unknown:
+                out.append(self.unknown)
+        return tuple(out)
+
+    def shortest_path(self, word: str) -> list[int]:
+        """The symbols on the shortest path through the lattice of one word, left to right."""
+        n, chars = len(word), [ord(c) for c in word]
+        best, last, start = [np.inf] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
+        best[0], unigram, arcs, finals, size = 0.0, self.unigram, self.arcs, self.finals, len(self.pieces)
+        for i in range(n):
+            if i and last[i] < 0:
+                continue
+            state, at, single = 0, i, False
+            while at < n and (state := arcs.get(state << 21 | chars[at])) is not None:
                 at += 1
-        out, at = [], len(word)
+                if (piece := finals[state]) < 0:
+                    continue
+                single = single or at == i + 1
+                if unigram:
+                    if (w := best[i] + self.weights[piece]) < best[at]:
+                        best[at], last[at], start[at] = w, piece, i
+                elif last[at] < 0 and (not i or self.follows(last[i] << 32 | piece)):
+                    last[at], start[at] = piece, i
+            if not single:
+                symbol = size + chars[i]
+                if unigram:
+                    if (w := best[i] + self.unknown_weight) < best[i + 1]:
+                        best[i + 1], last[i + 1], start[i + 1] = w, symbol, i
+                elif last[i + 1] < 0 and (not i or self.follows(last[i] << 32 | symbol)):
+                    last[i + 1], start[i + 1] = symbol, i
+        out, at = [], n
         while at:
             out.append(last[at])
-            at -= len(last[at])
+            at = start[at]
         return out[::-1]
 
-    def word(self, part: str) -> tuple[int, ...]:
-        """Ids of one word with the spaces before it. Further spaces merge last, among themselves."""
-        if (known := self.words.get(part)) is not None:
-            return known
-        bare = part.lstrip(SPACE)
-        spaces = len(part) - len(bare)
-        pieces = self.shortest_path(SPACE * min(spaces, 1) + bare) if bare else []
-        if spaces > 1 or not bare:
-            if bare and pieces[0] != SPACE:
-                spaces -= 1
+    def shortest_paths(self, words: list[str]) -> list[list[int]]:
+        """shortest_path() of many short words, none of them empty."""
+        sizes = np.array([len(w) for w in words])
+        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        ends = np.cumsum(sizes)
+        begins = ends - sizes
+        place = np.arange(len(chars)) - np.repeat(begins, sizes)  # offset of each character in its word
+        left = np.repeat(sizes, sizes) - place  # characters from it to the end of its word
+        # Arcs of the lexicon from all positions at once, by their lengths.
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        at, state, k = np.arange(len(chars)), np.zeros(len(chars), np.int64), 0
+        while len(at):
+            key = state << 21 | chars[at + k]
+            spot = np.searchsorted(self.arc_keys, key)
+            spot[spot == len(self.arc_keys)] = 0
+            live = self.arc_keys[spot] == key
+            at, state = at[live], self.arc_ends[spot[live]]
+            piece = self.final[state]
+            hit = piece >= 0
+            if k == 0:
+                alone = np.full(len(chars), -1, np.int64)
+                alone[at[hit]] = piece[hit]
+                found.append((np.arange(len(chars)), np.where(alone >= 0, alone, len(self.pieces) + chars)))
             else:
-                pieces = pieces[1:]
-            pieces = self.merged(SPACE * spaces) + pieces
-        known = tuple(i for p in pieces for i in self.emit(p))
-        if len(part) <= 40:
-            if len(self.words) >= self.most_words:
-                self.words.clear()
-            self.words[part] = known
-        return known
+                found.append((at[hit], piece[hit]))
+            k += 1
+            more = left[at] > k
+            at, state = at[more], state[more]
+        # nodes: one more than characters for each word
+        node = np.arange(len(chars)) + np.repeat(np.arange(len(words)), sizes)
+        total = len(chars) + len(words)
+        last, start, best = np.full(total, -1, np.int64), np.zeros(total, np.int64), np.full(total, np.inf)
+        first = begins + np.arange(len(words))
+        best[first], last[first] = 0.0, -2
+        steps: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        for n, (where, piece) in enumerate(found):
+            if not len(where):
+                continue
+            order = np.argsort(place[where], kind="stable")
+            offsets, cut = np.unique(place[where][order], return_index=True)
+            for o, rows in zip(offsets.tolist(), np.split(order, cut[1:]), strict=True):
+                steps[o, n + 1] = (node[where[rows]], piece[rows])
+        for o, n in sorted(steps):
+            src, piece = steps[o, n]
+            dst = src + n
+            if self.unigram:
+                w = best[src] + np.where(piece < len(self.pieces), self.weight[np.minimum(piece, len(self.pieces) - 1)], self.unknown_weight)
+                good = w < best[dst]
+                best[dst[good]] = w[good]
+            else:
+                good = (last[src] != -1) & (last[dst] == -1)
+                if o:
+                    src, dst, piece = src[good], dst[good], piece[good]
+                    pair, back = np.unique(last[src] << 32 | piece, return_inverse=True)
+                    follows, known = self.follows, self.pairs.get
+                    ok = [x if (x := known(q)) is not None else follows(q) for q in pair.tolist()]
+                    good = np.array(ok, bool)[back] if ok else np.zeros(0, bool)
+            last[dst[good]], start[dst[good]] = piece[good], src[good]
+        # All paths are read from their ends at once.
+        at, path = ends + np.arange(len(words)), []
+        while (open_ := at > first).any():
+            path.append(np.where(open_, last[at], -1))
+            at = np.where(open_, start[at], at)
+        table = np.array(path[::-1]).T if path else np.zeros((len(words), 0), np.int64)
+        return [[x for x in row if x >= 0] for row in table.tolist()]
+
+    def solve(self, parts: set[str]) -> None:
+        """Keep the ids of these words."""
+        new = parts.difference(self.words)
+        if len(self.words) + len(new) > self.most_words:
+            self.words.clear()
+            new = parts
+        short = [p for p in new if len(p) <= self.TOGETHER]
+        for at in range(0, len(short), 20_000):
+            some = short[at : at + 20_000]
+            self.words.update(zip(some, map(self.emit, self.shortest_paths(some)), strict=True))
+        for p in new:
+            if len(p) > self.TOGETHER:
+                self.words[p] = self.emit(self.shortest_path(p))
+
+    def encode_all(self, texts: list[str | None]) -> list[list[int]]:
+        """Ids of each text; empty for null and empty texts."""
+        split, own = [], {}
+        for text in map(self.normalise, (t or "" for t in texts)):
+            if self.user and not self.unigram:  # merging stops at user-defined pieces
+                parts = [self.parts.findall(x) if k % 2 == 0 else [x] for k, x in enumerate(re.split(f"({self.user.pattern})", text))]
+                own |= {x[0]: (self.id[x[0]],) for x in parts[1::2]}
+                split.append(list(chain.from_iterable(parts)))
+            else:
+                split.append(self.parts.findall(text))
+        self.solve(set(chain.from_iterable(split)).difference(own))
+        get = (self.words | own if own else self.words).__getitem__
+        return [self._joined(map(get, s)) for s in split]
+
+    def _joined(self, ids: Iterable[tuple[int, ...]]) -> list[int]:
+        out = list(chain.from_iterable(ids))
+        if not self.fallback and self.unknown in out:  # a run of unknowns over several words is one
+            out = [x for k, x in enumerate(out) if x != self.unknown or not k or out[k - 1] != x]
+        return out
 
     def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
-        word, get = self.word, self.words.get
-        for part in self.parts.findall(self.normalise(text or "")):
-            out += get(part) or word(part)
-        return out
+        return self.encode_all([text])[0]
 
     def decode(self, ids) -> str:
         text = b"".join(map(self.said.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
+def chunks(texts: list[str | None], most_rows: int = 400, most_chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """(from, to) of texts that are solved together."""
+    at = chars = 0
+    for k, text in enumerate(texts):
+        if k > at and (k - at >= most_rows or chars + len(text or "") > most_chars):
+            yield at, k
+            at, chars = k, 0
+        chars += len(text or "")
+    if at < len(texts):
+        yield at, len(texts)
+
+
 @lru_cache(2)
 def machine(model: bytes) -> Machine:
     """The model's machine, compiled once in each Python worker."""
@@ -212,7 +401,8 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", out: str = "ids")
     def run(batches):
         m = machine(model)
         for batch in batches:
-            ids = [np.array(m.encode(t), np.int32) for t in batch.column(at).to_pylist()]
+            texts = batch.column(at).to_pylist()
+            ids = [np.array(i, np.int32) for a, b in chunks(texts) for i in m.encode_all(texts[a:b])]
             yield pa.RecordBatch.from_arrays([*batch.columns, list_array(ids, pa.int32())], [*batch.schema.names, out])
 
     return docs.mapInArrow(run, with_field(docs, out, T.ArrayType(T.IntegerType())))
@@ -227,10 +417,10 @@ def encode_checked(docs: DataFrame, model: bytes) -> DataFrame:
     def run(batches):
         m = machine(model)
         for whole in batches:
-            for at in range(0, len(whole), 1000):  # ids of a thousand texts at a time
-                batch = whole.slice(at, 1000)
-                texts = batch.column(len(kept)).to_pylist()
-                ids = [np.array(m.encode(t), np.int32) for t in texts]
+            every = whole.column(len(kept)).to_pylist()
+            for a, b in chunks(every):
+                batch, texts = whole.slice(a, b - a), every[a:b]
+                ids = [np.array(i, np.int32) for i in m.encode_all(texts)]
                 same = [m.decode(i.tolist()) == (t or "") for i, t in zip(ids, texts, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], list_array(ids, pa.int32()), pa.array(same, pa.bool_())], [*kept, "ids", "round_trip"])
 
@@ -261,8 +451,8 @@ def coded(docs: DataFrame, model: bytes) -> DataFrame:
         m = machine(model)
         for batch in batches:
             rows = []
-            for text in batch.column("text").to_pylist():
-                ids = m.encode(text)
+            texts = batch.column("text").to_pylist()
+            for text, ids in ((t, i) for a, b in chunks(texts) for t, i in zip(texts[a:b], m.encode_all(texts[a:b]), strict=True)):
                 back = m.decode(ids)
                 rows.append((len(ids), hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == (text or "")))
             kinds = [pa.int64(), pa.string(), pa.string(), pa.bool_()]

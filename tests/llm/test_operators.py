@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -159,6 +160,43 @@ def test_pieces_equal_the_library(spark):
     assert [len(r.ids) for r in coded.filter("doc_id in (1, 2)").collect()] == [0, 0]
 
 
+def model_file(pieces, kind, fallback=False, squeeze=True, charsmap=b""):
+    """A model file with these (piece, score, kind) rows, written by hand: nothing is trained."""
+    varint = lambda n: bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+    field = lambda k, v: varint(k << 3) + varint(v) if isinstance(v, int) else varint(k << 3 | 2) + varint(len(v)) + v
+    out = b"".join(field(1, field(1, p.encode()) + varint(2 << 3 | 5) + struct.pack("<f", s) + field(3, t)) for p, s, t in pieces)
+    spec = (field(2, charsmap) if charsmap else b"") + field(3, 1) + field(4, int(squeeze)) + field(5, 1)
+    return out + field(2, field(3, kind) + field(35, int(fallback))) + field(3, spec)
+
+
+@pytest.mark.parametrize("kind", [1, 2])
+@pytest.mark.parametrize("fallback", [False, True])
+@pytest.mark.parametrize("squeeze", [False, True])
+def test_unigram_and_bpe_models_equal_the_library(kind, fallback, squeeze):
+    spm = pytest.importorskip("sentencepiece")
+    rng = np.random.default_rng(kind)
+    chars = list("abcde▁é")
+    names = dict.fromkeys([*chars[:6], *("".join(rng.choice(chars, rng.integers(2, 5))) for _ in range(120))])
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + ([(f"<0x{b:02X}>", 0.0, 6) for b in range(256)] if fallback else [])
+    pieces += [("<tag>", 0.0, 4)] + [(n, -float(k) - (len(n) == 1) * 5, 1) for k, n in enumerate(names)]
+    raw = model_file(pieces, kind, fallback, squeeze)
+    lib, own = spm.SentencePieceProcessor(model_proto=raw), sentencepiece_fst.Machine(raw)
+    texts = ["", " ", "é", "zz a", "a<tag>b", "<tag>", "zzz zé", *("".join(rng.choice(list("aabbcde  zé\n"), rng.integers(1, 90))) for _ in range(300)), "abcde" * 60]
+    for t in texts:
+        assert own.encode(t) == lib.encode(t), t
+
+
+def test_character_map_equals_the_library():
+    spm = pytest.importorskip("sentencepiece")
+    if not hasattr(spm, "SentencePieceNormalizer"):
+        pytest.skip("this version has no normaliser of its own")
+    norm = spm.SentencePieceNormalizer(rule_name="nmt_nfkc")
+    spec = dict(sentencepiece_fst.fields(dict(sentencepiece_fst.fields(norm.serialized_model_proto()))[3]))
+    own = sentencepiece_fst.CharMap(spec[2])
+    for t in ["abc", "ﬁ Å ① ｱｲｳ\u3000x", "가각", "e\u0301\t\n", "🙂½", ""]:
+        assert own(t).strip() == norm.normalize(t).replace("▁", " ").strip()
+
+
 def test_sketches_follow_the_similarity(spark):
     texts = [(10 + k, prose(k, 300 + 17 * k)) for k in range(12)] + ODD[:4]
     texts[0] = (900, texts[0][1])
