@@ -8,14 +8,15 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lithoframe.llm.common import ascii_words, shingle_set, with_field
+from lithoframe.llm.common import ascii_words, placed_rows, shingle_set, with_field
 
 FRACTION = 0.25
 
@@ -63,25 +64,48 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, with_field(docs, "fingerprint", T.StringType()))
 
 
-def in_order(docs: DataFrame) -> DataFrame:
+def in_order(docs: DataFrame, block_bytes: int = 32 << 20) -> DataFrame:
     """documents -> doc_id, text, block, halo: dealt into blocks by descending doc_id and sorted, so that a row follows its predecessor.
 
-    Bounds of the blocks are quantiles of doc_id; there are twice as many blocks as shuffle partitions. Each block ends with a copy of the
+    Bounds of the blocks are quantiles of doc_id, as many as texts of `block_bytes` need and at least two for each shuffle partition. A doc_id (or null) that fills blocks is
+    divided by a hash of its rows' places in their files, which orders rows of one doc_id. Each block is a partition and ends with a copy of the
     first row of the block after it (of the first block, for the last one), marked as halo. So texts are shuffled once.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("at", F.coalesce("doc_id", F.lit(-(2**63))))
-    count = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = sorted({int(x) for x in docs.agg(F.percentile_approx("at", [k / count for k in range(1, count)], 10 * count).alias("q")).first()["q"] or []})
-    block = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x > F.col("at"))) if bounds else F.lit(0)
-    docs = docs.withColumn("block", block)
-    # One row a block: as many as there are partitions, whatever the data.
-    heads = docs.groupBy("block").agg(F.max("at").alias("at")).orderBy("block").collect()
-    before = spark.createDataFrame([(h["at"], heads[k - 1]["block"]) for k, h in enumerate(heads)], "at long, before int")
-    docs = docs.join(F.broadcast(before), "at", "left")
-    places = F.when(F.col("before").isNull(), F.array(F.struct("block", F.lit(False).alias("halo")))).otherwise(F.array(F.struct("block", F.lit(False).alias("halo")), F.struct(F.col("before").alias("block"), F.lit(True).alias("halo"))))
-    docs = docs.select("doc_id", "text", "at", F.explode(places).alias("p")).select("doc_id", "text", "at", "p.block", "p.halo")
-    return docs.repartition(count // 2, "block").sortWithinPartitions("block", "halo", F.desc("at"), F.xxhash64("text")).drop("at")
+    docs = placed_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).withColumns({"at": F.coalesce("doc_id", F.lit(-(2**63))), "g": F.xxhash64("_file", "_at")}).drop("_file", "_at")
+    whole = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    count = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-whole // block_bytes))
+    cuts = Counter(int(x) for x in docs.agg(F.percentile_approx("at", [k / count for k in range(1, count)], 10 * count).alias("q")).first()["q"] or [])
+    # A block begins at (at, g): at a quantile, and k more times inside one that several quantiles fall on.
+    bounds = sorted(((at, -(2**63) + 2**64 * k // n) for at, n in cuts.items() for k in range(n)), key=lambda b: (-b[0], b[1]))
+    docs = docs.withColumn("block", _passed(bounds))
+    # One row a block.
+    heads = docs.groupBy("block").agg(F.min(F.struct(F.bitwise_not("at").alias("order"), "g")).alias("h")).orderBy("block").select("block", "h.order", "h.g").collect()
+    before = spark.createDataFrame([(-h["order"] - 1, h["g"], k, (k - 1) % len(heads)) for k, h in enumerate(heads)], "at long, g long, block int, before int")
+    number = spark.createDataFrame([(h["block"], k) for k, h in enumerate(heads)], "block int, n int")
+    docs = docs.join(F.broadcast(number), "block").drop("block").withColumnRenamed("n", "block").join(F.broadcast(before), ["at", "g", "block"], "left")
+    own = F.struct("block", F.lit(False).alias("halo"))
+    places = F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("before").alias("block"), F.lit(True).alias("halo"))))
+    docs = docs.select("doc_id", "text", "at", "g", F.explode(places).alias("p")).select("doc_id", "text", "at", "g", "p.block", "p.halo")
+    return docs.repartitionById(max(1, len(heads)), F.col("block")).sortWithinPartitions("halo", F.desc("at"), "g").drop("at", "g")
+
+
+def _passed(bounds: list[tuple[int, int]]) -> Column:
+    """How many of the sorted bounds come at or before a row, found in a list of every so many bounds and then among those between two."""
+    if not bounds:
+        return F.lit(0)
+    step = max(1, int(len(bounds) ** 0.5))
+    kind = "array<struct<at: bigint, g: bigint>>"
+    rows = [bounds[k : k + step] for k in range(0, len(bounds), step)]
+    said = lambda part: "array(" + ", ".join(f"struct({_long(a)}, {_long(g)})" for a, g in part) + ")"
+    before = lambda b: (b["at"] > F.col("at")) | ((b["at"] == F.col("at")) & (b["g"] <= F.col("g")))
+    coarse = F.size(F.filter(F.expr(said([r[0] for r in rows])).cast(kind), before))
+    fine = F.element_at(F.expr(f"array({', '.join(map(said, rows))})").cast(f"array<{kind}>"), coarse)
+    return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + F.size(F.filter(fine, before)))
+
+
+def _long(n: int) -> str:
+    return f"{n}L" if n > -(2**63) else "(-9223372036854775807L - 1L)"
 
 
 def _compare(batches):
@@ -110,7 +134,7 @@ def edited_and_next(docs: DataFrame) -> DataFrame:
 
     A document's successor has the next smaller doc_id; the first follows the last. Its edited text has the last half of its code points
     replaced by the first as many (or all) of the successor's. Nulls are empty texts; a null doc_id comes
-    last; rows of one doc_id follow each other in the order of a hash of their texts. A single document is its own successor. An empty table gives none; other
+    last; rows of one doc_id follow each other in the order of a hash of their places in the files. A single document is its own successor. An empty table gives none; other
     columns are ignored.
     """
     return in_order(docs).mapInArrow(_compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

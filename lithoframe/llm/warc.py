@@ -113,7 +113,7 @@ def coalesce_ranges(index: DataFrame, gap: int = 64 << 10, most_bytes: int = 8 <
     return parts.groupBy("file", "stretch", "run").agg(F.min("offset").alias("start"), F.max(F.col("offset") + F.col("length")).alias("stop"), F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("members")).drop("stretch", "run")
 
 
-def read_records(index: DataFrame, payloads: bool = True, **options) -> DataFrame:
+def read_records(index: DataFrame, payloads: bool = True, task_bytes: int = 32 << 20, **options) -> DataFrame:
     """Selected index rows -> READ, parsed from the archives.
 
     payload_digest is computed anew from a response's payload and must agree with its header; a revisit has its response's digest and size, from its
@@ -138,7 +138,11 @@ def read_records(index: DataFrame, payloads: bool = True, **options) -> DataFram
                 kinds = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in READ.split(", ")])
 
-    return coalesce_ranges(index, **options).select("file", "start", "stop", "members").mapInArrow(run, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    # Index rows are small beside what they stand for, so reads are dealt by the bytes they fetch.
+    ranges = stage(coalesce_ranges(index, **options).select("file", "start", "stop", "members"), "ranges")
+    whole = ranges.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("stop") - F.col("start")), F.lit(0)).alias("bytes")).first()
+    tasks = max(1, min(whole["n"], ranges.sparkSession.sparkContext.defaultParallelism), -(-whole["bytes"] // task_bytes))
+    return ranges.repartition(tasks).mapInArrow(run, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archive_pages(pages: DataFrame, folder: str | None = None) -> DataFrame:
