@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: What each theme adds to a prompt.
+#: What each theme adds to a prompt. A maker's name that stood in one of them is left out.
 THEME_HINTS = {
     "attitude": "tough humorous swagger, rebellious attitude, don’t-mess-with-me energy",
     "patriotism": "patriotic Americana, red white and blue, military/historical icons with attitude",
     "scally": "scally cap hooligan culture, Irish/Boston swagger, flat caps",
     "horror": "horror character with attitude, macabre humor, spooky but bold enamel shapes",
     "animals": "anthropomorphic animal mascot with tough guy attitude and a swagger prop",
-    "holiday": "holiday character twisted with Pinheads attitude, not cute cutesy",
+    "holiday": "holiday character twisted with attitude, not cute cutesy",
     "sports": "sports swagger mascot, bold athletic iconography for enamel pin",
 }
 #: Fixed value: how each prompt ends.

@@ -5,6 +5,7 @@ Results on pixels are digests by image (counts and place-weighted sums over all
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +17,7 @@ from lithoframe.operators.grid import by_image
 from lithoframe.plans import jobs
 from lithoframe.plans import sql as Q
 from lithoframe.sources import chart, fixtures, rasters
-from lithoframe.staging import stage
+from lithoframe.staging import shared_dir, stage
 
 C = F.col
 _RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -183,7 +184,7 @@ def chart_search_usage(s, d):
     return hits.join(used, "code", "left").groupBy("ord", "code").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pixels"))
 
 
-@query(f"""WITH {Q.IMAGES}, {Q.CHART}, o AS (SELECT image_id, unnest([{{'idx': 0, 'code': 'pms 185 c'}}, {{'idx': 1, 'code': 'PANTONE 185C'}}, {{'idx': 2, 'code': ' Black 6 C '}}, {{'idx': 3, 'code': '999 ZZ'}}]) AS u FROM im WHERE image_id % 5 = 0)
+@query(f"""WITH {Q.IMAGES}, {Q.CHART}, o AS (SELECT image_id, unnest([{{'idx': 0, 'code': 'pms 185 c'}}, {{'idx': 1, 'code': 'PANTONE 185C'}}, {{'idx': 2, 'code': ' Black 6 C '}}, {{'idx': 3, 'code': '999 ZZ'}}]) AS u FROM im)
 SELECT image_id, u.idx AS idx, u.code AS code, chart.code AS chart_code, r, g, b FROM o JOIN chart ON replace(upper(chart.code), ' ', '') = replace(upper(regexp_replace(regexp_replace(trim(u.code), '^pms\\s+', '', 'i'), '^pantone\\s+', '', 'i')), ' ', '')""")
 def codes_in_chart(s, d):
     return match.find_pms_by_code(fixtures.overrides(s, d), chart.pms_chart(s)).select("image_id", "idx", "code", "chart_code", "r", "g", "b")
@@ -502,7 +503,7 @@ def plate_metrics(s, d):
 
 
 def _nothing(s, d):
-    return {"merges": fixtures.merges(s, d).select("image_id", "seq", "a", "b").filter("false"), "overrides": fixtures.overrides(s, d), "disabled": fixtures.disabled(s, d).filter("image_id % 3 = 1"), "chart": chart.pms_chart(s)}
+    return {"merges": fixtures.merges(s, d).select("image_id", "seq", "a", "b").filter("false"), "overrides": fixtures.overrides(s, d), "disabled": fixtures.disabled(s, d), "chart": chart.pms_chart(s)}
 
 
 @query()
@@ -532,7 +533,35 @@ def remerge_job(s, d):
 
 @query()
 def pin_plate_job(s, d):
-    return jobs.pin_plate(_raster(s, d)).select("image_id", F.length("svg").alias("svg_chars"), F.sha2("svg", 256).alias("digest"))
+    plates, used = jobs.pin_plate(_raster(s, d), fixtures.images(s, d), cap=40)
+    return plates.join(used.groupBy("image_id").agg(F.count("*").alias("colors")), "image_id", "left").select("image_id", "colors", F.length("svg").alias("svg_chars"), F.sha2("svg", 256).alias("digest"))
+
+
+@query()
+def cleanup_proof_job(s, d):
+    plates, counts = jobs.clean_up_proof(_labels(s, d), fixtures.palette(s, d), match.mask_to_rgba(_mask(s, d)))
+    return svg.svg_metrics(plates).drop("head").join(counts, "image_id", "left")
+
+
+@query()
+def dual_outputs_job(s, d):
+    return svg.svg_metrics(jobs.dual_outputs(_raster(s, d), f"{shared_dir(s)}/dual-{uuid.uuid4().hex}", **_nothing(s, d))).drop("head")
+
+
+@query(f"WITH {Q.LABELS} " + Q.DIGEST.format(t="lb"))
+def saved_state(s, d):
+    folder = f"{shared_dir(s)}/state-{uuid.uuid4().hex}"
+    rasters.write_state(_labels(s, d), fixtures.palette(s, d), folder)
+    return digest(rasters.read_state(s, folder)[0])
+
+
+@query(f"WITH {Q.LABELS}, {_RECTS}, p AS (SELECT DISTINCT image_id FROM rc) SELECT image_id, p_name || '-vector.svg' AS file_name FROM p JOIN part ON p_partkey = image_id")
+def written_plates(s, d):
+    folder = f"{shared_dir(s)}/plates-{uuid.uuid4().hex}"
+    fills = fixtures.palette(s, d).withColumn("hex", color.rgb_to_hex(*_rgb()))
+    plates = svg.fill_plate(_labels(s, d), fills).join(fixtures.images(s, d).select("image_id", "name"), "image_id").withColumn("plate", F.lit("vector"))
+    rasters.write_plates(plates, folder)
+    return s.read.parquet(folder).select("image_id", "file_name")
 
 
 # ---- text
