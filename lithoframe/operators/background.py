@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,20 +50,43 @@ def is_backdrop_pixel(pixels: DataFrame, backdrop: DataFrame, tolerance: float =
     return out.withColumns({"is_backdrop": is_bg, "light_backdrop": light, "_bgl": bg_l}).drop("_l", "_c", "_skin", "_o", "_s")
 
 
-def _cleared_in_order(frame: pd.DataFrame, passes: int, goes) -> pd.DataFrame:
-    """Candidates of one image, visited in raster order, `passes` times at most; goes(row, cleared places) decides on what earlier ones have become."""
-    frame = frame.sort_values(["y", "x"], ignore_index=True)
-    rows = list(frame.itertuples(index=False))
-    gone: set[tuple[int, int]] = set()
+def _along(sure: np.ndarray, chained: np.ndarray) -> np.ndarray:
+    """A row swept from left to right: sure places are taken, chained ones if the place before them is."""
+    at = np.arange(1, len(sure) + 1)
+    hit = np.maximum.accumulate(np.where(sure, at, 0))
+    stop = np.maximum.accumulate(np.where(sure | chained, 0, at))
+    return (sure | chained) & (hit > stop)
+
+
+def _box(frame: pd.DataFrame, value: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places in the box of an image's candidates, with a rim of one, and their values in it; -1 elsewhere."""
+    y, x = (frame[k].to_numpy() - frame[k].min() + 1 for k in ("y", "x"))
+    box = np.full((y.max() + 2, x.max() + 2), -1)
+    box[y, x] = frame[value].astype(int)
+    return y, x, box, np.zeros(box.shape, bool)
+
+
+def _haloes(frame: pd.DataFrame, passes: int = 4) -> pd.DataFrame:
+    """Candidates of one image in raster order, in place, `passes` times at most: one goes if it is open, or if a side of it has gone."""
+    y, x, box, gone = _box(frame, "open")
     for _ in range(passes):
-        before = len(gone)
-        for r in rows:
-            if (r.x, r.y) not in gone and goes(r, gone):
-                gone.add((r.x, r.y))
-        if len(gone) == before:
+        before = gone.sum()
+        for r in range(1, len(box) - 1):
+            sure = gone[r] | (box[r] == 1) | ((box[r] == 0) & (gone[r - 1] | gone[r + 1] | np.append(gone[r, 1:], False)))
+            gone[r] = _along(sure, box[r] >= 0)
+        if gone.sum() == before:
             break
-    keep = [(r.x, r.y) in gone for r in rows]
-    return frame.loc[keep, ["image_id", "x", "y"]]
+    return frame.loc[gone[y, x], ["image_id", "x", "y"]]
+
+
+def _lone(frame: pd.DataFrame) -> pd.DataFrame:
+    """Candidates of one image in raster order, in place, once: one goes if of its opaque neighbours at most one is left."""
+    y, x, box, gone = _box(frame, "on")
+    for r in range(1, len(box) - 1):
+        up = gone[r - 1].astype(int)
+        left = box[r] - up - np.append(0, up[:-1]) - np.append(up[1:], 0)
+        gone[r] = _along((box[r] >= 0) & (left <= 1), (box[r] >= 0) & (left == 2))
+    return frame.loc[gone[y, x], ["image_id", "x", "y"]]
 
 
 _SPOT = "image_id long, x int, y int"
@@ -72,26 +96,20 @@ def clear_halos(pixels: DataFrame) -> DataFrame:
     """pixels(…, light_backdrop, _bgl) with the near-white fringe of cleared areas cleared: raster order, in place, at most four times. Only candidates reach the ordered helper."""
     rows = with_sides(pixels, "a", "_near")
     fit = C("light_backdrop") & interior() & (C("a") >= 128) & ~is_skin_tone(*rgb()) & (luminance(*rgb()) >= F.greatest(F.lit(236.0), C("_bgl") - 8)) & (chroma(*rgb()) <= 18)
-    spots = rows.filter(fit).select("image_id", "x", "y", F.exists("_near", lambda v: v < 16).alias("open"))
+    spots = rows.filter(fit).select("image_id", "x", "y", F.coalesce(F.exists("_near", lambda v: v < 16), F.lit(False)).alias("open"))
 
-    def goes(r, gone):
-        return r.open or bool(gone & {(r.x, r.y - 1), (r.x - 1, r.y), (r.x + 1, r.y), (r.x, r.y + 1)})
-
-    gone = spots.groupBy("image_id").applyInPandas(lambda f: _cleared_in_order(f, 4, goes), _SPOT).withColumn("_gone", F.lit(True))
+    gone = spots.groupBy("image_id").applyInPandas(_haloes, _SPOT).withColumn("_gone", F.lit(True))
     return pixels.join(gone, ["image_id", "x", "y"], "left").withColumn("a", F.when(C("_gone"), 0).otherwise(C("a"))).drop("_gone")
 
 
 def despeckle(pixels: DataFrame, where: Column | None = None) -> DataFrame:
     """Interior opaque pixels, but skin, that have at most one opaque neighbour of eight, go: raster order, in place, once. A pixel can lose four neighbours to earlier visits, so only those with up to five reach the helper."""
     rows = with_square(pixels, (C("a") >= 128).cast("int"), "_on")
-    count = F.aggregate("_on", F.lit(-1), lambda s, v: s + F.coalesce(v, F.lit(0)))
+    count = sum((F.coalesce(C("_on")[k], F.lit(0)) for k in range(9)), F.lit(-1))
     fit = interior() & (C("a") >= 128) & ~is_skin_tone(*rgb())
     spots = rows.filter(fit if where is None else fit & where).withColumn("on", count).filter("on <= 5").select("image_id", "x", "y", "on")
 
-    def goes(r, gone):
-        return r.on - len(gone & {(r.x - 1, r.y - 1), (r.x, r.y - 1), (r.x + 1, r.y - 1), (r.x - 1, r.y)}) <= 1
-
-    gone = spots.groupBy("image_id").applyInPandas(lambda f: _cleared_in_order(f, 1, goes), _SPOT).withColumn("_gone", F.lit(True))
+    gone = spots.groupBy("image_id").applyInPandas(_lone, _SPOT).withColumn("_gone", F.lit(True))
     return pixels.join(gone, ["image_id", "x", "y"], "left").withColumn("a", F.when(C("_gone"), 0).otherwise(C("a"))).drop("_gone")
 
 

@@ -41,21 +41,26 @@ def flood_dominant_cells(pixels: DataFrame, palette: DataFrame | None = None) ->
 def _fill(labels: np.ndarray, ink: np.ndarray, hole: np.ndarray) -> np.ndarray:
     """Labels (-1 for none) of one image with its holes (numbered from 1) filled, in the order of their first pixels; each takes the label most frequent around its pixels within 1, 2, 4, 8 or 14."""
     out = labels.copy()
-    h, w = out.shape
-    for k in range(1, int(hole.max(initial=0)) + 1):
-        ys, xs = np.nonzero(hole == k)
+    ys, xs = np.nonzero(hole)
+    order = np.argsort(hole[ys, xs], kind="stable")
+    ys, xs = ys[order], xs[order]
+    number, first = np.unique(hole[ys, xs], return_index=True)
+    for k, y, x in zip(number, np.split(ys, first[1:]), np.split(xs, first[1:]), strict=True):
         for radius in (1, 2, 4, 8, 14):
-            votes: dict[int, int] = {}
-            for dy in range(-radius, radius + 1):
-                for dx in range(-radius, radius + 1):
-                    y, x = ys + dy, xs + dx
-                    ok = (y >= 0) & (x >= 0) & (y < h) & (x < w)
-                    y, x = y[ok], x[ok]
-                    near = out[y, x][(hole[y, x] != k) & ~ink[y, x]]
-                    for v, n in zip(*np.unique(near[near >= 0], return_counts=True), strict=True):
-                        votes[int(v)] = votes.get(int(v), 0) + int(n)
+            # All that the hole's pixels see lies in one box; the labels in it are counted in squares by sums over the box.
+            top, left = max(0, y.min() - radius), max(0, x.min() - radius)
+            box = np.s_[top : y.max() + radius + 1, left : x.max() + radius + 1]
+            near = np.where((hole[box] != k) & ~ink[box], out[box], -1)
+            h, w = near.shape
+            y0, y1, x0, x1 = np.maximum(y - top - radius, 0), np.minimum(y - top + radius + 1, h), np.maximum(x - left - radius, 0), np.minimum(x - left + radius + 1, w)
+            votes = {}
+            for v in np.unique(near[near >= 0]).tolist():
+                sums = np.zeros((h + 1, w + 1), np.int64)
+                sums[1:, 1:] = (near == v).cumsum(0).cumsum(1)
+                votes[v] = int((sums[y1, x1] - sums[y0, x1] - sums[y1, x0] + sums[y0, x0]).sum())
+            votes = {v: n for v, n in votes.items() if n}
             if votes:
-                out[hole == k] = min(votes, key=lambda v: (-votes[v], v))
+                out[y, x] = min(votes, key=lambda v: (-votes[v], v))
                 break
     return out
 
