@@ -400,14 +400,18 @@ def ink_mask_colors(s, d):
     return out.groupBy("image_id").agg(*(F.sum(C(c).cast("long")).alias(c) for c in ("ink", "ring", "contour")))
 
 
-# ---- components, regions, cells, palettes and jobs: iterative or greedy, checked by plain loops in the tests
+# ---- components, regions and cells; what is greedy is checked by plain loops in the tests
 
-@query()
+_REGIONS = f"WITH RECURSIVE {Q.LABELS}, {Q.regions('lb', 'label')}"
+_NUMBERED = "nu AS (SELECT image_id, c, row_number() OVER (PARTITION BY image_id ORDER BY c) - 1 AS region FROM (SELECT DISTINCT image_id, c FROM gpx WHERE c IS NOT NULL))"
+
+
+@query(f"{_REGIONS}, {_NUMBERED} SELECT nu.image_id, region, any_value(label) AS label, count(*) AS area FROM gpx JOIN nu USING (image_id, c) GROUP BY nu.image_id, region")
 def region_areas(s, d):
     return components.label_regions(_labels(s, d))
 
 
-@query()
+@query(f"{_REGIONS}, {_NUMBERED}, {Q.SIDES} SELECT s.image_id, a.region, key_ AS label, b.region AS other, ok AS other_label, sides FROM sides s JOIN nu a ON a.image_id = s.image_id AND a.c = s.c JOIN nu b ON b.image_id = s.image_id AND b.c = s.oc")
 def region_sides(s, d):
     found = by_image(components.with_regions(_labels(s, d)))
     return grid.region_borders(found.select("image_id", "x", "y", "region", "label"))
@@ -418,22 +422,26 @@ def small_regions_merged(s, d):
     return digest(regions.merge_small_regions(_labels(s, d), 8))
 
 
-@query()
+@query(f"""{_REGIONS}, {Q.SIDES}, ar AS (SELECT image_id, c, count(*) AS area FROM gpx WHERE c IS NOT NULL GROUP BY ALL), vo AS (SELECT image_id, c, ok, sum(sides) AS n FROM sides GROUP BY ALL),
+be AS (SELECT image_id, c, arg_max(ok, {{'n': n, 'k': -ok}}) AS best FROM vo GROUP BY ALL),
+t AS (SELECT g.image_id, g.x, g.y, CASE WHEN area < 12 THEN best ELSE g.label END AS label FROM gpx g LEFT JOIN ar ON ar.image_id = g.image_id AND ar.c = g.c LEFT JOIN be ON be.image_id = g.image_id AND be.c = g.c) """ + Q.DIGEST.format(t="t"))
 def specks_dropped(s, d):
     return digest(components.drop_speck_islands(_labels(s, d), 12))
 
 
-@query()
+@query(f"WITH RECURSIVE {Q.MASK}, {Q.regions('mk', 'CASE WHEN ink THEN 1 END')}, t AS (SELECT image_id, x, y, ink AND count(*) OVER (PARTITION BY image_id, c) >= 12 AS ink FROM gpx) " + Q.MASK_DIGEST.format(t="t"))
 def small_ink_removed(s, d):
     return ink_digest(components.remove_small_components(_mask(s, d), 12))
 
 
-@query()
+@query(f"""WITH RECURSIVE {Q.MASK}, er AS {Q.eroded('mk', 1, 'm.x >= 1 AND m.y >= 1 AND m.x < m.w - 1 AND m.y < m.h - 1')}, {Q.regions('mk', 'CASE WHEN NOT ink THEN 1 END')}, {Q.touching()}, ho AS (SELECT image_id, x, y FROM gt WHERE NOT ink AND NOT t),
+ri AS (SELECT DISTINCT image_id, x + dx AS x, y + dy AS y FROM ho, (SELECT unnest(range(-1, 2)) AS dx) dxs, (SELECT unnest(range(-1, 2)) AS dy) dys),
+t AS (SELECT mk.image_id, mk.x, mk.y, mk.ink AND (NOT er.ink OR ri.x IS NOT NULL) AS ink FROM mk JOIN er USING (image_id, x, y) LEFT JOIN ri USING (image_id, x, y)) """ + Q.MASK_DIGEST.format(t="t"))
 def hole_ring_walls(s, d):
     return ink_digest(components.hole_rings(morph.stroke_walls(_mask(s, d), 1)), "wall")
 
 
-@query()
+@query(f"WITH RECURSIVE {Q.PIXELS}, mk AS (SELECT image_id, w, h, x, y, a, {Q.lum()} < 30 AND a >= 128 AS ink FROM px), {Q.regions('mk', 'CASE WHEN a <= 96 AND NOT ink THEN 1 END')}, {Q.touching()}, t AS (SELECT image_id, x, y, t AS ink FROM gt) " + Q.MASK_DIGEST.format(t="t"))
 def exterior_pixels(s, d):
     return ink_digest(components.mark_exterior(_mask(s, d)), "exterior")
 
@@ -443,7 +451,14 @@ def background_removed(s, d):
     return background.cleared_count(background.remove_background(_raster(s, d), 50)).select("image_id", "cleared", "bg.r", "bg.g", "bg.b")
 
 
-@query()
+@query(f"""WITH RECURSIVE {Q.PIXELS}, {Q.PAL}, mk AS (SELECT image_id, w, h, x, y, r, g, b, a, {Q.lum()} < 30 AND a >= 128 AS ink FROM px), {Q.regions('mk', 'CASE WHEN a <= 96 AND NOT ink THEN 1 END', 'e')}, {Q.touching('e')},
+ins AS (SELECT image_id, w, h, x, y, r, g, b, a, ink, t FROM et), {Q.regions('ins', 'CASE WHEN NOT ink AND NOT t THEN 1 END')},
+se AS (SELECT DISTINCT r, g, b FROM px), nl AS (SELECT r, g, b, min({{'d': (r - pr) * (r - pr) + (g - pg) * (g - pg) + (b - pb) * (b - pb), 'i': idx}}).i AS label FROM se, slots GROUP BY r, g, b),
+co AS (SELECT image_id, c, nl.label, count(*) AS n FROM gpx JOIN nl USING (r, g, b) WHERE c IS NOT NULL AND a > 96 GROUP BY ALL), sh AS (SELECT *, n / sum(n) OVER (PARTITION BY image_id, c) AS s FROM co),
+be AS (SELECT image_id, c, arg_max(label, {{'n': n, 'k': -label}}) AS label, count(*) AS colours FROM sh WHERE s >= 0.04 GROUP BY image_id, c),
+cc AS (SELECT image_id, count(*) AS cell_count, sum((colours > 1)::INT)::BIGINT AS cells_fixed FROM be GROUP BY image_id),
+t AS (SELECT gpx.image_id, x, y, be.label FROM gpx LEFT JOIN be ON be.image_id = gpx.image_id AND be.c = gpx.c), dg AS ({Q.DIGEST.format(t="t")})
+SELECT dg.*, cell_count, cells_fixed FROM dg LEFT JOIN cc USING (image_id)""")
 def dominant_cells(s, d):
     out, best = cells.flood_dominant_cells(_mask(s, d), fixtures.palette(s, d))
     return digest(out).join(cells.cell_counts(best), "image_id", "left")

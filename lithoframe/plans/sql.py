@@ -86,3 +86,26 @@ def dilated(source: str, radius: float) -> str:
 
 def eroded(source: str, radius: float, inside: str) -> str:
     return f"(SELECT m.image_id, m.w, m.h, m.x, m.y, min(n.ink::INT) = 1 AND bool_and({inside}) AS ink FROM {source} m, {disc(radius)}, {source} n WHERE n.image_id = m.image_id AND n.x = m.x + dx AND n.y = m.y + dy GROUP BY ALL)"
+
+
+def regions(source: str, key: str, p: str = "g") -> str:
+    """CTEs (for WITH RECURSIVE) that give {p}px: source with key_ and c, the components of equal keys that are not null, named by their first run. Runs travel to the least name that reaches them."""
+    return f"""{p}f AS (SELECT *, {key} AS key_ FROM {source}),
+{p}s AS (SELECT *, CASE WHEN x = 0 OR key_ IS DISTINCT FROM lag(key_) OVER (PARTITION BY image_id, y ORDER BY x) THEN x END AS st FROM {p}f),
+{p}r AS MATERIALIZED (SELECT * EXCLUDE (st), image_id * 1048576 + y * 1024 + max(st) OVER (PARTITION BY image_id, y ORDER BY x) AS id FROM {p}s),
+{p}u AS MATERIALIZED (SELECT image_id, y, id, any_value(key_) AS key_, min(x) AS x0, max(x) AS x1 FROM {p}r WHERE key_ IS NOT NULL GROUP BY image_id, y, id),
+{p}e AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM {p}u a JOIN {p}u b ON a.image_id = b.image_id AND b.y = a.y + 1 AND a.key_ = b.key_ AND a.x0 <= b.x1 AND b.x0 <= a.x1),
+{p}b AS MATERIALIZED (SELECT a, b FROM {p}e UNION ALL SELECT b, a FROM {p}e),
+{p}c(id, c) USING KEY (id) AS (SELECT id, id FROM {p}u UNION SELECT {p}b.b, min({p}c.c) FROM {p}c JOIN {p}b ON {p}b.a = {p}c.id JOIN recurring.{p}c AS k ON k.id = {p}b.b WHERE {p}c.c < k.c GROUP BY {p}b.b),
+{p}px AS MATERIALIZED (SELECT r.*, k.c FROM {p}r r LEFT JOIN {p}c k ON r.key_ IS NOT NULL AND k.id = r.id)"""
+
+
+def touching(p: str = "g") -> str:
+    """Whether a pixel of {p}px lies in a component that reaches the frame, as {p}t.t."""
+    return f"{p}t AS (SELECT *, c IS NOT NULL AND coalesce(bool_or(x = 0 OR y = 0 OR x = w - 1 OR y = h - 1) OVER (PARTITION BY image_id, c), false) AS t FROM {p}px)"
+
+
+SIDES = """nb AS (SELECT *, lead(c) OVER (PARTITION BY image_id, y ORDER BY x) AS rc, lead(key_) OVER (PARTITION BY image_id, y ORDER BY x) AS rk,
+ lead(c) OVER (PARTITION BY image_id, x ORDER BY y) AS dc, lead(key_) OVER (PARTITION BY image_id, x ORDER BY y) AS dk FROM gpx),
+one AS (SELECT image_id, c, key_, rc AS oc, rk AS ok FROM nb WHERE c <> rc UNION ALL SELECT image_id, c, key_, dc, dk FROM nb WHERE c <> dc),
+sides AS (SELECT image_id, c, key_, oc, ok, count(*) AS sides FROM (SELECT * FROM one UNION ALL SELECT image_id, oc, ok, c, key_ FROM one) GROUP BY ALL)"""
