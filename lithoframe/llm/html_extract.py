@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithoframe.llm.common import small_side, stage
+from lithoframe.llm.common import stage
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=/)[^>]*>", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -27,21 +27,29 @@ _SPACE = re.compile(r"\s+")
 _DIGITS = re.compile(r"\d+")
 #: Elements whose text is not read at all; the first group holds raw text, in which no tag counts.
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
-NO_TEXT = RAW | {"head", "template", "noscript", "svg", "math", "object", "canvas", "audio", "video", "select", "datalist"}
+NO_TEXT = RAW | {"head", "template", "noscript", "svg", "canvas", "audio", "video", "select", "datalist"}
 #: Elements that are furniture by their tag or role.
-FURNITURE = {"nav", "header", "footer", "aside", "form", "button", "menu", "dialog", "search", "fieldset", "label", "input"}
+FURNITURE = {"nav", "header", "footer", "aside", "form", "button", "menu", "dialog", "search", "fieldset", "input"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog", "toolbar"}
 MAIN = {"article", "main"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "math", "mfrac", "mi", "mn", "mo", "mrow", "msqrt", "msub", "msup", "mtext", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 #: What an opening tag closes if it is open and nothing in the second set lies between.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, set())}
 CLOSES_P = {"address", "article", "aside", "blockquote", "details", "dialog", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
-#: Words of a class, id or role that name furniture.
+#: Words of a class, id or role that name furniture, as a whole name or at its end (site-header, cookie-notice).
 NAMES = re.compile(
     r"^(ad|ads|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|nav|navbar|navigation|menu|menus|breadcrumb|breadcrumbs|header|masthead|footer|sidebar|aside|comment|comments|commentlist|disqus|reply|replies|respond|"
-    r"cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|recommendations|widget|widgets|pagination|pager|toolbar|skip|legal|copyright|disclaimer)$"
+    r"cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|buttons|social|related|recommended|recommendations|widget|widgets|pagination|pager|toolbar|skip|legal|copyright|disclaimer)$"
 )
+#: Words that name furniture at the beginning of a longer name too (ad-slot, comment-list), and those that name a part of the article whatever follows (article-header).
+LEADING = {"ad", "ads", "advert", "advertisement", "comment", "comments", "cookie", "cookies", "disqus", "nav", "navbar", "newsletter", "sidebar", "sponsored"}
+CONTENT = {"article", "body", "chapter", "content", "entry", "main", "page", "post", "section", "story", "text"}
+
+
+def _names_furniture(name: str) -> bool:
+    words = [w for w in re.split(r"[-_]+", name) if w]
+    return bool(words) and (len(words) == 1 or words[0] not in CONTENT) and (bool(NAMES.match(words[-1])) or (len(words) > 1 and words[0] in LEADING))
 
 
 def _furniture(tag: str, attributes: str) -> tuple[bool, str]:
@@ -52,7 +60,7 @@ def _furniture(tag: str, attributes: str) -> tuple[bool, str]:
     names = [x for k in ("class", "id") for x in found.get(k, "").lower().split()]
     noisy = tag in FURNITURE or found.get("role", "").lower() in ROLES or found.get("aria-hidden") == "true" or bool(re.search(r"(^|\s)hidden(\s|=|$)", attributes)) or "display:none" in found.get("style", "").replace(" ", "").lower()
     if tag not in {"html", "body", *MAIN} or (tag == "article" and names):
-        noisy = noisy or any(NAMES.match(w) for x in names for w in re.split(r"[-_]+", x))
+        noisy = noisy or any(map(_names_furniture, names))
     return noisy, f"{tag}.{'.'.join(_DIGITS.sub('0', x) for x in names[:2])}" if names else tag
 
 
@@ -240,15 +248,15 @@ def importances(nodes: DataFrame, fade: float = 0.9) -> DataFrame:
     return out
 
 
-def template_nodes(pages: DataFrame, least_pages: int = 8, importance: float = 0.3) -> DataFrame:
+def template_nodes(pages: DataFrame, prior: float = 3.0, importance: float = 0.3) -> DataFrame:
     """pages(host, html) -> host, node: the tops of the branches in which every node's importance is below the threshold.
 
-    Hosts under `least_pages` distinct pages have none: there,
-    what is common can't be told from what is alike by chance. A node must occur on half of the host's pages.
+    On few pages, what is common can't be told from what is alike by chance, so a branch's importance is shrunk towards 1 as by `prior` more pages on which it is important:
+    what never changes goes where 8 pages show it, and what changes a little needs more. A node must occur on half of the host's pages.
     """
     nodes = stage(style_nodes(pages), "nodes")
-    size = nodes.filter("depth = 0").select("host", F.col("m").alias("pages")).filter(F.col("pages") >= least_pages)
-    found = importances(nodes).filter(F.col("top") < importance).join(size, "host").filter("2 * m >= pages").select("host", "node", "parent")
+    size = nodes.filter("depth = 0").select("host", F.col("m").alias("pages"))
+    found = importances(nodes).filter((F.col("m") * F.col("top") + prior) / (F.col("m") + prior) < importance).join(size, "host").filter("2 * m >= pages").select("host", "node", "parent")
     found = stage(found, "low")
     return found.join(found.select("host", F.col("node").alias("parent")), ["host", "parent"], "left_anti").select("host", "node")
 
@@ -275,8 +283,10 @@ def main_text(pages: DataFrame, most_broadcast: int = 50_000, **options) -> Data
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.col("html").cast("string").alias("html"))
-    gone = stage(template_nodes(pages, **options), "templates").groupBy("host").agg(F.collect_set("node").alias("gone"))
-    # Hosts with templates go to all executors only if they are few; else the pages meet them by host.
-    read = pages.join(small_side(gone, most_broadcast), "host", "left").select("page_id", "url", "html", "gone")
+    gone = stage(template_nodes(pages, **options), "templates")
+    # Templates go to all executors only if they are few in all; else the pages meet them by host.
+    few = gone.limit(most_broadcast + 1).count() <= most_broadcast
+    gone = gone.groupBy("host").agg(F.collect_set("node").alias("gone"))
+    read = pages.join(F.broadcast(gone) if few else gone, "host", "left").select("page_id", "url", "html", "gone")
     out = read.mapInArrow(_texts, "page_id long, url string, text string")
     return out.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -111,6 +111,11 @@ def test_main_text_without_furniture():
     assert html_extract.article_blocks(None) == html_extract.article_blocks("") == [] and [t for _, t in html_extract.article_blocks("<p>x<!-- y --><nav>m</nav>")] == ["x"]
 
 
+def test_parts_of_the_article_stay_whatever_their_names_recall():
+    page = "<body><div class='site-header'>Site</div><article><div class='article-header'><h1>Head</h1></div><p class='notice-period'>Notice</p><p class='share-price'>Price</p><p>x<math><mi>y</mi></math> <label>z</label></p><div class='ad-slot'>Buy</div><ul class='comment-list'><li>me</ul><div class='cookie-notice'>We</div></article>"
+    assert [t for _, t in html_extract.article_blocks(page)] == ["Head", "Notice", "Price", "xy z"]
+
+
 def test_what_all_pages_of_a_site_share_is_left_out(spark):
     rows = [(k, f"http://h/{k}", f"<body><div class='x'>Same on all</div><div class='y'><p>{prose(k, 12)}</p></div></body>") for k in range(20)] + [(99, None, None)]
     got = {r.page_id: r for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
