@@ -56,6 +56,10 @@ def test_near_duplicates_match_brute_force(spark):
 
 def test_empty_tables_give_empty_results(spark):
     docs, labels = table(spark, []), spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    model = model_file([("<unk>", 0.0, 2), ("a", -1.0, 1)], 1)
+    for df in (warc.archive_pages(pages), html_extract.main_text(pages), sentencepiece_fst.coded(docs, model), mixing.mix(docs), mixing.mixed_documents(docs), minhash.deduplicate(docs), pii.redact(docs), quality_rules.drop_low_quality(docs, labels)):
+        assert df.count() == 0
     for df in (minhash.near_duplicates(docs), quality_rules.isolation_verdicts(docs, labels), toxicity.toxicity_scores(docs, toxicity.fit(docs, labels)), fingerprints.edited_and_next(docs), pii.personal_data(docs), quality_bayes.site_quality(docs, labels)):
         assert df.count() == 0
 
@@ -151,6 +155,20 @@ def test_style_tree_holds_all_blocks_and_drops_whole_branches(spark):
     assert a != b
 
 
+def test_pages_with_clashing_columns_and_many_rows_of_one_id(spark):
+    rows = [(None if k % 3 else 7, f"http://h{k % 2}/", f"<article><p>{prose(k % 4, 300)}</p></article>", "x", "y") for k in range(24)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string, digest string")
+    texts = html_extract.main_text(pages).collect()
+    assert sorted(r.text for r in texts) == sorted(prose(k % 4, 300) for k in range(24))
+    got = warc.archive_pages(pages).collect()
+    assert len(got) == 24 and sorted(r.payload_digest for r in got) == sorted(hashlib.sha1(r[2].encode()).hexdigest() for r in rows)
+    assert {r.record_type for r in got if r.page_id == 7} == {"response"} and all(r.refers_to == 7 for r in got if r.record_type == "revisit")
+    docs = table(spark, [(None if k % 2 else 5, prose(k % 3, 200)) for k in range(18)])
+    assert fingerprints.edited_and_next(docs).count() == 18 and mixing.mix(docs).count() == 18
+    linked = minhash.near_duplicates(docs).collect()
+    assert len(linked) == 18 and {r.component_id for r in linked} == {5}
+
+
 def test_pieces_equal_the_library(spark):
     spm = pytest.importorskip("sentencepiece")
     public = pytest.importorskip("public_tokenizers")
@@ -214,6 +232,9 @@ def test_sketches_follow_the_similarity(spark):
             edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
             assert got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and got[i].n_chars == len(t)
             assert got[i].fingerprint == fingerprints.encode(fingerprints.sketch(t)) and 0 <= got[i].near_next <= 1
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, t in order for w in [(t or "").split()]}
+    for (i, _), (j, _) in zip(order[:11], order[1:12]):
+        assert abs(got[i].near_next - len(sets[i] & sets[j]) / max(1, len(sets[i] | sets[j]))) < 0.1 and 0.15 < got[i].near_edited < 0.5
     a, b = fingerprints.sketch(prose(1, 2000)), fingerprints.sketch(prose(1, 2000) + " " + prose(2, 8000))
     assert fingerprints.containment(a, b) > 0.98 and fingerprints.likeness(a, b) < 0.3 and (fingerprints.decode(fingerprints.encode(a)) == a).all()
 
@@ -240,6 +261,31 @@ def test_mix_meets_its_targets(spark):
         assert abs(sum(r.taken for r in mine) - target) <= 0.02 * target + 5
 
 
+def test_rates_solve_the_dual(spark):
+    texts = [(k, prose(k, 5 + k * k % 190)) for k in range(400)]
+    sources = [f"s{k % 5}" for k in range(400)]
+    rows = mixing.mix(table(spark, texts, sources)).collect()
+    f = {r.doc_id: np.log1p(r.size) for r in rows}
+    centre = sum(r.size * f[r.doc_id] for r in rows) / sum(r.size for r in rows)
+    tilted = 0
+    for name in sorted(set(sources)):
+        mine = [r for r in rows if r.source == name]
+        size, target = mine[0].source_size, mine[0].target
+        assert abs(sum(r.size * r.rate for r in mine) - target) <= 1e-5 * size
+        free = [r for r in mine if r.rate < 2]
+        if not free:
+            assert target == 2 * size
+            continue
+        x, z = np.array([f[r.doc_id] - centre for r in free]), np.log([r.rate for r in free])
+        b, a = np.polyfit(x, z, 1)
+        assert np.abs(a + b * x - z).max() < 1e-6  # exponentially tilted
+        assert all(a + b * (f[r.doc_id] - centre) >= np.log(2) - 1e-6 for r in mine if r.rate == 2)
+        assert abs(sum(r.size * r.rate * (f[r.doc_id] - centre) for r in mine) + mixing.RIDGE * size * b) <= 1e-5 * size
+        tilted += abs(b) > 1e-3
+        assert abs(sum(r.taken for r in mine) - target) <= 200  # a document or so
+    assert tilted >= 2
+
+
 PATTERNS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
 
