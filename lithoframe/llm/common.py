@@ -60,17 +60,18 @@ class Scratch:
 
 
 def placed_rows(docs: DataFrame) -> DataFrame:
-    """docs with two long columns that name a row whatever it holds: `_file` (a hash of its file's path) and `_at` (its place in the file).
+    """_doc (a struct of the row), and two long columns that name the row whatever it holds: `_file` (a hash of its file's path) and `_at` (its place in the file).
 
-    They come from the files that docs is read from, so they stay the same when docs is read again; anything else than plain files is staged once.
+    They come from the files that docs is read from, so they stay the same when docs is read again; anything else than plain files is staged once. No column of docs can clash with them.
     """
+    place = [F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at")]
     try:
-        found = docs.select("*", F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+        found = docs.select(F.struct(*docs.columns).alias("_doc"), *place)
         found.schema  # noqa: B018  (resolves the names)
         return found
     except AnalysisException:
         docs = stage(docs, "rows")
-        return docs.select("*", F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+        return docs.select(F.struct(*docs.columns).alias("_doc"), *place)
 
 
 def bounded_sample(df: DataFrame, most: int) -> DataFrame:

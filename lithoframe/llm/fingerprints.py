@@ -72,7 +72,7 @@ def in_order(docs: DataFrame, block_bytes: int = 32 << 20) -> DataFrame:
     first row of the block after it (of the first block, for the last one), marked as halo. So texts are shuffled once.
     """
     spark = docs.sparkSession
-    docs = placed_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).withColumns({"at": F.coalesce("doc_id", F.lit(-(2**63))), "g": F.xxhash64("_file", "_at")}).drop("_file", "_at")
+    docs = placed_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("_doc.*", F.coalesce("_doc.doc_id", F.lit(-(2**63))).alias("at"), F.xxhash64("_file", "_at").alias("g"))
     whole = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-whole // block_bytes))
     cuts = Counter(int(x) for x in docs.agg(F.percentile_approx("at", [k / count for k in range(1, count)], 10 * count).alias("q")).first()["q"] or [])

@@ -208,8 +208,8 @@ def deduplicate(docs: DataFrame, hot: int = 1000) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession)
     rows = placed_rows(docs)
-    part = _labelled(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "_file", "_at"), ("_file", "_at"), hot)
+    part = _labelled(rows.select(F.col("_doc.doc_id").cast("long").alias("doc_id"), "_doc.text", "_file", "_at"), ("_file", "_at"), hot)
     part = scratch.stage(part.select("row", "component", F.col("doc_id").isNull().alias("odd"), "doc_id", "_file", "_at"), "parts")
     first = part.groupBy("component").agg(F.min(F.struct("odd", "doc_id", "row"))["row"].alias("row"))
     gone = scratch.stage(part.join(first.select("row"), "row", "left_anti").select("_file", "_at"), "gone")
-    return rows.join(small_side(gone), ["_file", "_at"], "left_anti").select(docs.columns)
+    return rows.join(small_side(gone), ["_file", "_at"], "left_anti").select("_doc.*")

@@ -27,7 +27,7 @@ RIDGE = 0.05
 _SOURCES = 50_000
 
 
-def size(text: str = "text") -> Column:
+def size(text: str | Column = "text") -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
@@ -143,14 +143,19 @@ def _with_number(docs: DataFrame) -> DataFrame:
     return docs.withColumn("turn_of", (F.pmod(key, F.lit(1 << 40)) + 0.5) / float(1 << 40))
 
 
-def _planned(docs: DataFrame, weights: tuple[int, ...], share: float, most: int, feature: Column | None, ridge: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _narrow(feature: str | None) -> list[Column]:
+    """What the mix needs of placed_rows(); feature names a column of the documents."""
+    text = F.col("_doc.text").cast("string")
+    return [
+        F.col("_doc.doc_id").cast("long").alias("doc_id"), F.col("_doc.source").cast("string").alias("source"), size(text).alias("size"), F.xxhash64(text).alias("h"), F.xxhash64("_file", "_at").alias("place"),
+        (F.log1p(size(text)) if feature is None else F.col("_doc")[feature].cast("double")).alias("feature"),
+    ]
+
+
+def _planned(docs: DataFrame, weights: tuple[int, ...], share: float, most: int, feature: str | None, ridge: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """The narrow columns of docs (as placed_rows() gives them), the duals of each source, the rows that agree in doc_id and text, and the thresholds of turn, all staged. Texts are neither staged nor shuffled."""
     scratch = Scratch(docs.sparkSession)
-    narrow = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size().alias("size"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.xxhash64("_file", "_at").alias("place"),
-        (F.log1p(size()) if feature is None else feature.cast("double")).alias("feature"),
-    )
-    rows = scratch.stage(narrow, "sizes")
+    rows = scratch.stage(docs.select(*_narrow(feature)), "sizes")
     masses = scratch.stage(rows.groupBy("source", "feature").agg(F.sum("size").alias("mass")), "masses")
     targets = scratch.stage(source_targets(masses.groupBy("source").agg(F.sum("mass").alias("source_size")), weights, share, most), "targets")
     facts = scratch.stage(source_duals(masses, targets, most, ridge), "facts")
@@ -176,11 +181,11 @@ def _with_copies(out: DataFrame, upto: DataFrame) -> DataFrame:
     return out.withColumn("copies", (F.floor("rate") + (F.col("turn") < F.col("upto")).cast("int")).cast("long"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, feature: Column | None = None, ridge: float = RIDGE) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, feature: str | None = None, ridge: float = RIDGE) -> DataFrame:
     """documents -> doc_id, source, size, source_size, target, rate, copies, taken (copies * size).
 
     size is the number of words, 0 for null and empty texts, which get copies by their rate but take nothing. A null source is a
-    source. feature is a column of documents that tilts the rates within a source (the logarithm of size + 1 by default). Copies are 0 to `most`. Repeated rows
+    source. feature names a column of documents that tilts the rates within a source (the logarithm of size + 1 by default). Copies are 0 to `most`. Repeated rows
     are documents of their own. An empty table gives none; other columns are ignored. Reruns over the same files agree.
     """
     rows, facts, twins, upto = _planned(placed_rows(docs), weights, share, most, feature, ridge)
@@ -188,16 +193,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     return out.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, feature: Column | None = None, ridge: float = RIDGE) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, feature: str | None = None, ridge: float = RIDGE) -> DataFrame:
     """documents -> the same columns, each row as many times as the mix takes it.
 
     docs is read twice: for the plan, and to repeat its rows by their own columns and the small tables of the plan, without a shuffle. Null and repeated doc_ids count like others.
     """
-    columns, docs = docs.columns, placed_rows(docs)
+    docs = placed_rows(docs)
     _, facts, twins, upto = _planned(docs, weights, share, most, feature, ridge)
-    rows = docs.select(
-        F.struct(*columns).alias("_doc"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.xxhash64("_file", "_at").alias("place"),
-        (F.log1p(size()) if feature is None else feature.cast("double")).alias("feature"),
-    )
-    out = _with_copies(_with_turn(rows, facts, twins, most), upto).filter("copies > 0")
+    out = _with_copies(_with_turn(docs.select("_doc", *_narrow(feature)), facts, twins, most), upto).filter("copies > 0")
     return out.select("_doc", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("_doc.*")

@@ -165,6 +165,9 @@ def test_pages_with_clashing_columns_and_many_rows_of_one_id(spark):
     assert {r.record_type for r in got if r.page_id == 7} == {"response"} and all(r.refers_to == 7 for r in got if r.record_type == "revisit")
     docs = table(spark, [(None if k % 2 else 5, prose(k % 3, 200)) for k in range(18)])
     assert fingerprints.edited_and_next(docs).count() == 18 and mixing.mix(docs).count() == 18
+    odd = docs.withColumns({k: F.lit(1) for k in ("_file", "_at", "_doc", "size", "h", "place", "turn", "rate", "copies", "component", "row", "base", "found")})
+    for df in (mixing.mixed_documents(odd), minhash.deduplicate(odd), pii.redact(odd), quality_rules.drop_low_quality(odd, spark.createDataFrame([], "doc_id long, quality int"))):
+        assert df.columns == odd.columns and df.count() > 0
     linked = minhash.near_duplicates(docs).collect()
     assert len(linked) == 18 and {r.component_id for r in linked} == {5}
 
