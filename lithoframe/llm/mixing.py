@@ -65,6 +65,7 @@ def source_duals(masses: DataFrame, targets: DataFrame, most: int = MOST, ridge:
     All sources move in the same jobs, one grouped aggregation a step.
     """
     scratch = Scratch(masses.sparkSession)
+    few = targets.limit(_SOURCES + 1).count() <= _SOURCES
     centre = masses.agg(F.sum(F.col("mass") * F.col("feature")) / F.sum("mass")).first()[0] or 0.0
     full = (F.col("target") >= most * F.col("source_size")) | (F.col("source_size") == 0)
     zero = {k: F.lit(0.0) for k in ("b", "ta", "tb", "ga", "gb")} | {"best": F.lit(math.inf), "value": F.lit(math.inf)}
@@ -76,7 +77,8 @@ def source_duals(masses: DataFrame, targets: DataFrame, most: int = MOST, ridge:
         rate = F.when(inside, F.exp(z)).otherwise(float(most))
         dual = F.when(inside, F.exp(z)).otherwise(most * (z - cap) + most)
         m = F.col("mass")
-        open_ = small_side(at.filter("not done").select(F.col("source").alias("s"), "ta", "tb"), _SOURCES)
+        open_ = at.filter("not done").select(F.col("source").alias("s"), "ta", "tb")
+        open_ = F.broadcast(open_) if few else open_
         part = masses.join(open_, F.col("source").eqNullSafe(F.col("s")))
         curve = F.when(inside, m * rate).otherwise(0.0)
         sums = part.groupBy("s").agg(F.sum(m * dual).alias("v"), F.sum(m * rate).alias("got"), F.sum(m * rate * x).alias("gx"), F.sum(curve).alias("h0"), F.sum(curve * x).alias("h1"), F.sum(curve * x * x).alias("h2"))
@@ -115,15 +117,17 @@ def _thresholds(rows: DataFrame, facts: DataFrame, scratch: Scratch, rounds: int
     need = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("whole")).alias("sure")).withColumnRenamed("source", "s")
     at = facts.join(need, F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("s"), (F.col("target") - F.coalesce("sure", F.lit(0))).cast("double").alias("need"), F.lit(0.0).alias("lo"))
     at = scratch.stage(at, "needs")
+    few = at.limit(_SOURCES + 1).count() <= _SOURCES
+    small = lambda df: F.broadcast(df) if few else df  # noqa: E731  (a row a source)
     width = 1.0
     for _ in range(rounds):
         width /= bins
         # Bins are counted from the exact lower end; a row belongs to the interval that the last round chose, its right end excluded.
-        part = rows.filter("turn < 1").join(small_side(at, _SOURCES), F.col("source").eqNullSafe(F.col("s"))).withColumn("bin", F.floor((F.col("turn") - F.col("lo")) / width))
+        part = rows.filter("turn < 1").join(small(at), F.col("source").eqNullSafe(F.col("s"))).withColumn("bin", F.floor((F.col("turn") - F.col("lo")) / width))
         sums = part.filter((F.col("bin") >= 0) & (F.col("bin") < bins)).groupBy("s", "bin").agg(F.sum("size").alias("m"))
         w = Window.partitionBy("s").orderBy("bin")
         sums = sums.withColumn("upto", F.sum("m").over(w))
-        sums = sums.withColumnRenamed("s", "k").join(small_side(at, _SOURCES), F.col("k").eqNullSafe(F.col("s")))
+        sums = sums.withColumnRenamed("s", "k").join(small(at), F.col("k").eqNullSafe(F.col("s")))
         # the first bin that passes what is needed, or the end
         crossed = sums.filter(F.col("upto") > F.col("need")).groupBy("k").agg(F.min(F.struct("bin", (F.col("upto") - F.col("m")).alias("before"))).alias("c"))
         nxt = at.join(crossed, F.col("s").eqNullSafe(F.col("k")), "left")
@@ -132,7 +136,7 @@ def _thresholds(rows: DataFrame, facts: DataFrame, scratch: Scratch, rounds: int
         old, at = at, scratch.stage(nxt, "needs")
         scratch.drop(old)
     # Of the last bin, which holds a document or so, all or none: whichever is nearer.
-    last = rows.join(small_side(at, _SOURCES), F.col("source").eqNullSafe(F.col("s"))).filter((F.col("turn") >= F.col("lo")) & (F.col("turn") < F.col("lo") + width)).groupBy("s").agg(F.sum("size").alias("m")).withColumnRenamed("s", "k")
+    last = rows.join(small(at), F.col("source").eqNullSafe(F.col("s"))).filter((F.col("turn") >= F.col("lo")) & (F.col("turn") < F.col("lo") + width)).groupBy("s").agg(F.sum("size").alias("m")).withColumnRenamed("s", "k")
     at = at.join(last, F.col("s").eqNullSafe(F.col("k")), "left")
     return at.select("s", F.when(F.col("need") * 2 > F.coalesce("m", F.lit(0)), F.col("lo") + width).otherwise(F.col("lo")).alias("upto"))
 
