@@ -56,12 +56,12 @@ def most_frequent(values: list[Column]) -> tuple[Column, Column]:
 
 
 def with_label_square(labels: DataFrame) -> DataFrame:
-    """labels with the 3x3 labels in row-major order as columns _n0 to _n8; null outside the image. A row of three is packed into one number on its way to the rows beside it, so labels must be under 254."""
-    code = F.coalesce(C("label") + 1, F.lit(0))
-    out = labels.withColumn("_c", code)
-    out = out.withColumn("_row", F.coalesce(F.lag("_c").over(row()), F.lit(0)) * 65536 + C("_c") * 256 + F.coalesce(F.lead("_c").over(row()), F.lit(0)))
-    out = out.withColumns({"_up": F.coalesce(F.lag("_row").over(column()), F.lit(0)), "_down": F.coalesce(F.lead("_row").over(column()), F.lit(0))})
-    part = lambda c, k: F.nullif(F.shiftright(c, 16 - 8 * k).bitwiseAND(255), F.lit(0)) - 1
+    """labels with the 3x3 labels in row-major order as columns _n0 to _n8; null outside the image. A row of three is packed into one long on its way to the rows beside it, 20 bits a label: labels must be under a million."""
+    none, wide = F.lit(0).cast("long"), 1 << 20
+    out = labels.withColumn("_c", F.coalesce(C("label").cast("long") + 1, none))
+    out = out.withColumn("_row", F.coalesce(F.lag("_c").over(row()), none) * (wide * wide) + C("_c") * wide + F.coalesce(F.lead("_c").over(row()), none))
+    out = out.withColumns({"_up": F.coalesce(F.lag("_row").over(column()), none), "_down": F.coalesce(F.lead("_row").over(column()), none)})
+    part = lambda c, k: (F.nullif(F.shiftright(c, 40 - 20 * k).bitwiseAND(wide - 1), none) - 1).cast("int")
     return out.withColumns({f"_n{3 * j + k}": part(C(c), k) for j, c in enumerate(("_up", "_row", "_down")) for k in range(3)}).drop("_c", "_row", "_up", "_down")
 
 

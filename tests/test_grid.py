@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql.functions import col as C
 from rasters import drawn, shown
 
 from lithoframe.operators import cells, components, grid, morph, regions, runs
@@ -9,6 +10,12 @@ def test_majority_takes_the_first_of_equals_and_leaves_the_border(spark):
     assert shown(grid.denoise_labels(drawn(spark, "111 1.1 111"))) == ["111", "1.1", "111"]
 
 
+def test_large_labels_are_votes_too(spark):
+    big = drawn(spark, "112 132 222").withColumn("label", C("label") * 100_000 + 7)
+    got = {(r.x, r.y): r.label for r in grid.denoise_labels(big).collect()}
+    assert got[1, 1] == 200_007 and got[0, 0] == 100_007
+
+
 def test_boundaries_need_five_of_nine(spark):
     assert shown(grid.smooth_label_boundaries(drawn(spark, "111 121 222"), 1)) == ["111", "111", "222"]
     assert shown(grid.smooth_label_boundaries(drawn(spark, "11. 12. 22."), 1)) == ["11.", "12.", "22."]
