@@ -8,7 +8,7 @@ Candidates are confirmed on their full shingle sets.
 Work is bounded without a cap: equal sets become one class first. In each bucket the members meet the bucket's
 smallest class only, at first one such class each, and then those that are still apart from it. What is left over are the buckets whose members are in different components. There an
 exact similarity join takes over: shingles are ordered from rare to frequent, and two sets of the similarity asked for share one of the first quarter of each
-(prefix filter), at places that leave room for enough others (position filter). Documents that merely share a passage, or loose copies of one text, have their own rare shingles first,
+(prefix filter), at places that leave room for enough others (position filter). Marks of each set in 1024 cells bound what two sets can share. Documents that merely share a passage, or loose copies of one text, have their own rare shingles first,
 so they don't meet, and no link is lost.
 """
 
@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from lithoframe.llm.common import Scratch, ascii_words, list_array, mix64, odd_constants, placed_rows, shingle_set, small_side
 from lithoframe.llm.graph import connected_components
 
-BANDS, ROWS, WIDTH, CELLS = 44, 4, 5, 1 << 18
+BANDS, ROWS, WIDTH, CELLS, MARKS = 44, 4, 5, 1 << 18, 1024
+_WORDS = [f"w{k}" for k in range(MARKS // 64)]
 _MUL, _ADD = odd_constants(BANDS * ROWS // 2, 11), odd_constants(BANDS * ROWS // 2, 13)
 _IN_BAND, _BAND = odd_constants(ROWS, 17), odd_constants(BANDS, 19)
 _SUMS = odd_constants(2, 23)
@@ -75,26 +76,35 @@ def _cell_counts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(times[cell], pa.int64())], ["cell", "times"])
 
 
+def cell_marks(shingles: np.ndarray) -> np.ndarray:
+    """The cells of MARKS that a set's shingles fall in, as bits in 64-bit words. A cell that x has and y lacks holds a shingle that x has and y lacks."""
+    bits = np.zeros(MARKS, np.uint8)
+    bits[(shingles >> np.uint64(24)) % np.uint64(MARKS)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def prefix_length(n: int) -> int:
     """How many shingles of n, in any one order, must be looked at: a set of similarity 0.75 has at least three quarters of the n."""
     return n - -(-3 * n // 4) + 1
 
 
 def _prefixes(order: np.ndarray):
-    """Texts -> (rep, n, c, h, at): the first shingles of each set in the order of their cells' rank, then of themselves, and their places."""
+    """Texts -> (rep, n, c, h, at, marks): the first shingles of each set in the order of their cells' rank, then of themselves, their places, and the set's marks."""
 
     def run(batches):
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for first in range(0, len(texts), 256):
-                part, firsts = batch.slice(first, 256), []
+                part, firsts, marks = batch.slice(first, 256), [], []
                 for text in texts[first : first + 256]:
                     s = shingle_set(ascii_words(text), WIDTH)
                     firsts.append(s[np.lexsort((s, order[_cells(s)]))][: prefix_length(len(s))])
+                    marks.append(cell_marks(s))
+                marks = np.array(marks)
                 sizes = [len(x) for x in firsts]
                 of = pa.array(np.repeat(np.arange(len(firsts)), sizes))
                 at = np.concatenate([np.arange(k) for k in sizes]) if sizes else np.zeros(0, int)
-                yield pa.RecordBatch.from_arrays([*(part.column(k).take(of) for k in ("rep", "n", "c")), pa.array(np.concatenate(firsts).view(np.int64)), pa.array(at, pa.int64())], ["rep", "n", "c", "h", "at"])
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(of) for k in ("rep", "n", "c")), pa.array(np.concatenate(firsts).view(np.int64)), pa.array(at, pa.int64()), *(pa.array(np.repeat(marks[:, k], sizes)) for k in range(len(_WORDS)))], ["rep", "n", "c", "h", "at", *_WORDS])
 
     return run
 
@@ -166,10 +176,12 @@ def _labelled(docs: DataFrame, keys: tuple[str, ...], hot: int) -> DataFrame:
     times = np.zeros(CELLS, np.int64)
     for r in rest.select("text").mapInArrow(_cell_counts, "cell int, times long").groupBy("cell").agg(F.sum("times").alias("times")).toLocalIterator():
         times[r["cell"]] = r["times"]  # CELLS numbers, whatever the data
-    prefixes = scratch.stage(rest.mapInArrow(_prefixes(times), "rep long, n long, c long, h long, at long"), "prefixes")
-    x, y = (prefixes.select("h", *(F.col(k).alias(f"{k}_{s}") for k in ("rep", "n", "c", "at"))) for s in ("x", "y"))
-    # this shingle and what can follow it in the shorter rest
-    across = x.join(y, "h").filter("rep_x < rep_y and c_x <> c_y and 4 * least(n_x, n_y) >= 3 * greatest(n_x, n_y) and 175 * least(n_x - at_x, n_y - at_y) >= 75 * (n_x + n_y)")
+    prefixes = scratch.stage(rest.mapInArrow(_prefixes(times), "rep long, n long, c long, h long, at long, " + ", ".join(f"{w} long" for w in _WORDS)), "prefixes")
+    x, y = (prefixes.select("h", *(F.col(k).alias(f"{k}_{s}") for k in ("rep", "n", "c", "at", *_WORDS))) for s in ("x", "y"))
+    alone = [" + ".join(f"bit_count({w}_{s} & ~{w}_{t})" for w in _WORDS) for s, t in ("xy", "yx")]
+    # What two sets can share: this shingle and what can follow it in the shorter rest, and no more than their marks allow.
+    most = f"least(n_x - at_x, n_y - at_y, n_x - ({alone[0]}), n_y - ({alone[1]}))"
+    across = x.join(y, "h").filter(f"rep_x < rep_y and c_x <> c_y and 4 * least(n_x, n_y) >= 3 * greatest(n_x, n_y) and 175 * {most} >= 75 * (n_x + n_y)")
     across = scratch.stage(across.select(F.col("rep_y").alias("a"), F.col("rep_x").alias("b")).distinct(), "across")
     second = _links(across, rest)
     component = connected_components(first.unionByName(second))
