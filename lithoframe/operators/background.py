@@ -66,10 +66,14 @@ def _box(frame: pd.DataFrame, value: str) -> tuple[np.ndarray, np.ndarray, np.nd
     return y, x, box, np.zeros(box.shape, bool)
 
 
-def _haloes(frame: pd.DataFrame, passes: int = 4) -> pd.DataFrame:
-    """Candidates of one image in raster order, in place, `passes` times at most: one goes if it is open, or if a side of it has gone."""
+#: Halos are cleared in this many passes at most.
+_PASSES = 4
+
+
+def _haloes(frame: pd.DataFrame) -> pd.DataFrame:
+    """Candidates of one image in raster order, in place, four times at most: one goes if it is open, or if a side of it has gone. (One parameter: with two, applyInPandas would hand over the key first.)"""
     y, x, box, gone = _box(frame, "open")
-    for _ in range(passes):
+    for _ in range(_PASSES):
         before = gone.sum()
         for r in range(1, len(box) - 1):
             sure = gone[r] | (box[r] == 1) | ((box[r] == 0) & (gone[r - 1] | gone[r + 1] | np.append(gone[r, 1:], False)))

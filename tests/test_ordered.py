@@ -56,3 +56,35 @@ def test_pockets_match_a_plain_loop():
         labels[hole > 0] = -1
         ink = rng.random((h, w)) < 0.3
         assert (filled(labels, ink, hole) == cells._fill(labels, ink, hole)).all()
+
+
+def test_halos_and_lone_pixels_go_through_spark(spark):
+    """Candidates reach the helpers as Spark hands them over."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(3)
+    rows, want = [], {}
+    for image in range(6):
+        h, w = 9 + image, 12
+        alpha = np.where(rng.random((h, w)) < 0.25, 0, 255)
+        light = rng.random((h, w)) < 0.7
+        rows += [(image, w, h, x, y, *((245, 245, 245) if light[y, x] else (20, 40, 200)), int(alpha[y, x])) for y in range(h) for x in range(w)]
+        now = alpha.copy()
+        for _ in range(4):
+            for y in range(1, h - 1):
+                for x in range(1, w - 1):
+                    if light[y, x] and now[y, x] and 0 in (now[y - 1, x], now[y + 1, x], now[y, x - 1], now[y, x + 1]):
+                        now[y, x] = 0
+        want[image] = now.copy()
+        for y in range(1, h - 1):
+            for x in range(1, w - 1):
+                if now[y, x] and (now[y - 1 : y + 2, x - 1 : x + 2] > 0).sum() - 1 <= 1:
+                    now[y, x] = 0
+        want[image, "lone"] = now
+    pixels = spark.createDataFrame(rows, "image_id long, w int, h int, x int, y int, r int, g int, b int, a int")
+    clear = background.clear_halos(pixels.withColumns({"light_backdrop": F.lit(True), "_bgl": F.lit(250.0)}))
+    for found, name in ((clear, lambda k: k), (background.despeckle(clear), lambda k: (k, "lone"))):
+        seen = {(r.image_id, r.y, r.x): r.a for r in found.collect()}
+        assert len(seen) == len(rows)
+        assert all(seen[k, y, x] == want[name(k)][y, x] for k, y, x in seen)
+    assert any((want[k] != want[k, "lone"]).any() for k in range(6))
