@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lithoframe.llm import fingerprints, html_extract, minhash, mixing, pii, quality_bayes, quality_rules, sentencepiece_fst, toxicity, warc
+from lithoframe.llm import fingerprints, html_extract, minhash, mixing, pii, quality_bayes, quality_rules, sentencepiece_fst, source_audit, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op10_context_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(_table(spark, sf_dir, "documents"))
 
 
+def op11_pattern_tree_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(_table(spark, sf_dir, "documents"))
+
+
 WARC_SQL = """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 g AS (SELECT payload_digest, max(page_id) AS first FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest HAVING count(*) > 1)
@@ -71,11 +75,29 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM p LEFT JOIN g USING (payload_digest)
 """
 
+#: Every pair of sources term by term, without the tree.
+AUDIT_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+w AS (SELECT id, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS total FROM w GROUP BY lang, term HAVING count(DISTINCT id) >= 3),
+c AS (SELECT w.lang, source, w.term, count(*) AS n FROM w JOIN k ON k.lang = w.lang AND k.term = w.term GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v, sum(total) AS n FROM k GROUP BY lang),
+s AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS n FROM g LEFT JOIN c ON c.lang = g.lang AND c.source = g.source GROUP BY ALL),
+r AS (SELECT k.lang, s.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (s.n + v.v) AS p, 1 + (1000000000::HUGEINT * (k.total + 1)) // (v.n + v.v) AS q
+ FROM k JOIN v ON v.lang = k.lang JOIN s ON s.lang = k.lang LEFT JOIN c ON c.lang = k.lang AND c.source = s.source AND c.term = k.term),
+pv AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM r a JOIN r b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pr AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pv.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pv ON pv.lang = a.lang AND pv.source = a.source AND pv.item = b.source),
+te AS (SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // q)::BIGINT AS value FROM r WHERE n > 0 AND p > q),
+al AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM (SELECT * FROM pr UNION ALL SELECT * FROM te))
+SELECT * FROM al WHERE part = 'pair' OR rank <= 200
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_minmax_dedup, op2_isolation_rules, op3_subword_toxicity, op4_warc_archive, op5_style_tree, op6_piece_transducer, op7_scaled_sketch, op8_entropy_mix, op9_site_bayes, op10_context_pii)
+    found = (op1_minmax_dedup, op2_isolation_rules, op3_subword_toxicity, op4_warc_archive, op5_style_tree, op6_piece_transducer, op7_scaled_sketch, op8_entropy_mix, op9_site_bayes, op10_context_pii, op11_pattern_tree_audit)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc_archive": WARC_SQL}
+    return {"op4_warc_archive": WARC_SQL, "op11_pattern_tree_audit": AUDIT_SQL}
