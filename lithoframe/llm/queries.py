@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lithoframe.llm import fingerprints, html_extract, minhash, mixing, pii, quality_bayes, quality_rules, sentencepiece_fst, source_audit, toxicity, warc
+from lithoframe.llm import chat_format, fingerprints, html_extract, minhash, mixing, pii, quality_bayes, quality_rules, sentencepiece_fst, source_audit, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,21 @@ def op11_pattern_tree_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.audit(_table(spark, sf_dir, "documents"))
 
 
+def byte_ranks() -> tuple[bytes, str]:
+    """The public byte-level vocabulary of this machine and the pattern that splits texts for it; any file of ranks will do."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        return f.read(), public_tokenizers.PATTERN
+
+
+def op12_chat_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat_format.format_and_check(rows, *byte_ranks())
+
+
 WARC_SQL = """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 g AS (SELECT payload_digest, max(page_id) AS first FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest HAVING count(*) > 1)
@@ -93,11 +108,21 @@ al AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY val
 SELECT * FROM al WHERE part = 'pair' OR rank <= 200
 """
 
+#: Lengths of the template's marks and one backslash for each control string; the order of equal turns is the operator's.
+CHAT_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (SELECT *, length(t) + len(regexp_extract_all(t, '<\\*/?s>|\[\\*(?:/?(?:INST|SYS|ROLE)|SAYS)\]')) AS chars,
+ CASE role WHEN 'system' THEN 11 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE 19 + length(role) + len(regexp_extract_all(role, '<\\*/?s>|\[\\*(?:/?(?:INST|SYS|ROLE)|SAYS)\]')) END AS marks FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, role, md5(t))) AS turns_sha256,
+ coalesce(sum(length(t)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(t, '' ORDER BY turn NULLS FIRST, role, md5(t)) FILTER (role = 'assistant'), '')) AS loss_sha256,
+ sum(chars + marks)::BIGINT AS formatted_chars FROM e GROUP BY conv_id
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_minmax_dedup, op2_isolation_rules, op3_subword_toxicity, op4_warc_archive, op5_style_tree, op6_piece_transducer, op7_scaled_sketch, op8_entropy_mix, op9_site_bayes, op10_context_pii, op11_pattern_tree_audit)
+    found = (op1_minmax_dedup, op2_isolation_rules, op3_subword_toxicity, op4_warc_archive, op5_style_tree, op6_piece_transducer, op7_scaled_sketch, op8_entropy_mix, op9_site_bayes, op10_context_pii, op11_pattern_tree_audit, op12_chat_tokens)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc_archive": WARC_SQL, "op11_pattern_tree_audit": AUDIT_SQL}
+    return {"op4_warc_archive": WARC_SQL, "op11_pattern_tree_audit": AUDIT_SQL, "op12_chat_tokens": CHAT_SQL}
