@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lithoframe.llm import chat_format, fingerprints, html_extract, minhash, mixing, pii, quality_bayes, quality_rules, sentencepiece_fst, source_audit, toxicity, warc
+from lithoframe.llm import chat_format, fingerprints, html_extract, lexical_search, minhash, mixing, pii, quality_bayes, quality_rules, sentencepiece_fst, source_audit, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +81,10 @@ def op12_chat_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_and_check(rows, *byte_ranks())
 
 
+def op13_stratified_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 WARC_SQL = """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 g AS (SELECT payload_digest, max(page_id) AS first FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest HAVING count(*) > 1)
@@ -118,11 +122,24 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || c
  sum(chars + marks)::BIGINT AS formatted_chars FROM e GROUP BY conv_id
 """
 
+#: Every document scored for every item.
+SEARCH_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+l AS (SELECT id, doc_id, len(t) AS n, t FROM d WHERE len(t) > 0), tot AS (SELECT count(*) AS nd, sum(n) AS nt FROM l),
+p AS (SELECT id, doc_id, n, w AS term, count(*) AS tf FROM (SELECT id, doc_id, n, unnest(t) AS w FROM l) GROUP BY ALL),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+s AS (SELECT item_id, id, any_value(doc_id) AS doc_id, sum(floor(1000 * ln((2.0::DOUBLE * nd + 2) / (2.0::DOUBLE * df + 1)))::BIGINT * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nd)::BIGINT // nt))))::BIGINT AS score
+ FROM q JOIN f USING (term) JOIN p USING (term) CROSS JOIN tot GROUP BY item_id, id),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 10
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_minmax_dedup, op2_isolation_rules, op3_subword_toxicity, op4_warc_archive, op5_style_tree, op6_piece_transducer, op7_scaled_sketch, op8_entropy_mix, op9_site_bayes, op10_context_pii, op11_pattern_tree_audit, op12_chat_tokens)
+    found = (op1_minmax_dedup, op2_isolation_rules, op3_subword_toxicity, op4_warc_archive, op5_style_tree, op6_piece_transducer, op7_scaled_sketch, op8_entropy_mix, op9_site_bayes, op10_context_pii, op11_pattern_tree_audit, op12_chat_tokens, op13_stratified_search)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc_archive": WARC_SQL, "op11_pattern_tree_audit": AUDIT_SQL, "op12_chat_tokens": CHAT_SQL}
+    return {"op4_warc_archive": WARC_SQL, "op11_pattern_tree_audit": AUDIT_SQL, "op12_chat_tokens": CHAT_SQL, "op13_stratified_search": SEARCH_SQL}
