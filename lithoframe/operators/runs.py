@@ -25,7 +25,11 @@ def color_runs(labels: DataFrame, key: str = "label") -> DataFrame:
 
 def color_rects(labels: DataFrame, key: str = "label") -> DataFrame:
     """image_id, key, x, y, w, h: runs of one key, place and width on neighbouring rows, joined."""
-    runs = color_runs(labels, key)
+    return stacked_runs(color_runs(labels, key), key)
+
+
+def stacked_runs(runs: DataFrame, key: str = "label") -> DataFrame:
+    """Runs (image_id, y, x0, len, key) -> rectangles (image_id, key, x, y, w, h)."""
     same = Window.partitionBy("image_id", key, "x0", "len").orderBy("y")
     runs = runs.withColumn("stack", C("y") - F.row_number().over(same))
     rects = runs.groupBy("image_id", key, "x0", "len", "stack").agg(F.min("y").alias("y"), F.count("*").cast("int").alias("h"))

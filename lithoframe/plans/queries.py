@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithoframe.functions import color, layout, settings, text
-from lithoframe.operators import background, cells, components, grid, ink, match, morph, palette, regions, runs, svg
+from lithoframe.operators import background, cells, components, grid, ink, match, morph, packed, palette, regions, runs, svg
 from lithoframe.operators.grid import by_image
 from lithoframe.plans import jobs
 from lithoframe.plans import sql as Q
@@ -65,11 +65,24 @@ def _labels(s: SparkSession, d: str) -> DataFrame:
     return match.quantize(by_image(_pixels(s, d)), fixtures.palette(s, d))
 
 
+def _rows(s: SparkSession, d: str) -> DataFrame:
+    return packed.by_image(fixtures.rows(s, d))
+
+
+def _label_rows(s: SparkSession, d: str) -> DataFrame:
+    return packed.quantize(_rows(s, d), fixtures.palette(s, d))
+
+
 def _mask(s: SparkSession, d: str) -> DataFrame:
     light = color.luminance(C("r"), C("g"), C("b"))
     return by_image(_pixels(s, d)).select("image_id", "w", "h", "x", "y", "a", "r", "g", "b", ((light < 30) & (C("a") >= 128)).alias("ink"))
 
 
+def _ink_rows(s: SparkSession, d: str) -> DataFrame:
+    parts = lambda p: tuple(packed.channel(p, k) for k in ("r", "g", "b"))
+    return _rows(s, d).select(*packed.LINE, F.transform("px", lambda p: (color.luminance(*parts(p)) < 30) & (packed.channel(p, "a") >= 128)).alias("ink"))
+
+
 def _colors(s: SparkSession, d: str) -> DataFrame:
     return _pixels(s, d).groupBy("r", "g", "b").agg(F.count("*").alias("n"))
 
@@ -194,7 +207,7 @@ def codes_in_chart(s, d):
 
 @query(f"WITH {Q.LABELS} " + Q.DIGEST.format(t="lb"))
 def quantize_labels(s, d):
-    return digest(_labels(s, d))
+    return packed.sums(_label_rows(s, d))
 
 
 @query(f"""WITH {Q.PIXELS}, {Q.PAL}, c AS (SELECT image_id, r, g, b, count(*) AS n FROM px WHERE a >= 128 GROUP BY ALL),
@@ -320,7 +333,7 @@ _PASS1 = Q.SQUARE + ", cnt AS (SELECT image_id, x, y, v, count(*) AS n, min(k) A
 
 @query(f"WITH {Q.LABELS}, {_PASS1}, t AS (SELECT lb.image_id, lb.x, lb.y, CASE WHEN label IS NOT NULL AND lb.x > 0 AND lb.y > 0 AND lb.x < w - 1 AND lb.y < h - 1 THEN v ELSE label END AS label FROM lb LEFT JOIN win ON win.image_id = lb.image_id AND win.x = lb.x AND win.y = lb.y) " + Q.DIGEST.format(t="t"))
 def denoised_labels(s, d):
-    return digest(grid.denoise_labels(_labels(s, d)))
+    return packed.sums(packed.denoise_labels(_label_rows(s, d)))
 
 
 _SIDES = "sd AS (SELECT *, lag(label) OVER (PARTITION BY image_id, x ORDER BY y) AS up, lag(label) OVER (PARTITION BY image_id, y ORDER BY x) AS lf, lead(label) OVER (PARTITION BY image_id, y ORDER BY x) AS rt, lead(label) OVER (PARTITION BY image_id, x ORDER BY y) AS dn FROM lb)"
@@ -328,25 +341,25 @@ _SIDES = "sd AS (SELECT *, lag(label) OVER (PARTITION BY image_id, x ORDER BY y)
 
 @query(f"WITH {Q.LABELS}, {_PASS1}, {_SIDES}, t AS (SELECT sd.image_id, sd.x, sd.y, CASE WHEN label IS NOT NULL AND sd.x > 0 AND sd.y > 0 AND sd.x < w - 1 AND sd.y < h - 1 AND (up IS DISTINCT FROM label OR lf IS DISTINCT FROM label OR rt IS DISTINCT FROM label OR dn IS DISTINCT FROM label) AND n >= 5 THEN v ELSE label END AS label FROM sd LEFT JOIN win ON win.image_id = sd.image_id AND win.x = sd.x AND win.y = sd.y) " + Q.DIGEST.format(t="t"))
 def smoothed_boundaries(s, d):
-    return digest(grid.smooth_label_boundaries(_labels(s, d), 1))
+    return packed.sums(packed.smooth_label_boundaries(_label_rows(s, d), 1))
 
 
 @query(f"""WITH {Q.LABELS}, {_SIDES}, v AS (SELECT image_id, x, y, label, unnest([{{'v': up, 'k': 0}}, {{'v': lf, 'k': 1}}, {{'v': rt, 'k': 2}}, {{'v': dn, 'k': 3}}]) AS o FROM sd WHERE label IS NOT NULL),
 c AS (SELECT image_id, x, y, o.v AS v, count(*) AS n, min(o.k) AS k FROM v WHERE o.v <> label GROUP BY ALL), b AS (SELECT image_id, x, y, arg_max(v, {{'n': n, 'k': -k}}) AS v, max(n) AS n FROM c GROUP BY ALL),
 t AS (SELECT lb.image_id, lb.x, lb.y, CASE WHEN n >= 2 THEN v ELSE label END AS label FROM lb LEFT JOIN b ON b.image_id = lb.image_id AND b.x = lb.x AND b.y = lb.y) """ + Q.DIGEST.format(t="t"))
 def overlapped_fills(s, d):
-    return digest(grid.overlap_adjacent_fills(_labels(s, d)))
+    return packed.sums(packed.overlap_adjacent_fills(_label_rows(s, d)))
 
 
 @query(f"WITH {Q.MASK}, o AS (SELECT m.image_id, m.x, m.y, m.ink AND NOT (m.x > 0 AND m.y > 0 AND m.x < m.w - 1 AND m.y < m.h - 1 AND sum(n.ink::INT) <= 2) AS ink FROM mk m, (SELECT unnest(range(-1, 2)) AS dx) dxs, (SELECT unnest(range(-1, 2)) AS dy) dys, mk n WHERE n.image_id = m.image_id AND n.x = m.x + dx AND n.y = m.y + dy GROUP BY m.image_id, m.x, m.y, m.w, m.h, m.ink) " + Q.MASK_DIGEST.format(t="o"))
 def without_lone_ink(s, d):
-    return ink_digest(grid.remove_isolated_ink(_mask(s, d), 2))
+    return packed.sums(packed.remove_isolated_ink(_ink_rows(s, d), 2), "ink").select("image_id", C("total").alias("n"), "placed")
 
 
 @query(f"""WITH {Q.LABELS}, {_SIDES}, g AS (SELECT image_id, x + 1 AS x1, y AS y1, x + 1 AS x2, y + 1 AS y2 FROM sd WHERE label <> rt UNION ALL SELECT image_id, x, y + 1, x + 1, y + 1 FROM sd WHERE label <> dn)
 SELECT image_id, count(*) AS n, sum(x1 + 3 * y1 + 5 * x2 + 7 * y2)::BIGINT AS placed FROM g GROUP BY image_id""")
 def wall_segments(s, d):
-    out = grid.dedupe_segments(grid.metal_segments(_labels(s, d)))
+    out = grid.dedupe_segments(packed.metal_segments(_label_rows(s, d)))
     return out.groupBy("image_id").agg(F.count("*").alias("n"), F.sum(C("x1") + 3 * C("y1") + 5 * C("x2") + 7 * C("y2")).alias("placed"))
 
 
@@ -355,7 +368,7 @@ _RUNS = "s0 AS (SELECT *, CASE WHEN label IS DISTINCT FROM lag(label) OVER (PART
 
 @query(f"WITH {Q.LABELS}, {_RUNS} SELECT image_id, count(*) AS n, sum(label)::BIGINT AS total, sum(x0 * 31 + y * 17 + len * 7)::BIGINT AS placed FROM rn GROUP BY image_id")
 def horizontal_runs(s, d):
-    r = runs.color_runs(_labels(s, d))
+    r = packed.color_runs(_label_rows(s, d))
     return r.groupBy("image_id").agg(F.count("*").alias("n"), F.sum("label").alias("total"), F.sum(C("x0") * 31 + C("y") * 17 + C("len") * 7).alias("placed"))
 
 
@@ -364,18 +377,18 @@ _RECTS = _RUNS + ", r1 AS (SELECT *, y - row_number() OVER (PARTITION BY image_i
 
 @query(f"WITH {Q.LABELS}, {_RECTS} SELECT image_id, label, count(*) AS n, sum(w * h)::BIGINT AS area, sum(x * 31 + y * 17 + w * 7 + h * 5)::BIGINT AS placed FROM rc GROUP BY image_id, label")
 def fill_rectangles(s, d):
-    r = runs.color_rects(_labels(s, d))
+    r = packed.color_rects(_label_rows(s, d))
     return r.groupBy("image_id", "label").agg(F.count("*").alias("n"), F.sum(C("w") * C("h")).alias("area"), F.sum(C("x") * 31 + C("y") * 17 + C("w") * 7 + C("h") * 5).alias("placed"))
 
 
 @query(f"WITH {Q.LABELS}, {_RECTS} SELECT image_id, label, string_agg(printf('M %d %d L %d %d L %d %d L %d %d Z', x, y, x + w, y, x + w, y + h, x, y + h), ' ' ORDER BY y, x) AS d FROM rc GROUP BY image_id, label")
 def rectangle_paths(s, d):
-    return svg.rects_to_svg_path(runs.color_rects(_labels(s, d)))
+    return svg.rects_to_svg_path(packed.color_rects(_label_rows(s, d)))
 
 
 @query(f"WITH {Q.LABELS}, {_RECTS} SELECT image_id, string_agg(label::VARCHAR, ',' ORDER BY w * h DESC, label, y, x) AS layers FROM rc GROUP BY image_id")
 def layer_order(s, d):
-    out = svg.order_layers(runs.color_rects(_labels(s, d)))
+    out = svg.order_layers(packed.color_rects(_label_rows(s, d)))
     return out.select("image_id", F.array_join(F.transform("shapes", lambda x: x["label"].cast("string")), ",").alias("layers"))
 
 
@@ -404,8 +417,9 @@ k AS (SELECT image_id, CASE WHEN pure THEN o AND l <= 88 ELSE i AND o AND l <= t
  i AND o AND colour AND l <= 210 AND four AS ring, i AND o AND colour AND l <= 85 AND eight AS contour FROM j)
 SELECT image_id, sum((base OR ring OR contour)::INT)::BIGINT AS ink, sum(ring::INT)::BIGINT AS ring, sum(contour::INT)::BIGINT AS contour FROM k GROUP BY image_id""")
 def ink_mask_colors(s, d):
-    out = ink.ink_mask(by_image(_pixels(s, d)), 60)
-    return out.groupBy("image_id").agg(*(F.sum(C(c).cast("long")).alias(c) for c in ("ink", "ring", "contour")))
+    flags = ink.ink_stats(packed.unpack_pixels(fixtures.rows(s, d))).select("image_id", "line_art", "pure_mask", "treat_as_color")
+    out = packed.ink_mask(_rows(s, d).join(flags, "image_id"), 60)
+    return out.groupBy("image_id").agg(*(F.sum(F.size(F.filter(c, lambda v: v)).cast("long")).alias(c) for c in ("ink", "ring", "contour")))
 
 
 # ---- components, regions and cells; what is greedy is checked by plain loops in the tests
