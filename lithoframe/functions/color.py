@@ -1,7 +1,11 @@
-"""Colour maths as column expressions. Channels are 0 to 255; all arithmetic is in doubles, and rounding is floor(v + 0.5)."""
+"""Colour maths as column expressions. Channels are 0 to 255; all arithmetic is in doubles, and rounding is floor(v + 0.5).
+
+What depends on the channels of one pixel by plain arithmetic takes numpy arrays too, for tasks that work on whole lines of pixels.
+"""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,18 +17,20 @@ def rounded(v: Column) -> Column:
 
 
 def luminance(r: Column, g: Column, b: Column) -> Column:
-    return F.lit(0.2126) * r + F.lit(0.7152) * g + F.lit(0.0722) * b
+    return 0.2126 * r + 0.7152 * g + 0.0722 * b
 
 
 def chroma(r: Column, g: Column, b: Column) -> Column:
+    if isinstance(r, np.ndarray):
+        return np.maximum(np.maximum(r, g), b) - np.minimum(np.minimum(r, g), b)
     return F.greatest(r, g, b) - F.least(r, g, b)
 
 
 def is_skin_tone(r: Column, g: Column, b: Column) -> Column:
     """Warm, neither dark nor white, and not a pure red."""
     light, ch = luminance(r, g, b), chroma(r, g, b)
-    red = (ch > 100) & (g < r * F.lit(0.45))
-    return light.between(48, 248) & ch.between(16, 130) & (r >= g + 6) & (b <= g + 12) & ((r - b) / F.lit(255.0) >= 0.07) & ~red
+    red = (ch > 100) & (g < r * 0.45)
+    return (light >= 48) & (light <= 248) & (ch >= 16) & (ch <= 130) & (r >= g + 6) & (b <= g + 12) & ((r - b) / 255.0 >= 0.07) & ~red
 
 
 def skin_score(r: Column, g: Column, b: Column) -> Column:

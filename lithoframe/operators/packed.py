@@ -1,22 +1,26 @@
-"""Rasters with one row for each row of pixels: image_id, w, h, y, and arrays with a value for each x.
+"""Rasters with one row for each line of pixels: image_id, w, h, y, and arrays with a value for each x.
 
-A corpus in this form has as many rows as its images have lines, so sorting and shuffling touch some thousandth of what a pixel table does. Neighbours to the
-left and right are places of the same array; those above and below come from one window by image, which one exchange by image_id serves. px holds a
-colour in one number (0xAARRGGBB), label an array of slots (null where transparent), ink an array of booleans.
+A corpus in this form has as many rows as its images have lines, so sorting and shuffling touch some thousandth of what a pixel table does. Operators
+that need neighbours take rows dealt by image_id (one exchange, by_image()), sort lines within the tasks and work on whole images, many at a time, in
+numpy; a task holds an Arrow batch and one image. px holds a colour in one number (0xAARRGGBB), label slots (null where transparent), ink booleans.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lithoframe.functions.color import chroma, color_distance, is_leftover_backdrop, is_neutral, is_skin_tone, luminance
-from lithoframe.operators.match import RGB, nearest_slot, rgb
+from lithoframe.functions.color import chroma, is_leftover_backdrop, is_neutral, is_skin_tone, luminance
+from lithoframe.operators.match import RGB, rgb
 
 C = F.col
 LINE = ["image_id", "w", "h", "y"]
+_KINDS = {"int": pa.int32(), "boolean": pa.bool_(), "long": pa.int64()}
 
 
 def by_image(rows: DataFrame) -> DataFrame:
@@ -30,187 +34,279 @@ def pack_color(r: Column, g: Column, b: Column, a: Column) -> Column:
 
 def channel(px: Column, name: str) -> Column:
     """r, g, b or a of a packed colour."""
-    shift = {"a": 24, "r": 16, "g": 8, "b": 0}[name]
-    return F.shiftrightunsigned(px, shift).bitwiseAND(255) if shift else px.bitwiseAND(255)
+    return F.shiftrightunsigned(px, {"a": 24, "r": 16, "g": 8, "b": 0}[name]).bitwiseAND(255)
 
 
 def pack_rows(pixels: DataFrame, values: dict[str, Column]) -> DataFrame:
-    """A pixel table -> packed rows with an array for each named value, in the order of x. One exchange, by image_id, which later steps keep."""
+    """A pixel table -> rows with an array for each named value, in the order of x. One exchange, by image_id, which later steps keep."""
     rows = by_image(pixels.select("image_id", "w", "h", "x", "y", *(v.alias(k) for k, v in values.items())))
     rows = rows.groupBy("image_id", "y").agg(F.first("w").alias("w"), F.first("h").alias("h"), F.array_sort(F.collect_list(F.struct("x", *values))).alias("_line"))
     return rows.select(*LINE, *(F.transform("_line", lambda p, k=k: p[k]).alias(k) for k in values))
 
 
 def unpack_rows(rows: DataFrame, names: list[str]) -> DataFrame:
-    """Packed rows -> a pixel table with x and the named values."""
-    zipped = F.arrays_zip(*names)
-    out = rows.select(*LINE, F.posexplode(zipped).alias("x", "_p"))
-    return out.select("image_id", "w", "h", "x", "y", *(C("_p")[k].alias(k) for k in names))
-
-
-def unpack_pixels(rows: DataFrame) -> DataFrame:
-    """Packed rows with px -> image_id, w, h, x, y, r, g, b, a."""
-    out = rows.select(*LINE, F.posexplode("px").alias("x", "_p"))
-    return out.select("image_id", "w", "h", "x", "y", *(channel(C("_p"), k).alias(k) for k in ("r", "g", "b", "a")))
-
-
-def _lines() -> Window:
-    return Window.partitionBy("image_id").orderBy("y")
+    """Rows -> a pixel table with x and the named values; px becomes r, g, b, a."""
+    if len(names) == 1:
+        out = rows.select(*LINE, F.posexplode(names[0]).alias("x", names[0]))
+    else:
+        out = rows.select(*LINE, F.posexplode(F.arrays_zip(*names)).alias("x", "_p")).select(*LINE, "x", *(C("_p")[k].alias(k) for k in names))
+    shown = [c for k in names for c in ([channel(C("px"), v).alias(v) for v in ("r", "g", "b", "a")] if k == "px" else [C(k)])]
+    return out.select("image_id", "w", "h", "x", "y", *shown)
+
+
+class Lines:
+    """Some lines of pixels, flat: image_id, w, h, y by line; `line`, `x` and `inner` (not at the image's frame) by place; values by name, null labels as -1."""
+
+    def __init__(self, batch: pa.RecordBatch, arrays: list[str]):
+        self.image_id, self.w, self.h, self.y = (batch.column(k).to_numpy(zero_copy_only=False) for k in LINE)
+        self.values = {k: pc.fill_null(batch.column(k).flatten(), False if pa.types.is_boolean(batch.column(k).type.value_type) else -1).to_numpy(zero_copy_only=False) for k in arrays}
+        size = pc.list_value_length(batch.column(arrays[0])).to_numpy(zero_copy_only=False)
+        self.ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        self.line = np.repeat(np.arange(len(size)), size)
+        self.x = np.arange(self.ends[-1]) - self.ends[self.line]
+        self.wide = self.w[self.line].astype(np.int64)
+
+    @property
+    def inner(self) -> np.ndarray:
+        y, h = self.y[self.line], self.h[self.line]
+        return (self.x > 0) & (self.x < self.wide - 1) & (y > 0) & (y < h - 1)
+
+    def beside(self, values: np.ndarray, dx: int, dy: int, none: object) -> np.ndarray:
+        """The value dx places to the right and dy lines below, `none` beyond the image. Needs whole images in the order of y."""
+        x, y = self.x + dx, self.y[self.line] + dy
+        there = (x >= 0) & (x < self.wide) & (y >= 0) & (y < self.h[self.line])
+        at = np.arange(len(values)) + dx + dy * self.wide
+        return np.where(there, values[np.where(there, at, 0)], none)
+
+
+def _listed(values: np.ndarray, ends: np.ndarray, kind: str) -> pa.ListArray:
+    none = values < 0 if kind == "int" and values.dtype.kind == "i" else None
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values, _KINDS[kind], mask=none))
+
+
+def _whole_images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut where an image ends."""
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = batch.column("image_id").to_numpy(zero_copy_only=False)
+        cut = int(np.argmax(ids == ids[-1]))  # the last image may go on in the next batch
+        if kept and ids[0] != kept[-1].column("image_id")[-1].as_py():
+            yield from _joined(kept)
+            kept = []
+        if cut:
+            yield from _joined([*kept, batch.slice(0, cut)])
+            kept = []
+        kept.append(batch.slice(cut))
+    yield from _joined(kept)
+
+
+def _joined(parts: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    return parts if len(parts) < 2 else pa.Table.from_batches(parts).combine_chunks().to_batches()
+
+
+def map_lines(rows: DataFrame, f: Callable[[Lines], dict[str, np.ndarray]], take: list[str], give: dict[str, str], keep: list[str] | None = None, images: bool = True, extra: list[str] | None = None) -> DataFrame:
+    """rows with new arrays: f gets lines with the arrays `take` and returns those of `give` (names and kinds), flat.
+
+    With images=True lines come as whole images, sorted; else as they lie. `keep` names the columns that go through beside LINE (all others if None);
+    `extra` names columns that f reads as they are, in lines.extra, and that end here.
+    """
+    keep = [c for c in rows.columns if c not in LINE and c not in give and c not in (extra or [])] if keep is None else keep
+    schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in [*LINE, *keep]] + [f"`{k}` array<{v}>" for k, v in give.items()])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_images(batches) if images else batches:
+            lines = Lines(batch, take)
+            lines.extra = {k: batch.column(k) for k in extra or []}
+            new = f(lines)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*LINE, *keep]), *(_listed(new[k], lines.ends, v) for k, v in give.items())], [*LINE, *keep, *give])
 
-def _inside(x: Column) -> Column:
-    return (x > 0) & (x < C("w") - 1) & (C("y") > 0) & (C("y") < C("h") - 1)
+    rows = rows.select(*dict.fromkeys([*LINE, *keep, *take, *(extra or [])]))
+    return (rows.sortWithinPartitions("image_id", "y") if images else rows).mapInArrow(run, schema)
 
 
-def _colors(px: str | Column) -> Column:
-    """An array of structs r, g, b, a, so that a channel is taken out once."""
-    return F.transform(px, lambda c: F.struct(*(channel(c, k).alias(k) for k in ("r", "g", "b", "a"))))
+def _channels(px: np.ndarray) -> tuple[np.ndarray, ...]:
+    return tuple((px >> k) & 255 for k in (16, 8, 0, 24))
 
 
 def quantize(rows: DataFrame, palette: DataFrame) -> DataFrame:
-    """rows with px -> with label, as match.quantize() decides: the nearest slot, null where alpha is under 128 or backdrop is left over. The slots of an image travel beside its rows; nothing is sorted by colour."""
+    """rows with px -> with label, as match.quantize() decides: the nearest slot, null where alpha is under 128 or backdrop is left over. Each colour of an image is matched once a batch."""
     grey = F.when(is_neutral(*rgb()), 28.0).otherwise(0.0).alias("grey")
     cool = F.when(~is_skin_tone(*rgb()) & (chroma(*rgb()) < 35), 35.0).otherwise(0.0).alias("cool")
     slots = palette.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("idx", *RGB, grey, cool))).alias("_palette"))
-    known = F.transform(_colors("px"), lambda p: F.struct(p["r"].alias("r"), p["g"].alias("g"), p["b"].alias("b"), is_skin_tone(*rgb(p)).cast("int").alias("skin"), ((p["a"] >= 128) & ~is_leftover_backdrop(*rgb(p))).alias("on")))
-    known = F.transform(known, lambda p: F.struct(p["r"].alias("r"), p["g"].alias("g"), p["b"].alias("b"), p["skin"].alias("skin"), p["on"].alias("on"), F.greatest(p["skin"], (chroma(*rgb(p)) > 40).cast("int")).alias("vivid")))
-    cost = lambda p: lambda s: color_distance(rgb(p), rgb(s)) + p["vivid"] * s["grey"] + p["skin"] * s["cool"]
-    label = F.transform(known, lambda p: F.when(p["on"], nearest_slot(C("_palette"), cost(p))))
-    return rows.join(slots, "image_id", "left").withColumn("label", label).drop("_palette")
 
+    def match(lines: Lines) -> dict[str, np.ndarray]:
+        ids, first, image = np.unique(lines.image_id, return_index=True, return_inverse=True)
+        tables = [t or [] for t in lines.extra["_palette"].take(pa.array(first)).to_pylist()]
+        most = max([1, *(len(t) for t in tables)])
+        slot = {k: np.full((len(ids), most), np.inf if k == "grey" else 0.0) for k in ("idx", *RGB, "grey", "cool")}
+        for n, table in enumerate(tables):
+            for k, column in slot.items():
+                column[n, : len(table)] = [s[k] for s in table]
+        px = lines.values["px"].astype(np.int64) & 0xFFFFFFFF
+        keys, back = np.unique((image[lines.line].astype(np.int64) << 32) | px, return_inverse=True)
+        out = np.empty(len(keys), np.int32)
+        for at in range(0, len(keys), 1 << 16):
+            own, (r, g, b, a) = keys[at : at + (1 << 16)] >> 32, _channels(keys[at : at + (1 << 16)])
+            skin = is_skin_tone(r, g, b)
+            far = np.sqrt(sum((v[:, None] - slot[k][own]) ** 2 for k, v in zip(RGB, (r, g, b), strict=True)))
+            # A missing slot costs infinity by its grey, whatever the pixel.
+            vivid = ((chroma(r, g, b) > 40) | skin)[:, None]
+            cost = far + np.where(vivid | np.isinf(slot["grey"][own]), slot["grey"][own], 0.0) + np.where(skin[:, None], slot["cool"][own], 0.0)
+            best = cost.argmin(1)
+            fit = (a >= 128) & ~is_leftover_backdrop(r, g, b) & np.isfinite(cost[np.arange(len(own)), best])
+            out[at : at + len(own)] = np.where(fit, slot["idx"][own, best], -1)
+        return {"label": out[back]}
+
+    return map_lines(rows.join(slots, "image_id", "left"), match, ["px"], {"label": "int"}, images=False, extra=["_palette"])
+
+
+def _vote(square: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(value, times) of the most frequent value by place, the first in the list among equals; -1 stands for none and has no times."""
+    best, times = square[0], np.zeros(len(square[0]), np.int8)
+    for v in square:
+        n = np.where(v >= 0, sum((u == v).astype(np.int8) for u in square), 0)
+        best, times = np.where(n > times, v, best), np.maximum(n, times)
+    return best, times
+
+
+_SQUARE = [(dx, dy) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
+_SIDES = [(0, -1), (-1, 0), (1, 0), (0, 1)]
+
+
+def _undecided(lines: Lines, label: np.ndarray, places: list[tuple[int, int]], inner: bool) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Opaque places with another value at one of `places`, and the values there. Most places of flat art have none, so votes see few."""
+    around = [lines.beside(label, dx, dy, -1) for dx, dy in places]
+    at = (label >= 0) & (lines.inner if inner else True)
+    at = np.nonzero(at & np.logical_or.reduce([v != label for v in around]))[0]
+    return at, [v[at] for v in around]
 
-_WIDE = 1 << 20
 
+def denoise_labels(rows: DataFrame, passes: int = 1) -> DataFrame:
+    """Interior opaque labels take the most frequent of their 3x3 square, the first in row-major order among equals."""
 
-def _triples(label: str) -> Column:
-    """Each label with its left and right neighbour in one long, 20 bits each; 0 stands for none, so labels must be under a million."""
-    at = lambda k: F.coalesce(F.get(label, k).cast("long") + 1, F.lit(0).cast("long"))
-    return F.transform(label, lambda v, x: at(x - 1) * (_WIDE * _WIDE) + F.coalesce(v.cast("long") + 1, F.lit(0).cast("long")) * _WIDE + at(x + 1))
-
+    def run(lines: Lines) -> dict[str, np.ndarray]:
+        label = lines.values["label"]
+        for _ in range(passes):
+            at, around = _undecided(lines, label, _SQUARE, True)
+            new = label.copy()
+            new[at] = _vote(around)[0]
+            label = new
+        return {"label": label}
 
-def _stencil(rows: DataFrame, values: Column, f: Callable[[Column, Column, Column, Column], Column], out: str, none: Column) -> DataFrame:
-    """rows with `out`: f(above, own, below, x) for each place, the three being the entries of `values` in neighbouring rows (`none` beyond the image)."""
-    blank = F.transform("_own", lambda _: none)
-    rows = rows.withColumn("_own", values)
-    rows = rows.withColumns({"_up": F.lag("_own").over(_lines()), "_down": F.lead("_own").over(_lines())})
-    cells = F.arrays_zip(F.coalesce("_up", blank).alias("u"), C("_own").alias("o"), F.coalesce("_down", blank).alias("d"))
-    return rows.withColumn(out, F.transform(cells, lambda t, x: f(t["u"], t["o"], t["d"], x))).drop("_own", "_up", "_down")
+    return map_lines(rows, run, ["label"], {"label": "int"})
 
 
-def _nine(up: Column, own: Column, down: Column) -> list[Column]:
-    """The codes of a 3x3 square in row-major order, out of three triples."""
-    return [F.shiftright(row, 40 - 20 * k).bitwiseAND(_WIDE - 1) if k else F.shiftright(row, 40) for row in (up, own, down) for k in range(3)]
+def smooth_label_boundaries(rows: DataFrame, passes: int = 2) -> DataFrame:
+    """Interior opaque labels beside a different value take one that holds five of their nine places."""
 
+    def run(lines: Lines) -> dict[str, np.ndarray]:
+        label = lines.values["label"]
+        for _ in range(passes):
+            at, _sides = _undecided(lines, label, _SIDES, True)
+            value, times = _vote([lines.beside(label, dx, dy, -1)[at] for dx, dy in _SQUARE])
+            new = label.copy()
+            new[at[times >= 5]] = value[times >= 5]
+            label = new
+        return {"label": label}
 
-def _vote(square: Column, skip: Column | None = None) -> Column:
-    """times * 16 + 15 - place of the most frequent code in an array, the first among equals, codes of 0 (and the skipped one) apart; -1 if there is none."""
-    fit = lambda v: (v > 0) if skip is None else (v > 0) & (v != skip)
-    return F.coalesce(F.array_max(F.transform(square, lambda v, k: F.when(fit(v), F.size(F.filter(square, lambda u: u == v)) * 16 + 15 - k))), F.lit(-1))
+    return map_lines(rows, run, ["label"], {"label": "int"})
 
 
-def _label(code: Column) -> Column:
-    return F.nullif((code - 1).cast("int"), F.lit(-1))
+def overlap_adjacent_fills(rows: DataFrame) -> DataFrame:
+    """An opaque label gives way to another that two or more of its sides hold; up, left, right, down decide between equals."""
 
+    def run(lines: Lines) -> dict[str, np.ndarray]:
+        label = lines.values["label"]
+        at, sides = _undecided(lines, label, _SIDES, False)
+        value, times = _vote([np.where(v == label[at], -1, v) for v in sides])
+        new = label.copy()
+        new[at[times >= 2]] = value[times >= 2]
+        return {"label": new}
 
-def _winner(square: Column, rank: Column) -> Column:
-    return F.get(square, (15 - F.pmod(rank, F.lit(16))).cast("int"))
+    return map_lines(rows, run, ["label"], {"label": "int"})
 
 
-def _voted(rows: DataFrame, wins: Callable[[Column, Column, Column], Column], mixed: Callable[[Column, Column, Column], Column]) -> DataFrame:
-    """rows whose interior opaque labels are replaced by wins(square, own code, rank) where mixed(up, own, down) says that a vote can change them. A square and its vote are bound by arrays of one, so each is computed once."""
+def remove_isolated_ink(rows: DataFrame, max_on: int = 2) -> DataFrame:
+    """Interior ink with at most max_on ink pixels in its square, itself included, goes."""
 
-    def cell(up: Column, own: Column, down: Column, x: Column) -> Column:
-        mine = F.shiftright(own, 20).bitwiseAND(_WIDE - 1)
-        code = F.transform(F.array(F.array(*_nine(up, own, down))), lambda q: F.get(F.transform(F.array(_vote(q)), lambda rank: wins(q, F.get(q, F.lit(4)), rank)), F.lit(0)))
-        return _label(F.when((mine > 0) & _inside(x) & mixed(up, own, down), F.get(code, F.lit(0))).otherwise(mine))
+    def run(lines: Lines) -> dict[str, np.ndarray]:
+        ink = lines.values["ink"].astype(bool)
+        on = sum(lines.beside(ink, dx, dy, False).astype(np.int8) for dx, dy in _SQUARE)
+        return {"ink": ink & ~(lines.inner & (on <= max_on))}
 
-    return _stencil(rows, _triples("label"), cell, "label", F.lit(0).cast("long"))
+    return map_lines(rows, run, ["ink"], {"ink": "boolean"})
 
 
-def denoise_labels(rows: DataFrame, passes: int = 1) -> DataFrame:
-    """Interior opaque labels take the most frequent of their 3x3 square, the first in row-major order among equals."""
-    even = lambda own: F.shiftright(own, 20).bitwiseAND(_WIDE - 1) * (_WIDE * _WIDE + _WIDE + 1)  # noqa: E731  (three times the middle)
-    for _ in range(passes):
-        rows = _voted(rows, lambda q, own, rank: _winner(q, rank), lambda u, o, d: ~((u == o) & (d == o) & (o == even(o))))
-    return rows
+def ink_mask(rows: DataFrame, sensitivity: float = 60) -> DataFrame:
+    """rows with px and the flags of ink.ink_stats() (line_art, pure_mask, treat_as_color) -> with the arrays ink, ring and contour, as ink.ink_mask() decides.
 
+    Clear pixels have a lightness of 255, so the rules on neighbours come down to the lightest of four and of eight.
+    """
+    t = max(0.0, min(100.0, float(sensitivity))) / 100
 
-def smooth_label_boundaries(rows: DataFrame, passes: int = 2) -> DataFrame:
-    """Interior opaque labels beside a different value take one that holds five of their nine places."""
-    mid = lambda t: F.shiftright(t, 20).bitwiseAND(_WIDE - 1)
-    edge = lambda u, o, d: ~((mid(u) == mid(o)) & (mid(d) == mid(o)) & (F.shiftright(o, 40) == mid(o)) & (o.bitwiseAND(_WIDE - 1) == mid(o)))
-    for _ in range(passes):
-        rows = _voted(rows, lambda q, own, rank: F.when(rank >= 80, _winner(q, rank)).otherwise(own), edge)
-    return rows
+    def run(lines: Lines) -> dict[str, np.ndarray]:
+        line, pure, colour = (lines.extra[k].to_numpy(zero_copy_only=False).astype(bool)[lines.line] for k in ("line_art", "pure_mask", "treat_as_color"))
+        r, g, b, a = _channels(lines.values["px"].astype(np.int64) & 0xFFFFFFFF)
+        on, c = a >= 128, chroma(r, g, b)
+        own = np.where(on, luminance(r, g, b).astype(np.float32).astype(np.float64), 255.0)
+        near = [lines.beside(own, dx, dy, -1.0) for dx, dy in _SQUARE]
+        four, eight = np.maximum.reduce([near[k] for k in (1, 3, 5, 7)]), np.maximum.reduce([near[k] for k in (0, 1, 2, 3, 5, 6, 7, 8)])
+        top, least = np.where(line, 55 + t * 100, 28 + t * 55), np.where(line, 6 + (1 - t) * 14, 14 + (1 - t) * 22)
+        dark = ((own <= top * 0.55) & (c < 35)) | ((own <= top) & (eight - own >= least)) | (own <= 22) | (line & (own <= top) & (c < 40)) | ((own <= 55 + t * 50) & (c >= 16))
+        base = np.where(pure, on & (own <= 40 + t * 80), lines.inner & on & (own <= top + 40) & dark)
+        art = lines.inner & on & colour
+        ring, contour = art & (own <= 210) & (four >= 225), art & (own <= 55 + t * 50) & ((eight >= 200) | (eight - own >= 45))
+        return {"ink": base | ring | contour, "ring": ring, "contour": contour}
 
+    return map_lines(rows, run, ["px"], {"ink": "boolean", "ring": "boolean", "contour": "boolean"}, extra=["line_art", "pure_mask", "treat_as_color"])
 
-def overlap_adjacent_fills(rows: DataFrame) -> DataFrame:
-    """An opaque label gives way to another that two or more of its sides hold; up, left, right, down decide between equals."""
 
-    def cell(up: Column, own: Column, down: Column, x: Column) -> Column:
-        mid = lambda t: F.shiftright(t, 20).bitwiseAND(_WIDE - 1)
-        mine, sides = mid(own), F.array(mid(up), F.shiftright(own, 40), own.bitwiseAND(_WIDE - 1), mid(down))
-        same = (F.get(sides, F.lit(0)) == mine) & (F.get(sides, F.lit(1)) == mine) & (F.get(sides, F.lit(2)) == mine) & (F.get(sides, F.lit(3)) == mine)
-        code = F.transform(F.array(sides), lambda q: F.get(F.transform(F.array(_vote(q, mine)), lambda rank: F.when(rank >= 32, _winner(q, rank)).otherwise(mine)), F.lit(0)))
-        return _label(F.when((mine > 0) & ~same, F.get(code, F.lit(0))).otherwise(mine))
+def _found(rows: DataFrame, f: Callable[[Lines], dict[str, np.ndarray]], take: list[str], schema: str, images: bool) -> DataFrame:
+    """A table of what f finds in lines, as columns."""
+    names = [part.split()[0] for part in schema.split(", ")]
+    kinds = [_KINDS[part.split()[1]] for part in schema.split(", ")]
 
-    return _stencil(rows, _triples("label"), cell, "label", F.lit(0).cast("long"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_images(batches) if images else batches:
+            new = f(Lines(batch, take))
+            yield pa.RecordBatch.from_arrays([pa.array(new[k], kind) for k, kind in zip(names, kinds, strict=True)], names)
 
+    rows = rows.select(*LINE, *take)
+    return (rows.sortWithinPartitions("image_id", "y") if images else rows).mapInArrow(run, schema)
 
-def remove_isolated_ink(rows: DataFrame, max_on: int = 2) -> DataFrame:
-    """Interior ink with at most max_on ink pixels in its square, itself included, goes."""
-    on = lambda k: F.coalesce(F.get("ink", k).cast("int"), F.lit(0))
-    threes = F.transform("ink", lambda v, x: F.struct((on(x - 1) + v.cast("int") + on(x + 1)).alias("n"), v.alias("v")))
-    none = F.struct(F.lit(0).alias("n"), F.lit(False).alias("v"))
-    return _stencil(rows, threes, lambda u, o, d, x: o["v"] & ~(_inside(x) & (u["n"] + o["n"] + d["n"] <= max_on)), "ink", none)
 
+def metal_segments(rows: DataFrame) -> DataFrame:
+    """image_id, x1, y1, x2, y2: the unit segment between two opaque neighbours of different labels, smaller end first."""
 
-def ink_mask(rows: DataFrame, sensitivity: float = 60) -> DataFrame:
-    """rows with px and the flags of ink.ink_stats() (line_art, pure_mask, treat_as_color) -> with the arrays ink, ring and contour, as ink.ink_mask() decides.
+    def run(lines: Lines) -> dict[str, np.ndarray]:
+        label = lines.values["label"]
+        out = []
+        for dx, dy in ((1, 0), (0, 1)):
+            other = lines.beside(label, dx, dy, -1)
+            at = np.nonzero((label >= 0) & (other >= 0) & (other != label))[0]
+            x, y = lines.x[at], lines.y[lines.line[at]]
+            out.append((lines.image_id[lines.line[at]], x + dx, y + dy, x + 1, y + 1))
+        return dict(zip(("image_id", "x1", "y1", "x2", "y2"), (np.concatenate(c) for c in zip(*out, strict=True)), strict=True))
 
-    Clear pixels have a lightness of 255, so the rules on neighbours come down to the lightest of four and of eight.
-    """
-    t = max(0.0, min(100.0, float(sensitivity))) / 100
-    light = F.transform(_colors("px"), lambda p: F.struct(F.when(p["a"] < 128, 255.0).otherwise(luminance(*rgb(p)).cast("float").cast("double")).alias("l"), chroma(*rgb(p)).alias("c"), (p["a"] >= 128).alias("on")))
-    rows = rows.withColumn("_light", light)
-    side = lambda k: F.coalesce(F.get("_light", k)["l"], F.lit(-1.0))
-    wide = F.transform("_light", lambda p, x: F.struct(p["l"].alias("l"), p["c"].alias("c"), p["on"].alias("on"), F.greatest(side(x - 1), side(x + 1)).alias("s")))
-    none = F.struct(F.lit(-1.0).alias("l"), F.lit(0).alias("c"), F.lit(False).alias("on"), F.lit(-1.0).alias("s"))
-    line = C("line_art")
-    top, least = F.when(line, 55 + t * 100).otherwise(28 + t * 55), F.when(line, 6 + (1 - t) * 14).otherwise(14 + (1 - t) * 22)
-
-    def cell(u: Column, o: Column, d: Column, x: Column) -> Column:
-        own, four = o["l"], F.greatest(u["l"], o["s"], d["l"])
-        eight = F.greatest(u["l"], u["s"], o["s"], d["l"], d["s"])
-        dark = ((own <= top * 0.55) & (o["c"] < 35)) | ((own <= top) & (eight - own >= least)) | (own <= 22) | (line & (own <= top) & (o["c"] < 40)) | ((own <= 55 + t * 50) & (o["c"] >= 16))
-        base = F.when(C("pure_mask"), o["on"] & (own <= 40 + t * 80)).otherwise(_inside(x) & o["on"] & (own <= top + 40) & dark)
-        art = _inside(x) & o["on"] & C("treat_as_color")
-        return F.struct(base.alias("base"), (art & (own <= 210) & (four >= 225)).alias("ring"), (art & (own <= 55 + t * 50) & ((eight >= 200) | (eight - own >= 45))).alias("contour"))
-
-    rows = _stencil(rows, wide, cell, "_m", none)
-    part = lambda f: F.transform("_m", f)
-    return rows.withColumns({"ink": part(lambda m: m["base"] | m["ring"] | m["contour"]), "ring": part(lambda m: m["ring"]), "contour": part(lambda m: m["contour"])}).drop("_m", "_light")
+    return _found(rows, run, ["label"], "image_id long, x1 int, y1 int, x2 int, y2 int", True)
 
 
-def metal_segments(rows: DataFrame) -> DataFrame:
-    """image_id, x1, y1, x2, y2: the unit segment between two opaque neighbours of different labels, smaller end first. Only segments leave the rows."""
-    rows = rows.withColumn("_down", F.lead("label").over(_lines()))
-    seg = lambda x1, y1, x2, y2: F.struct(x1.cast("int").alias("x1"), y1.cast("int").alias("y1"), x2.cast("int").alias("x2"), y2.cast("int").alias("y2"))
-    y = C("y")
-    right = F.transform("label", lambda v, x: F.when(v != F.get("label", x + 1), seg(x + 1, y, x + 1, y + 1)))
-    below = F.transform("label", lambda v, x: F.when(v != F.get("_down", x), seg(x, y + 1, x + 1, y + 1)))
-    both = F.concat(F.array_compact(right), F.coalesce(F.array_compact(below), F.array().cast("array<struct<x1:int,y1:int,x2:int,y2:int>>")))
-    return rows.select("image_id", F.explode(both).alias("s")).select("image_id", "s.*")
+def color_runs(rows: DataFrame, key: str = "label") -> DataFrame:
+    """image_id, y, x0, len, key: the maximal runs of places whose key (a whole number) is not null. Lines are read as they lie; nothing is sorted."""
 
+    def run(lines: Lines) -> dict[str, np.ndarray]:
+        value = lines.values[key]
+        edge = np.ones(len(value) + 1, bool)
+        edge[1:-1] = (value[1:] != value[:-1]) | (lines.x[1:] == 0)
+        at = np.nonzero(edge)[0]
+        begin, size = at[:-1], np.diff(at)
+        begin, size = begin[value[begin] >= 0], size[value[begin] >= 0]
+        line = lines.line[begin]
+        return {"image_id": lines.image_id[line], "y": lines.y[line], "x0": lines.x[begin], "len": size, key: value[begin]}
 
-def color_runs(rows: DataFrame, key: str = "label") -> DataFrame:
-    """image_id, y, x0, len, key: the maximal runs of places whose key is not null, found within each array."""
-    at = lambda k: F.get(key, k)
-    places = F.sequence(F.lit(0), F.size(key) - 1)
-    begin = F.filter(places, lambda x: at(x).isNotNull() & ((x == 0) | ~at(x).eqNullSafe(at(x - 1))))
-    end = F.filter(places, lambda x: at(x).isNotNull() & ((x == F.size(key) - 1) | ~at(x).eqNullSafe(at(x + 1))))
-    runs = rows.filter(F.size(key) > 0).select("image_id", "y", key, F.explode(F.arrays_zip(begin.alias("a"), end.alias("b"))).alias("_r"))
-    return runs.select("image_id", "y", C("_r.a").alias("x0"), (C("_r.b") - C("_r.a") + 1).alias("len"), F.get(key, C("_r.a")).alias(key))
+    return _found(rows, run, [key], f"image_id long, y int, x0 int, len int, {key} int", False)
 
 
 def color_rects(rows: DataFrame, key: str = "label") -> DataFrame:
@@ -221,9 +317,14 @@ def color_rects(rows: DataFrame, key: str = "label") -> DataFrame:
 
 
 def sums(rows: DataFrame, name: str = "label") -> DataFrame:
-    """image_id, n, total, placed of an array of numbers or booleans: how many are not null, their sum, and their sum weighted by place. Added up within rows before anything is grouped."""
-    zero = F.lit(0).cast("long")
-    value = F.transform(name, lambda v, x: F.struct(v.cast("long").alias("v"), (x * 31 + C("y") * 17).alias("k")))
-    add = lambda f: F.aggregate(value, zero, lambda s, p: s + F.coalesce(f(p), zero))
-    out = rows.select("image_id", add(lambda p: F.when(p["v"].isNotNull(), 1).cast("long")).alias("n"), add(lambda p: p["v"]).alias("total"), add(lambda p: p["v"] * p["k"]).alias("placed"))
+    """image_id, n, total, placed of an array: how many values are not null, their sum, and their sum weighted by place, added up line by line before anything is grouped."""
+
+    def run(lines: Lines) -> dict[str, np.ndarray]:
+        value = lines.values[name].astype(np.int64)
+        value, one = np.where(value < 0, 0, value), value >= 0
+        placed = value * (lines.x * 31 + lines.y[lines.line].astype(np.int64) * 17)
+        upto = lambda v: np.diff(np.concatenate([[0], np.cumsum(v)])[lines.ends])
+        return {"image_id": lines.image_id, "n": upto(one), "total": upto(value), "placed": upto(placed)}
+
+    out = _found(rows, run, [name], "image_id long, n long, total long, placed long", False)
     return out.groupBy("image_id").agg(F.sum("n").alias("n"), F.when(F.sum("n") > 0, F.sum("total")).alias("total"), F.when(F.sum("n") > 0, F.sum("placed")).alias("placed"))

@@ -417,7 +417,7 @@ k AS (SELECT image_id, CASE WHEN pure THEN o AND l <= 88 ELSE i AND o AND l <= t
  i AND o AND colour AND l <= 210 AND four AS ring, i AND o AND colour AND l <= 85 AND eight AS contour FROM j)
 SELECT image_id, sum((base OR ring OR contour)::INT)::BIGINT AS ink, sum(ring::INT)::BIGINT AS ring, sum(contour::INT)::BIGINT AS contour FROM k GROUP BY image_id""")
 def ink_mask_colors(s, d):
-    flags = ink.ink_stats(packed.unpack_pixels(fixtures.rows(s, d))).select("image_id", "line_art", "pure_mask", "treat_as_color")
+    flags = ink.ink_stats(packed.unpack_rows(fixtures.rows(s, d), ["px"])).select("image_id", "line_art", "pure_mask", "treat_as_color")
     out = packed.ink_mask(_rows(s, d).join(flags, "image_id"), 60)
     return out.groupBy("image_id").agg(*(F.sum(F.size(F.filter(c, lambda v: v)).cast("long")).alias(c) for c in ("ink", "ring", "contour")))
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,27 +50,28 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same rasters, packed: image_id, w, h, y and px, an array of 0xAARRGGBB for each row of pixels."""
-    from lithoframe.operators.packed import pack_color
+    """The same rasters, packed: image_id, w, h, y and px, an array of 0xAARRGGBB for each line of pixels."""
+    shown = [KINDS.get(k, (0, 0, 0)) for k in range(max(KINDS) + 1)]
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = np.array(shown, np.int64)
+        for batch in batches:
+            image, w, h, y = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("image_id", "w", "h", "y"))
+            ends = np.concatenate([[0], np.cumsum(w)])
+            line = np.repeat(np.arange(len(w)), w)
+            x, (i, wide, high, row) = np.arange(ends[-1]) - ends[line], (v[line] for v in (image, w, h, y))
+            n, q = (x * 73 + row * 151 + i * 197 + x * row * 31) % 97, i % 4
+            dx, dy, rad = x - wide // 2, row - high // 2, np.minimum(wide, high) // 2 - 2
+            far = dx * dx + dy * dy
+            tests = [(n == 1) & (q == 0), (far > rad * rad) & (n == 3), far > rad * rad, far > (rad - 2) ** 2, (dx - 2) ** 2 + (dy + 2) ** 2 <= 2, n == 0]
+            kind = np.select(tests, [9, 8, 10 + i % 3, 0, 1, 6], 2 + ((dx >= 0).astype(np.int64) + 2 * (dy >= 0) + q) % 4)
+            alpha = np.where(kind == 9, 0, np.where((n == 2) & (q == 0), 90, 255))
+            r, g, b = (np.clip(base[kind, k] + n % 5 - 2, 0, 255) for k in range(3))
+            px = (alpha << 24 | r << 16 | g << 8 | b).astype(np.uint32).view(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(px))], ["image_id", "w", "h", "y", "px"])
 
     lines = images(spark, sf_dir).select("image_id", "w", "h", F.explode(F.sequence(F.lit(0), C("h") - 1)).alias("y"))
-    q, dy, rad = (C("image_id") % 4).cast("int"), C("y") - F.floor(C("h") / 2).cast("int"), (F.floor(F.least("w", "h") / 2) - 2).cast("int")
-    lines = lines.withColumns({"_q": q, "_dy": dy, "_rad": rad, "_k": (C("image_id") * 197 + C("y") * 151).cast("long"), "_ground": (10 + C("image_id") % 3).cast("int"), "_half": F.floor(C("w") / 2).cast("int")})
-    place = F.transform(F.sequence(F.lit(0), C("w") - 1), lambda x: F.struct(((x * 73 + C("_k") + x * C("y") * 31) % 97).cast("int").alias("n"), (x - C("_half")).alias("dx")))
-    place = F.transform(place, lambda p: F.struct(p["n"].alias("n"), p["dx"].alias("dx"), (p["dx"] * p["dx"] + C("_dy") * C("_dy")).alias("far")))
-
-    def kind(p: Column) -> Column:
-        near = (p["dx"] - 2) * (p["dx"] - 2) + (C("_dy") + 2) * (C("_dy") + 2)
-        out = F.when((p["n"] == 1) & (C("_q") == 0), 9).when(p["far"] > C("_rad") * C("_rad"), F.when(p["n"] == 3, 8).otherwise(C("_ground")))
-        out = out.when(p["far"] > (C("_rad") - 2) * (C("_rad") - 2), 0).when(near <= 2, 1).when(p["n"] == 0, 6)
-        return out.otherwise(2 + ((p["dx"] >= 0).cast("int") + 2 * (C("_dy") >= 0).cast("int") + C("_q")) % 4)
-
-    kinds = F.transform(place, lambda p: F.struct(p["n"].alias("n"), kind(p).alias("kind")))
-    colors = [KINDS.get(k, (0, 0, 0)) for k in range(max(KINDS) + 1)]
-    base = F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in zip("rgb", rgb, strict=True))) for rgb in colors))
-    based = F.transform(kinds, lambda p: F.struct(F.get(base, p["kind"]).alias("c"), (p["n"] % 5 - 2).alias("d"), F.when(p["kind"] == 9, 0).when((p["n"] == 2) & (C("_q") == 0), 90).otherwise(255).alias("a")))
-    shade = lambda p, k: F.greatest(F.lit(0), F.least(F.lit(255), p["c"][k] + p["d"]))
-    return lines.select("image_id", "w", "h", "y", F.transform(based, lambda p: pack_color(shade(p, "r"), shade(p, "g"), shade(p, "b"), p["a"])).alias("px"))
+    return lines.mapInArrow(draw, "image_id long, w int, h int, y int, px array<int>")
 
 
 def palette(spark: SparkSession, sf_dir: str) -> DataFrame:
