@@ -328,3 +328,170 @@ def sums(rows: DataFrame, name: str = "label") -> DataFrame:
 
     out = _found(rows, run, [name], "image_id long, n long, total long, placed long", False)
     return out.groupBy("image_id").agg(F.sum("n").alias("n"), F.when(F.sum("n") > 0, F.sum("total")).alias("total"), F.when(F.sum("n") > 0, F.sum("placed")).alias("placed"))
+
+
+# ---- components
+
+
+def _runs(lines: Lines, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place and length of the runs of equal values in lines, of those that are no none (-1) too."""
+    edge = np.ones(len(value) + 1, bool)
+    edge[1:-1] = (value[1:] != value[:-1]) | (lines.x[1:] == 0)
+    at = np.nonzero(edge)[0]
+    return at[:-1], np.diff(at)
+
+
+def components(lines: Lines, value: np.ndarray) -> np.ndarray:
+    """For each place of whole images the number of its component, the images' components numbered one after the other in the order of their first places; -1 where the value is -1."""
+    from lithoframe.operators.components import unite
+
+    begin, size = _runs(lines, value)
+    here = value[begin] >= 0
+    line = lines.line[begin]
+    # Lines of all images in the batch are stacked with a gap between images, so that one pass unites them all.
+    stacked = np.arange(len(lines.y), dtype=np.int64) + np.concatenate([[0], np.cumsum(lines.image_id[1:] != lines.image_id[:-1])])
+    root = unite(stacked[line[here]], lines.x[begin[here]], size[here], value[begin[here]])
+    number = np.full(len(begin), -1, np.int64)
+    number[here] = np.unique(root, return_inverse=True)[1]
+    return np.repeat(number, size)
+
+
+def _by_image(lines: Lines, number: np.ndarray) -> np.ndarray:
+    """Component numbers (of components()) counted from 0 in each image."""
+    image = np.concatenate([[0], np.cumsum(lines.image_id[1:] != lines.image_id[:-1])])[lines.line] if len(lines.line) else lines.line
+    first = np.full(int(image.max(initial=-1)) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(first, image[number >= 0], number[number >= 0])
+    return np.where(number >= 0, number - first[image], -1) if len(number) else number
+
+
+def with_regions(rows: DataFrame, key: str = "label", name: str = "region") -> DataFrame:
+    """rows with the component of each place whose key (a whole number) is not null, numbered from 0 in each image by first places, and its `{name}_area`. No joins: components and areas come in one pass over whole images."""
+
+    def run(lines: Lines) -> dict[str, np.ndarray]:
+        number = components(lines, lines.values[key])
+        area = np.bincount(number[number >= 0], minlength=int(number.max(initial=-1)) + 1)
+        return {name: _by_image(lines, number).astype(np.int32), f"{name}_area": np.where(number >= 0, area[number] if len(area) else -1, -1).astype(np.int32)}
+
+    return map_lines(rows, run, [key], {name: "int", f"{name}_area": "int"})
+
+
+def label_regions(rows: DataFrame) -> DataFrame:
+    """image_id, region, label, area of the components of equal labels."""
+
+    def run(lines: Lines) -> dict[str, np.ndarray]:
+        number = components(lines, lines.values["label"])
+        at, own = np.nonzero(number >= 0)[0], _by_image(lines, number)
+        _n, first, area = np.unique(number[at], return_index=True, return_counts=True)
+        first = at[first]
+        return {"image_id": lines.image_id[lines.line[first]], "region": own[first], "label": lines.values["label"][first], "area": area}
+
+    return _found(rows, run, ["label"], "image_id long, region long, label int, area long", True)
+
+
+def region_borders(rows: DataFrame) -> DataFrame:
+    """image_id, region, label, other, other_label, sides: how many pixel sides two components of labels share, in both directions."""
+
+    def run(lines: Lines) -> dict[str, np.ndarray]:
+        label = lines.values["label"]
+        number = components(lines, label)
+        own = _by_image(lines, number)
+        pairs = []
+        for dx, dy in ((1, 0), (0, 1)):
+            other = lines.beside(number, dx, dy, -1)
+            at = np.nonzero((number >= 0) & (other >= 0) & (other != number))[0]
+            to = at + dx + dy * lines.wide[at]
+            pairs += [(at, to), (to, at)]
+        a, b = (np.concatenate(p) for p in zip(*pairs, strict=True))
+        _key, first, sides = np.unique(number[a] * (int(number.max(initial=0)) + 1) + number[b], return_index=True, return_counts=True)
+        a, b = a[first], b[first]
+        return {"image_id": lines.image_id[lines.line[a]], "region": own[a], "label": label[a], "other": own[b], "other_label": label[b], "sides": sides}
+
+    return _found(rows, run, ["label"], "image_id long, region long, label int, other long, other_label int, sides long", True)
+
+
+def touching_frame(lines: Lines, free: np.ndarray) -> np.ndarray:
+    """Places of whole images that are free and reach the frame through free places."""
+    number = components(lines, np.where(free, 0, -1))
+    y, h = lines.y[lines.line], lines.h[lines.line]
+    edge = (lines.x == 0) | (lines.x == lines.wide - 1) | (y == 0) | (y == h - 1)
+    open_ = np.zeros(int(number.max(initial=-1)) + 2, bool)
+    open_[number[edge & (number >= 0)]] = True
+    return (number >= 0) & open_[number]
+
+
+def small_to_neighbours(lines: Lines, label: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Labels with components of fewer places than `least` (by place) given the label that most of their sides touch, the lowest among equals, or none. All decide on the state before."""
+    number = components(lines, label)
+    if not (number >= 0).any():
+        return label
+    area = np.bincount(number[number >= 0])
+    small = np.where(number >= 0, area[number] < least, False)
+    votes = []
+    for dx, dy in _SIDES:
+        other, beside = lines.beside(label, dx, dy, -1), lines.beside(number, dx, dy, -1)
+        at = np.nonzero(small & (other >= 0) & (beside != number))[0]
+        votes.append(np.stack([number[at], other[at]]))
+    part, colour = np.concatenate(votes, 1)
+    keys, n = np.unique(part * (int(label.max()) + 1) + colour, return_counts=True)
+    part, colour = keys // (int(label.max()) + 1), keys % (int(label.max()) + 1)
+    order = np.lexsort((-colour, n, part))  # the best of a component comes last
+    best = np.full(len(area), -1)
+    best[part[order]] = colour[order]
+    return np.where(small, best[number], label).astype(np.int32)
+
+
+def drop_speck_islands(rows: DataFrame, min_area: int | str) -> DataFrame:
+    """Components smaller than min_area (a number or a column) take the label that most of their sides touch, the lowest among equals, or become transparent."""
+    rows = rows.withColumn("_least", F.lit(min_area) if isinstance(min_area, int) else C(min_area))
+    return map_lines(rows, lambda lines: {"label": small_to_neighbours(lines, lines.values["label"], lines.extra["_least"].to_numpy(zero_copy_only=False)[lines.line])}, ["label"], {"label": "int"}, extra=["_least"])
+
+
+def remove_small_components(rows: DataFrame, min_area: int | str) -> DataFrame:
+    """Ink components smaller than min_area go."""
+    rows = rows.withColumn("_least", F.lit(min_area) if isinstance(min_area, int) else C(min_area))
+
+    def run(lines: Lines) -> dict[str, np.ndarray]:
+        ink = lines.values["ink"].astype(bool)
+        number = components(lines, np.where(ink, 0, -1))
+        area = np.append(np.bincount(number[number >= 0]), 0)
+        return {"ink": ink & (area[number] >= lines.extra["_least"].to_numpy(zero_copy_only=False)[lines.line])}
+
+    return map_lines(rows, run, ["ink"], {"ink": "boolean"}, extra=["_least"])
+
+
+def mark_exterior(rows: DataFrame) -> DataFrame:
+    """rows with px and ink -> with exterior: clear (alpha of 96 at most), without ink, and connected to the frame."""
+
+    def run(lines: Lines) -> dict[str, np.ndarray]:
+        clear = _channels(lines.values["px"].astype(np.int64) & 0xFFFFFFFF)[3] <= 96
+        return {"exterior": touching_frame(lines, clear & ~lines.values["ink"].astype(bool))}
+
+    return map_lines(rows, run, ["px", "ink"], {"exterior": "boolean"})
+
+
+def resample_nearest(rows: DataFrame, dims: DataFrame, names: list[str]) -> DataFrame:
+    """rows and dims(image_id, w, h) -> the named arrays at the new size; each new place takes the one below its centre.
+
+    A line goes to the new lines that take it (an interval of them), and its places are picked within the array: nothing is joined by place.
+    """
+    new = dims.select("image_id", C("w").cast("int").alias("_nw"), C("h").cast("int").alias("_nh"))
+    out = rows.select(*LINE, *names).join(new, "image_id")
+    at = lambda v, old, size: F.least(old - 1, F.floor((v + 0.5) * old / size).cast("int"))
+    low = F.greatest(F.lit(0), F.floor(C("y") * C("_nh") / C("h")).cast("int") - 1)
+    high = F.least(C("_nh") - 1, F.ceil((C("y") + 1) * C("_nh") / C("h")).cast("int") + 1)
+    out = out.withColumn("_y", F.explode(F.filter(F.sequence(low, high), lambda v: at(v, C("h"), C("_nh")) == C("y"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w, wide, high = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("w", "_nw", "_nh"))
+            ends = np.concatenate([[0], np.cumsum(wide)])
+            line = np.repeat(np.arange(len(w)), wide)
+            x = np.arange(ends[-1]) - ends[line]
+            x = np.minimum(w[line] - 1, np.floor((x + 0.5) * w[line] / wide[line]).astype(np.int64))
+            begin = np.concatenate([[0], np.cumsum(w)])
+            picked = pa.array(begin[line] + x)
+            arrays = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), batch.column(k).flatten().take(picked)) for k in names]
+            yield pa.RecordBatch.from_arrays([batch.column("image_id"), pa.array(wide, pa.int32()), pa.array(high, pa.int32()), batch.column("_y"), *arrays], [*LINE, *names])
+
+    schema = "image_id long, w int, h int, y int, " + ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in names)
+    return out.select("image_id", "w", "_nw", "_nh", "_y", *names).mapInArrow(run, schema)

@@ -52,6 +52,10 @@ def ink_digest(df: DataFrame, value: str = "ink") -> DataFrame:
     return df.groupBy("image_id").agg(F.sum(v).alias("n"), F.sum(v * (C("x") * 31 + C("y") * 17)).alias("placed"))
 
 
+def _ink_sums(rows: DataFrame, name: str = "ink") -> DataFrame:
+    return packed.sums(rows, name).select("image_id", C("total").alias("n"), "placed")
+
+
 def _pixels(s: SparkSession, d: str) -> DataFrame:
     return fixtures.pixels(s, d)
 
@@ -80,7 +84,7 @@ def _mask(s: SparkSession, d: str) -> DataFrame:
 
 def _ink_rows(s: SparkSession, d: str) -> DataFrame:
     parts = lambda p: tuple(packed.channel(p, k) for k in ("r", "g", "b"))
-    return _rows(s, d).select(*packed.LINE, F.transform("px", lambda p: (color.luminance(*parts(p)) < 30) & (packed.channel(p, "a") >= 128)).alias("ink"))
+    return _rows(s, d).select(*packed.LINE, "px", F.transform("px", lambda p: (color.luminance(*parts(p)) < 30) & (packed.channel(p, "a") >= 128)).alias("ink"))
 
 
 def _colors(s: SparkSession, d: str) -> DataFrame:
@@ -287,7 +291,7 @@ def color_bins(s, d):
 t AS (SELECT rx.image_id, rx.x, rx.y, lb.label FROM rx JOIN lb ON lb.image_id = rx.image_id AND lb.x = least(sw - 1, floor((rx.x + 0.5::DOUBLE) * sw / nw)) AND lb.y = least(sh - 1, floor((rx.y + 0.5::DOUBLE) * sh / nh))) """ + Q.DIGEST.format(t="t"))
 def resampled_labels(s, d):
     dims = fixtures.images(s, d).select("image_id", (C("w") + (C("image_id") % 7).cast("int")).alias("w"), F.greatest(F.lit(1), C("h") - 3).alias("h"))
-    return digest(grid.resample_nearest(_labels(s, d), dims, ["label"]))
+    return packed.sums(packed.resample_nearest(_label_rows(s, d), dims, ["label"]))
 
 
 @query(f"WITH {Q.LABELS} SELECT image_id, sum(coalesce(pr, 0))::BIGINT AS red, sum(coalesce(pg, 0) * (x + 1))::BIGINT AS green, sum(coalesce(pb, 0) * (y + 1))::BIGINT AS blue, sum(CASE WHEN label IS NULL THEN 0 ELSE 255 END)::BIGINT AS alpha FROM lb LEFT JOIN slots ON idx = label GROUP BY image_id")
@@ -353,7 +357,7 @@ def overlapped_fills(s, d):
 
 @query(f"WITH {Q.MASK}, o AS (SELECT m.image_id, m.x, m.y, m.ink AND NOT (m.x > 0 AND m.y > 0 AND m.x < m.w - 1 AND m.y < m.h - 1 AND sum(n.ink::INT) <= 2) AS ink FROM mk m, (SELECT unnest(range(-1, 2)) AS dx) dxs, (SELECT unnest(range(-1, 2)) AS dy) dys, mk n WHERE n.image_id = m.image_id AND n.x = m.x + dx AND n.y = m.y + dy GROUP BY m.image_id, m.x, m.y, m.w, m.h, m.ink) " + Q.MASK_DIGEST.format(t="o"))
 def without_lone_ink(s, d):
-    return packed.sums(packed.remove_isolated_ink(_ink_rows(s, d), 2), "ink").select("image_id", C("total").alias("n"), "placed")
+    return _ink_sums(packed.remove_isolated_ink(_ink_rows(s, d), 2))
 
 
 @query(f"""WITH {Q.LABELS}, {_SIDES}, g AS (SELECT image_id, x + 1 AS x1, y AS y1, x + 1 AS x2, y + 1 AS y2 FROM sd WHERE label <> rt UNION ALL SELECT image_id, x, y + 1, x + 1, y + 1 FROM sd WHERE label <> dn)
@@ -430,13 +434,12 @@ _NUMBERED = "nu AS (SELECT image_id, c, row_number() OVER (PARTITION BY image_id
 
 @query(f"{_REGIONS}, {_NUMBERED} SELECT nu.image_id, region, any_value(label) AS label, count(*) AS area FROM gpx JOIN nu USING (image_id, c) GROUP BY nu.image_id, region")
 def region_areas(s, d):
-    return components.label_regions(_labels(s, d))
+    return packed.label_regions(_label_rows(s, d))
 
 
 @query(f"{_REGIONS}, {_NUMBERED}, {Q.SIDES} SELECT s.image_id, a.region, key_ AS label, b.region AS other, ok AS other_label, sides FROM sides s JOIN nu a ON a.image_id = s.image_id AND a.c = s.c JOIN nu b ON b.image_id = s.image_id AND b.c = s.oc")
 def region_sides(s, d):
-    found = by_image(components.with_regions(_labels(s, d)))
-    return grid.region_borders(found.select("image_id", "x", "y", "region", "label"))
+    return packed.region_borders(_label_rows(s, d))
 
 
 @query()
@@ -448,12 +451,12 @@ def small_regions_merged(s, d):
 be AS (SELECT image_id, c, arg_max(ok, {{'n': n, 'k': -ok}}) AS best FROM vo GROUP BY ALL),
 t AS (SELECT g.image_id, g.x, g.y, CASE WHEN area < 12 THEN best ELSE g.label END AS label FROM gpx g LEFT JOIN ar ON ar.image_id = g.image_id AND ar.c = g.c LEFT JOIN be ON be.image_id = g.image_id AND be.c = g.c) """ + Q.DIGEST.format(t="t"))
 def specks_dropped(s, d):
-    return digest(components.drop_speck_islands(_labels(s, d), 12))
+    return packed.sums(packed.drop_speck_islands(_label_rows(s, d), 12))
 
 
 @query(f"WITH RECURSIVE {Q.MASK}, {Q.regions('mk', 'CASE WHEN ink THEN 1 END')}, t AS (SELECT image_id, x, y, ink AND count(*) OVER (PARTITION BY image_id, c) >= 12 AS ink FROM gpx) " + Q.MASK_DIGEST.format(t="t"))
 def small_ink_removed(s, d):
-    return ink_digest(components.remove_small_components(_mask(s, d), 12))
+    return _ink_sums(packed.remove_small_components(_ink_rows(s, d), 12))
 
 
 @query(f"""WITH RECURSIVE {Q.MASK}, er AS {Q.eroded('mk', 1, 'm.x >= 1 AND m.y >= 1 AND m.x < m.w - 1 AND m.y < m.h - 1')}, {Q.regions('mk', 'CASE WHEN NOT ink THEN 1 END')}, {Q.touching()}, ho AS (SELECT image_id, x, y FROM gt WHERE NOT ink AND NOT t),
@@ -465,7 +468,7 @@ def hole_ring_walls(s, d):
 
 @query(f"WITH RECURSIVE {Q.PIXELS}, mk AS (SELECT image_id, w, h, x, y, a, {Q.lum()} < 30 AND a >= 128 AS ink FROM px), {Q.regions('mk', 'CASE WHEN a <= 96 AND NOT ink THEN 1 END')}, {Q.touching()}, t AS (SELECT image_id, x, y, t AS ink FROM gt) " + Q.MASK_DIGEST.format(t="t"))
 def exterior_pixels(s, d):
-    return ink_digest(components.mark_exterior(_mask(s, d)), "exterior")
+    return _ink_sums(packed.mark_exterior(_ink_rows(s, d)), "exterior")
 
 
 @query()
