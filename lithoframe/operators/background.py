@@ -3,15 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithoframe.functions.color import chroma, dist2, is_skin_tone, luminance, rounded
-from lithoframe.operators.components import touching_frame
-from lithoframe.operators.grid import by_image, interior, with_sides, with_square
-from lithoframe.operators.match import RGB, rgb
-from lithoframe.staging import stage
+from lithoframe.functions.color import chroma, is_skin_tone, luminance, rounded
+from lithoframe.operators.match import RGB
+from lithoframe.operators.packed import LINE, SIDES, SQUARE, Lines, channels, map_lines, touching_frame, unpack_rows
 
 C = F.col
 
@@ -32,102 +29,152 @@ def backdrop_color(samples: DataFrame) -> DataFrame:
     return samples.groupBy("image_id").agg(F.count("*").alias("n"), *(middle(k) for k in RGB)).filter("n >= 3").drop("n")
 
 
-def is_backdrop_pixel(pixels: DataFrame, backdrop: DataFrame, tolerance: float = 42) -> DataFrame:
-    """pixels with is_backdrop, light_backdrop and the backdrop's colour as bg: near the backdrop, by rules for light, dark and other backdrops. Skin never is, nor are accents on a grey backdrop. Null without a backdrop."""
+def _backdrop(lines: Lines, tolerance: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+    """(is backdrop, the image has a backdrop, it is light, channels) by place. Near the backdrop, by rules for light, dark and other backdrops; skin never is, nor are accents on a grey backdrop."""
     tol = float(max(4, min(100, tolerance)))
-    out = pixels.join(backdrop.select("image_id", F.struct(*RGB).alias("bg")), "image_id", "left")
-    out = out.withColumns({"_l": luminance(*rgb()), "_c": chroma(*rgb()), "_skin": is_skin_tone(*rgb())})
-    out = with_sides(out.withColumn("_o", F.struct("a", C("_l").alias("l"), C("_skin").alias("s"))), "_o")
-    bg = rgb(C("bg"))
-    bg_l, bg_c, far = luminance(*bg), chroma(*bg), dist2(rgb(), bg)
-    light, dark = (bg_l > 200) & (bg_c < 30), bg_l < 40
-    accent = (bg_c < 25) & (C("_c") > F.greatest(F.lit(35), bg_c + 22))
-    white = ((C("_l") >= 232) & (C("_c") <= 18)) | ((C("_l") >= bg_l - 14) & (C("_c") <= 20) & (far <= (tol * 1.35) ** 2)) | (far <= tol * tol)
-    warm = (C("r") > C("g") + 10) & (C("r") > C("b") + 15) & (C("_c") > 14)
-    bright = F.exists("_s", lambda s: F.coalesce((s["a"] >= 16) & ((s["l"] - C("_l") > 48) | s["s"]), F.lit(False)))
-    near = F.when(light, white & ~warm).otherwise((far <= tol * tol) & (~dark | ((C("_l") <= 42) & ~bright)))
-    is_bg = F.when(C("bg").isNotNull(), F.when(C("a") < 16, True).when(C("_skin") | accent, False).otherwise(near))
-    return out.withColumns({"is_backdrop": is_bg, "light_backdrop": light, "_bgl": bg_l}).drop("_l", "_c", "_skin", "_o", "_s")
-
-
-def _along(sure: np.ndarray, chained: np.ndarray) -> np.ndarray:
-    """A row swept from left to right: sure places are taken, chained ones if the place before them is."""
-    at = np.arange(1, len(sure) + 1)
-    hit = np.maximum.accumulate(np.where(sure, at, 0))
-    stop = np.maximum.accumulate(np.where(sure | chained, 0, at))
-    return (sure | chained) & (hit > stop)
-
-
-def _box(frame: pd.DataFrame, value: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Places in the box of an image's candidates, with a rim of one, and their values in it; -1 elsewhere."""
-    y, x = (frame[k].to_numpy() - frame[k].min() + 1 for k in ("y", "x"))
-    box = np.full((y.max() + 2, x.max() + 2), -1)
-    box[y, x] = frame[value].astype(int)
-    return y, x, box, np.zeros(box.shape, bool)
-
-
-#: Halos are cleared in this many passes at most.
-_PASSES = 4
-
-
-def _haloes(frame: pd.DataFrame) -> pd.DataFrame:
-    """Candidates of one image in raster order, in place, four times at most: one goes if it is open, or if a side of it has gone. (One parameter: with two, applyInPandas would hand over the key first.)"""
-    y, x, box, gone = _box(frame, "open")
-    for _ in range(_PASSES):
-        before = gone.sum()
-        for r in range(1, len(box) - 1):
-            sure = gone[r] | (box[r] == 1) | ((box[r] == 0) & (gone[r - 1] | gone[r + 1] | np.append(gone[r, 1:], False)))
-            gone[r] = _along(sure, box[r] >= 0)
-        if gone.sum() == before:
+    told = [lines.extra[f"_bg_{k}"] for k in RGB]
+    has = ~np.isnan(told[0].to_numpy(zero_copy_only=False).astype(float))[lines.line]
+    bg = tuple(np.nan_to_num(v.to_numpy(zero_copy_only=False).astype(float))[lines.line] for v in told)
+    r, g, b, a = channels(lines.values["px"])
+    light, ch, skin = luminance(r, g, b), chroma(r, g, b), is_skin_tone(r, g, b)
+    bg_l, bg_c, far = luminance(*bg), chroma(*bg), (r - bg[0]) ** 2 + (g - bg[1]) ** 2 + (b - bg[2]) ** 2
+    pale, dark = (bg_l > 200) & (bg_c < 30), bg_l < 40
+    accent = (bg_c < 25) & (ch > np.maximum(35, bg_c + 22))
+    white = ((light >= 232) & (ch <= 18)) | ((light >= bg_l - 14) & (ch <= 20) & (far <= (tol * 1.35) ** 2)) | (far <= tol * tol)
+    warm = (r > g + 10) & (r > b + 15) & (ch > 14)
+    bright = np.zeros(len(a), bool)
+    for dx, dy in SIDES:
+        bright |= (lines.beside(a, dx, dy, 0) >= 16) & ((lines.beside(light, dx, dy, 0.0) - light > 48) | lines.beside(skin, dx, dy, False))
+    near = np.where(pale, white & ~warm, (far <= tol * tol) & (~dark | ((light <= 42) & ~bright)))
+    return has & ((a < 16) | (near & ~skin & ~accent)), has, pale, (r, g, b, a)
+
+
+def _with_backdrop(rows: DataFrame, backdrop: DataFrame) -> DataFrame:
+    return rows.join(backdrop.select("image_id", *(C(k).alias(f"_bg_{k}") for k in RGB)), "image_id", "left")
+
+
+_BG = [f"_bg_{k}" for k in RGB]
+
+
+def is_backdrop_pixel(rows: DataFrame, backdrop: DataFrame, tolerance: float = 42) -> DataFrame:
+    """Rows with px, dealt by image -> with is_backdrop, an array of 1 and 0; null without a backdrop."""
+
+    def run(lines: Lines) -> dict[str, np.ndarray]:
+        found, has, *_ = _backdrop(lines, tolerance)
+        return {"is_backdrop": np.where(has, found, -1).astype(np.int32)}
+
+    return map_lines(_with_backdrop(rows, backdrop), run, ["px"], {"is_backdrop": "int"}, extra=_BG)
+
+
+def haloes(lines: Lines, fit: np.ndarray, clear: np.ndarray, passes: int = 4) -> np.ndarray:
+    """Of the places that fit those that go, visited in raster order and in place, `passes` times at most: one goes if a side of it is clear or has gone.
+
+    In a pass a place sees what goes above it and to its left, so what begins beside something clear spreads to the right and down; each place is
+    looked at once a pass, however long the way.
+    """
+    gone = np.zeros(len(fit), bool)
+    for _ in range(passes):
+        open_ = clear | gone
+        new = np.nonzero(fit & ~gone & np.logical_or.reduce([lines.beside(open_, dx, dy, False) for dx, dy in SIDES]))[0]
+        if not len(new):
             break
-    return frame.loc[gone[y, x], ["image_id", "x", "y"]]
+        while len(new):
+            gone[new] = True
+            right = new[lines.x[new] < lines.wide[new] - 1] + 1
+            down = new[lines.y[lines.line[new]] < lines.h[lines.line[new]] - 1]
+            new = np.unique(np.concatenate([right, down + lines.wide[down]]))
+            new = new[fit[new] & ~gone[new]]
+    return gone
+
+
+def lone(lines: Lines, fit: np.ndarray, opaque: np.ndarray) -> np.ndarray:
+    """Of the places that fit those that go, visited in raster order and in place, once: one goes if at most one of its eight opaque neighbours is left."""
+    left = sum(lines.beside(opaque, dx, dy, False).astype(np.int8) for dx, dy in SQUARE if dx or dy)
+    gone = np.zeros(len(fit), bool)
+    new = np.nonzero(fit & (left <= 1))[0]
+    while len(new):
+        gone[new] = True
+        later = []
+        for dx, dy in ((1, 0), (-1, 1), (0, 1), (1, 1)):
+            x, y = lines.x[new] + dx, lines.y[lines.line[new]] + dy
+            later.append((new + dx + dy * lines.wide[new])[(x >= 0) & (x < lines.wide[new]) & (y < lines.h[lines.line[new]])])
+        later = np.concatenate(later)
+        np.subtract.at(left, later, 1)
+        new = np.unique(later)
+        new = new[fit[new] & ~gone[new] & (left[new] <= 1)]
+    return gone
 
 
-def _lone(frame: pd.DataFrame) -> pd.DataFrame:
-    """Candidates of one image in raster order, in place, once: one goes if of its opaque neighbours at most one is left."""
-    y, x, box, gone = _box(frame, "on")
-    for r in range(1, len(box) - 1):
-        up = gone[r - 1].astype(int)
-        left = box[r] - up - np.append(0, up[:-1]) - np.append(up[1:], 0)
-        gone[r] = _along((box[r] >= 0) & (left <= 1), (box[r] >= 0) & (left == 2))
-    return frame.loc[gone[y, x], ["image_id", "x", "y"]]
+def _halo_fit(lines: Lines, rgba: tuple[np.ndarray, ...], pale: np.ndarray, bg_l: np.ndarray) -> np.ndarray:
+    r, g, b, a = rgba
+    return pale & lines.inner & (a >= 128) & ~is_skin_tone(r, g, b) & (luminance(r, g, b) >= np.maximum(236.0, bg_l - 8)) & (chroma(r, g, b) <= 18)
 
 
-_SPOT = "image_id long, x int, y int"
+def clear_halos(rows: DataFrame, backdrop: DataFrame) -> DataFrame:
+    """Rows with px -> the near-white fringe of clear areas cleared, on light backdrops: raster order, in place, at most four times."""
 
+    def run(lines: Lines) -> dict[str, np.ndarray]:
+        _f, has, pale, rgba = _backdrop(lines, 42)
+        bg_l = luminance(*(np.nan_to_num(lines.extra[k].to_numpy(zero_copy_only=False).astype(float))[lines.line] for k in _BG))
+        gone = haloes(lines, _halo_fit(lines, rgba, pale & has, bg_l), rgba[3] < 16)
+        return {"px": cleared(lines.values["px"], gone)}
 
-def clear_halos(pixels: DataFrame) -> DataFrame:
-    """pixels(…, light_backdrop, _bgl) with the near-white fringe of cleared areas cleared: raster order, in place, at most four times. Only candidates reach the ordered helper."""
-    rows = with_sides(pixels, "a", "_near")
-    fit = C("light_backdrop") & interior() & (C("a") >= 128) & ~is_skin_tone(*rgb()) & (luminance(*rgb()) >= F.greatest(F.lit(236.0), C("_bgl") - 8)) & (chroma(*rgb()) <= 18)
-    spots = rows.filter(fit).select("image_id", "x", "y", F.coalesce(F.exists("_near", lambda v: v < 16), F.lit(False)).alias("open"))
+    return map_lines(_with_backdrop(rows, backdrop), run, ["px"], {"px": "px"}, extra=_BG)
 
-    gone = spots.groupBy("image_id").applyInPandas(_haloes, _SPOT).withColumn("_gone", F.lit(True))
-    return pixels.join(gone, ["image_id", "x", "y"], "left").withColumn("a", F.when(C("_gone"), 0).otherwise(C("a"))).drop("_gone")
 
+def despeckle(rows: DataFrame) -> DataFrame:
+    """Rows with px -> interior opaque places, but skin, that have at most one opaque neighbour of eight cleared: raster order, in place, once."""
 
-def despeckle(pixels: DataFrame, where: Column | None = None) -> DataFrame:
-    """Interior opaque pixels, but skin, that have at most one opaque neighbour of eight, go: raster order, in place, once. A pixel can lose four neighbours to earlier visits, so only those with up to five reach the helper."""
-    rows = with_square(pixels, (C("a") >= 128).cast("int"), "_on")
-    count = sum((F.coalesce(C("_on")[k], F.lit(0)) for k in range(9)), F.lit(-1))
-    fit = interior() & (C("a") >= 128) & ~is_skin_tone(*rgb())
-    spots = rows.filter(fit if where is None else fit & where).withColumn("on", count).filter("on <= 5").select("image_id", "x", "y", "on")
+    def run(lines: Lines) -> dict[str, np.ndarray]:
+        r, g, b, a = channels(lines.values["px"])
+        return {"px": cleared(lines.values["px"], lone(lines, lines.inner & (a >= 128) & ~is_skin_tone(r, g, b), a >= 128))}
 
-    gone = spots.groupBy("image_id").applyInPandas(_lone, _SPOT).withColumn("_gone", F.lit(True))
-    return pixels.join(gone, ["image_id", "x", "y"], "left").withColumn("a", F.when(C("_gone"), 0).otherwise(C("a"))).drop("_gone")
+    return map_lines(rows, run, ["px"], {"px": "px"})
 
 
-def remove_background(pixels: DataFrame, tolerance: float = 42) -> DataFrame:
-    """pixels with a = 0 where backdrop pixels are connected to the frame, and with cleared (by the flood or as halo) and bg.
+def cleared(px: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """Packed colours with an alpha of 0 where they have gone."""
+    return np.where(gone, px & 0xFFFFFF, px)
 
-    The predicate doesn't depend on what is cleared already, so the flood is the components of backdrop pixels that touch the frame. Halos are cleared
-    on light backdrops, then lone pixels; images without a backdrop, or whose frame has no backdrop pixel, stay as they are.
+
+def remove_background(rows: DataFrame, tolerance: float = 42) -> DataFrame:
+    """Rows with px -> with px cleared, cleared (an array: gone by the flood or as halo) and bg, the backdrop's colour.
+
+    The predicate doesn't depend on what is cleared already, so the flood is what the frame reaches through backdrop pixels. Halos are cleared on light
+    backdrops, then lone pixels; images without a backdrop, or whose frame has no backdrop pixel, stay as they are. Each image is read once.
     """
-    judged = is_backdrop_pixel(by_image(pixels), backdrop_color(edge_samples(pixels)), tolerance)
-    flooded = touching_frame(judged.withColumn("_free", F.coalesce("is_backdrop", F.lit(False))), "_free", "_flood")
-    rows = flooded.withColumn("_hit", F.max("_flood").over(Window.partitionBy("image_id"))).withColumns({"_a": C("a"), "a": F.when(C("_flood"), 0).otherwise(C("a")), "light_backdrop": F.coalesce(C("light_backdrop") & C("_hit"), F.lit(False))})
-    rows = stage(clear_halos(by_image(stage(rows, "flooded"))), "haloes").withColumn("cleared", (C("a") == 0) & (C("_a") != 0))
-    return despeckle(by_image(rows), C("_hit")).drop("_a", "_free", "_flood", "_hit", "is_backdrop", "light_backdrop", "_bgl")
+    edge = rows.filter(C("y").isin(2, 4) | (C("y") == C("h") - 3) | (C("y") == F.floor(C("h") / 2)))
+    known = backdrop_color(edge_samples(unpack_rows(edge, ["px"])))
+
+    def run(lines: Lines) -> dict[str, np.ndarray]:
+        found, has, pale, (r, g, b, a) = _backdrop(lines, tolerance)
+        flood = touching_frame(lines, found)
+        images, image = np.unique(lines.image_id, return_inverse=True)
+        some = np.zeros(len(images), bool)
+        some[image[lines.line[flood]]] = True
+        hit = some[image][lines.line]
+        bg_l = luminance(*(np.nan_to_num(lines.extra[k].to_numpy(zero_copy_only=False).astype(float))[lines.line] for k in _BG))
+        now = np.where(flood, 0, a)
+        halo = haloes(lines, _halo_fit(lines, (r, g, b, now), pale & has & hit, bg_l), now < 16)
+        now = np.where(halo, 0, now)
+        specks = lone(lines, hit & lines.inner & (now >= 128) & ~is_skin_tone(r, g, b), now >= 128)
+        return {"px": cleared(lines.values["px"], flood | halo | specks), "cleared": (flood | halo) & (a != 0)}
+
+    out = _with_backdrop(rows, known).withColumn("bg", F.when(C("_bg_r").isNotNull(), F.struct(*(C(f"_bg_{k}").alias(k) for k in RGB))))
+    keep = [c for c in rows.columns if c not in (*LINE, "px")] + ["bg"]
+    return map_lines(out, run, ["px"], {"px": "px", "cleared": "boolean"}, keep=keep, extra=_BG)
+
+
+def white_paper(rows: DataFrame) -> DataFrame:
+    """Rows with px -> laid on white paper, as composite_on_white() does."""
+
+    def run(lines: Lines) -> dict[str, np.ndarray]:
+        *rgb, a = channels(lines.values["px"])
+        t = a / 255.0
+        r, g, b = (np.where(a == 255, c, np.where(a == 0, 255, np.floor(c * t + 255 * (1 - t) + 0.5))).astype(np.int64) for c in rgb)
+        return {"px": (255 << 24 | r << 16 | g << 8 | b).astype(np.uint32).view(np.int32)}
+
+    return map_lines(rows, run, ["px"], {"px": "px"}, images=False)
 
 
 def composite_on_white(pixels: DataFrame) -> DataFrame:
@@ -138,6 +185,6 @@ def composite_on_white(pixels: DataFrame) -> DataFrame:
     return out.withColumns({**{k: over(k).cast("int") for k in RGB}, "a": F.lit(255)})
 
 
-def cleared_count(pixels: DataFrame) -> DataFrame:
+def cleared_count(rows: DataFrame) -> DataFrame:
     """image_id, cleared, bg of remove_background()'s result. Lone pixels removed at the end don't count."""
-    return pixels.groupBy("image_id").agg(F.count_if("cleared").alias("cleared"), F.first("bg").alias("bg"))
+    return rows.groupBy("image_id").agg(F.sum(F.size(F.filter("cleared", lambda v: v))).alias("cleared"), F.first("bg").alias("bg"))

@@ -70,8 +70,9 @@ def refine_palette(pixels: DataFrame, palette: DataFrame) -> DataFrame:
 
 
 def label_usage(labels: DataFrame, palette: DataFrame) -> DataFrame:
-    """image_id, idx, area: pixels of each slot, zeros kept."""
-    counts = labels.filter("label is not null").groupBy("image_id", C("label").alias("idx")).agg(F.count("*").alias("area"))
+    """image_id, idx, area: pixels of each slot, zeros kept. labels are pixels, or runs with a len."""
+    pixels = F.sum("len") if "len" in labels.columns else F.count("*")
+    counts = labels.filter("label is not null").groupBy("image_id", C("label").alias("idx")).agg(pixels.alias("area"))
     return palette.select("image_id", "idx").join(counts, ["image_id", "idx"], "left").select("image_id", "idx", F.coalesce("area", F.lit(0)).cast("long").alias("area"))
 
 

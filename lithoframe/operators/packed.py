@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 
 from lithoframe.functions.color import chroma, is_leftover_backdrop, is_neutral, is_skin_tone, luminance
 from lithoframe.operators.match import RGB, rgb
+from lithoframe.operators.morph import half_widths
 
 C = F.col
 LINE = ["image_id", "w", "h", "y"]
-_KINDS = {"int": pa.int32(), "boolean": pa.bool_(), "long": pa.int64()}
+#: Kinds of arrays that operators give: whole numbers (-1 stands for null), packed colours, booleans; and of columns.
+_KINDS = {"int": pa.int32(), "px": pa.int32(), "boolean": pa.bool_(), "long": pa.int64()}
 
 
 def by_image(rows: DataFrame) -> DataFrame:
@@ -37,6 +39,11 @@ def channel(px: Column, name: str) -> Column:
     return F.shiftrightunsigned(px, {"a": 24, "r": 16, "g": 8, "b": 0}[name]).bitwiseAND(255)
 
 
+def as_rows(pixels: DataFrame) -> DataFrame:
+    """A pixel table (r, g, b, a) as rows with px; rows stay as they are."""
+    return pixels if "px" in pixels.columns else pack_rows(pixels, {"px": pack_color(C("r"), C("g"), C("b"), C("a"))})
+
+
 def pack_rows(pixels: DataFrame, values: dict[str, Column]) -> DataFrame:
     """A pixel table -> rows with an array for each named value, in the order of x. One exchange, by image_id, which later steps keep."""
     rows = by_image(pixels.select("image_id", "w", "h", "x", "y", *(v.alias(k) for k, v in values.items())))
@@ -113,7 +120,7 @@ def map_lines(rows: DataFrame, f: Callable[[Lines], dict[str, np.ndarray]], take
     `extra` names columns that f reads as they are, in lines.extra, and that end here.
     """
     keep = [c for c in rows.columns if c not in LINE and c not in give and c not in (extra or [])] if keep is None else keep
-    schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in [*LINE, *keep]] + [f"`{k}` array<{v}>" for k, v in give.items()])
+    schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in [*LINE, *keep]] + [f"`{k}` array<{'int' if v == 'px' else v}>" for k, v in give.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _whole_images(batches) if images else batches:
@@ -126,7 +133,9 @@ def map_lines(rows: DataFrame, f: Callable[[Lines], dict[str, np.ndarray]], take
     return (rows.sortWithinPartitions("image_id", "y") if images else rows).mapInArrow(run, schema)
 
 
-def _channels(px: np.ndarray) -> tuple[np.ndarray, ...]:
+def channels(px: np.ndarray) -> tuple[np.ndarray, ...]:
+    """r, g, b and a of packed colours."""
+    px = px.astype(np.int64)
     return tuple((px >> k) & 255 for k in (16, 8, 0, 24))
 
 
@@ -148,7 +157,7 @@ def quantize(rows: DataFrame, palette: DataFrame) -> DataFrame:
         keys, back = np.unique((image[lines.line].astype(np.int64) << 32) | px, return_inverse=True)
         out = np.empty(len(keys), np.int32)
         for at in range(0, len(keys), 1 << 16):
-            own, (r, g, b, a) = keys[at : at + (1 << 16)] >> 32, _channels(keys[at : at + (1 << 16)])
+            own, (r, g, b, a) = keys[at : at + (1 << 16)] >> 32, channels(keys[at : at + (1 << 16)])
             skin = is_skin_tone(r, g, b)
             far = np.sqrt(sum((v[:, None] - slot[k][own]) ** 2 for k, v in zip(RGB, (r, g, b), strict=True)))
             # A missing slot costs infinity by its grey, whatever the pixel.
@@ -171,8 +180,8 @@ def _vote(square: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return best, times
 
 
-_SQUARE = [(dx, dy) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
-_SIDES = [(0, -1), (-1, 0), (1, 0), (0, 1)]
+SQUARE = [(dx, dy) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
+SIDES = [(0, -1), (-1, 0), (1, 0), (0, 1)]
 
 
 def _undecided(lines: Lines, label: np.ndarray, places: list[tuple[int, int]], inner: bool) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -183,49 +192,54 @@ def _undecided(lines: Lines, label: np.ndarray, places: list[tuple[int, int]], i
     return at, [v[at] for v in around]
 
 
-def denoise_labels(rows: DataFrame, passes: int = 1) -> DataFrame:
-    """Interior opaque labels take the most frequent of their 3x3 square, the first in row-major order among equals."""
+def denoised(lines: Lines, label: np.ndarray, passes: int) -> np.ndarray:
+    for _ in range(passes):
+        at, around = _undecided(lines, label, SQUARE, True)
+        label = label.copy()
+        label[at] = _vote(around)[0]
+    return label
 
-    def run(lines: Lines) -> dict[str, np.ndarray]:
-        label = lines.values["label"]
-        for _ in range(passes):
-            at, around = _undecided(lines, label, _SQUARE, True)
-            new = label.copy()
-            new[at] = _vote(around)[0]
-            label = new
-        return {"label": label}
 
-    return map_lines(rows, run, ["label"], {"label": "int"})
+def smoothed(lines: Lines, label: np.ndarray, passes: int) -> np.ndarray:
+    for _ in range(passes):
+        at, _sides = _undecided(lines, label, SIDES, True)
+        value, times = _vote([lines.beside(label, dx, dy, -1)[at] for dx, dy in SQUARE])
+        label = label.copy()
+        label[at[times >= 5]] = value[times >= 5]
+    return label
 
 
-def smooth_label_boundaries(rows: DataFrame, passes: int = 2) -> DataFrame:
-    """Interior opaque labels beside a different value take one that holds five of their nine places."""
+def overlapped(lines: Lines, label: np.ndarray) -> np.ndarray:
+    at, sides = _undecided(lines, label, SIDES, False)
+    value, times = _vote([np.where(v == label[at], -1, v) for v in sides])
+    label = label.copy()
+    label[at[times >= 2]] = value[times >= 2]
+    return label
 
-    def run(lines: Lines) -> dict[str, np.ndarray]:
-        label = lines.values["label"]
-        for _ in range(passes):
-            at, _sides = _undecided(lines, label, _SIDES, True)
-            value, times = _vote([lines.beside(label, dx, dy, -1)[at] for dx, dy in _SQUARE])
-            new = label.copy()
-            new[at[times >= 5]] = value[times >= 5]
-            label = new
-        return {"label": label}
 
-    return map_lines(rows, run, ["label"], {"label": "int"})
+def map_labels(rows: DataFrame, f: Callable[[Lines, np.ndarray], np.ndarray], extra: list[str] | None = None) -> DataFrame:
+    """rows with label replaced by f(lines, label); steps that follow each other are best one f, so that lines pass through Python once."""
+    return map_lines(rows, lambda lines: {"label": f(lines, lines.values["label"])}, ["label"], {"label": "int"}, extra=extra)
+
+
+def denoise_labels(rows: DataFrame, passes: int = 1) -> DataFrame:
+    """Interior opaque labels take the most frequent of their 3x3 square, the first in row-major order among equals."""
+    return map_labels(rows, lambda lines, label: denoised(lines, label, passes))
+
+
+def smooth_label_boundaries(rows: DataFrame, passes: int = 2) -> DataFrame:
+    """Interior opaque labels beside a different value take one that holds five of their nine places."""
+    return map_labels(rows, lambda lines, label: smoothed(lines, label, passes))
 
 
 def overlap_adjacent_fills(rows: DataFrame) -> DataFrame:
     """An opaque label gives way to another that two or more of its sides hold; up, left, right, down decide between equals."""
+    return map_labels(rows, overlapped)
 
-    def run(lines: Lines) -> dict[str, np.ndarray]:
-        label = lines.values["label"]
-        at, sides = _undecided(lines, label, _SIDES, False)
-        value, times = _vote([np.where(v == label[at], -1, v) for v in sides])
-        new = label.copy()
-        new[at[times >= 2]] = value[times >= 2]
-        return {"label": new}
 
-    return map_lines(rows, run, ["label"], {"label": "int"})
+def lone_ink(lines: Lines, ink: np.ndarray) -> np.ndarray:
+    """How many places of the 3x3 square hold ink, the place itself included."""
+    return sum(lines.beside(ink, dx, dy, False).astype(np.int8) for dx, dy in SQUARE)
 
 
 def remove_isolated_ink(rows: DataFrame, max_on: int = 2) -> DataFrame:
@@ -233,8 +247,7 @@ def remove_isolated_ink(rows: DataFrame, max_on: int = 2) -> DataFrame:
 
     def run(lines: Lines) -> dict[str, np.ndarray]:
         ink = lines.values["ink"].astype(bool)
-        on = sum(lines.beside(ink, dx, dy, False).astype(np.int8) for dx, dy in _SQUARE)
-        return {"ink": ink & ~(lines.inner & (on <= max_on))}
+        return {"ink": ink & ~(lines.inner & (lone_ink(lines, ink) <= max_on))}
 
     return map_lines(rows, run, ["ink"], {"ink": "boolean"})
 
@@ -248,10 +261,10 @@ def ink_mask(rows: DataFrame, sensitivity: float = 60) -> DataFrame:
 
     def run(lines: Lines) -> dict[str, np.ndarray]:
         line, pure, colour = (lines.extra[k].to_numpy(zero_copy_only=False).astype(bool)[lines.line] for k in ("line_art", "pure_mask", "treat_as_color"))
-        r, g, b, a = _channels(lines.values["px"].astype(np.int64) & 0xFFFFFFFF)
+        r, g, b, a = channels(lines.values["px"])
         on, c = a >= 128, chroma(r, g, b)
         own = np.where(on, luminance(r, g, b).astype(np.float32).astype(np.float64), 255.0)
-        near = [lines.beside(own, dx, dy, -1.0) for dx, dy in _SQUARE]
+        near = [lines.beside(own, dx, dy, -1.0) for dx, dy in SQUARE]
         four, eight = np.maximum.reduce([near[k] for k in (1, 3, 5, 7)]), np.maximum.reduce([near[k] for k in (0, 1, 2, 3, 5, 6, 7, 8)])
         top, least = np.where(line, 55 + t * 100, 28 + t * 55), np.where(line, 6 + (1 - t) * 14, 14 + (1 - t) * 22)
         dark = ((own <= top * 0.55) & (c < 35)) | ((own <= top) & (eight - own >= least)) | (own <= 22) | (line & (own <= top) & (c < 40)) | ((own <= 55 + t * 50) & (c >= 16))
@@ -427,7 +440,7 @@ def small_to_neighbours(lines: Lines, label: np.ndarray, least: np.ndarray) -> n
     area = np.bincount(number[number >= 0])
     small = np.where(number >= 0, area[number] < least, False)
     votes = []
-    for dx, dy in _SIDES:
+    for dx, dy in SIDES:
         other, beside = lines.beside(label, dx, dy, -1), lines.beside(number, dx, dy, -1)
         at = np.nonzero(small & (other >= 0) & (beside != number))[0]
         votes.append(np.stack([number[at], other[at]]))
@@ -440,30 +453,68 @@ def small_to_neighbours(lines: Lines, label: np.ndarray, least: np.ndarray) -> n
     return np.where(small, best[number], label).astype(np.int32)
 
 
+def by_line(lines: Lines, name: str) -> np.ndarray:
+    """An extra column's value at each place."""
+    return lines.extra[name].to_numpy(zero_copy_only=False)[lines.line]
+
+
+def _least(rows: DataFrame, min_area: int | str) -> DataFrame:
+    return rows.withColumn("_least", F.lit(min_area) if isinstance(min_area, int) else C(min_area))
+
+
 def drop_speck_islands(rows: DataFrame, min_area: int | str) -> DataFrame:
     """Components smaller than min_area (a number or a column) take the label that most of their sides touch, the lowest among equals, or become transparent."""
-    rows = rows.withColumn("_least", F.lit(min_area) if isinstance(min_area, int) else C(min_area))
-    return map_lines(rows, lambda lines: {"label": small_to_neighbours(lines, lines.values["label"], lines.extra["_least"].to_numpy(zero_copy_only=False)[lines.line])}, ["label"], {"label": "int"}, extra=["_least"])
+    return map_labels(_least(rows, min_area), lambda lines, label: small_to_neighbours(lines, label, by_line(lines, "_least")), ["_least"])
+
+
+def large_parts(lines: Lines, ink: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Ink in components of at least `least` places."""
+    number = components(lines, np.where(ink, 0, -1))
+    area = np.append(np.bincount(number[number >= 0]), 0)
+    return ink & (area[number] >= least)
 
 
 def remove_small_components(rows: DataFrame, min_area: int | str) -> DataFrame:
     """Ink components smaller than min_area go."""
-    rows = rows.withColumn("_least", F.lit(min_area) if isinstance(min_area, int) else C(min_area))
+    return map_lines(_least(rows, min_area), lambda lines: {"ink": large_parts(lines, lines.values["ink"].astype(bool), by_line(lines, "_least"))}, ["ink"], {"ink": "boolean"}, extra=["_least"])
 
-    def run(lines: Lines) -> dict[str, np.ndarray]:
-        ink = lines.values["ink"].astype(bool)
-        number = components(lines, np.where(ink, 0, -1))
-        area = np.append(np.bincount(number[number >= 0]), 0)
-        return {"ink": ink & (area[number] >= lines.extra["_least"].to_numpy(zero_copy_only=False)[lines.line])}
 
-    return map_lines(rows, run, ["ink"], {"ink": "boolean"}, extra=["_least"])
+# ---- morphology
+
+
+def dilated(lines: Lines, ink: np.ndarray, radius: float) -> np.ndarray:
+    """Ink grown by a Euclidean disc; below 0.05 nothing changes."""
+    if radius < 0.05:
+        return ink
+    return np.logical_or.reduce([lines.beside(ink, dx, dy, False) for dy, k in half_widths(radius).items() for dx in range(-k, k + 1)])
+
+
+def eroded(lines: Lines, ink: np.ndarray, radius: float, edge: str = "outside_off") -> np.ndarray:
+    """Ink whose whole disc is ink; edges as in morph.erode()."""
+    if edge == "frame":
+        radius = float(max(1, int(radius + 0.5)))
+    elif radius < 0.05:
+        return ink
+    k, y, h = int(radius), lines.y[lines.line], lines.h[lines.line]
+    inside = (lines.x >= k) & (y >= k) & (lines.x < lines.wide - k) & (y < h - k)
+    return inside & ~dilated(lines, ~ink, radius)
+
+
+def hole_rings(lines: Lines, ink: np.ndarray) -> np.ndarray:
+    """Ink with a place in its 3x3 square that is neither ink nor connected to the frame."""
+    hole = ~ink & ~touching_frame(lines, ~ink)
+    return ink & np.logical_or.reduce([lines.beside(hole, dx, dy, False) for dx, dy in SQUARE])
+
+
+def map_ink(rows: DataFrame, f: Callable[[Lines, np.ndarray], np.ndarray], extra: list[str] | None = None) -> DataFrame:
+    return map_lines(rows, lambda lines: {"ink": f(lines, lines.values["ink"].astype(bool))}, ["ink"], {"ink": "boolean"}, extra=extra)
 
 
 def mark_exterior(rows: DataFrame) -> DataFrame:
     """rows with px and ink -> with exterior: clear (alpha of 96 at most), without ink, and connected to the frame."""
 
     def run(lines: Lines) -> dict[str, np.ndarray]:
-        clear = _channels(lines.values["px"].astype(np.int64) & 0xFFFFFFFF)[3] <= 96
+        clear = channels(lines.values["px"])[3] <= 96
         return {"exterior": touching_frame(lines, clear & ~lines.values["ink"].astype(bool))}
 
     return map_lines(rows, run, ["px", "ink"], {"exterior": "boolean"})
@@ -495,3 +546,33 @@ def resample_nearest(rows: DataFrame, dims: DataFrame, names: list[str]) -> Data
 
     schema = "image_id long, w int, h int, y int, " + ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in names)
     return out.select("image_id", "w", "_nw", "_nh", "_y", *names).mapInArrow(run, schema)
+
+
+def merged_small(lines: Lines, label: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Labels with components of fewer places than `least` (by place, one value an image) merged into neighbours, in the order of regions.merge_on_graph(), which sees components and the sides they share."""
+    from lithoframe.operators.regions import merge_on_graph
+
+    number = components(lines, label)
+    at = np.nonzero(number >= 0)[0]
+    if not len(at):
+        return label
+    _n, first, area = np.unique(number[at], return_index=True, return_counts=True)
+    first = at[first]
+    pairs = []
+    for dx, dy in ((1, 0), (0, 1)):
+        other = lines.beside(number, dx, dy, -1)
+        near = np.nonzero((number >= 0) & (other >= 0) & (other != number))[0]
+        pairs += [(number[near], other[near]), (other[near], number[near])]
+    a, b = (np.concatenate(p) for p in zip(*pairs, strict=True))
+    keys, n = np.unique(a * len(area) + b, return_counts=True)
+    sides: dict[int, dict[int, int]] = {}
+    for key, k in zip(keys.tolist(), n.tolist(), strict=True):
+        sides.setdefault(key // len(area), {})[key % len(area)] = k
+    # Images share no sides, so those of a batch make one graph.
+    new = merge_on_graph(dict(enumerate(label[first].tolist())), dict(enumerate(area.tolist())), sides, dict(enumerate(least[first].tolist())))
+    return np.array([*(new[k] for k in range(len(area))), -1], np.int32)[number]
+
+
+def merge_small_regions(rows: DataFrame, min_area: int | str) -> DataFrame:
+    """Labels with components under min_area (a number or a column) merged into their neighbours."""
+    return map_labels(_least(rows, min_area), lambda lines, label: merged_small(lines, label, by_line(lines, "_least")), ["_least"])

@@ -36,6 +36,15 @@ def stacked_runs(runs: DataFrame, key: str = "label") -> DataFrame:
     return rects.select("image_id", key, C("x0").alias("x"), "y", C("len").alias("w"), "h")
 
 
+def joined_runs(runs: DataFrame, key: str = "label") -> DataFrame:
+    """Runs of which neighbours may have come to hold one key (as labels were merged) -> maximal runs."""
+    line = Window.partitionBy("image_id", "y").orderBy("x0")
+    goes_on = C(key).eqNullSafe(F.lag(key).over(line)) & (C("x0") == F.lag(C("x0") + C("len")).over(line))
+    runs = runs.withColumn("_first", F.when(~F.coalesce(goes_on, F.lit(False)), C("x0")))
+    runs = runs.withColumn("_first", F.max("_first").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("image_id", "y", C("_first").alias("x0")).agg(F.sum("len").cast("int").alias("len"), F.first(key).alias(key))
+
+
 def silhouette_rects(labels: DataFrame) -> DataFrame:
     """color_rects() of all opaque pixels as one key, 0."""
     return color_rects(labels.withColumn("label", F.when(C("label").isNotNull(), 0)))

@@ -189,9 +189,9 @@ f AS (SELECT *, CASE WHEN br IS NULL THEN NULL WHEN a < 16 THEN true WHEN sk OR
  ELSE far <= 1764 AND ({_BG_LUM} >= 40 OR (l <= 42 AND len(list_filter(ns, lambda s: s IS NOT NULL AND s.a >= 16 AND (s.l - l > 48 OR s.s))) = 0)) END AS label FROM k)
 SELECT image_id, count(label) AS n, sum(label::INT)::BIGINT AS total, sum(label::INT * (x * 31 + y * 17))::BIGINT AS placed FROM f GROUP BY image_id""")
 def backdrop_pixels(s, d):
-    px = by_image(_pixels(s, d))
-    out = background.is_backdrop_pixel(px, background.backdrop_color(background.edge_samples(px)), 42)
-    return digest(out.withColumn("label", C("is_backdrop").cast("int")))
+    rows = _rows(s, d)
+    known = background.backdrop_color(background.edge_samples(packed.unpack_rows(rows, ["px"])))
+    return packed.sums(background.is_backdrop_pixel(rows, known, 42), "is_backdrop")
 
 
 @query(_NEAREST + " SELECT c.ord, c.code, coalesce(sum(n), 0)::BIGINT AS pixels FROM (SELECT * FROM chart WHERE contains(lower(code), '18') OR contains(lower('PMS ' || code), '18') OR contains(printf('#%02x%02x%02x', r, g, b), '18') ORDER BY ord LIMIT 160) c LEFT JOIN best ON best.m.c = c.code GROUP BY 1, 2")
@@ -444,7 +444,7 @@ def region_sides(s, d):
 
 @query()
 def small_regions_merged(s, d):
-    return digest(regions.merge_small_regions(_labels(s, d), 8))
+    return packed.sums(packed.merge_small_regions(_label_rows(s, d), 8))
 
 
 @query(f"""{_REGIONS}, {Q.SIDES}, ar AS (SELECT image_id, c, count(*) AS area FROM gpx WHERE c IS NOT NULL GROUP BY ALL), vo AS (SELECT image_id, c, ok, sum(sides) AS n FROM sides GROUP BY ALL),
@@ -473,7 +473,7 @@ def exterior_pixels(s, d):
 
 @query()
 def background_removed(s, d):
-    return background.cleared_count(background.remove_background(_raster(s, d), 50)).select("image_id", "cleared", "bg.r", "bg.g", "bg.b")
+    return background.cleared_count(background.remove_background(_rows(s, d), 50)).select("image_id", "cleared", "bg.r", "bg.g", "bg.b")
 
 
 @query(f"""WITH RECURSIVE {Q.PIXELS}, {Q.PAL}, mk AS (SELECT image_id, w, h, x, y, r, g, b, a, {Q.lum()} < 30 AND a >= 128 AS ink FROM px), {Q.regions('mk', 'CASE WHEN a <= 96 AND NOT ink THEN 1 END', 'e')}, {Q.touching('e')},
@@ -571,15 +571,15 @@ def _nothing(s, d):
 
 @query()
 def vector_summary(s, d):
-    plates, shown, labels, _ = jobs.vectorize_colors(_raster(s, d), **_nothing(s, d))
-    area = components.label_regions(labels).groupBy("image_id").agg(F.count("*").alias("regions"))
+    plates, shown, labels, _ = jobs.vectorize_colors(_rows(s, d), **_nothing(s, d))
+    area = packed.label_regions(packed.by_image(labels)).groupBy("image_id").agg(F.count("*").alias("regions"))
     out = shown.groupBy("image_id").agg(F.count("*").alias("colors"), F.count_if("enabled").alias("on"), F.countDistinct("pms_code").alias("pms_fills"))
     return out.join(area, "image_id").join(plates.select("image_id", F.length("svg").alias("svg_chars")), "image_id")
 
 
 @query()
 def outline_job(s, d):
-    return ink_digest(jobs.extract_outline(_raster(s, d)))
+    return _ink_sums(jobs.extract_outline(_rows(s, d)))
 
 
 @query()
@@ -590,7 +590,7 @@ def cleanup_job(s, d):
 
 @query()
 def remerge_job(s, d):
-    plates, shown = jobs.remerge(_labels(s, d).select("image_id", "w", "h", "x", "y", "label"), fixtures.palette(s, d), fixtures.merges(s, d), fixtures.overrides(s, d), fixtures.disabled(s, d), chart.pms_chart(s))
+    plates, shown = jobs.remerge(_label_rows(s, d).select(*packed.LINE, "label"), fixtures.palette(s, d), fixtures.merges(s, d), fixtures.overrides(s, d), fixtures.disabled(s, d), chart.pms_chart(s))
     return shown.join(plates.select("image_id", F.length("svg").alias("svg_chars")), "image_id")
 
 
@@ -608,7 +608,7 @@ def cleanup_proof_job(s, d):
 
 @query()
 def dual_outputs_job(s, d):
-    return svg.svg_metrics(jobs.dual_outputs(_raster(s, d), f"{shared_dir(s)}/dual-{uuid.uuid4().hex}", **_nothing(s, d))).drop("head")
+    return svg.svg_metrics(jobs.dual_outputs(_rows(s, d), f"{shared_dir(s)}/dual-{uuid.uuid4().hex}", **_nothing(s, d))).drop("head")
 
 
 @query(f"WITH {Q.LABELS} " + Q.DIGEST.format(t="lb"))
