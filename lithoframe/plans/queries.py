@@ -180,13 +180,20 @@ def backdrop_colors(s, d):
 _BG_LUM, _BG_C = "(0.2126::DOUBLE * br + 0.7152::DOUBLE * bg + 0.0722::DOUBLE * bb)", "(greatest(br, bg, bb) - least(br, bg, bb))"
 
 
-@query(_BACKDROP + f""", j AS (SELECT px.*, bd.r AS br, bd.g AS bg, bd.b AS bb, {Q.lum("px.")} AS l, {Q.chroma("px.")} AS c, {Q.skin("px.")} AS sk FROM px LEFT JOIN bd USING (image_id)),
+
+
+def _judged(tol: int) -> str:
+    """CTEs up to f: pixels with label (backdrop or not, null without a backdrop), their backdrop's colour, lightness l, chroma c and skin sk."""
+    return f""", j AS (SELECT px.*, bd.r AS br, bd.g AS bg, bd.b AS bb, {Q.lum("px.")} AS l, {Q.chroma("px.")} AS c, {Q.skin("px.")} AS sk FROM px LEFT JOIN bd USING (image_id)),
 n AS (SELECT *, {{'a': a, 'l': l, 's': sk}} AS o FROM j),
 k AS (SELECT *, [lag(o) OVER (PARTITION BY image_id, x ORDER BY y), lag(o) OVER (PARTITION BY image_id, y ORDER BY x), lead(o) OVER (PARTITION BY image_id, y ORDER BY x), lead(o) OVER (PARTITION BY image_id, x ORDER BY y)] AS ns,
  (r-br)*(r-br)+(g-bg)*(g-bg)+(b-bb)*(b-bb) AS far FROM n),
 f AS (SELECT *, CASE WHEN br IS NULL THEN NULL WHEN a < 16 THEN true WHEN sk OR ({_BG_C} < 25 AND c > greatest(35, {_BG_C} + 22)) THEN false
- WHEN {_BG_LUM} > 200 AND {_BG_C} < 30 THEN ((l >= 232 AND c <= 18) OR (l >= {_BG_LUM} - 14 AND c <= 20 AND far <= 3214.89::DOUBLE) OR far <= 1764) AND NOT (r > g + 10 AND r > b + 15 AND c > 14)
- ELSE far <= 1764 AND ({_BG_LUM} >= 40 OR (l <= 42 AND len(list_filter(ns, lambda s: s IS NOT NULL AND s.a >= 16 AND (s.l - l > 48 OR s.s))) = 0)) END AS label FROM k)
+ WHEN {_BG_LUM} > 200 AND {_BG_C} < 30 THEN ((l >= 232 AND c <= 18) OR (l >= {_BG_LUM} - 14 AND c <= 20 AND far <= {(tol * 1.35) ** 2!r}::DOUBLE) OR far <= {tol * tol}) AND NOT (r > g + 10 AND r > b + 15 AND c > 14)
+ ELSE far <= {tol * tol} AND ({_BG_LUM} >= 40 OR (l <= 42 AND len(list_filter(ns, lambda s: s IS NOT NULL AND s.a >= 16 AND (s.l - l > 48 OR s.s))) = 0)) END AS label FROM k)"""
+
+
+@query(_BACKDROP + _judged(42) + """
 SELECT image_id, count(label) AS n, sum(label::INT)::BIGINT AS total, sum(label::INT * (x * 31 + y * 17))::BIGINT AS placed FROM f GROUP BY image_id""")
 def backdrop_pixels(s, d):
     rows = _rows(s, d)
@@ -471,9 +478,43 @@ def exterior_pixels(s, d):
     return _ink_sums(packed.mark_exterior(_ink_rows(s, d)), "exterior")
 
 
-@query()
+#: Halo passes spread to the right and down from what lies beside clear pixels; a pass sees the pass before on all sides.
+_BESIDE = "((c.x = p.x + 1 AND c.y = p.y) OR (c.x = p.x - 1 AND c.y = p.y) OR (c.x = p.x AND c.y = p.y + 1) OR (c.x = p.x AND c.y = p.y - 1))"
+_ONWARD = "((c.x = p.x + 1 AND c.y = p.y) OR (c.x = p.x AND c.y = p.y + 1))"
+
+
+def _removed(tol: int) -> str:
+    """CTEs up to rb: image_id, w, h, x, y, r, g, b, a0 (alpha before), t (flooded), halo, a (alpha at the end). Lone pixels go in rounds, each seeing what the round before took of the pixels above and to the left; ten rounds reach the end on these rasters."""
+    passes = "".join(
+        f""", hs{k} AS MATERIALIZED (SELECT DISTINCT c.* FROM ca c {'WHERE open' if k == 1 else f'JOIN hh{k - 1} p ON c.image_id = p.image_id AND {_BESIDE} WHERE NOT EXISTS (SELECT 1 FROM hh{k - 1} q WHERE q.image_id = c.image_id AND q.x = c.x AND q.y = c.y)'}),
+hp{k} AS (SELECT image_id, x, y FROM hs{k} UNION SELECT c.image_id, c.x, c.y FROM hp{k} p JOIN ca c ON c.image_id = p.image_id AND {_ONWARD}),
+hh{k} AS MATERIALIZED (SELECT image_id, x, y FROM hp{k}{f' UNION SELECT * FROM hh{k - 1}' if k > 1 else ''})"""
+        for k in range(1, 5)
+    )
+    rounds = "".join(
+        f""", lo{k} AS MATERIALIZED (SELECT c.image_id, c.x, c.y, any_value(c.near) AS near FROM lc c LEFT JOIN {'(SELECT image_id, x, y FROM lc WHERE false)' if k == 1 else f'lo{k - 1}'} p ON p.image_id = c.image_id AND ((p.y = c.y - 1 AND p.x BETWEEN c.x - 1 AND c.x + 1) OR (p.y = c.y AND p.x = c.x - 1))
+ GROUP BY c.image_id, c.x, c.y HAVING any_value(c.near) - count(p.x) <= 1)"""
+        for k in range(1, 11)
+    )
+    return f""", fj AS (SELECT * RENAME (c AS chro) FROM f), {Q.regions('fj', 'CASE WHEN label THEN 1 END')}, {Q.touching()}, fl AS MATERIALIZED (SELECT *, CASE WHEN t THEN 0 ELSE a END AS a1, bool_or(t) OVER (PARTITION BY image_id) AS hit FROM gt),
+sd AS (SELECT *, coalesce(least(lag(a1) OVER (PARTITION BY image_id, x ORDER BY y), lag(a1) OVER (PARTITION BY image_id, y ORDER BY x), lead(a1) OVER (PARTITION BY image_id, y ORDER BY x), lead(a1) OVER (PARTITION BY image_id, x ORDER BY y)) < 16, false) AS open FROM fl),
+ca AS MATERIALIZED (SELECT image_id, x, y, open FROM sd WHERE hit AND {_BG_LUM} > 200 AND {_BG_C} < 30 AND {Q.INTERIOR} AND a1 >= 128 AND NOT sk AND l >= greatest(236, {_BG_LUM} - 8) AND chro <= 18){passes},
+af AS MATERIALIZED (SELECT fl.*, p.x IS NOT NULL AS halo, CASE WHEN p.x IS NOT NULL THEN 0 ELSE a1 END AS a2 FROM fl LEFT JOIN hh4 p ON p.image_id = fl.image_id AND p.x = fl.x AND p.y = fl.y),
+r3 AS (SELECT *, (a2 >= 128)::INT + coalesce(lag(a2 >= 128) OVER (PARTITION BY image_id, y ORDER BY x)::INT, 0) + coalesce(lead(a2 >= 128) OVER (PARTITION BY image_id, y ORDER BY x)::INT, 0) AS three FROM af),
+r9 AS (SELECT *, three + coalesce(lag(three) OVER (PARTITION BY image_id, x ORDER BY y), 0) + coalesce(lead(three) OVER (PARTITION BY image_id, x ORDER BY y), 0) - (a2 >= 128)::INT AS near FROM r3),
+lc AS MATERIALIZED (SELECT image_id, x, y, near FROM r9 WHERE hit AND {Q.INTERIOR} AND a2 >= 128 AND NOT sk AND near <= 5){rounds},
+rb AS (SELECT af.image_id, w, h, af.x, af.y, r, g, b, br, bg, bb, a AS a0, t, halo, CASE WHEN q.x IS NOT NULL THEN 0 ELSE a2 END AS a FROM af LEFT JOIN lo10 q ON q.image_id = af.image_id AND q.x = af.x AND q.y = af.y)"""
+
+
+_REMOVED = _BACKDROP.replace("WITH ", "WITH RECURSIVE ", 1) + _judged(50) + _removed(50)
+
+
+@query(_REMOVED + """ SELECT image_id, count(*) FILTER ((t OR halo) AND a0 <> 0) AS cleared, any_value(br)::INT AS r, any_value(bg)::INT AS g, any_value(bb)::INT AS b,
+ count(*) FILTER (a >= 128) AS opaque, coalesce(sum(x * 31 + y * 17) FILTER (a >= 128), 0)::BIGINT AS placed FROM rb GROUP BY image_id""")
 def background_removed(s, d):
-    return background.cleared_count(background.remove_background(_rows(s, d), 50)).select("image_id", "cleared", "bg.r", "bg.g", "bg.b")
+    out = stage(background.remove_background(_rows(s, d), 50), "cleared")
+    left = packed.unpack_rows(out, ["px"]).groupBy("image_id").agg(F.count_if(C("a") >= 128).alias("opaque"), F.coalesce(F.sum(F.when(C("a") >= 128, C("x") * 31 + C("y") * 17)), F.lit(0)).alias("placed"))
+    return background.cleared_count(out).select("image_id", "cleared", "bg.r", "bg.g", "bg.b").join(left, "image_id")
 
 
 @query(f"""WITH RECURSIVE {Q.PIXELS}, {Q.PAL}, mk AS (SELECT image_id, w, h, x, y, r, g, b, a, {Q.lum()} < 30 AND a >= 128 AS ink FROM px), {Q.regions('mk', 'CASE WHEN a <= 96 AND NOT ink THEN 1 END', 'e')}, {Q.touching('e')},
