@@ -418,15 +418,20 @@ def closed_ink(s, d):
     return ink_digest(morph.close_mask(_mask(s, d), 1.25))
 
 
-@query(f"""WITH {Q.PIXELS}, fl AS (SELECT image_id, w, h, x, y, a, {Q.lum()} AS d, CASE WHEN a < 128 THEN 255 ELSE {Q.lum()}::FLOAT::DOUBLE END AS l, {Q.chroma()} AS c FROM px),
-st AS (SELECT image_id, avg(c) AS ac, sum((d < 70)::INT) / count(*) AS dk, (sum((d < 70)::INT) + sum((d > 200)::INT)) / count(*) AS ends, avg((l BETWEEN 40 AND 215)::INT) AS m32 FROM fl WHERE a >= 128 GROUP BY image_id),
-fg AS (SELECT image_id, ac < 28 AND dk > 0.08 AND ends > 0.82 AS line, ac, m32 FROM st),
-nb AS (SELECT m.image_id, m.x, m.y, max(n.l) AS mx, bool_or(abs(dx) + abs(dy) = 1 AND (n.a < 128 OR n.l >= 225)) AS four, bool_or(n.a < 128 OR n.l >= 200 OR n.l - m.l >= 45) AS eight
- FROM fl m, (SELECT unnest(range(-1, 2)) AS dx) dxs, (SELECT unnest(range(-1, 2)) AS dy) dys, fl n WHERE (dx <> 0 OR dy <> 0) AND n.image_id = m.image_id AND n.x = m.x + dx AND n.y = m.y + dy GROUP BY ALL),
-j AS (SELECT fl.*, line, line AND m32 < 0.002 AS pure, NOT line OR ac >= 14 AS colour, mx, four, eight, a >= 128 AS o, {Q.INTERIOR} AS i, CASE WHEN line THEN 115.0 ELSE 61.0 END AS top, CASE WHEN line THEN 11.6 ELSE 22.8 END AS step FROM fl JOIN nb USING (image_id, x, y) JOIN fg USING (image_id)),
-k AS (SELECT image_id, CASE WHEN pure THEN o AND l <= 88 ELSE i AND o AND l <= top + 40 AND ((l <= top * 0.55 AND c < 35) OR (l <= top AND mx - l >= step) OR l <= 22 OR (line AND l <= top AND c < 40) OR (l <= 85 AND c >= 16)) END AS base,
- i AND o AND colour AND l <= 210 AND four AS ring, i AND o AND colour AND l <= 85 AND eight AS contour FROM j)
-SELECT image_id, sum((base OR ring OR contour)::INT)::BIGINT AS ink, sum(ring::INT)::BIGINT AS ring, sum(contour::INT)::BIGINT AS contour FROM k GROUP BY image_id""")
+def _inked(source: str) -> str:
+    """CTEs up to ik: image_id, w, h, x, y, base, ring, contour, bw (pure black and white), colour, at a sensitivity of 60."""
+    return f"""if_ AS (SELECT image_id, w, h, x, y, a, {Q.lum()} AS d, CASE WHEN a < 128 THEN 255 ELSE {Q.lum()}::FLOAT::DOUBLE END AS l, {Q.chroma()} AS c FROM {source}),
+ist AS (SELECT image_id, avg(c) AS ac, sum((d < 70)::INT) / count(*) AS dk, (sum((d < 70)::INT) + sum((d > 200)::INT)) / count(*) AS ends, avg((l BETWEEN 40 AND 215)::INT) AS m32, avg((d BETWEEN 40 AND 215)::INT) AS m64 FROM if_ WHERE a >= 128 GROUP BY image_id),
+ifg AS (SELECT image_id, ac < 28 AND dk > 0.08 AND ends > 0.82 AS line, ac, m32, m64 FROM ist),
+inb AS (SELECT m.image_id, m.x, m.y, max(n.l) AS mx, bool_or(abs(dx) + abs(dy) = 1 AND (n.a < 128 OR n.l >= 225)) AS four, bool_or(n.a < 128 OR n.l >= 200 OR n.l - m.l >= 45) AS eight
+ FROM if_ m, (SELECT unnest(range(-1, 2)) AS dx) dxs, (SELECT unnest(range(-1, 2)) AS dy) dys, if_ n WHERE (dx <> 0 OR dy <> 0) AND n.image_id = m.image_id AND n.x = m.x + dx AND n.y = m.y + dy GROUP BY ALL),
+ij AS (SELECT if_.*, line, line AND m32 < 0.002 AS pure, m64 < 0.002 AS bw, NOT line OR ac >= 14 AS colour, mx, four, eight, a >= 128 AS o, {Q.INTERIOR} AS i, CASE WHEN line THEN 115.0 ELSE 61.0 END AS top, CASE WHEN line THEN 11.6 ELSE 22.8 END AS step FROM if_ JOIN inb USING (image_id, x, y) JOIN ifg USING (image_id)),
+ik AS (SELECT image_id, w, h, x, y, bw, colour, CASE WHEN pure THEN o AND l <= 88 ELSE i AND o AND l <= top + 40 AND ((l <= top * 0.55 AND c < 35) OR (l <= top AND mx - l >= step) OR l <= 22 OR (line AND l <= top AND c < 40) OR (l <= 85 AND c >= 16)) END AS base,
+ i AND o AND colour AND l <= 210 AND four AS ring, i AND o AND colour AND l <= 85 AND eight AS contour FROM ij)"""
+
+
+@query(f"""WITH {Q.PIXELS}, {_inked("px")}
+SELECT image_id, sum((base OR ring OR contour)::INT)::BIGINT AS ink, sum(ring::INT)::BIGINT AS ring, sum(contour::INT)::BIGINT AS contour FROM ik GROUP BY image_id""")
 def ink_mask_colors(s, d):
     flags = ink.ink_stats(packed.unpack_rows(fixtures.rows(s, d), ["px"])).select("image_id", "line_art", "pure_mask", "treat_as_color")
     out = packed.ink_mask(_rows(s, d).join(flags, "image_id"), 60)
@@ -618,7 +623,21 @@ def vector_summary(s, d):
     return out.join(area, "image_id").join(plates.select("image_id", F.length("svg").alias("svg_chars")), "image_id")
 
 
-@query()
+_WHITE = ", ".join(f"CASE WHEN a = 255 THEN {k} WHEN a = 0 THEN 255 ELSE floor({k} * (a / 255.0::DOUBLE) + 255 * (1 - a / 255.0::DOUBLE) + 0.5)::INT END AS {k}" for k in "rgb")
+_LEAST = "CASE WHEN bw THEN 0 WHEN colour THEN greatest(12, floor(w * h * 4e-5::DOUBLE + 0.5)) ELSE greatest(2, floor(w * h * 2e-6::DOUBLE + 0.5)) END"
+_OUTLINE = f"""{_REMOVED}, wp AS MATERIALIZED (SELECT image_id, w, h, x, y, {_WHITE}, 255 AS a FROM rb), {_inked("wp")},
+o0 AS MATERIALIZED (SELECT image_id, w, h, x, y, bw, colour, base OR ring OR contour AS ink FROM ik), {Q.regions("o0", "CASE WHEN ink THEN 1 END", "p")},
+o1 AS MATERIALIZED (SELECT image_id, w, h, x, y, bw, colour, ink AND count(*) OVER (PARTITION BY image_id, c) >= {_LEAST} AS ink FROM ppx),
+oe AS MATERIALIZED {Q.eroded("o1", 1, "m.x >= 1 AND m.y >= 1 AND m.x < m.w - 1 AND m.y < m.h - 1")}, {Q.regions("o1", "CASE WHEN NOT ink THEN 1 END", "q")}, {Q.touching("q")},
+oh AS (SELECT DISTINCT image_id, x + dx AS x, y + dy AS y FROM qt, (SELECT unnest(range(-1, 2)) AS dx) dxs, (SELECT unnest(range(-1, 2)) AS dy) dys WHERE NOT ink AND NOT t),
+o2 AS MATERIALIZED (SELECT o1.image_id, o1.w, o1.h, o1.x, o1.y, bw, colour, CASE WHEN colour THEN o1.ink AND (NOT oe.ink OR oh.x IS NOT NULL) ELSE o1.ink END AS ink FROM o1 JOIN oe USING (image_id, x, y) LEFT JOIN oh USING (image_id, x, y)),
+ol AS (SELECT m.image_id, m.x, m.y, sum(n.ink::INT) AS n FROM o2 m, (SELECT unnest(range(-1, 2)) AS dx) dxs, (SELECT unnest(range(-1, 2)) AS dy) dys, o2 n WHERE n.image_id = m.image_id AND n.x = m.x + dx AND n.y = m.y + dy GROUP BY ALL),
+o3 AS MATERIALIZED (SELECT o2.image_id, w, h, o2.x, o2.y, colour, ink AND NOT ({Q.INTERIOR.replace("x", "o2.x").replace("y", "o2.y")} AND n <= CASE WHEN colour THEN 2 WHEN bw THEN 0 ELSE 1 END) AS ink FROM o2 JOIN ol ON ol.image_id = o2.image_id AND ol.x = o2.x AND ol.y = o2.y),
+{Q.regions("o3", "CASE WHEN ink THEN 1 END", "v")}, o4 AS MATERIALIZED (SELECT image_id, w, h, x, y, ink AND (NOT colour OR count(*) OVER (PARTITION BY image_id, c) >= greatest(4, floor(w * h * 1e-5::DOUBLE + 0.5))) AS ink FROM vpx),
+o5 AS {Q.dilated("o4", 1.49)} """
+
+
+@query(_OUTLINE + Q.MASK_DIGEST.format(t="o5"))
 def outline_job(s, d):
     return _ink_sums(jobs.extract_outline(_rows(s, d)))
 
