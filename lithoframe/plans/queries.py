@@ -625,19 +625,28 @@ def vector_summary(s, d):
 
 _WHITE = ", ".join(f"CASE WHEN a = 255 THEN {k} WHEN a = 0 THEN 255 ELSE floor({k} * (a / 255.0::DOUBLE) + 255 * (1 - a / 255.0::DOUBLE) + 0.5)::INT END AS {k}" for k in "rgb")
 _LEAST = "CASE WHEN bw THEN 0 WHEN colour THEN greatest(12, floor(w * h * 4e-5::DOUBLE + 0.5)) ELSE greatest(2, floor(w * h * 2e-6::DOUBLE + 0.5)) END"
+#: Neighbours by windows: joins of shifted pixels take ten times as long.
+_ROW, _COL = "OVER (PARTITION BY image_id, y ORDER BY x)", "OVER (PARTITION BY image_id, x ORDER BY y)"
+
+
+def _three(f: str, v: str, over: str) -> str:
+    """f of v and its two neighbours along a window."""
+    parts = [f"coalesce(lag({v}) {over}, 0)", v, f"coalesce(lead({v}) {over}, 0)"]
+    return " + ".join(parts) if f == "sum" else f"{f}({', '.join(parts)})"
+
+
 _OUTLINE = f"""{_REMOVED}, wp AS MATERIALIZED (SELECT image_id, w, h, x, y, {_WHITE}, 255 AS a FROM rb), {_inked("wp")},
 o0 AS MATERIALIZED (SELECT image_id, w, h, x, y, bw, colour, base OR ring OR contour AS ink FROM ik), {Q.regions("o0", "CASE WHEN ink THEN 1 END", "p")},
-o1 AS MATERIALIZED (SELECT image_id, w, h, x, y, bw, colour, ink AND count(*) OVER (PARTITION BY image_id, c) >= {_LEAST} AS ink FROM ppx),
-oe AS MATERIALIZED {Q.eroded("o1", 1, "m.x >= 1 AND m.y >= 1 AND m.x < m.w - 1 AND m.y < m.h - 1")}, {Q.regions("o1", "CASE WHEN NOT ink THEN 1 END", "q")}, {Q.touching("q")},
-oh AS (SELECT DISTINCT image_id, x + dx AS x, y + dy AS y FROM qt, (SELECT unnest(range(-1, 2)) AS dx) dxs, (SELECT unnest(range(-1, 2)) AS dy) dys WHERE NOT ink AND NOT t),
-o2 AS MATERIALIZED (SELECT o1.image_id, o1.w, o1.h, o1.x, o1.y, bw, colour, CASE WHEN colour THEN o1.ink AND (NOT oe.ink OR oh.x IS NOT NULL) ELSE o1.ink END AS ink FROM o1 JOIN oe USING (image_id, x, y) LEFT JOIN oh USING (image_id, x, y)),
-ol AS (SELECT m.image_id, m.x, m.y, sum(n.ink::INT) AS n FROM o2 m, (SELECT unnest(range(-1, 2)) AS dx) dxs, (SELECT unnest(range(-1, 2)) AS dy) dys, o2 n WHERE n.image_id = m.image_id AND n.x = m.x + dx AND n.y = m.y + dy GROUP BY ALL),
-o3 AS MATERIALIZED (SELECT o2.image_id, w, h, o2.x, o2.y, colour, ink AND NOT ({Q.INTERIOR.replace("x", "o2.x").replace("y", "o2.y")} AND n <= CASE WHEN colour THEN 2 WHEN bw THEN 0 ELSE 1 END) AS ink FROM o2 JOIN ol ON ol.image_id = o2.image_id AND ol.x = o2.x AND ol.y = o2.y),
-{Q.regions("o3", "CASE WHEN ink THEN 1 END", "v")}, o4 AS MATERIALIZED (SELECT image_id, w, h, x, y, ink AND (NOT colour OR count(*) OVER (PARTITION BY image_id, c) >= greatest(4, floor(w * h * 1e-5::DOUBLE + 0.5))) AS ink FROM vpx),
-o5 AS {Q.dilated("o4", 1.49)} """
+o1 AS MATERIALIZED (SELECT image_id, w, h, x, y, bw, colour, (ink AND count(*) OVER (PARTITION BY image_id, c) >= {_LEAST})::INT AS ink FROM ppx), {Q.regions("o1", "CASE WHEN ink = 0 THEN 1 END", "q")}, {Q.touching("q")},
+oh AS (SELECT *, {_three("least", "ink", _ROW)} AS lr, {_three("least", "ink", _COL)} AS lc, (ink = 0 AND NOT t)::INT AS hole FROM qt), oi AS (SELECT *, {_three("greatest", "hole", _ROW)} AS hr FROM oh), oj AS (SELECT *, {_three("greatest", "hr", _COL)} AS ho FROM oi),
+o2 AS (SELECT image_id, w, h, x, y, bw, colour, CASE WHEN colour THEN (ink = 1 AND (lr = 0 OR lc = 0 OR ho = 1))::INT ELSE ink END AS ink FROM oj),
+ok_ AS (SELECT *, {_three("sum", "ink", _ROW)} AS s3 FROM o2), ol AS (SELECT *, {_three("sum", "s3", _COL)} AS s9 FROM ok_),
+o3 AS MATERIALIZED (SELECT image_id, w, h, x, y, colour, ink = 1 AND NOT ({Q.INTERIOR} AND s9 <= CASE WHEN colour THEN 2 WHEN bw THEN 0 ELSE 1 END) AS ink FROM ol),
+{Q.regions("o3", "CASE WHEN ink THEN 1 END", "v")}, o4 AS (SELECT image_id, w, h, x, y, (ink AND (NOT colour OR count(*) OVER (PARTITION BY image_id, c) >= greatest(4, floor(w * h * 1e-5::DOUBLE + 0.5))))::INT AS ink FROM vpx),
+o5 AS (SELECT *, {_three("greatest", "ink", _ROW)} AS i3 FROM o4), o6 AS (SELECT image_id, x, y, {_three("greatest", "i3", _COL)} = 1 AS ink FROM o5) """
 
 
-@query(_OUTLINE + Q.MASK_DIGEST.format(t="o5"))
+@query(_OUTLINE + Q.MASK_DIGEST.format(t="o6"))
 def outline_job(s, d):
     return _ink_sums(jobs.extract_outline(_rows(s, d)))
 
