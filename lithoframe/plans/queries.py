@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithoframe.functions import color, layout, settings, text
-from lithoframe.operators import background, cells, components, grid, ink, match, morph, packed, palette, regions, runs, svg
+from lithoframe.operators import background, cells, components, grid, ink, match, morph, packed, palette, runs, spread, svg
 from lithoframe.operators.grid import by_image
 from lithoframe.plans import jobs
 from lithoframe.plans import sql as Q
@@ -449,6 +449,12 @@ def region_areas(s, d):
     return packed.label_regions(_label_rows(s, d))
 
 
+@query(f"{_REGIONS}, {_NUMBERED} SELECT nu.image_id, region, any_value(label) AS label, count(*) AS area FROM gpx JOIN nu USING (image_id, c) GROUP BY nu.image_id, region")
+def region_areas_spread(s, d):
+    """The same regions, found without a task that holds an image; tiles of 8 px so that runs cross them here."""
+    return spread.label_regions(packed.color_runs(_label_rows(s, d)), tile=8)
+
+
 @query(f"{_REGIONS}, {_NUMBERED}, {Q.SIDES} SELECT s.image_id, a.region, key_ AS label, b.region AS other, ok AS other_label, sides FROM sides s JOIN nu a ON a.image_id = s.image_id AND a.c = s.c JOIN nu b ON b.image_id = s.image_id AND b.c = s.oc")
 def region_sides(s, d):
     return packed.region_borders(_label_rows(s, d))

@@ -15,7 +15,8 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     if found := conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
-    if not conf.get("spark.master", "").startswith("local["):
+    master = conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     global _own
     _own = _own or "file://" + tempfile.mkdtemp(prefix="spark-")
@@ -27,3 +28,30 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/plates-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+class Scratch:
+    """Staged tables of an iterative job, which drops each round's once the next is written, so that its disk doesn't grow with the rounds."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/plates-{uuid.uuid4().hex}/{name}"
+        df.write.parquet(path)
+        out = self.spark.read.parquet(path)
+        self.paths[id(out)] = (path, out)
+        return out
+
+    def rename(self, old: DataFrame, new: DataFrame) -> None:
+        """`new` is a view of the table staged as `old`, and stands for it when it is dropped."""
+        path, _ = self.paths.pop(id(old))
+        self.paths[id(new)] = (path, new)
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete staged tables; nothing that is still to be computed may read them."""
+        context = self.spark.sparkContext
+        for df in tables:
+            path, _ = self.paths.pop(id(df))
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
