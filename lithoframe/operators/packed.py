@@ -48,7 +48,7 @@ def pack_rows(pixels: DataFrame, values: dict[str, Column]) -> DataFrame:
     """A pixel table -> rows with an array for each named value, in the order of x. One exchange, by image_id, which later steps keep."""
     rows = by_image(pixels.select("image_id", "w", "h", "x", "y", *(v.alias(k) for k, v in values.items())))
     rows = rows.groupBy("image_id", "y").agg(F.first("w").alias("w"), F.first("h").alias("h"), F.array_sort(F.collect_list(F.struct("x", *values))).alias("_line"))
-    return rows.select(*LINE, *(F.transform("_line", lambda p, k=k: p[k]).alias(k) for k in values))
+    return rows.select(*LINE, *(C("_line")[k].alias(k) for k in values))
 
 
 def unpack_rows(rows: DataFrame, names: list[str]) -> DataFrame:

@@ -665,7 +665,7 @@ def cleanup_job(s, d):
 
 @query()
 def remerge_job(s, d):
-    plates, shown = jobs.remerge(_label_rows(s, d).select(*packed.LINE, "label"), fixtures.palette(s, d), fixtures.merges(s, d), fixtures.overrides(s, d), fixtures.disabled(s, d), chart.pms_chart(s))
+    plates, shown = jobs.remerge(*_state(s, d), fixtures.merges(s, d), fixtures.overrides(s, d), fixtures.disabled(s, d), chart.pms_chart(s))
     return shown.join(plates.select("image_id", F.length("svg").alias("svg_chars")), "image_id")
 
 
@@ -686,20 +686,27 @@ def dual_outputs_job(s, d):
     return svg.svg_metrics(jobs.dual_outputs(_rows(s, d), f"{shared_dir(s)}/dual-{uuid.uuid4().hex}", **_nothing(s, d))).drop("head")
 
 
-@query(f"WITH {Q.LABELS} " + Q.DIGEST.format(t="lb"))
-def saved_state(s, d):
+def _state(s, d):
+    """Labels and palette, written and read again."""
     folder = f"{shared_dir(s)}/state-{uuid.uuid4().hex}"
-    rasters.write_state(_labels(s, d), fixtures.palette(s, d), folder)
-    return digest(rasters.read_state(s, folder)[0])
+    rasters.write_state(_label_rows(s, d).select(*packed.LINE, "label"), fixtures.palette(s, d), folder, 8)
+    return rasters.read_state(s, folder)
+
+
+@query(f"WITH {Q.LABELS}, dg AS ({Q.DIGEST.format(t='lb')}), pa AS (SELECT count(*) AS slots, sum(idx * 1000 + pr * 3 + pg * 5 + pb * 7)::BIGINT AS colors FROM slots) SELECT dg.*, slots, colors FROM dg CROSS JOIN pa")
+def saved_state(s, d):
+    labels, colours = _state(s, d)
+    return packed.sums(labels).join(colours.groupBy("image_id").agg(F.count("*").alias("slots"), F.sum(C("idx") * 1000 + C("r") * 3 + C("g") * 5 + C("b") * 7).alias("colors")), "image_id")
 
 
-@query(f"WITH {Q.LABELS}, {_RECTS}, p AS (SELECT DISTINCT image_id FROM rc) SELECT image_id, p_name || '-vector.svg' AS file_name FROM p JOIN part ON p_partkey = image_id")
+@query(f"WITH {_PLATES} SELECT image_id, p_name || '-vector.svg' AS file_name, strlen(svg) AS bytes, md5(svg) AS digest FROM pl JOIN part ON p_partkey = image_id WHERE plate = 'vector'")
 def written_plates(s, d):
     folder = f"{shared_dir(s)}/plates-{uuid.uuid4().hex}"
     fills = fixtures.palette(s, d).withColumn("hex", color.rgb_to_hex(*_rgb()))
-    plates = svg.fill_plate(_labels(s, d), fills).join(fixtures.images(s, d).select("image_id", "name"), "image_id").withColumn("plate", F.lit("vector"))
+    lines = _label_rows(s, d)
+    plates = svg.plate_of_rects(packed.color_rects(lines), fixtures.images(s, d).select("image_id", "w", "h"), fills).join(fixtures.images(s, d).select("image_id", "name"), "image_id").withColumn("plate", F.lit("vector"))
     rasters.write_plates(plates, folder)
-    return s.read.parquet(folder).select("image_id", "file_name")
+    return s.read.parquet(folder).select("image_id", "file_name", F.octet_length("svg").cast("long").alias("bytes"), F.md5("svg").alias("digest"))
 
 
 # ---- text

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,12 +41,30 @@ def write_plates(plates: DataFrame, path: str) -> None:
     plates.withColumn("file_name", F.concat("name", F.lit("-"), "plate", F.lit(".svg"))).write.partitionBy("plate").parquet(path)
 
 
+def _state_table(path: str, name: str) -> str:
+    return f"state_{hashlib.sha256(path.encode()).hexdigest()[:24]}_{name}"
+
+
 def write_state(labels: DataFrame, palette: DataFrame, path: str, buckets: int = 64) -> None:
-    """Labels and the palette before merging, so that a change of palette need not quantise again."""
-    part = F.pmod(F.hash("image_id"), F.lit(buckets))
-    for name, df in (("labels", labels.select("image_id", "w", "h", "x", "y", "label")), ("palette", palette.select("image_id", "idx", "r", "g", "b"))):
-        df.withColumn("part", part).repartition("part").write.partitionBy("part").parquet(f"{path}/{name}")
+    """Labels (rows, or pixels) and the palette before merging, so that a change of palette need not quantise again.
+
+    Both are tables bucketed by image_id, one file a bucket, so that steps by image need no exchange when they are read again. What a reader must know to
+    find the buckets lies beside them.
+    """
+    spark = labels.sparkSession
+    line = [c for c in ("y", "x") if c in labels.columns]
+    for name, df, order in (("labels", labels, line), ("palette", palette.select("image_id", "idx", "r", "g", "b"), ["idx"])):
+        dealt = df.repartition(buckets, "image_id").write.bucketBy(buckets, "image_id").sortBy("image_id", *order)
+        dealt.option("path", f"{path}/{name}").mode("errorifexists").saveAsTable(_state_table(path, name))
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+        spark.createDataFrame([(columns, ", ".join(["image_id", *order]), buckets)], "columns string, sorted string, buckets int").coalesce(1).write.json(f"{path}/{name}-layout")
 
 
 def read_state(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return tuple(spark.read.parquet(f"{path}/{name}").drop("part") for name in ("labels", "palette"))
+    """(labels, palette) of write_state(), from any session: the tables are made known to it where they aren't."""
+    out = []
+    for name in ("labels", "palette"):
+        layout, table = spark.read.json(f"{path}/{name}-layout").first(), _state_table(path, name)
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({layout['columns']}) USING parquet CLUSTERED BY (image_id) SORTED BY ({layout['sorted']}) INTO {layout['buckets']} BUCKETS LOCATION '{path}/{name}'")
+        out.append(spark.table(table))
+    return out[0], out[1]

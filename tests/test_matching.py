@@ -3,7 +3,7 @@ import math
 from pyspark.sql import functions as F
 
 from lithoframe.functions import color, settings, text
-from lithoframe.operators import background, match, palette, svg
+from lithoframe.operators import background, match, packed, palette, svg
 from lithoframe.sources import chart
 
 
@@ -53,8 +53,8 @@ def test_background_is_flooded_and_skin_stays(spark):
             inside = 4 <= x <= 7 and 4 <= y <= 7
             rows.append((1, 12, 12, x, y, *((243, 209, 176) if inside else (250, 250, 250)), 255))
     px = spark.createDataFrame(rows, "image_id long, w int, h int, x int, y int, r int, g int, b int, a int")
-    out = background.remove_background(px, 42)
-    assert out.filter("a = 255").count() == 16 and background.cleared_count(out).first().cleared == 128
+    out = background.remove_background(packed.by_image(packed.as_rows(px)), 42)
+    assert packed.unpack_rows(out, ["px"]).filter("a = 255").count() == 16 and background.cleared_count(out).first().cleared == 128
 
 
 def test_hex_both_ways(spark):
