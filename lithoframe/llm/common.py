@@ -59,19 +59,30 @@ class Scratch:
             where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def _is_scan(docs: DataFrame) -> bool:
+    """Whether the plan is one scan of files below projections and filters, so that a row of docs is a row of a file and no other row of docs is."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation"
+
+
 def placed_rows(docs: DataFrame) -> DataFrame:
     """_doc (a struct of the row), and two long columns that name the row whatever it holds: `_file` (a hash of its file's path) and `_at` (its place in the file).
 
-    They come from the files that docs is read from, so they stay the same when docs is read again; anything else than plain files is staged once. No column of docs can clash with them.
+    They come from the files that docs is read from, so they stay the same when docs is read again. Anything else than one scan below projections and
+    filters (rows exploded, united, joined or made in memory) is staged once, as its rows may share a place or have none. No column of docs can clash with them.
     """
     place = [F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at")]
-    try:
-        found = docs.select(F.struct(*docs.columns).alias("_doc"), *place)
-        found.schema  # noqa: B018  (resolves the names)
-        return found
-    except AnalysisException:
-        docs = stage(docs, "rows")
-        return docs.select(F.struct(*docs.columns).alias("_doc"), *place)
+    if _is_scan(docs):
+        try:
+            found = docs.select(F.struct(*docs.columns).alias("_doc"), *place)
+            found.schema  # noqa: B018  (resolves the names)
+            return found
+        except AnalysisException:  # the files' format has no places
+            pass
+    docs = stage(docs, "rows")
+    return docs.select(F.struct(*docs.columns).alias("_doc"), *place)
 
 
 def bounded_sample(df: DataFrame, most: int) -> DataFrame:
