@@ -91,7 +91,7 @@ def _listed(values: np.ndarray, ends: np.ndarray, kind: str) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values, _KINDS[kind], mask=none))
 
 
-def _whole_images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def whole_images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches cut where an image ends."""
     kept: list[pa.RecordBatch] = []
     for batch in batches:
@@ -123,7 +123,7 @@ def map_lines(rows: DataFrame, f: Callable[[Lines], dict[str, np.ndarray]], take
     schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in [*LINE, *keep]] + [f"`{k}` array<{'int' if v == 'px' else v}>" for k, v in give.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _whole_images(batches) if images else batches:
+        for batch in whole_images(batches) if images else batches:
             lines = Lines(batch, take)
             lines.extra = {k: batch.column(k) for k in extra or []}
             new = f(lines)
@@ -282,7 +282,7 @@ def _found(rows: DataFrame, f: Callable[[Lines], dict[str, np.ndarray]], take: l
     kinds = [_KINDS[part.split()[1]] for part in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _whole_images(batches) if images else batches:
+        for batch in whole_images(batches) if images else batches:
             new = f(Lines(batch, take))
             yield pa.RecordBatch.from_arrays([pa.array(new[k], kind) for k, kind in zip(names, kinds, strict=True)], names)
 

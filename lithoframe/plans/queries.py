@@ -123,6 +123,17 @@ def pixel_sums(s, d):
     return _pixels(s, d).groupBy("image_id").agg(F.count("*").alias("n"), F.sum(v).alias("weighted"), F.count_if(C("a") >= 128).alias("opaque"), F.count_if(C("a") < 16).alias("clear"), F.count_if(C("a") <= 96).alias("faint"))
 
 
+@query(_SQL["pixel_sums"].replace("SELECT image_id, count(*)", "SELECT image_id, any_value(w) AS w, any_value(h) AS h, count(*)"))
+def images_from_files(s, d):
+    """The rasters written as PNG files and read by the image source."""
+    folder = f"{shared_dir(s)}/images-{uuid.uuid4().hex}"
+    rasters.write_images(_rows(s, d), folder)
+    images = rasters.read_images(s, folder).withColumn("image_id", C("name").cast("long"))
+    v = 3 * C("r") + 5 * C("g") + 7 * C("b") + 11 * C("a") + 13 * C("x") + 17 * C("y")
+    px = packed.unpack_rows(rasters.image_rows(images), ["px"])
+    return px.groupBy("image_id").agg(F.first("w").alias("w"), F.first("h").alias("h"), F.count("*").alias("n"), F.sum(v).alias("weighted"), F.count_if(C("a") >= 128).alias("opaque"), F.count_if(C("a") < 16).alias("clear"), F.count_if(C("a") <= 96).alias("faint"))
+
+
 @query(f"WITH {Q.PIXELS}, c AS (SELECT DISTINCT r, g, b FROM px) SELECT r, g, b, round({Q.lum()}, 6) AS light, {Q.chroma()} AS chroma, {Q.skin()} AS skin, round({Q.skin_score()}, 9) AS score, {Q.chroma()} < 28 AS neutral, {Q.chroma()} >= 45 OR {Q.skin_score()} > 0.12::DOUBLE AS accent, {Q.leftover()} AS leftover, printf('#%02x%02x%02x', r, g, b) AS hex FROM c")
 def color_flags(s, d):
     c = _rgb()
