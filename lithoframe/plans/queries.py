@@ -563,16 +563,22 @@ def extracted_palette(s, d):
     return palette.extract_palette(by_image(_raster(s, d)), 12)
 
 
-@query()
-def snapped_palette(s, d):
-    return palette.snap_palette_to_pms(fixtures.palette(s, d), _usage(s, d)).withColumn("pms_delta_e", F.round("pms_delta_e", 4))
-
-
 _SLOTS = f"""{Q.LABELS}, {Q.CHART}, sl AS (SELECT idx, pr AS r, pg AS g, pb AS b, {Q.lab("pr", "pg", "pb")} AS lab FROM slots),
 nr AS (SELECT idx, sl.r, sl.g, sl.b, any_value(lab) AS lab, min({{'d': {Q.delta("lab", "{'l': ll, 'a': la, 'b': lb}")}, 'o': ord, 'c': code, 'r': chart.r, 'g': chart.g, 'b': chart.b}}) AS m FROM sl, chart GROUP BY ALL),
 ua AS (SELECT image_id, label AS idx, count(*) AS area FROM lb WHERE label IS NOT NULL GROUP BY ALL)"""
 
 
+@query(f"""WITH RECURSIVE {_SLOTS}, ca AS (SELECT idx, sl.r, sl.g, sl.b, list({{'d': {Q.delta("lab", "{'l': ll, 'a': la, 'b': lb}")}, 'o': ord, 'c': code, 'r': chart.r, 'g': chart.g, 'b': chart.b}}) AS l FROM sl, chart GROUP BY ALL), cs AS MATERIALIZED (SELECT idx, r, g, b, list_sort(l) AS l FROM ca),
+al AS (SELECT im.image_id, sl.idx, coalesce(area, 0) AS area FROM im CROSS JOIN sl LEFT JOIN ua USING (image_id, idx)), rk AS MATERIALIZED (SELECT image_id, idx, row_number() OVER (PARTITION BY image_id ORDER BY area DESC, idx) AS k FROM al),
+pk AS (SELECT image_id, 0::BIGINT AS k, []::INT[] AS used, -1 AS idx, NULL::STRUCT(d DOUBLE, o INT, c VARCHAR, r INT, g INT, b INT) AS m FROM im
+ UNION ALL SELECT image_id, k, list_append(used, m.o), idx, m FROM (SELECT pk.image_id, rk.k, pk.used, rk.idx, CASE WHEN f IS NOT NULL AND (f.d <= 22 OR f.d <= l[1].d + 6) THEN f ELSE l[1] END AS m
+  FROM pk JOIN rk ON rk.image_id = pk.image_id AND rk.k = pk.k + 1 JOIN (SELECT idx, l FROM cs) q ON q.idx = rk.idx, LATERAL (SELECT list_filter(q.l, lambda c: NOT list_contains(pk.used, c.o))[1] AS f) z)),
+ow AS (SELECT image_id, idx, cs.r, cs.g, cs.b, m, m.d > 22 OR (greatest(cs.r, cs.g, cs.b) - least(cs.r, cs.g, cs.b) >= 40 AND greatest(m.r, m.g, m.b) - least(m.r, m.g, m.b) < (greatest(cs.r, cs.g, cs.b) - least(cs.r, cs.g, cs.b)) * 0.55) AS own FROM pk JOIN cs USING (idx) WHERE k > 0)
+SELECT image_id, idx, CASE WHEN own THEN r ELSE m.r END AS r, CASE WHEN own THEN g ELSE m.g END AS g, CASE WHEN own THEN b ELSE m.b END AS b, m.c AS pms_code, 'PMS ' || m.c AS pms_name, round(m.d, 4) AS pms_delta_e FROM ow""")
+def snapped_palette(s, d):
+    return palette.snap_palette_to_pms(fixtures.palette(s, d), _usage(s, d)).withColumn("pms_delta_e", F.round("pms_delta_e", 4))
+
+
 @query(f"""WITH {_SLOTS}, mu AS (SELECT *, m.d > 20 OR (greatest(r, g, b) - least(r, g, b) >= 40 AND greatest(m.r, m.g, m.b) - least(m.r, m.g, m.b) < (greatest(r, g, b) - least(r, g, b)) * 0.55) AS own FROM nr),
 ov(idx, code) AS (VALUES (0, '185 C'), (1, '185 C'), (2, 'Black 6 C')), fx AS (SELECT ov.idx, chart.code, chart.r, chart.g, chart.b FROM ov JOIN chart USING (code))
 SELECT image_id, idx, coalesce(fx.r, CASE WHEN own THEN mu.r ELSE m.r END)::INT AS r, coalesce(fx.g, CASE WHEN own THEN mu.g ELSE m.g END)::INT AS g, coalesce(fx.b, CASE WHEN own THEN mu.b ELSE m.b END)::INT AS b, coalesce(fx.code, m.c) AS pms_code, 'PMS ' || coalesce(fx.code, m.c) AS pms_name,
