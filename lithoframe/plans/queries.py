@@ -471,7 +471,35 @@ def region_sides(s, d):
     return packed.region_borders(_label_rows(s, d))
 
 
-@query()
+def _merged(least: int) -> str:
+    """CTEs up to mg: image_id, x, y, label after small regions of gpx have joined their neighbours. State is a map of what was recoloured so far; a step decides one region (then one component) of each image, in order."""
+
+    def vote(of: str) -> str:
+        """The label that most sides of list `of` touch under the map m, the lowest among equals; null for no sides."""
+        now = "coalesce(m[s.o], s.k)"
+        return f"""list_sort(list_transform(list_distinct(list_transform({of}, lambda s: {now})), lambda v: {{'n': -list_sum(list_transform(list_filter({of}, lambda s: {now} = v), lambda s: s.n)), 'v': v}}))[1].v"""
+
+    none = "MAP {}::MAP(BIGINT, INT)"
+    put = "CASE WHEN v IS NULL THEN m ELSE map_concat(m, MAP {r: v}) END"
+    return f"""mr AS MATERIALIZED (SELECT image_id, c AS r, any_value(key_)::INT AS k, count(*) AS area FROM gpx WHERE c IS NOT NULL GROUP BY image_id, c),
+ms AS MATERIALIZED (SELECT image_id, c AS r, list({{'o': oc, 'k': ok::INT, 'n': sides}}) AS l FROM sides GROUP BY image_id, c),
+m1 AS MATERIALIZED (SELECT mr.image_id, r, coalesce(l, []) AS l, row_number() OVER (PARTITION BY mr.image_id ORDER BY area, r) AS q FROM mr LEFT JOIN ms USING (image_id, r) WHERE area < {least}),
+w1 AS (SELECT DISTINCT image_id, 0::BIGINT AS q, {none} AS m FROM mr UNION ALL SELECT image_id, q, {put} FROM (SELECT w1.image_id, m1.q, m1.r, m, {vote("m1.l")} AS v FROM w1 JOIN m1 ON m1.image_id = w1.image_id AND m1.q = w1.q + 1) z),
+f1 AS MATERIALIZED (SELECT image_id, arg_max(m, q) AS m FROM w1 GROUP BY image_id),
+n1 AS MATERIALIZED (SELECT mr.image_id, r, coalesce(m[r], k) AS k, area FROM mr JOIN f1 USING (image_id)),
+e1 AS MATERIALIZED (SELECT s.image_id, s.c AS a, s.oc AS b, s.sides AS n, x.k = y.k AS same FROM sides s JOIN n1 x ON x.image_id = s.image_id AND x.r = s.c JOIN n1 y ON y.image_id = s.image_id AND y.r = s.oc),
+hd(id, c) USING KEY (id) AS (SELECT r, r FROM n1 UNION SELECT e1.b, min(hd.c) FROM hd JOIN e1 ON e1.same AND e1.a = hd.id JOIN recurring.hd AS k ON k.id = e1.b WHERE hd.c < k.c GROUP BY e1.b),
+hh AS MATERIALIZED (SELECT n1.*, hd.c AS h FROM n1 JOIN hd ON hd.id = n1.r),
+h2 AS MATERIALIZED (SELECT image_id, h AS r, any_value(k) AS k, sum(area) AS area FROM hh GROUP BY image_id, h),
+g2 AS (SELECT e1.image_id, p.h AS a, q.h AS b, sum(e1.n) AS n FROM e1 JOIN hh p ON p.image_id = e1.image_id AND p.r = e1.a JOIN hh q ON q.image_id = e1.image_id AND q.r = e1.b WHERE p.h <> q.h GROUP BY ALL),
+l2 AS MATERIALIZED (SELECT g2.image_id, g2.a AS r, list({{'o': g2.b, 'k': h2.k, 'n': g2.n}}) AS l FROM g2 JOIN h2 ON h2.image_id = g2.image_id AND h2.r = g2.b GROUP BY g2.image_id, g2.a),
+m2 AS MATERIALIZED (SELECT h2.image_id, r, coalesce(l, []) AS l, row_number() OVER (PARTITION BY h2.image_id ORDER BY r) AS q FROM h2 LEFT JOIN l2 USING (image_id, r) WHERE area < {least}),
+w2 AS (SELECT DISTINCT image_id, 0::BIGINT AS q, {none} AS m FROM h2 UNION ALL SELECT image_id, q, {put} FROM (SELECT w2.image_id, m2.q, m2.r, m, {vote("m2.l")} AS v FROM w2 JOIN m2 ON m2.image_id = w2.image_id AND m2.q = w2.q + 1) z),
+f2 AS (SELECT image_id, arg_max(m, q) AS m FROM w2 GROUP BY image_id), n2 AS MATERIALIZED (SELECT hh.image_id, hh.r, coalesce(m[h], k) AS k FROM hh JOIN f2 USING (image_id)),
+mg AS (SELECT gpx.image_id, x, y, n2.k AS label FROM gpx LEFT JOIN n2 ON n2.image_id = gpx.image_id AND n2.r = gpx.c)"""
+
+
+@query(f"{_REGIONS}, {Q.SIDES}, {_merged(8)} " + Q.DIGEST.format(t="mg"))
 def small_regions_merged(s, d):
     return packed.sums(packed.merge_small_regions(_label_rows(s, d), 8))
 
