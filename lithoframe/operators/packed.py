@@ -51,6 +51,25 @@ def pack_rows(pixels: DataFrame, values: dict[str, Column]) -> DataFrame:
     return rows.select(*LINE, *(C("_line")[k].alias(k) for k in values))
 
 
+def quarantined(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of whole images; image_id, error of the others). An image is whole if its lines are numbered from 0 to h - 1, each once, agree on w and h, and have w values in every array.
+
+    Only sizes are grouped; arrays are not shuffled. A corpus goes on without its broken images, which can be mended by the reasons given.
+    """
+    arrays = [f.name for f in rows.schema.fields if f.dataType.typeName() == "array"]
+    short = F.lit(False)
+    for k in arrays:
+        short |= F.coalesce(F.size(k), F.lit(-1)) != C("w")
+    facts = rows.select(*LINE, F.coalesce(short, F.lit(True)).alias("_short")).groupBy("image_id").agg(
+        F.count("*").alias("n"), F.countDistinct("y").alias("lines"), F.min("y").alias("top"), F.max("y").alias("bottom"),
+        F.min("w").alias("w"), F.max("w").alias("w2"), F.min("h").alias("h"), F.max("h").alias("h2"), F.count_if("_short").alias("short"))
+    sized = (C("w") == C("w2")) & (C("h") == C("h2")) & (C("w") > 0) & (C("h") > 0)
+    all_lines = (C("n") == C("h")) & (C("lines") == C("h")) & (C("top") == 0) & (C("bottom") == C("h") - 1)
+    error = F.when(~F.coalesce(sized, F.lit(False)), "lines don't agree on a size").when(~F.coalesce(all_lines, F.lit(False)), "lines are missing or repeated").when(C("short") > 0, "lines are shorter or longer than the image is wide")
+    errors = facts.select("image_id", error.alias("error")).filter("error is not null")
+    return rows.join(errors.select(C("image_id").alias("_bad")), C("image_id").eqNullSafe(C("_bad")), "left_anti"), errors
+
+
 def unpack_rows(rows: DataFrame, names: list[str]) -> DataFrame:
     """Rows -> a pixel table with x and the named values; px becomes r, g, b, a."""
     if len(names) == 1:

@@ -66,7 +66,7 @@ def _raster(s: SparkSession, d: str) -> DataFrame:
 
 
 def _labels(s: SparkSession, d: str) -> DataFrame:
-    return match.quantize(by_image(_pixels(s, d)), fixtures.palette(s, d))
+    return packed.unpack_rows(_label_rows(s, d), ["label"])
 
 
 def _rows(s: SparkSession, d: str) -> DataFrame:
@@ -92,7 +92,7 @@ def _colors(s: SparkSession, d: str) -> DataFrame:
 
 
 def _usage(s: SparkSession, d: str) -> DataFrame:
-    return match.label_usage(_labels(s, d), fixtures.palette(s, d))
+    return match.label_usage(packed.color_runs(_label_rows(s, d)), fixtures.palette(s, d))
 
 
 def _rgb() -> tuple[Column, Column, Column]:
