@@ -339,6 +339,25 @@ def test_identifiers_without_digits_are_discovered_as_in_production(spark):
     assert pii.redact(table(spark, texts)).filter("doc_id = 21").first().text == "please contact ([CONTEXT]), who is here"
 
 
+def test_a_discovered_identifier_leads_to_another_as_in_production(spark):
+    """No base span is near the last two names: they are reachable only over names that were discovered themselves."""
+    name = lambda k: "".join("abcdefghij"[int(c)] for c in str(1000 + k))
+    texts = [(k, f"{prose(k, 5)} contact jane.{name(k)}@example.com today") for k in range(40)]
+    texts += [(100 + k, f"{prose(k, 4)} contact {name(100 + k)} now {prose(k, 3)}\thandle {name(100 + k)} there") for k in range(10)]
+    texts += [(200, "a handle zedmann here"), (201, f"{'x' * 70}'s words; handle\n(yorick) is gone"), (202, "no handle"), (203, "the end of a day here")]
+    found = lambda **o: {r.doc_id: [dict(texts)[r.doc_id][s.start : s.stop] for s in r.extra] for r in pii.find_spans(table(spark, texts), **o).collect()}
+    got, first = found(), found(generations=1)
+    assert [got[k] for k in (200, 201, 202, 203)] == [["zedmann"], ["yorick"], [], []] and not first[200] and not first[201]
+    assert all(got[100 + k] == [name(100 + k)] * 2 and first[100 + k] == [name(100 + k)] for k in range(10))
+
+
+def test_neighbours_are_whole_words_of_any_length(spark):
+    long = "é" * 500
+    texts = [(k, f"{long} a{k}@b.org {long[1:]}") for k in range(8)] + [(50, f"x{long} q9@b z"), (51, f"{long}\tz7@b {long[1:]}")]
+    rows = {r.doc_id: r for r in pii.find_spans(table(spark, texts)).collect()}
+    assert [dict(texts)[51][s.start : s.stop] for s in rows[51].extra] == ["z7@b"] and not rows[50].extra
+
+
 def test_null_and_repeated_ids_are_treated_as_rows_of_their_own(spark):
     clean = [(None, prose(k, 100)) for k in range(6)] + [(7, prose(70, 90)), (7, prose(71, 95))]
     junk = [(None, "too short"), (7, "short")]
