@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from lithoframe.llm.common import stage
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=/)[^>]*>", re.S)
-_ATTR = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_TAG = re.compile(r"</?+([a-zA-Z][^\s/>]*+)")
+_INSIDE = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+")
+_ATTR = re.compile(r"(?<![^\s=/\"'>])([^\s=/\"'>]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]++))")
 _SPACE = re.compile(r"\s+")
 _DIGITS = re.compile(r"\d+")
 #: Elements whose text is not read at all; the first group holds raw text, in which no tag counts.
@@ -68,6 +69,67 @@ def _digest(s: str) -> int:
     return int.from_bytes(blake2b(s.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
 
+def _past(html: str, mark: str, at: int) -> int:
+    """Where the next mark ends, or the end of the page."""
+    found = html.find(mark, at)
+    return found + len(mark) if found >= 0 else len(html)
+
+
+def _tags(html: str):
+    """(text before, tag or None, its name, its attributes, where it ends) over a page; the next search begins where send() says, if anything is sent.
+
+    Comments and declarations have no name. A tag whose quote is never closed ends at the next >, one without > at the page's end: no quote can be left
+    open twice, so the whole takes linear time. A < before anything else is text.
+    """
+    at = begin = 0
+    while (lt := html.find("<", begin)) >= 0:
+        name, attributes = None, ""
+        if html.startswith("<!--", lt):
+            end = _past(html, "-->", lt + 4)
+        elif html.startswith("<![CDATA[", lt):
+            end = _past(html, "]]>", lt + 9)
+        elif html.startswith(("<!", "<?"), lt):
+            end = _past(html, ">", lt)
+        elif m := _TAG.match(html, lt):
+            stop = _INSIDE.match(html, m.end()).end()
+            end = _past(html, ">", stop)
+            name, attributes = m[1].lower(), html[m.end() : end].removesuffix(">")
+        elif html.startswith("</", lt):
+            end = _past(html, ">", lt)
+        else:
+            begin = lt + 1
+            continue
+        at = begin = (yield html[at:lt], html.startswith("</", lt), name, attributes, end) or end
+    yield html[at:], False, None, "", len(html)
+
+
+class _Stack(list):
+    """The open elements (tag, node, furniture, main, unread), with the places of each tag and of the blocks among them."""
+
+    def __init__(self):
+        super().__init__()
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def open(self, element: tuple[str, int, bool, bool, bool]) -> None:
+        self.places.setdefault(element[0], []).append(len(self))
+        if element[0] not in INLINE:
+            self.blocks.append(len(self))
+        self.append(element)
+
+    def cut(self, k: int) -> None:
+        """Close all from place k on."""
+        while len(self) > k:
+            tag = self.pop()[0]
+            self.places[tag].pop()
+            if tag not in INLINE:
+                self.blocks.pop()
+
+    def last(self, tags) -> int:
+        """The place of the innermost element of these tags, or -1."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+
 @dataclass
 class Node:
     """A style node of one page: key (a hash of its whole path), the parent's place in the page's list, depth, and its elements' children, each element after a bar."""
@@ -86,10 +148,10 @@ def page_tree(html: str | None) -> tuple[list[Node], list[tuple[int, str, str, b
     """
     out: list[tuple[int, str, str, bool]] = []
     nodes, places = [Node(0, -1, 0, [])], {}
-    stack: list[tuple[str, int, bool, bool, bool]] = []  # tag, node, furniture, main, unread
+    stack = _Stack()
     text: list[str] = []
     named: list[str] = []
-    at, html, where = 0, html or "", None
+    html, where = html or "", None
 
     def plain(pieces: list[str]) -> str:
         return _SPACE.sub(" ", entities.unescape("".join(pieces))).strip()
@@ -106,7 +168,7 @@ def page_tree(html: str | None) -> tuple[list[Node], list[tuple[int, str, str, b
     def add(piece: str) -> None:
         nonlocal where
         if piece and not (stack and stack[-1][4]):
-            where = where or next((s for s in reversed(stack) if s[0] not in INLINE), ("", 0, False, False, False))
+            where = where or (stack[stack.blocks[-1]] if stack.blocks else ("", 0, False, False, False))
             text.append(piece)
             if not (stack and stack[-1][2]):
                 named.append(piece)
@@ -118,47 +180,45 @@ def page_tree(html: str | None) -> tuple[list[Node], list[tuple[int, str, str, b
         nodes[places[up, label]].style.append("|")
         return places[up, label]
 
-    while at < len(html):
-        m = _TOKEN.search(html, at)
-        add(html[at : m.start()] if m else html[at:])
-        if not m:
+    tags, jump = _tags(html), None
+    while True:
+        try:
+            before, closing, tag, attributes, at = tags.send(jump)
+        except StopIteration:
             break
-        at = m.end()
-        if not m[2]:
+        jump = None
+        add(before)
+        if tag is None:
             continue
-        closing, tag = m[1], m[2].lower()
         if tag not in INLINE:
             flush()
         if closing:
+            k = stack.last([tag])
             # an inline end tag doesn't reach past the block it stands in
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break
+            if k >= 0 and (tag not in INLINE or k > (stack.blocks[-1] if stack.blocks else -1)):
+                stack.cut(k)
             continue
         if tag in CLOSES_P:
             ends, stops = {"p"}, {"button", "table", "td", "th", "caption", "object"}
         else:
             ends, stops = CLOSES.get(tag, ((), ()))
-        while ends and (k := next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in ends or stack[i][0] in stops), -1)) >= 0 and stack[k][0] in ends:
-            del stack[k:]
+        while ends and (k := stack.last(ends)) > stack.last(stops):
+            stack.cut(k)
         up = stack[-1] if stack else ("", 0, False, False, False)
         unread = up[4] or tag in NO_TEXT
-        if tag in VOID or m[3].endswith("/") and tag in {"svg", "path", "use"}:
+        if tag in VOID or attributes.endswith("/") and tag in {"svg", "path", "use"}:
             if not unread and tag not in INLINE:
                 nodes[up[1]].style.append(tag)
             continue
-        noisy, label = _furniture(tag, m[3])
+        noisy, label = _furniture(tag, attributes)
         at_node = up[1]
         if tag not in INLINE and not unread:
             nodes[up[1]].style.append(label)
             at_node = node(up[1], label)
-        stack.append((tag, at_node, up[2] or noisy, up[3] or (tag in MAIN and not noisy), unread))
+        stack.open((tag, at_node, up[2] or noisy, up[3] or (tag in MAIN and not noisy), unread))
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(html, at)
-            at = end.start() if end else len(html)
+            jump = end.start() if end else len(html)
     flush()
     return nodes, out
 

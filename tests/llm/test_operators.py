@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import struct
 import zlib
 
@@ -339,6 +340,16 @@ def test_identifiers_without_digits_are_discovered_as_in_production(spark):
     assert pii.redact(table(spark, texts)).filter("doc_id = 21").first().text == "please contact ([CONTEXT]), who is here"
 
 
+def test_markup_stays_out_and_pages_parse_in_linear_time():
+    said = lambda h: [t for _, t in html_extract.article_blocks(h)]
+    assert said('<article><p title="a>one</p><p>two</p></article>') == ["one", "two"] and said("<p>1 < 2<p a='b>c'>x</p><p title='open>y") == ["1 < 2", "x", "y"]
+    assert said("<p>a<b>b</p>c</b> d</i> e<ul><li>f<li>g<ul><li>h</ul>i</ul>") == ["ab", "c d e", "f", "g", "h", "i"]
+    began = time.process_time()
+    for page in ("<div>" * 50_000, "<div><b>" * 30_000 + "</i></span></x>" * 30_000, '<a "' * 50_001, "<a " * 50_000, "<" * 50_000, "<p " + "a" * 300_000 + ">x"):
+        said(page)
+    assert time.process_time() - began < 20
+
+
 def test_a_discovered_identifier_leads_to_another_as_in_production(spark):
     """No base span is near the last two names: they are reachable only over names that were discovered themselves."""
     name = lambda k: "".join("abcdefghij"[int(c)] for c in str(1000 + k))
