@@ -716,7 +716,7 @@ def remerge_job(s, d):
 
 @query()
 def pin_plate_job(s, d):
-    plates, used = jobs.pin_plate(_raster(s, d), fixtures.images(s, d), cap=40)
+    plates, used = jobs.pin_plate(_rows(s, d), fixtures.images(s, d), cap=40)
     return plates.join(used.groupBy("image_id").agg(F.count("*").alias("colors")), "image_id", "left").select("image_id", "colors", F.length("svg").alias("svg_chars"), F.sha2("svg", 256).alias("digest"))
 
 
