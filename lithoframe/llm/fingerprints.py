@@ -1,7 +1,7 @@
 """Document fingerprints: threshold-scaled sketches.
 
 A sketch keeps every shingle hash below a fixed fraction of the hash range, so it grows with its document, the sketch of a union
-is the union of sketches, and containment can be estimated between documents of very unequal length.
+comes from the sketches alone, and containment can be estimated between documents of very unequal length.
 """
 
 from __future__ import annotations
@@ -19,11 +19,17 @@ from pyspark.sql import types as T
 from lithoframe.llm.common import ascii_words, placed_rows, shingle_set, with_field
 
 FRACTION = 0.25
+#: As many blocks as one job divides its rows into at most. Their bounds are in the plan, and a row for each is collected and broadcast.
+MOST_BLOCKS = 8192
 
 
 def sketch(text: str | None, fraction: float = FRACTION) -> np.ndarray:
     """Sorted hashes of the 5-word shingles below the fraction; of a text so short that none is, its smallest. Empty without words."""
-    s = shingle_set(ascii_words(text))
+    return _below(shingle_set(ascii_words(text)), fraction)
+
+
+def _below(s: np.ndarray, fraction: float) -> np.ndarray:
+    """The sorted hashes below the fraction; the smallest if none is."""
     n = int(np.searchsorted(s, np.uint64(min(int(fraction * 2**64), 2**64 - 1)), "right"))
     return s[: max(n, min(1, len(s)))]
 
@@ -37,9 +43,9 @@ def decode(text: str) -> np.ndarray:
     return np.frombuffer(base64.b64decode(text), ">u8").astype(np.uint64)
 
 
-def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The sketch of both documents together."""
-    return np.union1d(a, b)
+def merge(a: np.ndarray, b: np.ndarray, fraction: float = FRACTION) -> np.ndarray:
+    """The sketch of both documents' shingles together. A hash above the fraction, which stands for a document with none below, goes where the other has one."""
+    return _below(np.union1d(a, b), fraction)
 
 
 def containment(a: np.ndarray, b: np.ndarray) -> float:
@@ -54,7 +60,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """documents -> the rows with a column `fingerprint`. Null and empty texts have the empty string."""
+    """documents -> the rows with a column `fingerprint`, in place of one that docs may have. Null and empty texts have the empty string."""
 
     def run(batches):
         for batch in batches:
@@ -67,19 +73,20 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def in_order(docs: DataFrame, block_bytes: int = 32 << 20) -> DataFrame:
     """documents -> doc_id, text, block, halo: dealt into blocks by descending doc_id and sorted, so that a row follows its predecessor.
 
-    Bounds of the blocks are quantiles of doc_id, as many as texts of `block_bytes` need and at least two for each shuffle partition. A doc_id (or null) that fills blocks is
+    Bounds of the blocks are quantiles of doc_id, as many as texts of `block_bytes` need and at least two for each shuffle partition, but MOST_BLOCKS at most: beyond
+    that blocks grow, which costs a task time and not memory, as rows are sorted with spilling and stream through it. A doc_id (or null) that fills blocks is
     divided by a hash of its rows' places in their files, which orders rows of one doc_id. Each block is a partition and ends with a copy of the
     first row of the block after it (of the first block, for the last one), marked as halo. So texts are shuffled once.
     """
     spark = docs.sparkSession
     docs = placed_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("_doc.*", F.coalesce("_doc.doc_id", F.lit(-(2**63))).alias("at"), F.xxhash64("_file", "_at").alias("g"))
     whole = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    count = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-whole // block_bytes))
+    count = min(MOST_BLOCKS, max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-whole // block_bytes)))
     cuts = Counter(int(x) for x in docs.agg(F.percentile_approx("at", [k / count for k in range(1, count)], 10 * count).alias("q")).first()["q"] or [])
     # A block begins at (at, g): at a quantile, and k more times inside one that several quantiles fall on.
     bounds = sorted(((at, -(2**63) + 2**64 * k // n) for at, n in cuts.items() for k in range(n)), key=lambda b: (-b[0], b[1]))
     docs = docs.withColumn("block", _passed(bounds))
-    # One row a block.
+    # One row a block, MOST_BLOCKS at most.
     heads = docs.groupBy("block").agg(F.min(F.struct(F.bitwise_not("at").alias("order"), "g")).alias("h")).orderBy("block").select("block", "h.order", "h.g").collect()
     before = spark.createDataFrame([(-h["order"] - 1, h["g"], k, (k - 1) % len(heads)) for k, h in enumerate(heads)], "at long, g long, block int, before int")
     number = spark.createDataFrame([(h["block"], k) for k, h in enumerate(heads)], "block int, n int")

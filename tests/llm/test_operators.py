@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lithoframe.llm.common import ascii_words, shingle_set
 from lithoframe.llm import fingerprints, html_extract, minhash, mixing, pii, quality_bayes, quality_rules, sentencepiece_fst, toxicity, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -246,6 +247,30 @@ def test_sketches_follow_the_similarity(spark):
     assert fingerprints.containment(a, b) > 0.98 and fingerprints.likeness(a, b) < 0.3 and (fingerprints.decode(fingerprints.encode(a)) == a).all()
 
 
+def test_sketch_of_a_union_comes_from_the_sketches():
+    """Also of texts so short that their sketch is one hash above the fraction: merging is associative, and equals the sketch of all shingles together."""
+    texts = ["", "a", "b c", "one two three four five", *(prose(k, 5 + k) for k in range(12)), prose(3, 400), prose(4, 3000)]
+    whole = [shingle_set(ascii_words(t)) for t in texts]
+    own = [fingerprints.sketch(t) for t in texts]
+    assert any(len(s) == 1 and s[0] > fingerprints.FRACTION * 2**64 for s in own)
+    for i in range(len(texts)):
+        for j in range(len(texts)):
+            both = fingerprints.merge(own[i], own[j])
+            union = np.union1d(whole[i], whole[j])
+            below = union[union <= np.uint64(2**62)]
+            assert (both == (below if len(below) else union[:1])).all()
+            assert (fingerprints.merge(both, own[-3]) == fingerprints.merge(own[i], fingerprints.merge(own[j], own[-3]))).all()
+
+
+def test_fewer_blocks_give_the_same_rows(spark, monkeypatch):
+    docs = table(spark, [(k, prose(k, 30)) for k in range(60)])
+    rows = lambda: sorted(fingerprints.edited_and_next(docs).collect())
+    many = rows()
+    for most in (2, 3):
+        monkeypatch.setattr(fingerprints, "MOST_BLOCKS", most)
+        assert rows() == many
+
+
 def test_mix_meets_its_targets(spark):
     texts = [(k, prose(k, 20 + k % 90)) for k in range(600)] + [(1000, None), (1001, "")]
     sources = [f"s{k % 7}" if k % 3 else "big" for k in range(600)] + [None, "s1"]
