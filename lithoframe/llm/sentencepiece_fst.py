@@ -6,11 +6,12 @@ at its weight. Byte fallback has an arc for each character that the lexicon lack
 that is shortest in the tropical semiring (weights add up along a path, the least sum wins) is taken.
 
 Weights of a unigram model are the pieces' negative log probabilities. For a BPE model the lattice's states are (position, last piece) and
-the weight of a piece after a piece is 0 if merging leaves just these two of their joint text, else infinite; a sequence is what merging
-gives if and only if all its neighbours are, so exactly one path is finite.
+the weight of a piece after a piece is 0 if merging leaves just these two of their joint text, else infinite, and that of a first piece is 0 if
+merging makes it at all; a sequence is what merging gives if and only if all its neighbours are, so exactly one path is finite.
 
-No piece crosses from a word to a space after it in usual models, so lattices are solved by words, and all new words of some hundred texts at once: arcs of all their
-positions come from one walk through the sorted arcs, and a step of the shortest path is taken at the same offset of all words.
+Where two characters stand side by side in no piece, no piece crosses, so the lattice falls apart there into words that are solved by themselves. All words of some hundred texts
+are cut, numbered and put together again as columns, and new ones are solved at once: arcs of all their positions come from one walk through the sorted arcs, and a step of the
+shortest path is taken at the same offset of all words.
 """
 
 from __future__ import annotations
@@ -19,9 +20,9 @@ import hashlib
 import heapq
 import re
 import struct
-from collections.abc import Iterable, Iterator
+from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -97,10 +98,16 @@ class CharMap:
 
 
 class Machine:
-    """A compiled model. Solved words are kept, `most_words` of them and as many pairs of pieces as `most_pairs`."""
+    """A compiled model. Solved words are kept, `most_words` of them and as many pairs of pieces as `most_pairs`.
+
+    Words are the bytes of their code points (UTF-32) and lead to the bytes of their ids. They are kept in two halves: when the newer one is full it
+    becomes the older one, from which words that come up again move back.
+    """
 
     #: Words up to this length are solved together, longer ones each by itself.
     TOGETHER = 48
+    #: Characters that are told apart where texts are cut; rarer ones of the pieces share one group, which only leaves words longer.
+    GROUPS = 1023
 
     def __init__(self, model: bytes, most_words: int = 150_000, most_pairs: int = 400_000):
         self.pieces: list[str] = []
@@ -140,20 +147,15 @@ class Machine:
         self.unigram, self.fallback = kind == 1, bool(fallback)
         self.user = re.compile("|".join(re.escape(p) for p in sorted(user, key=len, reverse=True))) if user else None
         self.said = [b"" if k in (CONTROL, UNUSED) else bytes([int(p[3:5], 16)]) if k == BYTE else " ⁇ ".encode() if k == UNKNOWN else p.replace(SPACE, " ").encode() for p, k in zip(self.pieces, kinds, strict=True)]
-        usual = [p for p in self.score if p not in set(user)] if kind == 2 else list(self.score)
-        self._compile(usual, set(user))
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.spoken = pa.array(self.said, pa.large_binary())
+        self._compile([p for p in self.score if p not in set(user)] if kind == 2 else list(self.score), set(user))
+        self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.pairs: dict[int, bool] = {}
         self.most_words, self.most_pairs = most_words, most_pairs
-        if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in usual):
-            self.parts = re.compile("(?s:.+)")
-        elif any("\n" in p and len(p) > 1 for p in usual):
-            self.parts = re.compile(rf"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        else:
-            self.parts = re.compile(rf"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 
     def _compile(self, pieces: list[str], user: set[str]) -> None:
-        """The lexicon's arcs, once for a look-up of one arc and once sorted for many; final states; weights."""
+        """The lexicon's arcs, once for a look-up of one arc and once sorted for many; final states; neighbours within pieces; weights."""
         self.arcs: dict[int, int] = {}
         final = [-1]
         for p in pieces:
@@ -169,6 +171,12 @@ class Machine:
         order = np.argsort(keys)
         self.arc_keys, self.arc_ends = keys[order], np.fromiter(self.arcs.values(), np.int64, len(keys))[order]
         self.final, self.finals = np.array(final, np.int64), final
+        pairs = {x for p in pieces for x in zip(p, p[1:])}
+        groups = {c: min(k, self.GROUPS) for k, (c, _) in enumerate(Counter(c for x in sorted(pairs) for c in x).most_common(), 1)}
+        self.group = np.zeros(0x110000, np.int32)
+        self.group[[ord(c) for c in groups]] = list(groups.values())
+        self.joined = np.zeros((self.GROUPS + 1) ** 2, bool)
+        self.joined[[groups[a] * (self.GROUPS + 1) + groups[b] for a, b in pairs]] = True
         scores = [s for p, s in self.score.items() if p not in user] or [0.0]
         # Fixed values of the format: what an unknown character costs, and what a user-defined piece gains.
         self.unknown_weight = -(min(scores) - 10.0)
@@ -215,12 +223,12 @@ class Machine:
         return self.pieces[symbol] if symbol < len(self.pieces) else chr(symbol - len(self.pieces))
 
     def follows(self, pair: int) -> bool:
-        """Whether the weight of a piece after a piece is finite in a BPE model."""
+        """Whether the weight of a piece after a piece is finite in a BPE model; below 0, of a piece that is first."""
         if (known := self.pairs.get(pair)) is None:
-            last, piece = self._name(pair >> 32), self._name(pair & 0xFFFFFFFF)
+            last, piece = self._name(pair >> 32) if pair >= 0 else "", self._name(pair & 0xFFFFFFFF)
             if len(self.pairs) >= self.most_pairs:
                 self.pairs.clear()
-            known = self.pairs[pair] = self.merged(last + piece) == [last, piece]
+            known = self.pairs[pair] = self.merged(last + piece) == ([last, piece] if last else [piece])
         return known
 
     def emit(self, path: list[int]) -> tuple[int, ...]:
@@ -239,9 +247,10 @@ class Machine:
         """The symbols on the shortest path through the lattice of one word, left to right."""
         n, chars = len(word), [ord(c) for c in word]
         best, last, start = [np.inf] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
-        best[0], unigram, arcs, finals, size = 0.0, self.unigram, self.arcs, self.finals, len(self.pieces)
+        best[0], last[0] = 0.0, -2
+        unigram, arcs, finals, size = self.unigram, self.arcs, self.finals, len(self.pieces)
         for i in range(n):
-            if i and last[i] < 0:
+            if last[i] == -1:
                 continue
             state, at, single = 0, i, False
             while at < n and (state := arcs.get(state << 21 | chars[at])) is not None:
@@ -252,14 +261,14 @@ class Machine:
                 if unigram:
                     if (w := best[i] + self.weights[piece]) < best[at]:
                         best[at], last[at], start[at] = w, piece, i
-                elif last[at] < 0 and (not i or self.follows(last[i] << 32 | piece)):
+                elif last[at] < 0 and self.follows(last[i] << 32 | piece):
                     last[at], start[at] = piece, i
             if not single:
                 symbol = size + chars[i]
                 if unigram:
                     if (w := best[i] + self.unknown_weight) < best[i + 1]:
                         best[i + 1], last[i + 1], start[i + 1] = w, symbol, i
-                elif last[i + 1] < 0 and (not i or self.follows(last[i] << 32 | symbol)):
+                elif last[i + 1] < 0 and self.follows(last[i] << 32 | symbol):
                     last[i + 1], start[i + 1] = symbol, i
         out, at = [], n
         while at:
@@ -267,10 +276,10 @@ class Machine:
             at = start[at]
         return out[::-1]
 
-    def shortest_paths(self, words: list[str]) -> list[list[int]]:
-        """shortest_path() of many short words, none of them empty."""
-        sizes = np.array([len(w) for w in words])
-        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    def shortest_paths(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """shortest_path() of many short words, none of them empty, one after the other, and the number of symbols of each."""
+        sizes = np.array([len(w) for w in words]) // 4
+        chars = np.frombuffer(b"".join(words), np.uint32).astype(np.int64)
         ends = np.cumsum(sizes)
         begins = ends - sizes
         place = np.arange(len(chars)) - np.repeat(begins, sizes)  # offset of each character in its word
@@ -318,61 +327,91 @@ class Machine:
                 best[dst[good]] = w[good]
             else:
                 good = (last[src] != -1) & (last[dst] == -1)
-                if o:
-                    src, dst, piece = src[good], dst[good], piece[good]
-                    pair, back = np.unique(last[src] << 32 | piece, return_inverse=True)
-                    follows, known = self.follows, self.pairs.get
-                    ok = [x if (x := known(q)) is not None else follows(q) for q in pair.tolist()]
-                    good = np.array(ok, bool)[back] if ok else np.zeros(0, bool)
+                src, dst, piece = src[good], dst[good], piece[good]
+                pair, back = np.unique(last[src] << 32 | piece, return_inverse=True)
+                follows, known = self.follows, self.pairs.get
+                ok = [x if (x := known(q)) is not None else follows(q) for q in pair.tolist()]
+                good = np.array(ok, bool)[back] if ok else np.zeros(0, bool)
             last[dst[good]], start[dst[good]] = piece[good], src[good]
         # All paths are read from their ends at once.
         at, path = ends + np.arange(len(words)), []
         while (open_ := at > first).any():
             path.append(np.where(open_, last[at], -1))
             at = np.where(open_, start[at], at)
-        table = np.array(path[::-1]).T if path else np.zeros((len(words), 0), np.int64)
-        return [[x for x in row if x >= 0] for row in table.tolist()]
-
-    def solve(self, parts: set[str]) -> None:
-        """Keep the ids of these words."""
-        new = parts.difference(self.words)
-        if len(self.words) + len(new) > self.most_words:
-            self.words.clear()
-            new = parts
-        short = [p for p in new if len(p) <= self.TOGETHER]
+        table = np.array(path[::-1]).T
+        taken = table >= 0
+        return table[taken], taken.sum(axis=1)
+
+    def solve(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of these words, which are all different."""
+        short, out = [w for w in words if len(w) <= 4 * self.TOGETHER], {}
         for at in range(0, len(short), 20_000):
             some = short[at : at + 20_000]
-            self.words.update(zip(some, map(self.emit, self.shortest_paths(some)), strict=True))
-        for p in new:
-            if len(p) > self.TOGETHER:
-                self.words[p] = self.emit(self.shortest_path(p))
+            path, sizes = self.shortest_paths(some)
+            ends = np.cumsum(sizes)
+            raw, odd = path.astype("<i4").tobytes(), np.add.reduceat(path >= len(self.pieces), ends - sizes) > 0
+            out.update((w, raw[4 * (b - n) : 4 * b]) for w, b, n in zip(some, ends.tolist(), sizes.tolist(), strict=True))
+            for k in np.flatnonzero(odd).tolist():
+                out[some[k]] = np.array(self.emit(path[ends[k] - sizes[k] : ends[k]].tolist()), "<i4").tobytes()
+        for w in words:
+            if len(w) > 4 * self.TOGETHER:
+                out[w] = np.array(self.emit(self.shortest_path(w.decode("utf-32-le", "surrogatepass"))), "<i4").tobytes()
+        return out
 
-    def encode_all(self, texts: list[str | None]) -> list[list[int]]:
+    def ids_of(self, words: list[bytes]) -> list[bytes]:
+        """The ids of these words, which are all different; new ones are solved and kept."""
+        ids = list(map(self.words.get, words))
+        missing = [w for w, i in zip(words, ids, strict=True) if i is None]
+        again = {w: self.older[w] for w in missing if w in self.older}
+        again |= self.solve([w for w in missing if w not in again])
+        if len(self.words) + len(again) > self.most_words // 2:
+            self.words, self.older = {}, self.words
+        self.words |= again
+        return [again[w] if i is None else i for w, i in zip(words, ids, strict=True)]
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; empty for null and empty texts."""
-        split, own = [], {}
-        for text in map(self.normalise, (t or "" for t in texts)):
-            if self.user and not self.unigram:  # merging stops at user-defined pieces
-                parts = [self.parts.findall(x) if k % 2 == 0 else [x] for k, x in enumerate(re.split(f"({self.user.pattern})", text))]
-                own |= {x[0]: (self.id[x[0]],) for x in parts[1::2]}
-                split.append(list(chain.from_iterable(parts)))
-            else:
-                split.append(self.parts.findall(text))
-        self.solve(set(chain.from_iterable(split)).difference(own))
-        get = (self.words | own if own else self.words).__getitem__
-        return [self._joined(map(get, s)) for s in split]
-
-    def _joined(self, ids: Iterable[tuple[int, ...]]) -> list[int]:
-        out = list(chain.from_iterable(ids))
-        if not self.fallback and self.unknown in out:  # a run of unknowns over several words is one
-            out = [x for k, x in enumerate(out) if x != self.unknown or not k or out[k - 1] != x]
-        return out
+        normal = [self.normalise(t or "") for t in texts]
+        raw, ends = "".join(normal).encode("utf-32-le", "surrogatepass"), np.cumsum([0, *map(len, normal)])
+        group = self.group[np.frombuffer(raw, np.uint32)]
+        cut = np.ones(len(group) + 1, bool)
+        cut[1:-1] = ~self.joined[group[:-1] * (self.GROUPS + 1) + group[1:]]
+        cut[ends] = True
+        own = {}
+        if self.user and not self.unigram:  # merging stops at user-defined pieces
+            for text, at in zip(normal, ends.tolist()):
+                for x in self.user.finditer(text):
+                    cut[at + x.start() + 1 : at + x.end()] = False
+                    cut[[at + x.start(), at + x.end()]] = True
+                    own[x[0].encode("utf-32-le", "surrogatepass")] = np.array([self.id[x[0]]], "<i4").tobytes()
+        places = np.flatnonzero(cut)
+        if len(places) == 1:
+            return [np.zeros(0, np.int32) for _ in texts]
+        parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(places) - 1, [None, pa.py_buffer(4 * places.astype(np.int64)), pa.py_buffer(raw)]).dictionary_encode()
+        words = parts.dictionary.to_pylist()
+        known = dict(zip(rest := [w for w in words if w not in own], self.ids_of(rest), strict=True)) | own if own else None
+        ids = pa.array([known[w] for w in words] if own else self.ids_of(words), pa.large_binary()).take(parts.indices)
+        flat, stops = np.frombuffer(ids.buffers()[2], "<i4"), np.frombuffer(ids.buffers()[1], np.int64)[np.searchsorted(places, ends)] // 4
+        if not self.fallback:  # a run of unknowns over several words is one
+            unknown = flat == self.unknown
+            keep = np.append(True, ~(unknown[1:] & unknown[:-1]))
+            keep[stops[stops < len(flat)]] = True
+            flat, stops = flat[keep], np.append(0, np.cumsum(keep))[stops]
+        return [flat[a:b] for a, b in zip(stops.tolist(), stops[1:].tolist())]
 
     def encode(self, text: str | None) -> list[int]:
-        return self.encode_all([text])[0]
+        return self.encode_all([text])[0].tolist()
+
+    def decode_all(self, ids: list[np.ndarray]) -> list[str]:
+        """The texts that these ids stand for."""
+        said = self.spoken.take(pa.array(np.concatenate(ids))) if ids else self.spoken[:0]
+        stops = np.frombuffer(said.buffers()[1], np.int64)[np.cumsum([0, *map(len, ids)])].tolist() if len(said) else [0] * (len(ids) + 1)
+        raw = memoryview(said.buffers()[2] or b"")
+        texts = [str(raw[a:b], "utf-8", "replace") for a, b in zip(stops, stops[1:])]
+        return [t[1:] if t.startswith(" ") else t for t in texts] if self.prefix else texts
 
     def decode(self, ids) -> str:
-        text = b"".join(map(self.said.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if self.prefix and text.startswith(" ") else text
+        return self.decode_all([np.array(ids, np.int64)])[0]
 
 
 def chunks(texts: list[str | None], most_rows: int = 400, most_chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
@@ -402,7 +441,7 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", out: str = "ids")
         m = machine(model)
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            ids = [np.array(i, np.int32) for a, b in chunks(texts) for i in m.encode_all(texts[a:b])]
+            ids = [i for a, b in chunks(texts) for i in m.encode_all(texts[a:b])]
             yield pa.RecordBatch.from_arrays([*batch.columns, list_array(ids, pa.int32())], [*batch.schema.names, out])
 
     return docs.mapInArrow(run, with_field(docs, out, T.ArrayType(T.IntegerType())))
@@ -420,8 +459,8 @@ def encode_checked(docs: DataFrame, model: bytes) -> DataFrame:
             every = whole.column(len(kept)).to_pylist()
             for a, b in chunks(every):
                 batch, texts = whole.slice(a, b - a), every[a:b]
-                ids = [np.array(i, np.int32) for i in m.encode_all(texts)]
-                same = [m.decode(i.tolist()) == (t or "") for i, t in zip(ids, texts, strict=True)]
+                ids = m.encode_all(texts)
+                same = [back == (t or "") for back, t in zip(m.decode_all(ids), texts, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], list_array(ids, pa.int32()), pa.array(same, pa.bool_())], [*kept, "ids", "round_trip"])
 
     return docs.select(*kept, "text").mapInArrow(run, schema)
@@ -452,9 +491,10 @@ def coded(docs: DataFrame, model: bytes) -> DataFrame:
         for batch in batches:
             rows = []
             texts = batch.column("text").to_pylist()
-            for text, ids in ((t, i) for a, b in chunks(texts) for t, i in zip(texts[a:b], m.encode_all(texts[a:b]), strict=True)):
-                back = m.decode(ids)
-                rows.append((len(ids), hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == (text or "")))
+            for a, b in chunks(texts):
+                every = m.encode_all(texts[a:b])
+                for text, ids, back in zip(texts[a:b], every, m.decode_all(every), strict=True):
+                    rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == (text or "")))
             kinds = [pa.int64(), pa.string(), pa.string(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], ["doc_id", "n_pieces", "ids_sha256", "decoded_sha256", "round_trip"])
 

@@ -217,6 +217,42 @@ def test_unigram_and_bpe_models_equal_the_library(kind, fallback, squeeze):
         assert own.encode(t) == lib.encode(t), t
 
 
+def test_words_are_cut_where_no_piece_crosses_and_solved_once():
+    pieces = [("<unk>", 0.0, 2), *((c, -9.0, 1) for c in "▁abcdefghij,.;:!"), *((p, -float(k), 1) for k, p in enumerate(["▁a", "ab", "cd", "▁ab", "ef", "gh"]))]
+    own, solved = sentencepiece_fst.Machine(model_file(pieces, 2), most_words=60), []
+    solve = own.shortest_paths
+    own.shortest_paths = lambda words: (solved.extend(words), solve(words))[1]
+    stems, ends = ["ab", "cd", "ef", "gh", "ij"], [",", ".", ";", ":", "!", ",.", ".;", ";:", ":!"]
+    own.encode_all([" ".join(s + e for s in stems for e in ends)])
+    assert len(solved) <= 15  # stems of up to two parts, a mark each; not 45 words
+    solved.clear()
+    for k in range(40):  # words that come up in each text stay, whatever comes between
+        own.encode_all(["ab, " + "".join(chr(0x4E00 + 20 * k + j) for j in range(20))])
+    assert len(solved) == len(set(solved)) == 800
+
+
+def test_rare_characters_that_share_a_group_change_no_ids(monkeypatch):
+    spm = pytest.importorskip("sentencepiece")
+    monkeypatch.setattr(sentencepiece_fst.Machine, "GROUPS", 3)
+    rng = np.random.default_rng(9)
+    names = dict.fromkeys(["▁", *"abcdefé", *("".join(rng.choice(list("▁abcdefé"), rng.integers(2, 5))) for _ in range(60))])
+    pieces = [("<unk>", 0.0, 2), *((n, -float(k) - (len(n) == 1) * 5, 1) for k, n in enumerate(names))]
+    for kind in (1, 2):
+        raw = model_file(pieces, kind)
+        lib, own = spm.SentencePieceProcessor(model_proto=raw), sentencepiece_fst.Machine(raw)
+        texts = ["".join(rng.choice(list("abcdeféz  你"), rng.integers(0, 90))) for _ in range(200)] + ["", "zz z 你你"]
+        assert [i.tolist() for i in own.encode_all(texts)] == lib.encode(texts)
+
+
+def test_pieces_that_merging_never_makes_start_no_word():
+    spm = pytest.importorskip("sentencepiece")
+    pieces = [("<unk>", 0.0, 2), *((c, -9.0, 1) for c in "▁abc"), ("▁a", -1.0, 1), ("bc", -2.0, 1), ("▁abc", -4.0, 1), ("▁baa", -3.0, 1)]
+    raw = model_file(pieces, 2)
+    lib, own = spm.SentencePieceProcessor(model_proto=raw), sentencepiece_fst.Machine(raw)
+    for t in ["baa", "baaz", "abc", "abcbaa", "baa" * 30, "b" + "a" * 60]:
+        assert own.encode(t) == lib.encode(t), t
+
+
 def test_character_map_equals_the_library():
     spm = pytest.importorskip("sentencepiece")
     if not hasattr(spm, "SentencePieceNormalizer"):
