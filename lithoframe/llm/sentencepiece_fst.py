@@ -26,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -106,6 +107,8 @@ class Machine:
 
     #: Words up to this length are solved together, longer ones each by itself.
     TOGETHER = 48
+    #: Words that are solved at once: their lattices are some kB each.
+    AT_ONCE = 6_000
     #: Characters that are told apart where texts are cut; rarer ones of the pieces share one group, which only leaves words longer.
     GROUPS = 1023
 
@@ -345,8 +348,8 @@ class Machine:
     def solve(self, words: list[bytes]) -> dict[bytes, bytes]:
         """The ids of these words, which are all different."""
         short, out = [w for w in words if len(w) <= 4 * self.TOGETHER], {}
-        for at in range(0, len(short), 20_000):
-            some = short[at : at + 20_000]
+        for at in range(0, len(short), self.AT_ONCE):
+            some = short[at : at + self.AT_ONCE]
             path, sizes = self.shortest_paths(some)
             ends = np.cumsum(sizes)
             raw, odd = path.astype("<i4").tobytes(), np.add.reduceat(path >= len(self.pieces), ends - sizes) > 0
@@ -414,16 +417,17 @@ class Machine:
         return self.decode_all([np.array(ids, np.int64)])[0]
 
 
-def chunks(texts: list[str | None], most_rows: int = 400, most_chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
-    """(from, to) of texts that are solved together."""
-    at = chars = 0
-    for k, text in enumerate(texts):
-        if k > at and (k - at >= most_rows or chars + len(text or "") > most_chars):
-            yield at, k
-            at, chars = k, 0
-        chars += len(text or "")
-    if at < len(texts):
-        yield at, len(texts)
+def chunks(batch: pa.RecordBatch, at: int, most_rows: int = 400, most_bytes: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Slices of a batch whose texts (column `at`) are solved together, and these texts. Only one slice's texts are Python strings at a time."""
+    column = batch.column(at)
+    column = column.cast(pa.string()) if pa.types.is_null(column.type) else column
+    ends, a = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy().astype(np.int64)), 0
+    while a < len(ends):
+        before = int(ends[a - 1]) if a else 0
+        b = min(max(a + 1, int(np.searchsorted(ends, before + most_bytes, "right"))), a + most_rows, len(ends))
+        part = batch.slice(a, b - a)
+        yield part, part.column(at).to_pylist()
+        a = b
 
 
 @lru_cache(2)
@@ -439,10 +443,9 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", out: str = "ids")
 
     def run(batches):
         m = machine(model)
-        for batch in batches:
-            texts = batch.column(at).to_pylist()
-            ids = [i for a, b in chunks(texts) for i in m.encode_all(texts[a:b])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, list_array(ids, pa.int32())], [*batch.schema.names, out])
+        for whole in batches:
+            for batch, texts in chunks(whole, at):
+                yield pa.RecordBatch.from_arrays([*batch.columns, list_array(m.encode_all(texts), pa.int32())], [*batch.schema.names, out])
 
     return docs.mapInArrow(run, with_field(docs, out, T.ArrayType(T.IntegerType())))
 
@@ -456,9 +459,7 @@ def encode_checked(docs: DataFrame, model: bytes) -> DataFrame:
     def run(batches):
         m = machine(model)
         for whole in batches:
-            every = whole.column(len(kept)).to_pylist()
-            for a, b in chunks(every):
-                batch, texts = whole.slice(a, b - a), every[a:b]
+            for batch, texts in chunks(whole, len(kept)):
                 ids = m.encode_all(texts)
                 same = [back == (t or "") for back, t in zip(m.decode_all(ids), texts, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], list_array(ids, pa.int32()), pa.array(same, pa.bool_())], [*kept, "ids", "round_trip"])
@@ -488,14 +489,12 @@ def coded(docs: DataFrame, model: bytes) -> DataFrame:
 
     def run(batches):
         m = machine(model)
-        for batch in batches:
-            rows = []
-            texts = batch.column("text").to_pylist()
-            for a, b in chunks(texts):
-                every = m.encode_all(texts[a:b])
-                for text, ids, back in zip(texts[a:b], every, m.decode_all(every), strict=True):
+        for whole in batches:
+            for batch, texts in chunks(whole, 1):
+                every, rows = m.encode_all(texts), []
+                for text, ids, back in zip(texts, every, m.decode_all(every), strict=True):
                     rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == (text or "")))
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], ["doc_id", "n_pieces", "ids_sha256", "decoded_sha256", "round_trip"])
+                kinds = [pa.int64(), pa.string(), pa.string(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], ["doc_id", "n_pieces", "ids_sha256", "decoded_sha256", "round_trip"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_pieces long, ids_sha256 string, decoded_sha256 string, round_trip boolean")

@@ -4,9 +4,11 @@ import hashlib
 import re
 import time
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -231,6 +233,30 @@ def test_words_are_cut_where_no_piece_crosses_and_solved_once():
     assert len(solved) == len(set(solved)) == 800
 
 
+def test_a_batch_is_encoded_in_slices_whose_texts_alone_are_python_strings(spark, monkeypatch):
+    docs, seen = table(spark, ODD).select("doc_id", "text"), []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: seen.append(run) or self)
+    raw = model_file([("<unk>", 0.0, 2), *((c, -9.0, 1) for c in "▁ab")], 2)
+    sentencepiece_fst.encode_checked(docs, raw)
+    texts = [None, "", "a" * 1_500_000, *(f"{'ab ' * 1_000}{k}" for k in range(10_000)), None]
+    batch, n = pa.record_batch({"doc_id": range(len(texts)), "text": texts}), len(texts)
+    own = sentencepiece_fst.machine(raw)
+    monkeypatch.setattr(own, "encode_all", lambda texts: [np.array([len(t or "")], np.int32) for t in texts])
+    monkeypatch.setattr(own, "decode_all", lambda ids: [""] * len(ids))
+    sizes = [len(t or "") for t in texts]
+    del texts
+    got, most = [], 0
+    tracemalloc.start()
+    for part in seen[0](iter([batch, batch.slice(0, 0), batch.slice(n - 1)])):
+        got.append(part)
+        most = max(most, part.num_rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    got = pa.Table.from_batches(got)
+    assert got.column("doc_id").to_pylist() == [*range(n), n - 1] and [x[0] for x in got.column("ids").to_pylist()] == [*sizes, 0]
+    assert most <= 400 and peak < 10_000_000  # the texts are 32 MB
+
+
 def test_rare_characters_that_share_a_group_change_no_ids(monkeypatch):
     spm = pytest.importorskip("sentencepiece")
     monkeypatch.setattr(sentencepiece_fst.Machine, "GROUPS", 3)

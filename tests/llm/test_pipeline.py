@@ -3,6 +3,7 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from test_operators import plain_spans, prose, table
@@ -47,3 +48,27 @@ def test_an_empty_table_runs_through(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
     table(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_whole_texts_go_to_python_in_small_batches(spark, tmp_path, monkeypatch):
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    monkeypatch.setattr(corpus_pipeline, "piece_model", lambda: b"")
+    for module, name in ((corpus_pipeline.quality_rules, "drop_low_quality"), (corpus_pipeline.minhash, "deduplicate"), (corpus_pipeline.sentencepiece_fst, "encode_checked")):
+        monkeypatch.setattr(module, name, lambda docs, *a: seen.append(spark.conf.get(key)) or docs.withColumn("ids", F.array(F.lit(1))))
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    table(spark, [(1, "a")]).write.parquet(f"{tmp_path}/documents.parquet")
+    docs, was = spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.conf.get(key)
+    steps = [("q", corpus_pipeline.quality), ("d", corpus_pipeline.deduplicate), ("e", corpus_pipeline.encode)]
+    try:
+        for rows, most in (("10000", "2000"), ("0", "2000"), ("50", "50")):  # 0: no limit
+            for _, step in steps:
+                spark.conf.set(key, rows)
+                step(spark, docs, str(tmp_path))
+            assert seen == [most] * 3
+            seen.clear()
+        spark.conf.set(key, "10000")
+        monkeypatch.setattr(corpus_pipeline, "STAGES", steps)
+        assert corpus_pipeline.run(spark, str(tmp_path)).count() == 1
+        assert spark.conf.get(key) == "10000" and seen == ["2000"] * 3
+    finally:
+        spark.conf.set(key, was)
