@@ -7,30 +7,95 @@ multiplicity, and the counts of two sources meet once for each node and ancestor
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithoframe.llm.common import small_side, stage
 
 C = F.col
-#: What does not belong to a term: ASCII other than letters.
-BREAK = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: What becomes of a byte of a text: A-Z are lower-cased, 0 stands for what does not belong to a term (ASCII other than letters).
+_KEPT = np.array([k + 32 if 65 <= k <= 90 else k if k >= 128 or 97 <= k <= 122 else 0 for k in range(256)], np.uint8)
+#: Most rows and bytes of text that are counted at once: so many rows, languages and terms multiply to less than 63 bits.
+_ROWS, _BYTES = 1 << 16, 1 << 24
 #: A cell of a row is a long: the source's number above, its count in the lower bits (17 million million occurrences).
 _BITS = 44
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n, docs: how often a term occurs in the documents of a group, and in how many of them. Null columns read as ''.
-
-    A document gives a row for each occurrence and one more for each of its terms; both are added up before anything is shuffled.
+def _heads(keys: np.ndarray) -> np.ndarray:
+    """Where a new value begins in sorted keys."""
+    return np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+
+
+def split_terms(texts: pa.Array) -> tuple[pa.StringArray, np.ndarray]:
+    """The terms of all texts (none is null) in order, A-Z lower-cased, and how many each text has. UTF-8 has no ASCII byte inside other characters, so bytes are looked at alone."""
+    texts = texts.cast(pa.large_binary())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    if ends[0] == ends[-1]:
+        return pa.array([], pa.string()), np.zeros(len(texts), np.int64)
+    data = _KEPT[np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]]]
+    ends = ends - ends[0]
+    inside = data != 0
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    edges = ends[:-1][ends[:-1] < len(data)]
+    begins[edges] = inside[edges]  # a term doesn't go on from one text into the next
+    stops = inside.copy()
+    stops[:-1] &= ~inside[1:] | begins[1:]
+    starts = np.flatnonzero(begins)
+    places = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(np.flatnonzero(stops) + 1 - starts, out=places[1:])
+    terms = pa.StringArray.from_buffers(len(starts), pa.py_buffer(places), pa.py_buffer(data[inside]))
+    return terms, np.diff(np.searchsorted(starts, ends))
+
+
+def _counted(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows lang, at, text -> lang, term, docs, cells: a term of a language, the number of the rows that hold it, and a cell for each source with its occurrences, in order."""
+    terms, lengths = split_terms(batch["text"])
+    coded, langs = terms.dictionary_encode(), batch["lang"].dictionary_encode()
+    ats, at_of = np.unique(batch["at"].to_numpy(), return_inverse=True)
+    n_terms, n_docs, n_ats = max(1, len(coded.dictionary)), max(1, len(lengths)), max(1, len(ats))
+    spread = lambda of_doc: np.repeat(of_doc, lengths)
+    which = spread(langs.indices.to_numpy().astype(np.int64)) * n_terms + coded.indices.to_numpy()
+
+    keys = np.sort(which * n_docs + spread(np.arange(len(lengths))))
+    held = keys[_heads(keys)] // n_docs
+    docs = np.diff(np.append(_heads(held), len(held)))
+
+    keys = np.sort(which * n_ats + spread(at_of))
+    heads = _heads(keys)
+    times, keys = np.diff(np.append(heads, len(keys))), keys[heads]
+    cells, which = (ats[keys % n_ats] << _BITS) + times, keys // n_ats
+    heads = _heads(which)
+    which = which[heads]
+    lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(cells)), pa.int32()), pa.array(cells, pa.int64()))
+    return pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(which // n_terms)), coded.dictionary.take(pa.array(which % n_terms)), pa.array(docs, pa.int64()), lists], ["lang", "term", "docs", "cells"])
+
+
+def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each batch counted in slices of _ROWS rows and about _BYTES of text at most; a longer text is a slice of its own."""
+    for batch in batches:
+        sizes, at = pc.binary_length(batch["text"]).to_numpy(), 0
+        ends = np.cumsum(sizes, dtype=np.int64)
+        while at < len(sizes):
+            most = (ends[at - 1] if at else 0) + _BYTES
+            end = min(max(at + 1, int(np.searchsorted(ends, most, "right"))), at + _ROWS)
+            yield _counted(batch.slice(at, end - at))
+            at = end
+
+
+def term_counts(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """lang, term, docs, cells: the terms of slices of documents, in how many documents of the slice each is, and its cells, one a source. Null columns read as ''. A term has a row for each slice that holds it.
+
+    groups are numbered_groups(docs), staged.
     """
-    said = lambda k: F.coalesce(C(k).cast("string"), F.lit(""))
-    words = F.filter(F.split(F.translate(said("text"), _UPPER, _LOWER), BREAK), lambda w: w != "")
-    rows = docs.select(said("lang").alias("lang"), said("source").alias("source"), words.alias("words"))
-    marked = lambda w, first: F.transform(w, lambda v: F.struct(v.alias("term"), F.lit(first).alias("first")))
-    rows = rows.select("lang", "source", F.explode(F.concat(marked(C("words"), 0), marked(F.array_distinct("words"), 1))).alias("w"))
-    return rows.groupBy("lang", "source", "w.term").agg(F.count_if(C("w.first") == 0).alias("n"), F.sum("w.first").cast("long").alias("docs"))
+    said = lambda k: F.coalesce(C(k).cast("string"), F.lit("")).alias(k)
+    rows = docs.select(said("lang"), said("source"), said("text")).join(small_side(groups), ["lang", "source"])
+    return rows.select("lang", "at", "text").mapInArrow(_count_batches, "lang string, term string, docs long, cells array<long>")
 
 
 def numbered_groups(docs: DataFrame) -> DataFrame:
@@ -41,10 +106,13 @@ def numbered_groups(docs: DataFrame) -> DataFrame:
     return docs.select(said("lang"), said("source")).distinct().withColumn("at", F.when(at < limit, at).otherwise(F.raise_error(f"a language has more than {limit:,} sources")))
 
 
-def term_rows(counts: DataFrame, groups: DataFrame, least_docs: int = 3) -> DataFrame:
-    """lang, term, total, row of the terms in at least `least_docs` documents of their language; row is an array of cells in the order of sources."""
+def term_rows(counts: DataFrame, least_docs: int = 3) -> DataFrame:
+    """lang, term, total, row of the terms in at least `least_docs` documents of their language; row is an array of cells in the order of sources. All that counts say of a term meets in one exchange."""
+    cells = counts.repartition("lang", "term").select("lang", "term", "docs", F.posexplode("cells").alias("k", "cell"))
+    cells = cells.select("lang", "term", at(C("cell")).alias("at"), count(C("cell")).alias("n"), F.when(C("k") == 0, C("docs")).otherwise(0).alias("docs"))
+    found = cells.groupBy("lang", "term", "at").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     cell = F.shiftleft(C("at"), _BITS) + C("n")
-    found = counts.join(small_side(groups), ["lang", "source"]).groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.array_sort(F.collect_list(cell)).alias("row"))
+    found = found.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.array_sort(F.collect_list(cell)).alias("row"))
     return found.filter(C("docs") >= least_docs).drop("docs")
 
 
@@ -120,7 +188,7 @@ def audit(docs: DataFrame, least_docs: int = 3, most_terms: int = 200) -> DataFr
     is split in memory, however long it is.
     """
     numbered = stage(numbered_groups(docs), "groups")
-    terms = stage(term_rows(term_counts(docs), numbered, least_docs), "terms")
+    terms = stage(term_rows(term_counts(docs, numbered), least_docs), "terms")
     cells = terms.select("lang", "term", "total", F.explode("row").alias("cell")).select("lang", "term", "total", at(C("cell")).alias("at"), count(C("cell")).alias("n"))
     used = cells.groupBy("lang", "at").agg(F.sum("n").alias("total"))
     kept = terms.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("total").alias("lang_total"))

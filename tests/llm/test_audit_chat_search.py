@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -69,6 +70,56 @@ def test_audit_matches_brute_force(spark):
     assert sorted(map(tuple, few.collect())) == audited(rows, most=2)
 
 
+TEXTS = st.lists(st.text(alphabet=st.sampled_from("aZz09 -\x00\n\x7f@[`{éÉ日\u00a0\u2028😀"), max_size=12), max_size=8)
+
+
+@settings(max_examples=300, deadline=None)
+@given(TEXTS, st.integers(0, 3))
+def test_terms_of_bytes_are_those_of_the_pattern(texts, skipped):
+    terms, lengths = source_audit.split_terms(pa.array(["skipped"] * skipped + texts, pa.string()).slice(skipped))
+    want = [re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", t.translate(LOWER)) for t in texts]
+    assert terms.to_pylist() == [w for found in want for w in found]
+    assert lengths.tolist() == [len(found) for found in want]
+
+
+@pytest.mark.parametrize(("rows", "size"), [(1 << 16, 1 << 24), (1, 1 << 24), (7, 50), (1 << 16, 0)])
+def test_slices_of_a_batch_count_each_document_once(monkeypatch, rows, size):
+    monkeypatch.setattr(source_audit, "_ROWS", rows)
+    monkeypatch.setattr(source_audit, "_BYTES", size)
+    docs = [(lang or "", len(source or "") % 3, text or "") for _, text, lang, source in odd_documents()]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*docs, strict=True)], ["lang", "at", "text"])
+    held, times = Counter(), Counter()
+    for part in source_audit._count_batches([batch]):
+        assert part.num_rows == len({(r["lang"], r["term"]) for r in part.to_pylist()})
+        for r in part.to_pylist():
+            assert r["cells"] == sorted(r["cells"])
+            held[r["lang"], r["term"]] += r["docs"]
+            for cell in r["cells"]:
+                times[r["lang"], r["term"], cell >> source_audit._BITS] += cell & ((1 << source_audit._BITS) - 1)
+    want_held, want_times = Counter(), Counter()
+    for lang, at, text in docs:
+        words = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", text.translate(LOWER))
+        want_held.update((lang, w) for w in set(words))
+        want_times.update((lang, w, at) for w in words)
+    assert held == want_held
+    assert times == want_times
+
+
+def test_a_term_is_one_row_for_all_its_sources_and_occurrences(spark):
+    docs = documents(spark, odd_documents()).coalesce(1)
+    plan = source_audit.term_counts(docs, source_audit.numbered_groups(docs).cache())
+    words = {(lang or "", w) for _, text, lang, _ in odd_documents() for w in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", (text or "").translate(LOWER))}
+    assert plan.count() == len(words)
+    # No row for an occurrence is made before the terms meet.
+    assert "Generate" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_documents_in_many_partitions_give_the_same_audit(spark):
+    rows = odd_documents(3)
+    got = source_audit.audit(documents(spark, rows).repartition(9))
+    assert sorted(map(tuple, got.collect())) == audited(rows)
+
+
 def test_the_tree_counts_shared_beginnings_once(spark):
     rows = spark.createDataFrame([("en", [1, 2, 3]), ("en", [1, 2, 3]), ("en", [1, 2]), ("en", [1, 4]), ("de", [1])], "lang string, row array<long>")
     got = {(r.lang, tuple(r.path)): r.times for r in source_audit.pattern_tree(rows).collect()}
