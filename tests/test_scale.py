@@ -16,6 +16,7 @@ def plan(df):
 
 @pytest.mark.parametrize("name", [
     "hole_ring_walls",
+    "backdrop_colors",
     "border_samples",
 ])
 def test_lines_are_not_taken_apart_into_pixels(spark, name):
