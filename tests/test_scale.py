@@ -18,6 +18,7 @@ def plan(df):
     "hole_ring_walls",
     "backdrop_colors",
     "border_samples",
+    "extracted_palette",
 ])
 def test_lines_are_not_taken_apart_into_pixels(spark, name):
     said = plan(queries.queries()[name](spark, TABLES))
