@@ -35,6 +35,7 @@ def test_rasters_are_dealt_out_before_they_are_drawn(spark):
     "snapped_palette",
     "automatic_merges",
     "disabled_slots",
+    "merge_suggestions",
     "resolved_palette",
 ])
 def test_slots_are_not_broadcast_nor_handed_over_image_by_image(spark, name):
