@@ -36,6 +36,7 @@ def test_rasters_are_dealt_out_before_they_are_drawn(spark):
     "automatic_merges",
     "disabled_slots",
     "merge_suggestions",
+    "merged_palette",
     "resolved_palette",
 ])
 def test_slots_are_not_broadcast_nor_handed_over_image_by_image(spark, name):
