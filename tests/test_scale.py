@@ -37,6 +37,7 @@ def test_rasters_are_dealt_out_before_they_are_drawn(spark):
     "disabled_slots",
     "merge_suggestions",
     "merged_palette",
+    "slot_usage",
     "resolved_palette",
 ])
 def test_slots_are_not_broadcast_nor_handed_over_image_by_image(spark, name):
