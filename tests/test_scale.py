@@ -18,6 +18,7 @@ def plan(df):
     "hole_ring_walls",
     "backdrop_colors",
     "border_samples",
+    "refined_palette",
     "extracted_palette",
 ])
 def test_lines_are_not_taken_apart_into_pixels(spark, name):
@@ -38,6 +39,7 @@ def test_rasters_are_dealt_out_before_they_are_drawn(spark):
     "merge_suggestions",
     "merged_palette",
     "slot_usage",
+    "refined_palette",
     "resolved_palette",
 ])
 def test_slots_are_not_broadcast_nor_handed_over_image_by_image(spark, name):
