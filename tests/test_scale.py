@@ -19,6 +19,7 @@ def plan(df):
     "backdrop_colors",
     "border_samples",
     "refined_palette",
+    "merged_labels",
     "extracted_palette",
 ])
 def test_lines_are_not_taken_apart_into_pixels(spark, name):
