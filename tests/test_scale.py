@@ -42,6 +42,7 @@ def test_rasters_are_dealt_out_before_they_are_drawn(spark):
     "slot_usage",
     "refined_palette",
     "resolved_palette",
+    "merge_map",
 ])
 def test_slots_are_not_broadcast_nor_handed_over_image_by_image(spark, name):
     said = plan(queries.queries()[name](spark, TABLES))
