@@ -20,6 +20,7 @@ def plan(df):
     "border_samples",
     "refined_palette",
     "merged_labels",
+    "posterized",
     "extracted_palette",
 ])
 def test_lines_are_not_taken_apart_into_pixels(spark, name):
