@@ -21,6 +21,7 @@ def plan(df):
     "refined_palette",
     "merged_labels",
     "posterized",
+    "plain_nearest_slots",
     "extracted_palette",
 ])
 def test_lines_are_not_taken_apart_into_pixels(spark, name):
