@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lithoframe.operators.components import mark_exterior, touching_frame, with_regions
-from lithoframe.operators.grid import by_image
-from lithoframe.operators.match import snap_cells_to_palette
-from lithoframe.operators.morph import close_mask
-from lithoframe.staging import stage
+from lithoframe.operators.packed import Lines, channels, components, dilated, eroded, map_lines, pack_color, pack_rows, snapped, touching_frame, unpack_rows, with_slots
 
 C = F.col
 
@@ -28,14 +25,71 @@ def cell_counts(dominant: DataFrame) -> DataFrame:
     return dominant.groupBy("image_id").agg(F.count("*").alias("cell_count"), F.count_if(C("colours") > 1).alias("cells_fixed"))
 
 
-def flood_dominant_cells(pixels: DataFrame, palette: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """pixels with ink -> (pixels with label, dominant colours of the cells). A cell is a component of what is neither ink nor exterior; all of it, clear pixels too, takes its main colour."""
-    rows = by_image(mark_exterior(by_image(pixels)))
-    rows = with_regions(rows.withColumn("_in", F.when(~C("ink") & ~C("exterior"), 1)), "_in", "cell").drop("_in", "cell_area")
-    snapped = stage(snap_cells_to_palette(rows, palette), "cells")
-    best = dominant_cell_color(snapped.select("image_id", "cell", "label", "a"))
-    out = snapped.drop("label").join(best.select("image_id", "cell", "label"), ["image_id", "cell"], "left")
-    return out, best
+def flooded(lines: Lines, label: np.ndarray, ink: np.ndarray, alpha: np.ndarray, least_share: float = 0.04) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(label, cell_count, cells_fixed) of whole images: each place's cell takes its main colour, as in dominant_cell_color(); the counts are by image. A cell is a component of what is neither ink nor exterior; all of it, clear places too, takes its main colour."""
+    cell = components(lines, np.where(ink | touching_frame(lines, (alpha <= 96) & ~ink), -1, 0))
+    at = np.nonzero((cell >= 0) & (alpha > 96) & (label >= 0))[0]
+    wide, cells_ = int(label.max(initial=0)) + 1, int(cell.max(initial=-1)) + 1
+    keys, n = np.unique(cell[at] * wide + label[at], return_counts=True)
+    part, colour = np.divmod(keys, wide)
+    fit = n / np.bincount(part, n, cells_)[part] >= least_share
+    part, colour, n = part[fit], colour[fit], n[fit]
+    order = np.lexsort((-colour, n, part))  # the best of a cell comes last
+    best, colours = np.full(cells_ + 1, -1), np.bincount(part, minlength=cells_)
+    best[part[order]] = colour[order]
+    image, first = np.concatenate([[0], np.cumsum(lines.image_id[1:] != lines.image_id[:-1])]), np.unique(cell, return_index=True)[1][-cells_ or len(cell) + 1 :]
+    of = image[lines.line[first]]
+    count = lambda v: np.bincount(of, v, int(image[-1]) + 1).astype(np.int64)
+    return best[cell].astype(np.int32), count(colours > 0), count(colours > 1)
+
+
+def filled(lines: Lines, label: np.ndarray, ink: np.ndarray, alpha: np.ndarray) -> np.ndarray:
+    """Labels of whole images with unlabelled pockets inside the subject labelled. The subject, closed by 4 px, bounds what is outside; only images with pockets reach the ordered helper."""
+    subject = ink | (label >= 0) | (alpha > 96)
+    closed = eroded(lines, dilated(lines, subject, 4.0), 4.0)
+    hole = components(lines, np.where((label < 0) & ~ink & ~touching_frame(lines, ~closed), 0, -1))
+    new = label.copy()
+    first = np.nonzero(np.append(True, lines.image_id[1:] != lines.image_id[:-1]))[0]
+    ends = lines.ends[np.append(first, len(lines.y))]
+    for k in np.unique(np.searchsorted(ends, np.nonzero(hole >= 0)[0], "right") - 1).tolist():
+        own, shape = np.s_[ends[k] : ends[k + 1]], (-1, int(lines.w[first[k]]))
+        mine = hole[own].reshape(shape)
+        new[own] = np.where(mine < 0, label[own].reshape(shape), _fill(label[own].reshape(shape), ink[own].reshape(shape), mine + 1)).reshape(-1)
+    return new
+
+
+def snapped_labels(lines: Lines) -> np.ndarray:
+    """The nearest slot of each place's colour; without a palette, the rank of its 12-step colour bin within its image."""
+    if "_palette" in lines.extra:
+        return snapped(lines)
+    image = np.concatenate([[0], np.cumsum(lines.image_id[1:] != lines.image_id[:-1])])[lines.line].astype(np.int64)
+    r, g, b, _a = channels(lines.values["px"])
+    keys, back = np.unique(((image * 22 + r // 12) * 22 + g // 12) * 22 + b // 12, return_inverse=True)
+    first = np.searchsorted(keys, np.arange(int(image[-1]) + 1) * 22**3)
+    return (back - first[image]).astype(np.int32)
+
+
+def map_cells(rows: DataFrame, palette: DataFrame | None, f: Callable[..., tuple[np.ndarray, ...]], extra: list[str] | None = None) -> DataFrame:
+    """Rows with px and ink -> with label and, by image, cell_count and cells_fixed (null where no cell has a colour); f(lines, labels snapped to the palette, ink, alpha) gives these. `extra` as in packed.map_lines()."""
+
+    def run(lines: Lines) -> dict[str, np.ndarray]:
+        ink, alpha = lines.values["ink"].astype(bool), channels(lines.values["px"])[3]
+        label, count, fixed = f(lines, snapped_labels(lines), ink, alpha)
+        image = np.concatenate([[0], np.cumsum(lines.image_id[1:] != lines.image_id[:-1])])
+        return {"label": label, **{k: np.where(count > 0, v, -1)[image] for k, v in (("cell_count", count), ("cells_fixed", fixed))}}
+
+    rows = rows if palette is None else with_slots(rows, palette, ["idx", "r", "g", "b"])
+    return map_lines(rows, run, ["px", "ink"], {"label": "int", "cell_count": "by line", "cells_fixed": "by line"}, keep=[], extra=[*(extra or []), *([] if palette is None else ["_palette"])])
+
+
+def flood_dominant_cells(rows: DataFrame, palette: DataFrame | None = None) -> DataFrame:
+    """Rows with px and ink -> rows with label, cell_count and cells_fixed, as flooded() finds them."""
+    return map_cells(rows, palette, flooded)
+
+
+def counts_of(rows: DataFrame) -> DataFrame:
+    """image_id, cell_count, cells_fixed of map_cells()' rows, for images with coloured cells."""
+    return rows.groupBy("image_id").agg(*(F.first(k).alias(k) for k in ("cell_count", "cells_fixed"))).filter("cell_count is not null")
 
 
 def _fill(labels: np.ndarray, ink: np.ndarray, hole: np.ndarray) -> np.ndarray:
@@ -66,28 +120,11 @@ def _fill(labels: np.ndarray, ink: np.ndarray, hole: np.ndarray) -> np.ndarray:
 
 
 def fill_enclosed(pixels: DataFrame) -> DataFrame:
-    """pixels(a, ink, label) with unlabelled pockets inside the subject labelled. The subject, closed by 4 px, bounds what is outside; only images with pockets reach the ordered helper."""
-    kept = [c for c in pixels.columns if c != "label"]
-    subject = C("ink") | C("label").isNotNull() | (C("a") > 96)
-    rows = by_image(pixels).withColumns({"_ink": C("ink"), "ink": subject})
-    rows = close_mask(rows, 4.0).withColumn("_free", ~C("ink")).withColumn("ink", C("_ink")).drop("_ink")
-    rows = touching_frame(rows, "_free", "_out")
-    rows = with_regions(by_image(rows.withColumn("_pocket", F.when(C("label").isNull() & ~C("ink") & ~C("_out"), 1))), "_pocket", "_hole")
-    rows = stage(rows, "pockets")
-    with_holes = rows.filter("_hole is not null").select("image_id").distinct()
-    work = rows.join(with_holes, "image_id", "left_semi").select("image_id", "w", "h", "x", "y", "ink", "label", "_hole")
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        shape = (int(frame["h"].iloc[0]), int(frame["w"].iloc[0]))
-        y, x = frame["y"].to_numpy(), frame["x"].to_numpy()
-        grid = {k: np.full(shape, v, d) for k, v, d in (("label", -1, int), ("ink", False, bool), ("hole", 0, int))}
-        grid["label"][y, x] = frame["label"].fillna(-1).astype(int)
-        grid["ink"][y, x] = frame["ink"]
-        grid["hole"][y, x] = frame["_hole"].fillna(-1).astype(int) + 1
-        new = _fill(grid["label"], grid["ink"], grid["hole"])[y, x]
-        hit = (frame["_hole"].notna() & (new >= 0)).to_numpy()
-        return pd.DataFrame({"image_id": frame["image_id"], "x": x, "y": y, "_new": new})[hit]
-
-    new = work.groupBy("image_id").applyInPandas(one, "image_id long, x int, y int, _new int")
-    out = rows.join(new, ["image_id", "x", "y"], "left")
-    return out.select(*kept, F.coalesce("label", "_new").cast("int").alias("label"))
+    """A pixel table (a, ink, label) with unlabelled pockets inside the subject labelled, as filled() does."""
+    rows = pack_rows(pixels, {"px": pack_color(F.lit(0), F.lit(0), F.lit(0), C("a")), "ink": C("ink"), "label": C("label")})
+
+    def run(lines: Lines) -> dict[str, np.ndarray]:
+        return {"label": filled(lines, lines.values["label"], lines.values["ink"].astype(bool), channels(lines.values["px"])[3])}
+
+    out = unpack_rows(map_lines(rows, run, ["px", "ink", "label"], {"label": "int"}, keep=["px", "ink"]), ["px", "ink", "label"])
+    return out.select("image_id", "w", "h", "x", "y", "a", "ink", "label")

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from lithoframe.plans import queries
+from lithoframe.plans import jobs, queries
 from lithoframe.sources import fixtures
 
 TABLES = "/root/testdata/sf0.001"
@@ -23,6 +23,7 @@ def plan(df):
     "posterized",
     "plain_nearest_slots",
     "extracted_palette",
+    "dominant_cells",
 ])
 def test_lines_are_not_taken_apart_into_pixels(spark, name):
     said = plan(queries.queries()[name](spark, TABLES))
@@ -52,3 +53,9 @@ def test_slots_are_not_broadcast_nor_handed_over_image_by_image(spark, name):
     # The chart alone may be broadcast.
     assert said.count("+- BroadcastExchange") <= (name == "resolved_palette")
     assert "array_min(transform(array(named_struct" not in said
+
+
+def test_outlines_are_drawn_without_windows_over_runs(spark):
+    # dual_outputs_job
+    said = plan(jobs.outline_plates(queries._ink_rows(spark, TABLES)))
+    assert "Window" not in said and said.count("MapInArrow") >= 2
