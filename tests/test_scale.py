@@ -24,6 +24,7 @@ def plan(df):
     "plain_nearest_slots",
     "extracted_palette",
     "dominant_cells",
+    "pockets_filled",
 ])
 def test_lines_are_not_taken_apart_into_pixels(spark, name):
     said = plan(queries.queries()[name](spark, TABLES))
