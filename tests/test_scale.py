@@ -25,6 +25,7 @@ def plan(df):
     "extracted_palette",
     "dominant_cells",
     "pockets_filled",
+    "plate_metrics",
 ])
 def test_lines_are_not_taken_apart_into_pixels(spark, name):
     said = plan(queries.queries()[name](spark, TABLES))
