@@ -26,6 +26,7 @@ def plan(df):
     "dominant_cells",
     "pockets_filled",
     "plate_metrics",
+    "stacked_proofs",
 ])
 def test_lines_are_not_taken_apart_into_pixels(spark, name):
     said = plan(queries.queries()[name](spark, TABLES))
