@@ -52,6 +52,7 @@ def test_rasters_are_dealt_out_before_they_are_drawn(spark):
     "cleanup_job",
     "cleanup_proof_job",
     "vector_summary",
+    "remerge_job",
 ])
 def test_slots_are_not_broadcast_nor_handed_over_image_by_image(spark, name):
     said = plan(queries.queries()[name](spark, TABLES))
