@@ -3,7 +3,9 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from lithoframe.operators import packed, plates, svg
 from lithoframe.plans import jobs, queries
 from lithoframe.sources import fixtures
 
@@ -27,11 +29,12 @@ def plan(df):
     "pockets_filled",
     "plate_metrics",
     "stacked_proofs",
+    "wall_polylines",
 ])
 def test_lines_are_not_taken_apart_into_pixels(spark, name):
     said = plan(queries.queries()[name](spark, TABLES))
     assert "posexplode" not in said and ("Window" not in said or name == "merged_labels")
-    assert not re.search(r"explode\(sequence\(0, \(w#", said)
+    assert "FlatMapGroupsInPandas" not in said and not re.search(r"explode\(sequence\(0, \(w#", said)
 
 
 def test_rasters_are_dealt_out_before_they_are_drawn(spark):
@@ -66,3 +69,12 @@ def test_outlines_are_drawn_without_windows_over_runs(spark):
     # dual_outputs_job
     said = plan(jobs.outline_plates(queries._ink_rows(spark, TABLES)))
     assert "Window" not in said and said.count("MapInArrow") >= 2
+
+
+def test_walls_of_many_images_equal_those_stitched_one_by_one(spark):
+    rows = queries._label_rows(spark, TABLES)
+    for smoothness, epsilon in ((0, 0.3), (1, 0.8), (2, 1.2)):
+        lines = svg.process_contour(svg.stitch_polylines(packed.metal_segments(rows)), smoothness, epsilon)
+        want = lines.select("image_id", "line", svg.path_to_svg(F.col("points"), False).alias("d"))
+        got = plates.wall_paths(rows, smoothness, epsilon)
+        assert want.exceptAll(got).isEmpty() and got.exceptAll(want).isEmpty()
