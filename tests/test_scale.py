@@ -78,3 +78,19 @@ def test_walls_of_many_images_equal_those_stitched_one_by_one(spark):
         want = lines.select("image_id", "line", svg.path_to_svg(F.col("points"), False).alias("d"))
         got = plates.wall_paths(rows, smoothness, epsilon)
         assert want.exceptAll(got).isEmpty() and got.exceptAll(want).isEmpty()
+
+
+def test_pins_are_made_at_their_whole_size(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(jobs, "pin_plate", lambda *_args, **options: seen.update(options) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        queries.pin_plate_job(spark, TABLES)
+    assert "cap" not in seen
+
+
+def test_pin_rasters_are_neither_shuffled_nor_taken_apart(spark):
+    images = fixtures.images(spark, TABLES).filter("image_id < 3")
+    out, used = jobs.pin_plate(fixtures.rows(spark, TABLES), images)
+    assert out.count() == images.count() and used.count() > 0
+    # What is drawn has been staged by one pass: no walls, rims or fills of it are gathered afterwards.
+    assert "Exchange" not in plan(out) and "Exchange" not in plan(used)
