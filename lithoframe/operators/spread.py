@@ -1,28 +1,73 @@
 """Connected components for images of any size: no step holds an image, or a component, in one task.
 
-Runs of one key in neighbouring lines touch if their intervals overlap; that join is dealt by line and by tiles of x. Components then grow by rounds in which
-each part hooks to its least neighbour, chains of hooks are halved until all point to their ends, and links within a part go. Rounds are written tables, so
-plans stay short and lost executors lose nothing.
+Runs are cut at tiles of x and united within blocks of tiles and lines. Parts of neighbouring blocks touch where a run was cut or where pieces of one key overlap;
+that join is dealt by line and tile. Components then grow by rounds in which each part hooks to its least neighbour, chains of hooks are halved until all point to
+their ends, and links within a part go. Rounds are written tables, so plans stay short and lost executors lose nothing.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lithoframe.operators.components import unite
+from lithoframe.operators.packed import whole_images
 from lithoframe.staging import Scratch
 
 C = F.col
 
 
-def touching_runs(runs: DataFrame, key: str = "label", tile: int = 1024) -> DataFrame:
-    """runs(image_id, y, x0, len, key, node) -> image_id, a, b: nodes of runs of one key that share a side, a above b. A run is sent once to each tile of x it crosses; a pair is found in the tile where its overlap begins."""
-    last = C("x0") + C("len") - 1
-    parts = runs.select("image_id", "y", "x0", last.alias("x1"), key, "node", F.explode(F.sequence(F.floor(C("x0") / tile), F.floor(last / tile))).alias("tile"))
-    up = parts.select("image_id", (C("y") + 1).alias("y"), "tile", C(key), C("x0").alias("a0"), C("x1").alias("a1"), C("node").alias("a"))
-    down = parts.select("image_id", "y", "tile", C(key), C("x0").alias("b0"), C("x1").alias("b1"), C("node").alias("b"))
-    met = up.join(down, ["image_id", "y", "tile", key]).filter((C("a0") <= C("b1")) & (C("b0") <= C("a1")))
-    return met.filter(F.floor(F.greatest("a0", "b0") / tile) == C("tile")).select("image_id", "a", "b")
+_BLOCK = ("image_id", "_by", "_bx")
+
+
+def blocks(runs: DataFrame, key: str, tile: int, whole: bool) -> DataFrame:
+    """runs(image_id, y, x0, len, key) cut at tiles of x and united within blocks of tile by tile places -> image_id, part, key and
+
+    of each part of a block (whole=False) its area; of each piece of a run (those at the border of a block only, unless whole=True) y, x0, len, whether it goes on to the
+    left and right, and size, its run's length, where the run begins. A part is named by its first piece (y * 2**31 + x0), so the least part of a component by its
+    first pixel. A task holds one block at a time, of at most tile * tile runs.
+    """
+    first, last = F.floor(C("x0") / tile).cast("int"), F.floor((C("x0") + C("len") - 1) / tile).cast("int")
+    cut = runs.select("image_id", "y", C("x0").alias("_a"), (C("x0") + C("len")).alias("_b"), key, F.explode(F.sequence(first, last)).alias("_bx"), F.floor(C("y") / tile).cast("int").alias("_by"))
+    cut = cut.select(*_BLOCK, "y", F.greatest("_a", C("_bx") * tile).alias("x0"), F.least("_b", (C("_bx") + 1) * tile).alias("_end"), key, "_a", "_b")
+    cut = cut.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK, "y", "x0")
+    names = ["image_id", "part", key, "area", "y", "x0", "len", "left", "right", "size"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_images(batches, _BLOCK):
+            image, by, bx, y, x0, end, a, b = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (*_BLOCK, "y", "x0", "_end", "_a", "_b"))
+            number = np.concatenate([[0], np.cumsum((image[1:] != image[:-1]) | (by[1:] != by[:-1]) | (bx[1:] != bx[:-1]))])
+            code = batch.column(key).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            # Blocks are stacked with a line between them.
+            root = unite(y % tile + number * (tile + 1), x0 - bx * tile, end - x0, code)
+            part, left, right = (y[root] << 31) + x0[root], x0 > a, end < b
+            at = np.arange(len(y)) if whole else np.flatnonzero((y % tile == 0) | (y % tile == tile - 1) | left | right)
+            own = np.zeros(0, np.int64) if whole else np.unique(root)
+            area = np.bincount(root, end - x0, len(root)).astype(np.int64)
+            none = lambda kind: pa.nulls(len(own), kind)
+            both = lambda v, kind, mask=None: pa.concat_arrays([none(kind), pa.array(v[at], kind, mask=mask)])
+            rows = pa.array(np.concatenate([own, at]))
+            pieces = [both(v, pa.int32()) for v in (y, x0, end - x0)] + [both(v, pa.bool_()) for v in (left, right)]
+            yield pa.RecordBatch.from_arrays([batch.column("image_id").take(rows), pa.array(part[np.concatenate([own, at])]), batch.column(key).take(rows), pa.concat_arrays([pa.array(area[own]), pa.nulls(len(at), pa.int64())]), *pieces, both(b - a, pa.int32(), left[at])], names)
+
+    kind = runs.schema[key].dataType.simpleString()
+    return cut.mapInArrow(run, f"image_id long, part long, `{key}` {kind}, area long, y int, x0 int, len int, left boolean, right boolean, size int")
+
+
+def links_of(pieces: DataFrame, key: str, tile: int) -> DataFrame:
+    """image_id, a, b: parts that meet where a run was cut, and across the lines between blocks, where pieces of one key overlap; both within tiles of x."""
+    goes_on = pieces.filter("right").select("image_id", "y", (C("x0") + C("len")).alias("x0"), C("part").alias("a"))
+    cut = goes_on.join(pieces.filter("left").select("image_id", "y", "x0", C("part").alias("b")), ["image_id", "y", "x0"])
+    at = F.floor(C("x0") / tile).cast("int").alias("_bx")
+    end = lambda n: (C("x0") + C("len")).alias(n)
+    up = pieces.filter((C("y") % tile) == tile - 1).select("image_id", (C("y") + 1).alias("y"), at, key, C("x0").alias("a0"), end("a1"), C("part").alias("a"))
+    down = pieces.filter((C("y") % tile) == 0).select("image_id", "y", at, key, C("x0").alias("b0"), end("b1"), C("part").alias("b"))
+    met = up.join(down, ["image_id", "y", "_bx", key]).filter((C("a0") < C("b1")) & (C("b0") < C("a1")))
+    return cut.select("image_id", "a", "b").unionByName(met.select("image_id", "a", "b")).distinct()
 
 
 def least_reachable(nodes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -60,16 +105,26 @@ def ranked(df: DataFrame, group: str, by: str, name: str, scratch: Scratch) -> D
     return rows.join(first.withColumn("_before", before), [group, "_block"]).withColumn(name, C("_before") + C("_place") - C("_first")).drop("_block", "_place", "_first", "_n", "_before")
 
 
+def _numbered(parts: DataFrame, pieces: DataFrame, key: str, tile: int, scratch: Scratch) -> DataFrame:
+    """image_id, part, region of parts(image_id, part)."""
+    roots = least_reachable(parts.select("image_id", C("part").alias("node")), links_of(pieces, key, tile), scratch)
+    numbers = ranked(roots.select("image_id", "root").distinct(), "image_id", "root", "region", scratch)
+    return roots.join(numbers, ["image_id", "root"]).select("image_id", C("node").alias("part"), "region")
+
+
 def connected_components(runs: DataFrame, key: str = "label", tile: int = 1024) -> DataFrame:
     """runs(image_id, y, x0, len, key) -> with region, as components.connected_components() numbers them: from 0 in each image by first pixels in row-major order. Sides of images are under two thousand million."""
     scratch = Scratch(runs.sparkSession)
-    node = F.shiftleft(C("y").cast("long"), 31) + C("x0")
-    runs = scratch.stage(runs.select("image_id", "y", "x0", "len", key, node.alias("node")), "runs")
-    roots = least_reachable(runs, touching_runs(runs, key, tile), scratch)
-    numbers = ranked(roots.select("image_id", "root").distinct(), "image_id", "root", "region", scratch)
-    return runs.join(roots, ["image_id", "node"]).join(numbers, ["image_id", "root"]).select("image_id", "y", "x0", "len", key, "region")
+    pieces = scratch.stage(blocks(runs, key, tile, True), "pieces")
+    named = pieces.filter(F.shiftleft(C("y").cast("long"), 31) + C("x0") == C("part"))
+    regions = _numbered(named, pieces, key, tile, scratch)
+    return pieces.filter("size is not null").join(regions, ["image_id", "part"]).select("image_id", "y", "x0", C("size").alias("len"), key, "region")
 
 
 def label_regions(runs: DataFrame, key: str = "label", tile: int = 1024) -> DataFrame:
-    """image_id, region, key, area of the components of runs."""
-    return connected_components(runs, key, tile).groupBy("image_id", "region").agg(F.first(key).alias(key), F.sum("len").alias("area"))
+    """image_id, region, key, area of the components of runs. Of a block only the areas of its parts and the pieces at its border are kept."""
+    scratch = Scratch(runs.sparkSession)
+    found = scratch.stage(blocks(runs, key, tile, False), "parts")
+    parts, pieces = found.filter("area is not null"), found.filter("area is null")
+    regions = _numbered(parts, pieces, key, tile, scratch)
+    return parts.join(regions, ["image_id", "part"]).groupBy("image_id", "region").agg(F.first(key).alias(key), F.sum("area").alias("area"))

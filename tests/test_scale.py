@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from lithoframe.operators import packed, plates, svg
+from lithoframe.operators import packed, plates, spread, svg
 from lithoframe.plans import jobs, queries
 from lithoframe.sources import fixtures
 
@@ -94,3 +94,13 @@ def test_pin_rasters_are_neither_shuffled_nor_taken_apart(spark):
     assert out.count() == images.count() and used.count() > 0
     # What is drawn has been staged by one pass: no walls, rims or fills of it are gathered afterwards.
     assert "Exchange" not in plan(out) and "Exchange" not in plan(used)
+
+
+def test_runs_are_united_in_blocks_before_components_grow_in_rounds(spark):
+    # region_areas_spread
+    lines = queries._label_rows(spark, TABLES).filter("image_id < 20")
+    found = spread.blocks(packed.color_runs(lines), "label", 64, False)
+    parts = found.filter("area is not null").select("image_id", "label", "area")
+    want = packed.label_regions(lines).select("image_id", "label", "area")
+    assert parts.exceptAll(want).isEmpty() and want.exceptAll(parts).isEmpty()
+    assert spread.links_of(found.filter("area is null"), "label", 64).isEmpty()
